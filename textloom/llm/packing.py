@@ -18,14 +18,15 @@ from pyspark.sql import functions as F
 from textloom.functions.shared_store import materialize
 
 #: Words kept in a Python worker's cache of token ids.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 600_000
 
 
 class WordIds(dict):
-    """Token ids of a word as little-endian bytes.
+    """Token ids of words as little-endian bytes.
 
     The tokenizer's pre-tokenizer never joins text across white space, so the ids of a text are those of its
-    white-space separated parts in turn; each distinct part is encoded once.
+    white-space separated parts in turn. Parts that are new are encoded together, as one text, and told apart by the
+    offsets of its tokens.
     """
 
     def __init__(self, path: str):
@@ -34,16 +35,34 @@ class WordIds(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
 
-    def __missing__(self, word: bytes) -> bytes:
-        ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-        out = np.asarray(ids, dtype="<u4").tobytes()
-        if len(self) >= CACHE_WORDS:
+    def learn(self, words: set[bytes]) -> None:
+        new = words - self.keys()
+        if len(self) + len(new) > CACHE_WORDS:
             self.clear()
-        self[word] = out
-        return out
-
-    def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.encode("utf-8", "replace").split()))
+            new = words
+        new = list(new)
+        for at in range(0, len(new), 10_000):
+            part = new[at : at + 10_000]
+            texts = [w.decode("utf-8", "replace") for w in part]
+            found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+            starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
+            ids = np.asarray(found.ids, dtype="<u4")
+            first = np.fromiter((x[0] for x in found.offsets), dtype=np.int64, count=len(ids))
+            cuts = (np.searchsorted(first, starts) * 4).tolist()
+            raw = ids.tobytes()
+            for w, a, b in zip(part, cuts, cuts[1:], strict=False):
+                self[w] = raw[a:b]
+
+    def encode_all(self, texts: list[str | None]) -> Iterator[bytes]:
+        for at in range(0, len(texts), 500):
+            words = [(t or "").encode("utf-8", "replace").split() for t in texts[at : at + 500]]
+            self.learn(set().union(*words))
+            for w in words:
+                yield b"".join(map(self.__getitem__, w))
+
+
+#: Kept between the tasks of a Python worker.
+_WORDS: dict[str, WordIds] = {}
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
@@ -54,11 +73,11 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: i
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = WordIds(tokenizer_path)
+        words = _WORDS.get(tokenizer_path) or _WORDS.setdefault(tokenizer_path, WordIds(tokenizer_path))
         for pdf in batches:
             rows = []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                ids = words.encode(text or "") + end
+            for doc_id, ids in zip(pdf["doc_id"], words.encode_all(pdf["text"].tolist()), strict=True):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     cut = ids[at : at + 4 * capacity]
                     rows.append((doc_id, k, at // 4, len(cut) // 4, zlib.crc32(cut)))

@@ -15,15 +15,54 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.chat import rotate_perspectives
+
+    return rotate_perspectives(table(spark, sf_dir, "conversations"))
+
+
+def op2_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.page_template import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.ngram_join import ngram_jaccard_join
+
+    return ngram_jaccard_join(table(spark, sf_dir, "documents"), n=5, percent=80)
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textloom.llm.packing import pack, pieces
 
     return pack(pieces(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op7_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.toxicity import score, train
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
+def op9_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.privacy import find_private, spans_digest
+
+    return spans_digest(find_private(table(spark, sf_dir, "documents")))
+
+
+def op10_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.context_mixing import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
 
 def oracle_sql() -> dict:
-    return {}
+    from textloom.llm import chat
+
+    return {"op1_chat_perspectives": chat.SQL}

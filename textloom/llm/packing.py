@@ -19,6 +19,17 @@ from textloom.functions.shared_store import materialize
 
 #: Words kept in a Python worker's cache of token ids.
 CACHE_WORDS = 600_000
+SIGNS = b"!\"#$%&()*+,-./:;=?@[\\]^_`{|}~"
+
+
+def _letter_last(word: bytes) -> bool:
+    """Whether the last character is a letter or an ASCII digit."""
+    last = word[-1:]
+    if last < b"\x80":
+        return last.isalnum()
+    if word[-2:-1] == b"\xc3":
+        return last not in b"\x97\xb7"  # of these, two signs aren't letters
+    return word.decode("utf-8", "replace")[-1].isalpha()
 
 
 class WordIds(dict):
@@ -34,24 +45,47 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.bare = Tokenizer.from_file(path)
+        self.bare.normalizer = None
+        self.stems: dict[bytes, bytes] = {}
 
     def learn(self, words: set[bytes]) -> None:
         new = words - self.keys()
         if len(self) + len(new) > CACHE_WORDS:
             self.clear()
             new = words
-        new = list(new)
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            texts = [w.decode("utf-8", "replace") for w in part]
-            found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
-            starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        # A run of ASCII signs after a letter or digit is a token of the pre-tokenizer by itself, and case is dropped.
+        plain, cut, stems = [], [], self.stems
+        for w in new:
+            stem = w.rstrip(SIGNS)
+            if len(stem) == len(w) or b"<|" in w or not _letter_last(stem):  # "<|" may begin the name of a special token
+                plain.append(w)
+            else:
+                cut.append((w, stem.lower(), w[len(stem) :]))
+        low = [w if b"<|" in w else w.lower() for w in plain]
+        need = set(low)
+        need.update([x[1] for x in cut], [x[2] for x in cut])
+        if len(stems) + len(need) > 2 * CACHE_WORDS:
+            stems.clear()
+        self._encode(sorted(need - stems.keys(), key=bytes.isascii))
+        self.update(zip(plain, map(stems.__getitem__, low), strict=True))
+        for w, stem, tail in cut:
+            self[w] = stems[stem] + stems[tail]
+
+    def _encode(self, new: list[bytes]) -> None:
+        """`new`: parts, those in ASCII last."""
+        for at in range(0, len(new), 2_000):
+            part = new[at : at + 2_000]
+            joined = b" ".join(part).decode("utf-8", "replace")
+            # Lower-case letters that are composed are what the normaliser would give.
+            easy = joined.isascii() and b"<|" not in joined.encode()
+            found = (self.bare if easy else self.tokenizer).encode(joined, add_special_tokens=False)
+            starts = np.cumsum([0, *(len(t) + 1 for t in (part if easy else joined.split(" ")))])
             ids = np.asarray(found.ids, dtype="<u4")
             first = np.fromiter((x[0] for x in found.offsets), dtype=np.int64, count=len(ids))
             cuts = (np.searchsorted(first, starts) * 4).tolist()
             raw = ids.tobytes()
-            for w, a, b in zip(part, cuts, cuts[1:], strict=False):
-                self[w] = raw[a:b]
+            self.stems.update((w, raw[x:y]) for w, x, y in zip(part, cuts, cuts[1:], strict=False))
 
     def encode_all(self, texts: list[str | None]) -> Iterator[bytes]:
         for at in range(0, len(texts), 500):
@@ -61,10 +95,16 @@ class WordIds(dict):
                 yield b"".join(map(self.__getitem__, w))
 
 
-#: Kept between the tasks of a Python worker.
 _WORDS: dict[str, WordIds] = {}
 
 
+def word_ids(path: str) -> WordIds:
+    """The worker's own cache, kept between its tasks."""
+    if path not in _WORDS:
+        _WORDS[path] = WordIds(path)
+    return _WORDS[path]
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each document's ids and `end_id`, cut only where longer than `capacity`.
 
@@ -73,7 +113,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: i
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = _WORDS.get(tokenizer_path) or _WORDS.setdefault(tokenizer_path, WordIds(tokenizer_path))
+        words = word_ids(tokenizer_path)
         for pdf in batches:
             rows = []
             for doc_id, ids in zip(pdf["doc_id"], words.encode_all(pdf["text"].tolist()), strict=True):

@@ -11,8 +11,10 @@ counts are summed per document or per pair.
    proportion to the sets), the pairs' partial overlaps are counted and summed, and the links are joined to components.
 3. What is left are links between different components. They are found exactly, by the prefix filter under the global
    order (document frequency, hash): two linked sets share an n-gram of both prefixes. A posting list whose sets are
-   all in one component is dropped whole, which removes those of large groups of near copies; the others give pairs of
-   different components that pass the size and shared-count bounds, which are counted in the same way.
+   all in one component is dropped whole, which removes those of large groups of near copies. Sets that were paired with
+   the same one in step 2 are bounded by those known overlaps: unless these are enough, they must share an n-gram outside
+   that set, and are joined by such n-grams, which are rare, instead. The pairs of different components that are left are
+   counted in the same way as before.
 
 Equal sets are one class throughout, so copies are never expanded into pairs.
 """
@@ -163,9 +165,8 @@ def need(n: np.ndarray | int, percent: int):
     return -(-n * percent // 100)
 
 
-def _candidates(percent: int, keys: int, fragments: int):
-    """Of each set that may have partners: (set_id, n, shared, mins, prefix, segments)."""
-    width = np.uint64(2**64 // fragments + 1)
+def _candidates(percent: int, keys: int):
+    """Of each set that may have partners: (set_id, n, shared, centre, mins, prefix, grams); grams are the shared ones."""
     seeds = [np.uint64(0xA0761D6478BD642F * (i + 1) % 2**64) for i in range(keys)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -177,47 +178,64 @@ def _candidates(percent: int, keys: int, fragments: int):
                 mins = [int(_signed(mix(g ^ s).min(keepdims=True))[0]) for s in seeds]
                 length = n - need(n, percent) + 1 - (n - len(g))  # grams of no other set come first in the global order
                 prefix = g[np.lexsort((g, d))[:length]] if length > 0 else g[:0]
-                g = np.sort(g)
+                rows.append((set_id, n, len(g), float(d.sum()) / n, mins, _signed(prefix).tolist(), np.sort(g).tobytes()))
+            yield pd.DataFrame(rows, columns=["set_id", "n", "shared", "centre", "mins", "prefix", "grams"])
+
+    return run
+
+
+def _sliced(fragments: int):
+    """(set_id, grams) -> (set_id, frag, grams) for each fragment with grams of the set."""
+    width = np.uint64(2**64 // fragments + 1)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for set_id, g in zip(pdf["set_id"], pdf["grams"], strict=True):
+                g = np.frombuffer(g, dtype=np.uint64)
                 frag = (g // width).astype(np.int32)
                 cuts = np.flatnonzero(np.diff(frag)) + 1
-                segments = [{"frag": int(f), "grams": part.tobytes()} for part, f in zip(np.split(g, cuts), frag[np.r_[0, cuts]], strict=True)]
-                rows.append((set_id, n, len(g), mins, _signed(prefix).tolist(), segments))
-            yield pd.DataFrame(rows, columns=["set_id", "n", "shared", "mins", "prefix", "segments"])
+                rows += [(set_id, int(f), part.tobytes()) for part, f in zip(np.split(g, cuts), frag[np.r_[0, cuts]], strict=True)]
+            yield pd.DataFrame(rows, columns=["set_id", "frag", "grams"])
 
     return run
 
 
-def _possible(percent: int):
-    """Whether the sets' sizes and shared counts allow a link."""
-    most = F.least("a_shared", "b_shared")
+def _unpacked():
+    @F.pandas_udf("array<long>")
+    def run(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda x: np.frombuffer(b"".join(x), dtype=np.int64).tolist())
+
+    return run
+
+
+def _enough(most, percent: int):
+    """Whether an overlap of `most` makes a link of the sets a and b."""
     return (100 + percent) * most >= percent * (F.col("a_n") + F.col("b_n"))
 
 
-def _overlaps(left, right: pd.DataFrame) -> pd.DataFrame:
-    """A fragment's segments and pairs: the partial overlap of each pair."""
+def _overlaps(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """A fragment's segments and pairs: each pair's partial overlap, and the first set's grams that the second lacks."""
     at = {s: np.frombuffer(g, dtype=np.uint64) for s, g in zip(left["set_id"], left["grams"], strict=True)}
-    out = []
+    none, parts, outs = np.zeros(0, dtype=np.uint64), [], []
     for a, b in zip(right["a"], right["b"], strict=True):
-        x, y = at.get(a), at.get(b)
-        if x is None or y is None:
-            out.append(0)
-            continue
-        if len(x) > len(y):
-            x, y = y, x
-        spot = np.searchsorted(y, x)
-        spot[spot == len(y)] = 0
-        out.append(int((y[spot] == x).sum()))
-    right = right[["a", "b"]].assign(part=np.array(out, dtype=np.int32))
-    return right[right["part"] > 0]
-
-
-def _links(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b, a_n, b_n) whose partial overlaps add up to the threshold, as (src, dst)."""
+        x, y = at.get(a, none), at.get(b, none)
+        hit = np.zeros(len(x), dtype=bool)
+        if len(y):
+            spot = np.searchsorted(y, x)
+            spot[spot == len(y)] = 0
+            hit = y[spot] == x
+        parts.append(int(hit.sum()))
+        outs.append(x[~hit].tobytes())
+    return right[["a", "b"]].assign(part=np.array(parts, dtype=np.int32), outside=outs)
+
+
+def _counted(pairs: DataFrame, segments: DataFrame, percent: int, with_outside: bool = False) -> DataFrame:
+    """`pairs` (a, b, a_n, b_n, ...) with o, the sum of their partial overlaps; and outside, the lists of a's grams not in b."""
     where = segments.select(F.col("set_id").alias("a"), F.col("frag").alias("at")).join(pairs.select("a", "b"), "a")
-    parts = segments.groupBy("frag").cogroup(where.groupBy("at")).applyInPandas(_overlaps, "a long, b long, part int")
-    total = parts.groupBy("a", "b").agg(F.sum("part").alias("o"))
-    union = F.col("a_n") + F.col("b_n") - F.col("o")
-    return total.join(pairs, ["a", "b"]).where(100 * F.col("o") >= percent * union).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    parts = segments.groupBy("frag").cogroup(where.groupBy("at")).applyInPandas(_overlaps, "a long, b long, part int, outside binary")
+    more = [F.collect_list("outside").alias("outside")] if with_outside else []
+    return parts.groupBy("a", "b").agg(F.sum("part").alias("o"), *more).join(pairs, ["a", "b"])
 
 
 def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -236,33 +254,52 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
 
     shared = _segments(docs, n, fragments).repartition(fragments, "frag").mapInPandas(_shared, "set_id long, n int, cnt int, grams binary, dfs binary")
     merged = shared.groupBy("set_id", "n").agg(F.sum("cnt").alias("cnt"), F.collect_list(F.struct("grams", "dfs")).alias("parts"))
-    kept = merged.where(F.col("cnt") >= F.ceil(F.col("n") * percent / 100))
-    kept = kept.select("set_id", "n", "parts").mapInPandas(
-        _candidates(percent, KEYS, fragments), "set_id long, n int, shared int, mins array<long>, prefix array<long>, segments array<struct<frag:int,grams:binary>>"
-    )
+    kept = merged.where(F.col("cnt") >= F.ceil(F.col("n") * percent / 100)).select("set_id", "n", "parts")
+    kept = kept.mapInPandas(_candidates(percent, KEYS), "set_id long, n int, shared int, centre double, mins array<long>, prefix array<long>, grams binary")
     kept = materialize(kept, "candidates")
-    segments = kept.select("set_id", F.explode("segments").alias("s")).select("set_id", "s.frag", "s.grams")
-
-    # Step 2: for each min-hash, the set with the largest shared part stands for its group.
-    keyed = kept.select("set_id", "n", "shared", F.posexplode("mins").alias("k", "m"))
-    best = keyed.groupBy("k", "m").agg(F.max(F.struct((F.col("shared") / F.col("n")).alias("r"), "set_id", "n", "shared")).alias("x"), F.count("*").alias("size")).where("size > 1")
-    best = best.select("k", "m", F.col("x.set_id").alias("b"), F.col("x.n").alias("b_n"), F.col("x.shared").alias("b_shared"))
-    pairs = keyed.join(best, ["k", "m"]).where("set_id <> b").select(F.col("set_id").alias("a"), F.col("n").alias("a_n"), F.col("shared").alias("a_shared"), "b", "b_n", "b_shared")
-    pairs = materialize(pairs.where(_possible(percent)).distinct(), "pairs")
-    near = materialize(_links(pairs, segments, percent), "links")
+    slices = max(8, -(-(kept.agg(F.sum("shared")).first()[0] or 0) // FRAGMENT_GRAMS))
+    segments = kept.select("set_id", "grams").mapInPandas(_sliced(slices), "set_id long, frag int, grams binary")
+
+    # Step 2: for each min-hash, the set with the most common grams stands for its group.
+    keyed = kept.select("set_id", "n", "shared", "centre", F.posexplode("mins").alias("k", "m"))
+    best = keyed.groupBy("k", "m").agg(F.max(F.struct("centre", "set_id", "n", "shared")).alias("x"), F.count("*").alias("size")).where("size > 1")
+    best = best.select("k", "m", F.col("x.set_id").alias("b"), F.col("x.n").alias("b_n"))
+    pairs = keyed.join(best, ["k", "m"]).where("set_id <> b").select(F.col("set_id").alias("a"), F.col("n").alias("a_n"), "b", "b_n")
+    pairs = materialize(pairs.distinct(), "pairs")
+    star = materialize(_counted(pairs, segments, percent, with_outside=True), "star")
+    near = star.where(_enough(F.col("o"), percent)).select(F.col("a").alias("src"), F.col("b").alias("dst"))
     first = materialize(connected_components(near), "parts")
 
-    # Step 3: links between components.
-    group = F.coalesce("component", "set_id")
-    posts = kept.join(first.withColumnRenamed("node", "set_id"), "set_id", "left").select("set_id", "n", "shared", group.alias("comp"), F.explode("prefix").alias("g"))
-    posts = materialize(posts, "postings")
-    mixed = posts.groupBy("g").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("g")
-    posts = materialize(posts.join(mixed, "g"), "mixed")
-    a, b = (posts.select("g", *(F.col(c).alias(f"{p}_{c}") for c in ("set_id", "n", "shared", "comp"))) for p in "ab")
-    across = a.join(b, "g").where(F.col("a_comp") < F.col("b_comp")).where(_possible(percent))
-    across = across.select(F.col("a_set_id").alias("a"), "a_n", F.col("b_set_id").alias("b"), "b_n", "a_comp", "b_comp").distinct()
-    across = materialize(across, "across")
-    late = _links(across, segments, percent).join(across, [F.col("src") == F.col("a"), F.col("dst") == F.col("b")]).select(F.col("a_comp").alias("src"), F.col("b_comp").alias("dst"))
+    # Step 3: links between components. With x's and y's overlaps with a common centre c known, their own overlap is at
+    # most the smaller of those two and what they share outside c. So either the smaller of the two is enough, or they
+    # share a gram outside c; and sets of different centres are bounded by what they share with any set.
+    like = F.col("o") / (F.col("a_n") + F.col("b_n") - F.col("o"))
+    middle = star.groupBy(F.col("a").alias("set_id")).agg(F.max_by(F.struct("b", "o", "outside"), F.struct(like, "b")).alias("c"))
+    own = kept.select("set_id", "n", "shared", "prefix").join(middle, "set_id", "left").join(first.withColumnRenamed("node", "set_id"), "set_id", "left")
+    own = own.select(
+        "set_id", "n", "shared", "prefix", F.coalesce("component", "set_id").alias("comp"), F.coalesce("c.b", "set_id").alias("mid"), F.coalesce("c.o", F.col("n").cast("long")).alias("o"),
+        F.coalesce("c.outside", F.array().cast("array<binary>")).alias("outside"),
+    )
+    own = materialize(own, "members")
+    names = ("set_id", "n", "shared", "comp", "mid", "o", "rest")
+
+    def joined(posts: DataFrame, bound) -> DataFrame:
+        posts = materialize(posts, "postings")
+        mixed = posts.groupBy("g").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("g")
+        posts = materialize(posts.join(mixed, "g"), "mixed")
+        a, b = (posts.select("g", *(F.col(c).alias(f"{p}_{c}") for c in names)) for p in "ab")
+        pairs = a.join(b, "g").where(F.col("a_comp") < F.col("b_comp")).where(bound)
+        return pairs.select(F.col("a_set_id").alias("a"), "a_n", F.col("b_set_id").alias("b"), "b_n", "a_comp", "b_comp")
+
+    same = F.col("a_mid") == F.col("b_mid")
+    by_mid = F.least("a_o", "b_o")
+    rest = (F.col("shared") - F.col("o")).alias("rest")
+    inside = joined(own.select("set_id", "n", "shared", "comp", "mid", "o", rest, F.explode("prefix").alias("g")), _enough(F.when(same, by_mid).otherwise(F.least("a_shared", "b_shared")), percent))
+    grams_of = _unpacked()
+    outside = own.where(F.size("outside") > 0).select("set_id", "n", "shared", "comp", "mid", "o", rest, F.explode(grams_of("outside")).alias("g"))
+    outside = joined(outside, same & _enough(by_mid + F.least("a_rest", "b_rest"), percent))
+    across = materialize(inside.unionByName(outside).distinct(), "across")
+    late = _counted(across, segments, percent).where(_enough(F.col("o"), percent)).select(F.col("a_comp").alias("src"), F.col("b_comp").alias("dst"))
     last = connected_components(late).select(F.col("node").alias("comp"), F.col("component").alias("over"))
     label = first.select(F.col("node").alias("set_id"), F.col("component").alias("comp"))
     label = label.unionByName(across.select(F.explode(F.array(F.struct(F.col("a").alias("s"), F.col("a_comp").alias("c")), F.struct(F.col("b").alias("s"), F.col("b_comp").alias("c")))).alias("x")).select(F.col("x.s").alias("set_id"), F.col("x.c").alias("comp")))
@@ -272,3 +309,15 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     least = grams.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     empty = sets.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return grams.join(least, "label").select("doc_id", "n_shingles", "component_id").unionByName(empty)
+
+
+def near_duplicate_free(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of `docs`, with all columns, of which one stays for each component: the smallest doc_id, and one of its
+    repeated rows. Documents without words are linked with nothing and stay; rows with a null doc_id stay too."""
+    from pyspark.sql import Window
+
+    joined = ngram_jaccard_join(docs, n, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    known = docs.withColumn("__id", F.col("doc_id").cast("long"))
+    kept = known.join(joined, F.col("__id") == F.col("__gone"), "left_anti")
+    nth = F.row_number().over(Window.partitionBy("__id").orderBy(F.col("text")))
+    return kept.withColumn("__nth", nth).where("__nth = 1 OR __id IS NULL").select(*docs.columns)

@@ -4,8 +4,7 @@ A token (a word, or the end of a text) is sent as the `CODE_BITS` leading bits o
 then as itself among the tokens with that code. The code's bits are predicted by three predictors whose contexts are the
 bits so far with nothing else, with the token before, and with the two tokens before. Each predictor holds bit counts in
 a table of a fixed number of hashed slots; the counts cover all training texts. In a text, the predictions are mixed in
-the logistic domain by weights of which a gate (bit position, and whether the longest context was seen) picks a set;
-after each bit the weights move along the coding error's gradient, and an adaptive probability map refines the mixed
+the logistic domain by weights of which a gate, the bit's position, picks a set; after each bit the weights move along the coding error's gradient, and an adaptive probability map refines the mixed
 prediction. Both start anew in each text, so its score doesn't depend on how the table is dealt out. What is left of the
 token, given its code, has its smoothed unigram probability. The probabilities of all texts add up to one, so the bits a
 text costs are those of a compressor.
@@ -39,7 +38,7 @@ M1, M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 NODE_MIX = np.arange(NODES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)
 #: Words to be counted by one task, about.
 FRAGMENT_WORDS = 3_000_000
-START_WEIGHTS = np.array([[0.55, 0.45, 0.05], [0.35, 0.45, 0.35]], dtype=np.float32)  # by gate: longest context new, seen
+START_WEIGHTS = np.array([0.45, 0.45, 0.2], dtype=np.float32)
 RATE = np.float32(0.004)
 MAP_CELLS = 24
 
@@ -95,7 +94,7 @@ def _bit_counts(docs: DataFrame) -> list[np.ndarray]:
     width = int(base[-1]) // PARTS + 1
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, total = WordHash(), np.zeros(2 * int(base[-1]), dtype=np.int32)
+        words, one, total = WordHash(), np.int32(1), np.zeros(2 * int(base[-1]), dtype=np.int32)
         for pdf in batches:
             texts = iter(pdf["text"])
             while True:
@@ -112,12 +111,11 @@ def _bit_counts(docs: DataFrame) -> list[np.ndarray]:
                 fresh[np.r_[0, np.cumsum([len(g) for g in group])[:-1]]] = True
                 c = contexts(h, fresh)
                 code = (h >> np.uint64(64 - CODE_BITS)).astype(np.int64)
-                found = []
                 for b in range(CODE_BITS):
                     node, bit = nodes(code, b), code >> (CODE_BITS - 1 - b) & 1
-                    found.append(2 * node + bit)
-                    found.extend(2 * (slot(c[k], node, s) + base[k + 1]) + bit for k, s in enumerate(SLOT_BITS))
-                total += np.bincount(np.concatenate(found), minlength=len(total)).astype(np.int32)
+                    total[: 2 * NODES] += np.bincount(2 * node + bit, minlength=2 * NODES).astype(np.int32)
+                    for k, s in enumerate(SLOT_BITS):
+                        np.add.at(total, 2 * (slot(c[k], node, s) + base[k + 1]) + bit, one)
         rows = [(p, zlib.compress(total[2 * p * width : 2 * (p + 1) * width].tobytes(), 1)) for p in range(PARTS)]
         yield pd.DataFrame(rows, columns=["part", "counts"])
 
@@ -166,14 +164,14 @@ def _unigrams(docs: DataFrame, fragments: int) -> DataFrame:
                 h, n, who, frag = h[order], n[order], who[order], frag[order]
                 first = np.flatnonzero(np.r_[True, frag[1:] != frag[:-1]])
                 keys, train = part["key"].to_numpy(dtype=np.int64), part["train"].to_numpy(dtype=bool)
-                rows = []
+                rows, batch = [], xxhash.xxh64_intdigest(keys.tobytes()) - 2**63
                 for a, b in zip(first, np.r_[first[1:], len(frag)], strict=True):
                     docs_here, local = np.unique(who[a:b], return_inverse=True)
-                    rows.append((frag[a], keys[docs_here].tobytes(), train[docs_here].tobytes(), local.astype(np.uint16).tobytes(), h[a:b].tobytes(), n[a:b].tobytes()))
-                yield pd.DataFrame(rows, columns=["frag", "keys", "train", "who", "h", "n"])
+                    rows.append((frag[a], batch, keys[docs_here].tobytes(), train[docs_here].tobytes(), local.astype(np.uint16).tobytes(), h[a:b].tobytes(), n[a:b].tobytes()))
+                yield pd.DataFrame(rows, columns=["frag", "batch", "keys", "train", "who", "h", "n"])
 
     def total(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = [r for pdf in batches for r in pdf[["keys", "train", "who", "h", "n"]].itertuples(index=False)]
+        rows = [r for pdf in batches for r in pdf[["batch", "keys", "train", "who", "h", "n"]].itertuples(index=False)]
         if not rows:
             return
         h = np.frombuffer(b"".join(r.h for r in rows), dtype=np.uint64)
@@ -183,92 +181,102 @@ def _unigrams(docs: DataFrame, fragments: int) -> DataFrame:
         c = np.bincount(at, weights=n * train, minlength=len(kinds)).astype(np.int64)
         code = (kinds >> np.uint64(64 - CODE_BITS)).astype(np.int64)
         used, back = np.unique(code, return_inverse=True)
-        yield pd.DataFrame({"kind": 1, "key": used, "a": 0.0, "b": np.bincount(back, weights=c).astype(np.int64), "c": np.bincount(back, weights=c > 0).astype(np.int64)})
+        yield pd.DataFrame({"kind": 1, "key": used, "a": 0.0, "keys": None, "sums": None, "b": np.bincount(back, weights=c).astype(np.int64), "c": np.bincount(back, weights=c > 0).astype(np.int64)})
         done = 0
         for r in rows:
             keys, who = np.frombuffer(r.keys, dtype=np.int64), np.frombuffer(r.who, dtype=np.uint16)
             x = slice(done, done + len(who))
             done += len(who)
+            a = np.bincount(who, weights=n[x] * np.log10(c[at[x]] + 1), minlength=len(keys))
+            known = np.bincount(who, weights=n[x] * (c[at[x]] > 0), minlength=len(keys))
             ends = np.bincount(who, weights=n[x] * (h[x] == END), minlength=len(keys))
-            yield pd.DataFrame({
-                "kind": 0, "key": keys, "a": np.bincount(who, weights=n[x] * np.log10(c[at[x]] + 1), minlength=len(keys)),
-                "b": np.bincount(who, weights=n[x] * (c[at[x]] > 0), minlength=len(keys)).astype(np.int64), "c": ends.astype(np.int64),
-            })
+            sums = np.stack([a, known, ends]).tobytes()
+            yield pd.DataFrame({"kind": [0], "key": [r.batch], "a": 0.0, "b": 0, "c": 0, "keys": [r.keys], "sums": [sums]})
+
+    def unpack(pdf: pd.DataFrame) -> pd.DataFrame:
+        keys, at = np.unique(np.concatenate([np.frombuffer(k, dtype=np.int64) for k in pdf["keys"]]), return_inverse=True)
+        sums = np.concatenate([np.frombuffer(x, dtype=np.float64).reshape(3, -1) for x in pdf["sums"]], axis=1)
+        a, known, ends = (np.bincount(at, weights=x, minlength=len(keys)) for x in sums)
+        return pd.DataFrame({"kind": 0, "key": keys, "a": a, "b": known.astype(np.int64), "c": ends.astype(np.int64)})
 
-    sent = docs.select("key", "train", "text").mapInPandas(send, "frag int, keys binary, train binary, who binary, h binary, n binary")
-    return sent.repartition(fragments, "frag").mapInPandas(total, "kind int, key long, a double, b long, c long")
+    plain = "kind int, key long, a double, b long, c long"
+    sent = docs.select("key", "train", "text").mapInPandas(send, "frag int, batch long, keys binary, train binary, who binary, h binary, n binary")
+    summed = sent.repartition(fragments, "frag").mapInPandas(total, plain + ", keys binary, sums binary")
+    summed = materialize(summed, "fragments")
+    own = summed.where("kind = 0").select(F.col("key").alias("batch"), "keys", "sums").groupBy("batch").applyInPandas(unpack, plain)
+    return own.unionByName(summed.where("kind = 1").select("kind", "key", "a", "b", "c"))
 
 
-def code_log10(texts: list[np.ndarray], tables: list[np.ndarray], steps: int = 48) -> np.ndarray:
+def code_log10(texts: list[np.ndarray], tables: list[np.ndarray], steps: int = 32, group: int = 4096) -> np.ndarray:
     """log10 of the probability of each text's codes, the texts side by side, a bit of each at a time."""
     lengths = np.array([len(t) for t in texts])
     order = np.argsort(-lengths, kind="stable")
     out = np.zeros(len(texts))
-    group = 2048
+    f = np.float32
     for at in range(0, len(order), group):
         rows = order[at : at + group]
         n = lengths[rows]
         d = len(rows)
         flat = np.concatenate([texts[i] for i in rows])
         begin = np.r_[0, np.cumsum(n)[:-1]]
-        w = np.repeat(np.repeat(START_WEIGHTS[:, None, :, None], CODE_BITS, axis=1), d, axis=3)  # gate, bit, input, text
+        w = np.repeat(np.repeat(START_WEIGHTS[None, :, None], CODE_BITS, axis=0), d, axis=2)  # bit, input, text
         centers = (np.arange(MAP_CELLS) - (MAP_CELLS - 1) / 2) / 1.5
-        apm = np.repeat((1 / (1 + np.exp(-centers))).astype(np.float32)[:, None], d, axis=1)
+        apm = np.repeat((1 / (1 + np.exp(-centers))).astype(f)[:, None], d, axis=1).ravel()
         cost = np.zeros(d)
         carry_h = np.zeros((2, d), dtype=np.uint64)
+        texts_at = np.arange(d)
         for t0 in range(0, int(n[0]), steps):
             k = int(np.searchsorted(-n, -t0, side="left"))  # texts with more than t0 tokens
             t1 = min(t0 + steps, int(n[0]))
             idx = np.minimum(begin[:k] + np.arange(t0, t1)[:, None], len(flat) - 1)
             h = flat[idx]
-            live = np.arange(t0, t1)[:, None] < n[:k]
             full = np.concatenate([carry_h[:, :k], h])
             first = np.zeros((len(full), 1), dtype=bool)
-            first[0] = True
-            if t0 == 0:
-                first[:3] = True  # nothing before a text's first token
-            c1, c2 = contexts(full, np.broadcast_to(first, full.shape)) if t0 == 0 else _carried(full)
+            first[: 3 if t0 == 0 else 0] = True  # nothing before a text's first token
+            c1, c2 = contexts(full, np.broadcast_to(first, full.shape))
             c1, c2 = c1[2:], c2[2:]
             carry_h = full[-2:]
-            code = (h >> np.uint64(64 - CODE_BITS)).astype(np.int64)
-            inputs = np.empty((t1 - t0, CODE_BITS, 3, k), dtype=np.float32)
-            bits = np.empty((t1 - t0, CODE_BITS, k), dtype=np.float32)
+            code = (h >> np.uint64(64 - CODE_BITS)).astype(np.int32)
+            inputs = np.empty((t1 - t0, CODE_BITS, 3, k), dtype=f)
+            bits = np.empty((t1 - t0, CODE_BITS, k), dtype=f)
             for b in range(CODE_BITS):
                 node = nodes(code, b)
-                inputs[:, b, 0] = tables[0][node]
-                inputs[:, b, 1] = tables[1][slot(c1, node, SLOT_BITS[0])]
-                inputs[:, b, 2] = tables[2][slot(c2, node, SLOT_BITS[1])]
+                inputs[:, b, 0] = tables[0].take(node)
+                inputs[:, b, 1] = tables[1].take(slot(c1, node, SLOT_BITS[0]))
+                inputs[:, b, 2] = tables[2].take(slot(c2, node, SLOT_BITS[1]))
                 bits[:, b] = code >> (CODE_BITS - 1 - b) & 1
-            gates = inputs[:, 0, 2] != 0
-            counts = live.sum(axis=1)
-            cells = np.arange(k)
+            right = np.ones((t1 - t0, CODE_BITS, k), dtype=f)
+            counts = (np.arange(t0, t1)[:, None] < n[:k]).sum(axis=1)
             for t in range(t1 - t0):
                 m = int(counts[t])
-                g = gates[t, :m]
                 for b in range(CODE_BITS):
-                    x, y = inputs[t, b, :, :m], bits[t, b, :m]
-                    ws = np.where(g, w[1, b, :, :m], w[0, b, :, :m])
-                    dot = np.clip((ws * x).sum(axis=0), -9, 9)
-                    p = 1 / (1 + np.exp(-dot))
-                    step = (RATE * (y - p)) * x
-                    w[1, b, :, :m] += step * g
-                    w[0, b, :, :m] += step * ~g
-                    cell = (dot * np.float32(1.5) + np.float32(MAP_CELLS / 2)).astype(np.int64)
-                    np.clip(cell, 0, MAP_CELLS - 1, out=cell)
-                    r = apm[cell, cells[:m]]
-                    apm[cell, cells[:m]] = r + (y - r) * np.float32(0.02)
-                    q = np.clip(np.float32(0.7) * p + np.float32(0.3) * r, 1e-5, 1 - 1e-5)
-                    cost[:m] += np.log10(np.where(y > 0, q, 1 - q))
+                    x, y, ws = inputs[t, b, :, :m], bits[t, b, :m], w[b, :, :m]
+                    dot = ws[0] * x[0]
+                    dot += ws[1] * x[1]
+                    dot += ws[2] * x[2]
+                    np.clip(dot, f(-7.9), f(7.9), out=dot)
+                    p = np.exp(-dot)
+                    p += f(1)
+                    np.reciprocal(p, out=p)
+                    err = y - p
+                    ws += x * (RATE * err)
+                    dot *= f(1.5)
+                    dot += f(MAP_CELLS / 2)
+                    cell = dot.astype(np.int32)
+                    cell *= d
+                    cell += texts_at[:m]
+                    r = apm.take(cell)
+                    apm[cell] = r + (y - r) * f(0.02)
+                    p *= f(0.7)
+                    p += f(0.3) * r
+                    p += y
+                    p -= f(1)
+                    np.abs(p, out=right[t, b, :m])  # the probability of the bit that came
+            cost[:k] += np.log10(np.clip(right, 1e-5, 1)).sum(axis=(0, 1), dtype=np.float64)
         out[rows] = cost
     return out
 
 
-def _carried(full: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """contexts() where the two first rows are the tokens before."""
-    none = np.zeros((len(full), 1), dtype=bool)
-    return contexts(full, np.broadcast_to(none, full.shape))
-
-
 def score(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for each row of (doc_id, text).
 

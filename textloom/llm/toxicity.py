@@ -95,19 +95,22 @@ def _words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").split()
 
 
-def _token_labels(texts: list[list[bytes]], toxic: np.ndarray) -> set[str]:
-    """Features that mark a token as toxic."""
-    bad, good = Counter(), Counter()
-    cache: dict[bytes, list[str]] = {}
-    for words, y in zip(texts, toxic, strict=True):
-        own = set()
-        for w in set(words):
-            if w not in cache:
-                cache[w] = features(w.decode("utf-8", "replace"))
-            own.update(cache[w])
-        (bad if y else good).update(own)
-    base = min(max(toxic.mean(), 1e-6), 1 - 1e-6)
-    least = np.log(max(2, len(bad.keys() | good.keys()))) + np.log(20.0)
+def _word_features(words: set[bytes]) -> set[str]:
+    return {f for w in words for f in features(w.decode("utf-8", "replace"))}
+
+
+def _token_labels(toxic: list[str], other: list[str]) -> set[str]:
+    """Features that mark a token as toxic. Only features of toxic texts are counted in the others, to keep memory small."""
+    bad: Counter[str] = Counter()
+    for t in toxic:
+        bad.update(_word_features(set(_words(t))))
+    tried = len(bad)
+    bad = Counter({f: n for f, n in bad.items() if n >= 3})
+    good: Counter[str] = Counter()
+    for t in other:
+        good.update(_word_features(set(_words(t))) & bad.keys())
+    base = len(toxic) / (len(toxic) + len(other))
+    least = np.log(max(2, tried)) + np.log(20.0)
     out = set()
     for f, n in bad.items():
         m = good.get(f, 0)
@@ -120,23 +123,25 @@ def _token_labels(texts: list[list[bytes]], toxic: np.ndarray) -> set[str]:
     return out
 
 
-def fit(texts: list[str], toxic: np.ndarray, rounds: int = 60) -> Model:
-    """Fits the field and the score on whole texts and their labels; without both labels the score is constant."""
+def fit(texts: list[str], toxic: np.ndarray, rounds: int = 60, field_texts: int = 700) -> Model:
+    """Fits the field and the score on whole texts and their labels; without both labels the score is constant.
+
+    The field's weights are learned on at most `field_texts` texts of either label, the marks and the score on all.
+    """
     model = Model()
     toxic = np.asarray(toxic, dtype=bool)
     keep = {}
     for i, t in enumerate(texts):
         keep.setdefault(t or "", i)  # copies of a text are one observation
     rows = sorted(keep.values())
-    words, toxic = [_words(texts[i]) for i in rows], toxic[rows]
+    texts, toxic = [texts[i] or "" for i in rows], toxic[rows]
     if not len(toxic) or toxic.all() or not toxic.any():
         rate = (toxic.sum() + 0.5) / (len(toxic) + 1)
         model.score[0] = np.log(rate / (1 - rate))
         return model
-    marks = _token_labels(words, toxic)
-    # The field learns on all toxic texts and as many others, whole; most of a long corpus has no active feature.
-    pick = np.flatnonzero(toxic).tolist()
-    pick += np.flatnonzero(~toxic)[: max(500, len(pick))].tolist()
+    marks = _token_labels([t for t, y in zip(texts, toxic, strict=True) if y], [t for t, y in zip(texts, toxic, strict=True) if not y])
+    pick = np.flatnonzero(toxic)[:field_texts].tolist() + np.flatnonzero(~toxic)[:field_texts].tolist()
+    words = {i: _words(texts[i]) for i in pick}
     types: dict[bytes, int] = {}
     flat = np.fromiter((types.setdefault(w, len(types)) for i in pick for w in words[i]), dtype=np.int64)
     lengths = np.array([len(words[i]) for i in pick])
@@ -178,7 +183,8 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 60) -> Model:
             values[j] = values[j] - 0.3 * (m[j] / (1 - 0.9**step)) / (np.sqrt(v[j] / (1 - 0.99**step)) + 1e-12)
         theta, bias, moves = values[0], float(values[1]), values[2] - values[2][0, 0]
     model.weights, model.bias, model.moves = dict(zip(known, theta.tolist(), strict=True)), bias, moves
-    x = summaries(model, [b" ".join(w) for w in words], Emissions(model))[0]
+    emissions = Emissions(model)
+    x = np.concatenate([summaries(model, [t.encode("utf-8", "replace") for t in texts[i : i + 200]], emissions)[0] for i in range(0, len(texts), 200)])
     z, c = np.c_[np.ones(len(x)), x], np.array([-2.0, 0.5, 0.1])
     for _ in range(50):  # Newton's steps of a ridge-regularised logistic regression
         q = 1 / (1 + np.exp(-np.clip(z @ c, -30, 30)))
@@ -225,7 +231,7 @@ def held_out(doc_id="doc_id"):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 3000, max_other: int = 6000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 1500, max_other: int = 3000) -> Model:
     """Fits a model on labelled rows that are not held out: at most about `max_toxic` and `max_other` of them.
 
     The sample is the rows with the smallest id hashes, so it is the same however the tables are stored. Null labels

@@ -10,6 +10,7 @@ logistic function of the largest marginal and of their sum, fitted on the same s
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -99,8 +100,24 @@ def _word_features(words: set[bytes]) -> set[str]:
     return {f for w in words for f in features(w.decode("utf-8", "replace"))}
 
 
+def _one_of_each(texts: list[str]) -> list[str]:
+    """The texts without those that share one of three min-hashes of their word triples with one before: copies and near
+    copies of a text would else make words of it look like marks."""
+    seen: set[tuple[int, int]] = set()
+    out = []
+    for t in texts:
+        w = _words(t.lower())
+        h = np.fromiter((zlib.crc32(b" ".join(w[i : i + 3])) for i in range(max(1, len(w) - 2))), dtype=np.uint64)
+        keys = {(k, int(((h * np.uint64(m)) & np.uint64(0xFFFFFFFF)).min())) for k, m in enumerate((2654435761, 2246822519, 3266489917))}
+        if not keys & seen:
+            out.append(t)
+        seen |= keys
+    return out
+
+
 def _token_labels(toxic: list[str], other: list[str]) -> set[str]:
     """Features that mark a token as toxic. Only features of toxic texts are counted in the others, to keep memory small."""
+    toxic, other = _one_of_each(toxic), _one_of_each(other)
     bad: Counter[str] = Counter()
     for t in toxic:
         bad.update(_word_features(set(_words(t))))

@@ -33,6 +33,18 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"), n=5, percent=80)
 
 
+def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.winnowing import fingerprint_table
+
+    return fingerprint_table(table(spark, sf_dir, "documents"))
+
+
+def op5_block_max_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.topk_search import search_rows
+
+    return search_rows(table(spark, sf_dir, "documents"), every=100, k=10)
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textloom.llm.packing import pack, pieces
 
@@ -46,6 +58,14 @@ def op7_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_mixing_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.mixing import weigh
+
+    out = weigh(table(spark, sf_dir, "documents"))
+    names = ("source", "lang", "topic", "tokens", "weight", "probability", "sampled")
+    return out.select("doc_id", *(out[f"__{n}"].alias(n) for n in names))
+
+
 def op9_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textloom.llm.privacy import find_private, spans_digest
 

@@ -9,6 +9,7 @@ from textloom.functions import text as T
 from textloom.functions.fixed import ALL_PAIRS_BELOW, CLUSTER_LEAST, H1_LEAST, H2_LEAST, H3_LEAST, PAIR_TABLE, UNKNOWN_PAIR
 from textloom.functions.shared_store import materialize
 from textloom.functions.unicode import nfkc, rounded
+from textloom.operators.block_join import block_join
 from textloom.operators.components import connected_components
 from textloom.operators.similarity import similarity_join
 
@@ -62,11 +63,17 @@ def content_pairs(docs: DataFrame, least: float = H3_LEAST) -> DataFrame:
 
     h3 is the largest similarity of two windows, flagged the number of doc_a's single sentences that reach `least`.
     """
-    chunks = materialize(chunk_features(docs).withColumn("id", F.struct("doc_id", "chunk_id", "window_size")), "chunks")
-    near = similarity_join(chunks.select("id", "features"), least).where(F.col("id_a.doc_id") < F.col("id_b.doc_id"))
+    chunks = chunk_features(docs).select("doc_id", "chunk_id", "window_size", F.transform("features", lambda x: F.xxhash64(x)).alias("features"))
+    chunks = materialize(chunks.withColumn("id", F.monotonically_increasing_id()), "chunks")
+    near = block_join(chunks.select("id", "features"), least)
+    a, b = (chunks.select(F.col("id").alias(f"id_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "chunk_id", "window_size"))) for x in "ab")
+    near = near.join(a, "id_a").join(b, "id_b").where("doc_id_a <> doc_id_b")
+    # The smaller document is the one whose sentences are flagged.
+    turn = F.col("doc_id_a") > F.col("doc_id_b")
+    pick = lambda c: F.when(turn, F.col(f"{c}_b")).otherwise(F.col(f"{c}_a"))
     h3 = F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))
-    single = F.when(F.col("id_a.window_size") == 1, F.col("id_a.chunk_id"))
-    return near.groupBy(F.col("id_a.doc_id").alias("doc_a"), F.col("id_b.doc_id").alias("doc_b")).agg(F.max(h3).alias("h3"), F.count_distinct(single).alias("flagged"))
+    single = F.when(pick("window_size") == 1, pick("chunk_id"))
+    return near.groupBy(F.least("doc_id_a", "doc_id_b").alias("doc_a"), F.greatest("doc_id_a", "doc_id_b").alias("doc_b")).agg(F.max(h3).alias("h3"), F.count_distinct(single).alias("flagged"))
 
 
 def pair_table(spark: SparkSession) -> DataFrame:

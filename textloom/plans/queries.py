@@ -258,8 +258,8 @@ BIB_SQL = "('参考文献', '引用文献', 'references', 'bibliography', 'works
 
 @query(f"""WITH d AS (SELECT doc_id + 1000 AS id, text FROM documents UNION ALL SELECT * FROM {SAMPLES_SQL}),
 l AS (SELECT id, text, string_split(text, chr(10)) AS ls FROM d),
-p AS (SELECT id, text, ls, list_position(list_transform(ls, lambda x: lower({strip_sql("regexp_replace(" + strip_sql('x') + ", '^#+', '')")}) IN {BIB_SQL}), true) AS at FROM l)
-SELECT id, CASE WHEN at > 0 THEN regexp_replace(array_to_string(ls[1:at - 1], chr(10)), '\n+$', '') ELSE text END AS text FROM p""")
+p AS (SELECT id, text, ls, list_position(list_transform(ls, lambda x: lower({strip_sql("regexp_replace(" + strip_sql('x') + ", '^#+', '')")}) IN {BIB_SQL}), true) AS pos FROM l)
+SELECT id, CASE WHEN pos > 0 THEN regexp_replace(array_to_string(ls[1:pos - 1], chr(10)), '\n+$', '') ELSE text END AS text FROM p""")
 def bibliography_stripped(spark, sf_dir):
     rows = docs(spark, sf_dir).select((F.col("doc_id") + 1000).alias("id"), "text").unionByName(samples(spark))
     return rows.select("id", T.without_bibliography(F.col("text")).alias("text"))
@@ -405,9 +405,9 @@ MARKDOWN_SQL = "(VALUES " + ", ".join(f"({i}, '{s}')" for i, s in enumerate(MARK
 
 @query(f"""WITH d AS (SELECT doc_id + 1000 AS doc_id, text FROM documents UNION ALL SELECT * FROM {MARKDOWN_SQL}),
 l AS (SELECT doc_id, i, raw, {strip_sql('raw')} AS s FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM d)),
-o AS (SELECT *, starts_with(s, '```') OR starts_with(s, '~~~') AS fence, coalesce(sum(length(raw) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM l),
+o AS (SELECT *, starts_with(s, '```') OR starts_with(s, '~~~') AS fence, coalesce(sum(length(raw) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM l),
 p AS (SELECT *, coalesce(sum(CAST(fence AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 AS open FROM o)
-SELECT doc_id, CAST(at AS BIGINT) AS "offset", CAST(length(regexp_extract(s, '^#+')) AS BIGINT) AS depth FROM p WHERE NOT fence AND open = 0 AND regexp_matches(s, '^#{{1,6}}([{WS_SQL}]|$)')""")
+SELECT doc_id, CAST(pos AS BIGINT) AS "offset", CAST(length(regexp_extract(s, '^#+')) AS BIGINT) AS depth FROM p WHERE NOT fence AND open = 0 AND regexp_matches(s, '^#{{1,6}}([{WS_SQL}]|$)')""")
 def headings(spark, sf_dir):
     rows = docs(spark, sf_dir).select((F.col("doc_id") + 1000).alias("doc_id"), "text").unionByName(samples(spark, MARKDOWN).withColumnRenamed("id", "doc_id"))
     return risk.headings(rows).select("doc_id", F.col("offset").cast("long").alias("offset"), F.col("depth").cast("long").alias("depth"))
@@ -420,8 +420,8 @@ c AS (SELECT doc_id, text, CASE WHEN regexp_matches(text, '[。！？\\n]') THEN
 e AS (SELECT doc_id, text, list_concat([0], cut) AS a, list_concat(cut, [length(text)]) AS b FROM c),
 u AS (SELECT doc_id, a[i] AS s, b[i] AS e, substring(text, a[i] + 1, b[i] - a[i]) AS raw FROM (SELECT *, unnest(range(1, len(a) + 1)) AS i FROM e)),
 units AS (SELECT doc_id, s, e, raw, {strip_sql('raw')} AS body FROM u WHERE {strip_sql('raw')} NOT IN ('', '。', '！', '？')),
-f AS (SELECT doc_id, s, e, body, h.idx AS idx, h.word AS word, h.at AS at FROM (SELECT *, unnest({_struct_list(fixed.QUANTIFIERS_JA, lambda i, w: "{'idx': " + str(i) + ", 'word': '" + w + "', 'at': strpos(raw, '" + w + "')}")}) AS h FROM units) WHERE h.at > 0),
-cand AS (SELECT doc_id, s, e, body, array_to_string(list(word ORDER BY at, idx), '|') AS patterns FROM f GROUP BY doc_id, s, e, body)
+f AS (SELECT doc_id, s, e, body, h.idx AS idx, h.word AS word, h.pos AS pos FROM (SELECT *, unnest({_struct_list(fixed.QUANTIFIERS_JA, lambda i, w: "{'idx': " + str(i) + ", 'word': '" + w + "', 'pos': strpos(raw, '" + w + "')}")}) AS h FROM units) WHERE h.pos > 0),
+cand AS (SELECT doc_id, s, e, body, array_to_string(list(word ORDER BY pos, idx), '|') AS patterns FROM f GROUP BY doc_id, s, e, body)
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY s) AS BIGINT) AS seq, CAST(s AS BIGINT) AS "start", CAST(e AS BIGINT) AS "end", patterns, sha256(body) AS sentence_sha256,
  CASE WHEN regexp_matches(body, '[0-9０-９％%割]') THEN 'measured' ELSE 'universal' END AS scope_hint FROM cand"""
 

@@ -19,8 +19,18 @@ class TagFileError(ValueError):
 def read_files(spark: SparkSession, folder: str) -> DataFrame:
     """(path, doc_id, content, raw, text, reason) of the folder's own *.txt files; doc_id is the file's name."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("ignoreCorruptFiles", "true").load(folder)
-    rows = files.select("path", F.element_at(F.split("path", "/"), -1).alias("doc_id"), "content")
-    return rows.withColumn("t", file_text(F.col("content"))).select("path", "doc_id", "content", raw_text(F.col("content")).alias("raw"), "t.text", "t.reason")
+    rows = files.select("path", "content").withColumn("t", file_text(F.col("content"))).select("path", "content", raw_text(F.col("content")).alias("raw"), "t.text", "t.reason")
+    # Readers leave out empty and unreadable files: the listing has them.
+    there = spark.createDataFrame(_listed(spark, folder), "path string, size long")
+    rows = there.join(rows, "path", "left").withColumn("reason", F.when(F.col("size") == 0, "empty_input").when(F.col("content").isNull(), "unreadable").otherwise(F.col("reason")))
+    return rows.select("path", F.element_at(F.split("path", "/"), -1).alias("doc_id"), "content", "raw", "text", "reason")
+
+
+def _listed(spark: SparkSession, folder: str) -> list[tuple[str, int]]:
+    """(path, bytes) of the folder's own *.txt files, by the file system that Spark uses."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return [(f.getPath().toString(), f.getLen()) for f in found if f.isFile() and f.getPath().getName().endswith(".txt")]
 
 
 def documents(files: DataFrame) -> DataFrame:

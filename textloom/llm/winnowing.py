@@ -5,7 +5,7 @@ rightmost of equal ones, and its position is kept. Two texts that share a passag
 fingerprint whose positions lie in it. A text of fewer than w k-grams is one window; one shorter than k is one k-gram.
 
 A text is cut into chunks that overlap by w + k - 2 characters, so that every window lies in one chunk whole. Within a
-chunk the windows' minima come from log2(w) passes of element-wise minima, not from w comparisons for each window.
+chunk the windows' minima come from passes that each widen the windows by a factor of four, not from w comparisons each.
 """
 
 from __future__ import annotations
@@ -30,18 +30,19 @@ def let(value: Column, body) -> Column:
 def _minima(keys: Column, w: int) -> Column:
     """Minima of all windows of w; of fewer keys than w, the minimum of all."""
 
-    def double(step: int):
+    def least_of(parts: int, step: int):
         def run(x: Column) -> Column:
-            n = F.size(x) - step
-            pairs = F.zip_with(F.slice(x, F.lit(1), F.greatest(n, F.lit(1))), F.slice(x, F.lit(step + 1), F.greatest(n, F.lit(1))), lambda a, b: F.least(a, b))
-            return F.when(n > 0, pairs).otherwise(F.array(F.array_min(x)))
+            n = F.size(x) - step * (parts - 1)
+            some = F.transform(F.slice(x, F.lit(1), F.greatest(n, F.lit(1))), lambda a, i: F.least(a, *(F.get(x, i + step * j) for j in range(1, parts))))
+            return F.when(n > 0, some).otherwise(F.array(F.array_min(x)))
 
         return run
 
     out, step = keys, 1
     while step < w:
-        out = let(out, double(step))
-        step *= 2
+        parts = 4 if step * 4 <= w else 2
+        out = let(out, least_of(parts, step))
+        step *= parts
     return out
 
 
@@ -84,7 +85,7 @@ def as_text(marks: Column) -> Column:
 
 
 def with_next(docs: DataFrame, rows_in_bucket: int = 500) -> DataFrame:
-    """`docs` (doc_id, text) with n_chars, marks, and next_text and next_marks of the row after it by (doc_id, text).
+    """`docs` (doc_id, text) with n_chars, marks, own (their hashes), and next_text and next_own of the row after it by (doc_id, text).
 
     The row after the last is the first. Ids are cut into ranges of about `rows_in_bucket` rows each (by their mean
     distance), so rows are shuffled once, to their range, and no window spans the table; the first rows of the ranges,
@@ -98,9 +99,10 @@ def with_next(docs: DataFrame, rows_in_bucket: int = 500) -> DataFrame:
     parts = max(8, min(-(-n // rows_in_bucket), -(-(span["bytes"] or 0) // (8 << 20))))
     bucket = F.coalesce(F.floor((F.col("doc_id") - F.lit(lo)) / F.lit(width)).cast("long"), F.lit(-1))
     docs = docs.withColumn("bucket", bucket).repartition(parts, "bucket")
-    docs = docs.withColumn("n_chars", F.length("text").cast("long")).withColumn("marks", fingerprint(F.col("text")))
     order = Window.partitionBy("bucket").orderBy(F.col("doc_id").asc_nulls_first(), "text")
-    rows = docs.select("*", F.row_number().over(order).alias("nth"), F.lead("text").over(order).alias("lead_text"), F.lead("marks").over(order).alias("lead_marks"))
+    rows = docs.withColumn("n_chars", F.length("text").cast("long")).withColumn("marks", fingerprint(F.col("text")))
+    rows = rows.withColumn("own", hashes(F.col("marks")))
+    rows = rows.select("*", F.lead("text").over(order).alias("lead_text"), F.lead("own").over(order).alias("lead_own"))
 
     # The bucket whose last row each bucket's first row follows: found from the list of buckets, in two steps.
     full = docs.select("bucket").groupBy("bucket").agg(F.count("*").alias("size")).withColumn("over", F.floor(F.col("bucket") / 4096))
@@ -110,9 +112,10 @@ def with_next(docs: DataFrame, rows_in_bucket: int = 500) -> DataFrame:
     every = Window.orderBy("over")
     tops = tops.select("over", F.lag("top").over(every).alias("under"), F.last("top").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("last"))
     before = full.join(tops, "over").select("bucket", F.coalesce("before", "under", "last").alias("to"))
-    heads = rows.where("nth = 1").select("bucket", "text", "marks").join(before, "bucket").select(F.col("to").alias("bucket"), F.col("text").alias("head_text"), F.col("marks").alias("head_marks"))
+    heads = docs.withColumn("nth", F.row_number().over(order)).where("nth = 1").select("bucket", "text").join(before, "bucket")
+    heads = heads.select(F.col("to").alias("bucket"), F.col("text").alias("head_text"), hashes(fingerprint(F.col("text"))).alias("head_own"))
     out = rows.join(heads, (rows["bucket"] == heads["bucket"]) & rows["lead_text"].isNull(), "left")
-    return out.select("doc_id", "text", "n_chars", "marks", F.coalesce("lead_text", "head_text").alias("next_text"), F.coalesce("lead_marks", "head_marks").alias("next_marks"))
+    return out.select("doc_id", "text", "n_chars", "marks", "own", F.coalesce("lead_text", "head_text").alias("next_text"), F.coalesce("lead_own", "head_own").alias("next_own"))
 
 
 def edited(text: Column, n: Column, other: Column) -> Column:
@@ -121,6 +124,18 @@ def edited(text: Column, n: Column, other: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), n.cast("int") - cut), F.substring(other, F.lit(1), cut))
 
 
+def edited_fingerprint(marks: Column, changed: Column, kept: Column, k: int = K, w: int = W) -> Column:
+    """fingerprint(changed), from the marks of a text with the same first `kept` characters.
+
+    A k-gram is chosen or not by the windows that hold it. Of those that begin at or before the last window within the
+    kept part nothing has changed; the rest is chosen anew from the characters that their windows reach.
+    """
+    last = kept.cast("int") - (w + k - 1)
+    start = F.greatest(last - (w - 2), F.lit(0))
+    tail = F.transform(fingerprint(F.substring(changed, start + 1, F.length(changed)), k, w), lambda m: F.struct((m["pos"] + start).alias("pos"), m["hash"].alias("hash")))
+    return F.when(last < 0, fingerprint(changed, k, w)).otherwise(F.concat(F.filter(marks, lambda m: m["pos"] <= last), F.filter(tail, lambda m: m["pos"] > last)))
+
+
 def fingerprint_table(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for each row of `docs`.
 
@@ -129,10 +144,10 @@ def fingerprint_table(docs: DataFrame) -> DataFrame:
     single row is itself. An empty table gives an empty result; other columns are not read.
     """
     rows = with_next(docs)
-    rows = rows.withColumn("edited", edited(F.col("text"), F.col("n_chars"), F.col("next_text"))).withColumn("edited_marks", fingerprint(F.col("edited")))
-    own = hashes(F.col("marks"))
+    kept = F.col("n_chars") - F.floor(F.col("n_chars") / 4)
+    rows = rows.withColumn("edited", edited(F.col("text"), F.col("n_chars"), F.col("next_text"))).withColumn("edited_marks", edited_fingerprint(F.col("marks"), F.col("edited"), kept))
     return rows.select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), as_text(F.col("marks")).alias("fingerprint"),
-        as_text(F.col("edited_marks")).alias("edited_fingerprint"), likeness(own, hashes(F.col("edited_marks"))).alias("near_edited"),
-        likeness(own, hashes(F.col("next_marks"))).alias("near_next"),
+        as_text(F.col("edited_marks")).alias("edited_fingerprint"), likeness(F.col("own"), hashes(F.col("edited_marks"))).alias("near_edited"),
+        likeness(F.col("own"), F.col("next_own")).alias("near_next"),
     )

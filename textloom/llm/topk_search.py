@@ -9,7 +9,6 @@ comparable and the k best of the shards' k best are the k best of all. A query o
 
 from __future__ import annotations
 
-import heapq
 from collections import Counter
 from collections.abc import Iterator
 
@@ -22,8 +21,9 @@ from pyspark.sql import functions as F
 from textloom.functions.shared_store import materialize
 
 K1, B = 1.2, 0.75
-#: Postings in a block.
+#: Documents in a block.
 BLOCK = 64
+CACHE_WORDS = 300_000
 #: Characters of text in a shard, about: bounds what one task indexes.
 SHARD_CHARS = 16 << 20
 #: Terms of a query made from a document: those of its whole text that weigh most.
@@ -42,89 +42,107 @@ def idf(n: float, df: np.ndarray) -> np.ndarray:
     return np.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
+class TermIds(dict):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        self[word] = x = term_id(word)
+        return x
+
+
 class Index:
-    """Postings of a shard, by term: documents in ascending order with their term's BM25 score, less the idf, and block maxima."""
+    """Postings of a shard by term: documents in ascending order with their BM25 score, less the idf.
+
+    Documents are in blocks of `BLOCK` by position; of each term and block the largest score is known.
+    """
 
     def __init__(self, ids: np.ndarray, texts: list, mean_length: float):
         order = np.argsort(ids, kind="stable")
         self.ids = ids[order]
-        lists: dict[bytes, tuple[list[int], list[int]]] = {}
-        lengths = np.zeros(len(order))
-        for at, i in enumerate(order):
+        known, terms, tfs, sizes, lengths = TermIds(), [], [], [], []
+        for i in order:
             found = words(texts[i])
-            lengths[at] = len(found)
-            for w, n in Counter(found).items():
-                x = lists.get(w)
-                if x is None:
-                    x = lists[w] = ([], [])
-                x[0].append(at)
-                x[1].append(n)
-        norm = K1 * (1 - B + B * lengths / max(mean_length, 1e-9))
-        self.postings = {}
-        for w, (docs, tf) in lists.items():
-            d, f = np.array(docs, dtype=np.int64), np.array(tf, dtype=np.float64)
-            s = f * (K1 + 1) / (f + norm[d])
-            last = d[np.minimum(np.arange(BLOCK - 1, len(d) + BLOCK - 1, BLOCK), len(d) - 1)]
-            self.postings[term_id(w)] = (d, s, last, np.maximum.reduceat(s, np.arange(0, len(d), BLOCK)), float(s.max()))
+            t, n = np.unique(np.fromiter(map(known.__getitem__, found), dtype=np.int64, count=len(found)), return_counts=True)
+            terms.append(t)
+            tfs.append(n)
+            sizes.append(len(t))
+            lengths.append(len(found))
+        term = np.concatenate(terms) if terms else np.zeros(0, dtype=np.int64)
+        tf = np.concatenate(tfs).astype(np.float64) if tfs else np.zeros(0)
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        norm = K1 * (1 - B + B * np.array(lengths, dtype=np.float64) / max(mean_length, 1e-9))
+        by = np.argsort(term, kind="stable")
+        self.docs = doc[by]
+        self.scores = (tf * (K1 + 1) / (tf + norm[doc]))[by] if len(doc) else tf
+        self.terms, self.first = np.unique(term[by], return_index=True)
+        self.last = np.r_[self.first[1:], len(term)]
+        self.blocks = -(-len(self.ids) // BLOCK)
+        self._lists: dict[int, tuple | None] = {}
+
+    def postings(self, term: int) -> tuple | None:
+        """(documents, scores, blocks with postings, where these start, their largest scores) of a term."""
+        if term not in self._lists:
+            i = int(np.searchsorted(self.terms, term))
+            found = None
+            if i < len(self.terms) and self.terms[i] == term:
+                d, s = self.docs[self.first[i] : self.last[i]], self.scores[self.first[i] : self.last[i]]
+                block = d // BLOCK
+                start = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+                found = (d, s, block[start], np.r_[start, len(d)], np.maximum.reduceat(s, start))
+            self._lists[term] = found
+        return self._lists[term]
 
     def search(self, terms: list[tuple[int, float]], k: int, skip: int | None = None) -> list[tuple[float, int]]:
-        """The k best (score, doc_id), higher scores first, then smaller ids, without the id `skip`; exact."""
-        cursors = []
-        for term, weight in terms:
-            if p := self.postings.get(term):
-                d, s, last, top, most = p
-                cursors.append([int(d[0]), 0, d, s, last, top, weight, weight * most])
-        heap: list[tuple[float, int]] = []  # (score, -position): the worst is first
-        least = 0.0
-        slack = 1 + 1e-12
-        while cursors:
-            cursors.sort(key=lambda c: c[0])
-            bound, pivot = 0.0, -1
-            for j, c in enumerate(cursors):
-                bound += c[7]
-                if len(heap) < k or bound * slack >= least:
-                    pivot = j
-                    break
-            if pivot < 0:
-                break
-            doc = cursors[pivot][0]
-            while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == doc:
-                pivot += 1
-            # Block maxima of the terms that may hold `doc`.
-            bound, until = 0.0, 1 << 62
-            for c in cursors[: pivot + 1]:
-                b = int(np.searchsorted(c[4], doc))
-                if b < len(c[4]):
-                    bound += c[6] * float(c[5][b])
-                    until = min(until, int(c[4][b]))
-            if len(heap) < k or bound * slack >= least:
-                if cursors[0][0] == doc:
-                    score = 0.0
-                    for c in sorted((c for c in cursors[: pivot + 1] if c[0] == doc), key=lambda c: -c[6]):
-                        score += c[6] * float(c[3][c[1]])
-                    if skip is None or self.ids[doc] != skip:
-                        item = (score, -doc)
-                        if len(heap) < k:
-                            heapq.heappush(heap, item)
-                        elif item > heap[0]:
-                            heapq.heapreplace(heap, item)
-                        if len(heap) == k:
-                            least = heap[0][0]
-                    target = doc + 1
-                else:
-                    target = doc
+        """The k best (score, doc_id), higher scores first, then smaller ids, without the id `skip`; exact.
+
+        WAND's test, that the terms' largest scores add up to the k-th best score so far, is made for all blocks at once:
+        the blocks with the highest bounds are scored first, which gives the k-th score to beat, and of the others only
+        those whose bound reaches it.
+        """
+        lists = [(w, p) for t, w in sorted(terms, key=lambda x: (-x[1], x[0])) if (p := self.postings(t))]
+        if not lists:
+            return []
+        bound = np.zeros(self.blocks)
+        for w, (_, _, block, _, top) in lists:
+            bound[block] += w * top
+        order = np.argsort(-bound, kind="stable")
+        ahead = max(4, -(-2 * (k + 1) // BLOCK))
+        score = np.zeros(len(self.ids))
+        self._add(score, lists, order[:ahead])
+        if skip is not None:
+            at = int(np.searchsorted(self.ids, skip))
+            skip = at if at < len(self.ids) and self.ids[at] == skip else None
+        if skip is not None:
+            score[skip] = 0
+        full = np.flatnonzero(score)
+        least = np.partition(score[full], len(full) - k)[len(full) - k] if len(full) >= k else 0.0
+        rest = order[ahead:]
+        rest = rest[(bound[rest] > 0) & (bound[rest] * (1 + 1e-12) >= least)]
+        if len(rest):
+            self._add(score, lists, rest)
+            if skip is not None:
+                score[skip] = 0
+            full = np.flatnonzero(score)
+            least = np.partition(score[full], len(full) - k)[len(full) - k] if len(full) >= k else 0.0
+        best = full[score[full] >= least]
+        best = best[np.lexsort((best, -score[best]))[:k]]
+        return [(float(score[d]), int(self.ids[d])) for d in best]
+
+    def _add(self, score: np.ndarray, lists: list, blocks: np.ndarray) -> None:
+        """Scores the documents of `blocks`, term by term, so that equal documents have equal sums."""
+        wanted = np.zeros(self.blocks, dtype=bool)
+        wanted[blocks] = True
+        for w, (d, s, block, start, _) in lists:
+            hit = np.flatnonzero(wanted[block])
+            if not len(hit):
+                continue
+            if len(hit) < 8:
+                for j in hit:
+                    x = slice(start[j], start[j + 1])
+                    score[d[x]] += w * s[x]
             else:
-                # No document up to the nearest block end can do: jump behind it, or to the next term's document.
-                target = until + 1
-                if pivot + 1 < len(cursors):
-                    target = min(target, cursors[pivot + 1][0])
-                target = max(target, doc + 1)
-            for c in cursors[: pivot + 1]:
-                if c[0] < target:
-                    c[1] += int(np.searchsorted(c[2][c[1] :], target))
-                    c[0] = int(c[2][c[1]]) if c[1] < len(c[2]) else -1
-            cursors = [c for c in cursors if c[0] >= 0]
-        return [(s, int(self.ids[-d])) for s, d in sorted(heap, reverse=True)]
+                keep = np.repeat(wanted[block], np.diff(start))
+                score[d[keep]] += w * s[keep]
 
 
 def _terms(docs: DataFrame) -> DataFrame:

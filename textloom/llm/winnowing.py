@@ -49,7 +49,7 @@ def _minima(keys: Column, w: int) -> Column:
 def _chunk(text: Column, at: Column, k: int, w: int) -> Column:
     """Chosen keys of the chunk of `text` that starts at character `at` (from 0)."""
     piece = F.substring(text, at + 1, F.lit(CHUNK + w + k - 2))
-    grams = F.regexp_extract_all(piece, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1))
+    grams = F.regexp_extract_all(piece, F.lit(f"(?s)(?=(.{{{k}}}))."), F.lit(1))
     hashed = lambda g: F.shiftleft(F.xxhash64(g).bitwiseAND(F.lit(0x7FFFFFFF)), SHIFT)
     keys = F.transform(grams, lambda g, i: hashed(g) + (F.lit(LAST) - (at + i).cast("long")))
     return F.array_distinct(_minima(keys, w))

@@ -121,8 +121,18 @@ def _frame(rows: list, names: list[str]) -> pd.DataFrame:
     return out
 
 
-def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A fragment's task: for each set, the grams that other sets have too, with their document frequencies."""
+def _shared(buckets: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _shared_grams(batches, buckets)
+
+    return run
+
+
+def _shared_grams(batches: Iterator[pd.DataFrame], buckets: int) -> Iterator[pd.DataFrame]:
+    """A fragment's task: for each set, the grams that other sets have too, with their document frequencies.
+
+    Sets are dealt to `buckets`, with a row for each: (bucket, set_ids, sizes, lengths, grams, dfs), all laid end to end.
+    """
     ids, sizes, grams, lengths, seen = [], [], [], [], set()
     for pdf in batches:
         for frag, set_id, n, g in zip(pdf["frag"], pdf["set_id"], pdf["n"], pdf["grams"], strict=True):
@@ -143,20 +153,19 @@ def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     df = np.diff(np.r_[first, len(flat)])
     keep = np.repeat(df, df) >= 2
     flat, owner, df = flat[keep], owner[keep], np.repeat(df, df)[keep].astype(np.int32)
-    order = np.argsort(owner, kind="stable")
+    ids, sizes = np.array(ids, dtype=np.int64), np.array(sizes, dtype=np.int32)
+    bucket = (ids.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((owner, bucket[owner]))
     flat, owner, df = flat[order], owner[order], df[order]
-    cuts = np.flatnonzero(np.diff(owner)) + 1
-    starts = np.r_[0, cuts] if len(owner) else np.zeros(0, dtype=np.int64)
-    ends = np.r_[cuts, len(owner)] if len(owner) else starts
-    for at in range(0, len(starts), 20_000):
-        a, b = starts[at : at + 20_000], ends[at : at + 20_000]
-        who = owner[a]
+    first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, dtype=np.int64)
+    last = np.r_[first[1:], len(owner)]
+    who = owner[first]
+    cuts = np.flatnonzero(np.diff(bucket[who])) + 1
+    for w in np.split(np.arange(len(who)), cuts) if len(who) else []:
+        a, b = first[w[0]], last[w[-1]]
         yield pd.DataFrame({
-            "set_id": np.array(ids, dtype=np.int64)[who],
-            "n": np.array(sizes, dtype=np.int32)[who],
-            "cnt": (b - a).astype(np.int32),
-            "grams": [flat[x:y].tobytes() for x, y in zip(a, b, strict=True)],
-            "dfs": [df[x:y].tobytes() for x, y in zip(a, b, strict=True)],
+            "bucket": [int(bucket[who[w[0]]])], "set_ids": [ids[who[w]].tobytes()], "sizes": [sizes[who[w]].tobytes()],
+            "lengths": [(last[w] - first[w]).astype(np.int32).tobytes()], "grams": [flat[a:b].tobytes()], "dfs": [df[a:b].tobytes()],
         })
 
 
@@ -166,19 +175,35 @@ def need(n: np.ndarray | int, percent: int):
 
 
 def _candidates(percent: int, keys: int):
-    """Of each set that may have partners: (set_id, n, shared, centre, mins, prefix, grams); grams are the shared ones."""
+    """Adds up the fragments' counts of each set; of those that may have partners (set_id, n, shared, centre, mins, prefix,
+    grams), where grams are the shared ones. A task holds the shared grams of its buckets."""
     seeds = [np.uint64(0xA0761D6478BD642F * (i + 1) % 2**64) for i in range(keys)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = {k: [] for k in ("set_ids", "sizes", "lengths", "grams", "dfs")}
         for pdf in batches:
-            rows = []
-            for set_id, n, parts in zip(pdf["set_id"], pdf["n"], pdf["parts"], strict=True):
-                g = np.frombuffer(b"".join(p["grams"] for p in parts), dtype=np.uint64)
-                d = np.frombuffer(b"".join(p["dfs"] for p in parts), dtype=np.int32)
-                mins = [int(_signed(mix(g ^ s).min(keepdims=True))[0]) for s in seeds]
-                length = n - need(n, percent) + 1 - (n - len(g))  # grams of no other set come first in the global order
-                prefix = g[np.lexsort((g, d))[:length]] if length > 0 else g[:0]
-                rows.append((set_id, n, len(g), float(d.sum()) / n, mins, _signed(prefix).tolist(), np.sort(g).tobytes()))
+            for k, v in parts.items():
+                v.extend(pdf[k])
+        join = lambda k, kind: np.frombuffer(b"".join(parts[k]), dtype=kind)
+        lengths = join("lengths", np.int32)
+        ids, sizes = np.repeat(join("set_ids", np.int64), lengths), np.repeat(join("sizes", np.int32), lengths)
+        grams, dfs = join("grams", np.uint64), join("dfs", np.int32)
+        order = np.argsort(ids, kind="stable")
+        first = np.flatnonzero(np.r_[True, np.diff(ids[order]) != 0]) if len(ids) else np.zeros(0, dtype=np.int64)
+        count = np.diff(np.r_[first, len(ids)])
+        enough = count >= need(sizes[order[first]].astype(np.int64), percent) if len(ids) else np.zeros(0, dtype=bool)
+        rows = []
+        for a, m in zip(first[enough], count[enough], strict=True):
+            at = order[a : a + m]
+            g, d, n = grams[at], dfs[at], int(sizes[at[0]])
+            mins = [int(_signed(mix(g ^ s).min(keepdims=True))[0]) for s in seeds]
+            length = n - need(n, percent) + 1 - (n - len(g))  # grams of no other set come first in the global order
+            prefix = g[np.lexsort((g, d))[:length]] if length > 0 else g[:0]
+            rows.append((int(ids[at[0]]), n, len(g), float(d.sum()) / n, mins, _signed(prefix).tolist(), np.sort(g).tobytes()))
+            if len(rows) == 5000:
+                yield pd.DataFrame(rows, columns=["set_id", "n", "shared", "centre", "mins", "prefix", "grams"])
+                rows = []
+        if rows:
             yield pd.DataFrame(rows, columns=["set_id", "n", "shared", "centre", "mins", "prefix", "grams"])
 
     return run
@@ -217,22 +242,27 @@ def _enough(most, percent: int):
 def _overlaps(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     """A fragment's segments and pairs: each pair's partial overlap, and the first set's grams that the second lacks."""
     at = {s: np.frombuffer(g, dtype=np.uint64) for s, g in zip(left["set_id"], left["grams"], strict=True)}
-    none, parts, outs = np.zeros(0, dtype=np.uint64), [], []
-    for a, b in zip(right["a"], right["b"], strict=True):
-        x, y = at.get(a, none), at.get(b, none)
-        hit = np.zeros(len(x), dtype=bool)
-        if len(y):
-            spot = np.searchsorted(y, x)
-            spot[spot == len(y)] = 0
-            hit = y[spot] == x
-        parts.append(int(hit.sum()))
-        outs.append(x[~hit].tobytes())
-    return right[["a", "b"]].assign(part=np.array(parts, dtype=np.int32), outside=outs)
+    none, rows = np.zeros(0, dtype=np.uint64), []
+    for a, partners in zip(right["a"], right["partners"], strict=True):
+        x = at.get(a, none)
+        for b in partners:
+            y = at.get(b, none)
+            hit = np.zeros(len(x), dtype=bool)
+            if len(y):
+                spot = np.searchsorted(y, x)
+                spot[spot == len(y)] = 0
+                hit = y[spot] == x
+            rows.append((a, b, int(hit.sum()), x[~hit].tobytes()))
+    return pd.DataFrame(rows, columns=["a", "b", "part", "outside"]).astype({"a": "int64", "b": "int64", "part": "int32"})
 
 
 def _counted(pairs: DataFrame, segments: DataFrame, percent: int, with_outside: bool = False) -> DataFrame:
-    """`pairs` (a, b, a_n, b_n, ...) with o, the sum of their partial overlaps; and outside, the lists of a's grams not in b."""
-    where = segments.select(F.col("set_id").alias("a"), F.col("frag").alias("at")).join(pairs.select("a", "b"), "a")
+    """`pairs` (a, b, a_n, b_n, ...) with o, the sum of their partial overlaps; and outside, the lists of a's grams not in b.
+
+    A set's partners go to its fragments as lists, of which a set with very many has several.
+    """
+    lists = pairs.groupBy("a", F.pmod(F.xxhash64("b"), F.lit(16)).alias("k")).agg(F.collect_list("b").alias("partners"))
+    where = segments.select(F.col("set_id").alias("a"), F.col("frag").alias("at")).join(lists, "a").select("a", "at", "partners")
     parts = segments.groupBy("frag").cogroup(where.groupBy("at")).applyInPandas(_overlaps, "a long, b long, part int, outside binary")
     more = [F.collect_list("outside").alias("outside")] if with_outside else []
     return parts.groupBy("a", "b").agg(F.sum("part").alias("o"), *more).join(pairs, ["a", "b"])
@@ -252,10 +282,11 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     total = sets.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     fragments = max(8, -(-total // FRAGMENT_GRAMS))
 
-    shared = _segments(docs, n, fragments).repartition(fragments, "frag").mapInPandas(_shared, "set_id long, n int, cnt int, grams binary, dfs binary")
-    merged = shared.groupBy("set_id", "n").agg(F.sum("cnt").alias("cnt"), F.collect_list(F.struct("grams", "dfs")).alias("parts"))
-    kept = merged.where(F.col("cnt") >= F.ceil(F.col("n") * percent / 100)).select("set_id", "n", "parts")
-    kept = kept.mapInPandas(_candidates(percent, KEYS), "set_id long, n int, shared int, centre double, mins array<long>, prefix array<long>, grams binary")
+    buckets = max(8, fragments // 4)
+    shared = _segments(docs, n, fragments).repartition(fragments, "frag").mapInPandas(_shared(buckets), "bucket int, set_ids binary, sizes binary, lengths binary, grams binary, dfs binary")
+    kept = shared.repartition(buckets, "bucket").mapInPandas(
+        _candidates(percent, KEYS), "set_id long, n int, shared int, centre double, mins array<long>, prefix array<long>, grams binary"
+    )
     kept = materialize(kept, "candidates")
     slices = max(8, -(-(kept.agg(F.sum("shared")).first()[0] or 0) // FRAGMENT_GRAMS))
     segments = kept.select("set_id", "grams").mapInPandas(_sliced(slices), "set_id long, frag int, grams binary")
@@ -283,13 +314,13 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     own = materialize(own, "members")
     names = ("set_id", "n", "shared", "comp", "mid", "o", "rest")
 
-    def joined(posts: DataFrame, bound) -> DataFrame:
+    def joined(posts: DataFrame, bound, *more) -> DataFrame:
         posts = materialize(posts, "postings")
         mixed = posts.groupBy("g").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("g")
         posts = materialize(posts.join(mixed, "g"), "mixed")
         a, b = (posts.select("g", *(F.col(c).alias(f"{p}_{c}") for c in names)) for p in "ab")
         pairs = a.join(b, "g").where(F.col("a_comp") < F.col("b_comp")).where(bound)
-        return pairs.select(F.col("a_set_id").alias("a"), "a_n", F.col("b_set_id").alias("b"), "b_n", "a_comp", "b_comp")
+        return pairs.select(F.col("a_set_id").alias("a"), "a_n", F.col("b_set_id").alias("b"), "b_n", "a_comp", "b_comp", *more)
 
     same = F.col("a_mid") == F.col("b_mid")
     by_mid = F.least("a_o", "b_o")
@@ -297,7 +328,9 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     inside = joined(own.select("set_id", "n", "shared", "comp", "mid", "o", rest, F.explode("prefix").alias("g")), _enough(F.when(same, by_mid).otherwise(F.least("a_shared", "b_shared")), percent))
     grams_of = _unpacked()
     outside = own.where(F.size("outside") > 0).select("set_id", "n", "shared", "comp", "mid", "o", rest, F.explode(grams_of("outside")).alias("g"))
-    outside = joined(outside, same & _enough(by_mid + F.least("a_rest", "b_rest"), percent))
+    # All their grams outside c are joined, so the rows of a pair are as many as it shares there.
+    outside = joined(outside, same & _enough(by_mid + F.least("a_rest", "b_rest"), percent), by_mid.alias("least_o"))
+    outside = outside.groupBy(*(c for c in outside.columns if c != "g")).agg(F.count("*").alias("m")).where(_enough(F.col("least_o") + F.col("m"), percent)).drop("least_o", "m")
     across = materialize(inside.unionByName(outside).distinct(), "across")
     late = _counted(across, segments, percent).where(_enough(F.col("o"), percent)).select(F.col("a_comp").alias("src"), F.col("b_comp").alias("dst"))
     last = connected_components(late).select(F.col("node").alias("comp"), F.col("component").alias("over"))

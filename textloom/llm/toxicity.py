@@ -229,6 +229,21 @@ def summaries(model: Model, texts: list[bytes], emissions: Emissions) -> tuple[n
     return out, p, lengths
 
 
+#: Bytes of text that are tagged at a time: what a task holds for it is some dozens of times as much.
+SLICE_BYTES = 2 << 20
+
+
+def _slices(texts: list[bytes]) -> Iterator[slice]:
+    start, total = 0, 0
+    for i, t in enumerate(texts):
+        total += len(t) + 100
+        if total > SLICE_BYTES:
+            yield slice(start, i + 1)
+            start, total = i + 1, 0
+    if start < len(texts):
+        yield slice(start, len(texts))
+
+
 def offsets(text: str, p: np.ndarray, least: float) -> list[dict]:
     """Runs of tokens with a marginal of at least `least`, as code points of the text, with the largest marginal."""
     out: list[dict] = []
@@ -274,13 +289,15 @@ def score(docs: DataFrame, model: Model, least: float = 0.5, with_spans: bool =
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         emissions = Emissions(model)
         for pdf in batches:
-            texts = [t or "" for t in pdf["text"]]
-            x, p, lengths = summaries(model, [t.encode("utf-8", "replace") for t in texts], emissions)
-            z = np.c_[np.ones(len(x)), x] @ model.score
-            s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            starts = np.r_[0, np.cumsum(lengths)]
-            spans = [offsets(t, p[a:b], least) if with_spans and a < b and p[a:b].max() >= least else [] for t, a, b in zip(texts, starts, starts[1:], strict=False)]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "held_out": pdf["held_out"], "score": s, "predicted": (s >= 0.5).astype(np.int32), "spans": spans})
+            raw = [(t or "").encode("utf-8", "replace") for t in pdf["text"]]
+            for part in _slices(raw):
+                rows = pdf.iloc[part]
+                x, p, lengths = summaries(model, raw[part], emissions)
+                z = np.c_[np.ones(len(x)), x] @ model.score
+                s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+                starts = np.r_[0, np.cumsum(lengths)]
+                spans = [offsets(t, p[a:b], least) if with_spans and a < b and p[a:b].max() >= least else [] for t, a, b in zip(rows["text"], starts, starts[1:], strict=False)]
+                yield pd.DataFrame({"doc_id": rows["doc_id"].astype("Int64"), "held_out": rows["held_out"], "score": s, "predicted": (s >= 0.5).astype(np.int32), "spans": spans})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out().alias("held_out"))
     return rows.mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int, spans array<struct<start:int,end:int,p:double>>")
@@ -295,7 +312,7 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
         emissions = Emissions(model)
         for batch in batches:
             texts = [(t or "").encode("utf-8", "replace") for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
-            x = summaries(model, texts, emissions)[0]
+            x = np.concatenate([np.zeros((0, 2)), *(summaries(model, texts[part], emissions)[0] for part in _slices(texts))])
             yield batch.filter(pa.array(np.c_[np.ones(len(x)), x] @ model.score < 0))
 
     return docs.mapInArrow(run, docs.schema)

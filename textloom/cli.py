@@ -7,7 +7,6 @@ import sys
 from pathlib import Path
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from textloom.operators.audit import resolve_lang
 from textloom.operators.pairs import clusters, in_report_order, indirect_chains, members, screen

@@ -14,6 +14,10 @@ from textloom.functions.fixed import ABBREVIATIONS_EN, AUDIT_TABLE, EXCLUSIONS_E
 EDGE = r"[A-Za-z0-9_]"
 
 
+def _low(word: str) -> str:
+    return word.translate({c: c + 32 for c in range(65, 91)})
+
+
 def sentence_units(text: Column, lang: str) -> Column:
     """array<struct<start, end, text>>: units that end after a terminator, blank ones and bare terminators left out."""
     if lang == "ja":
@@ -36,26 +40,23 @@ def sentence_units(text: Column, lang: str) -> Column:
 
 
 def _claim_pattern(word: str, phrases: tuple[str, ...]) -> str:
-    """A regex of `word` between word edges that no phrase, itself between word edges, overlaps."""
+    """A regex of `word` between word edges that no phrase, itself between word edges, overlaps.
+
+    For each place that a phrase can take over the word, where their letters agree, a look-around rules it out.
+    """
     guards = []
-    v, out = word, []
     for p in phrases:
-        for shift in range(-len(p) + 1, len(v)):  # the phrase begins `shift` after the word does
-            lo, hi = max(0, shift), min(len(v), shift + len(p))
-            if v[lo:hi] != p[lo - shift : hi - shift]:
+        for shift in range(-len(p) + 1, len(word)):  # the phrase begins `shift` characters after the word does
+            lo, hi = max(0, shift), min(len(word), shift + len(p))
+            if word[lo:hi] != p[lo - shift : hi - shift]:
                 continue
-            head, tail = p[: max(0, -shift)], p[len(v) - shift :] if shift + len(p) > len(v) else ""
             if shift < 0:
-                before = rf"(?<=(?<!{EDGE}){re.escape(head)})"
-                ahead = re.escape(p[-shift:])
-                guards.append(rf"(?!{before}{ahead}(?!{EDGE}))")
+                before, rest = re.escape(p[:-shift]), re.escape(p[-shift:])
+                guards.append(rf"(?!(?<=(?<!{EDGE}){before}){rest}(?!{EDGE}))")
             else:
-                first = re.escape(v[:shift])
-                check = rf"(?<!{EDGE})" if shift else ""
-                guards.append(rf"(?!{first}{check}{re.escape(p)}(?!{EDGE}))")
-            del tail
-    out.append(rf"(?<!{EDGE})")
-    return "".join(out) + "".join(dict.fromkeys(guards)) + re.escape(v) + rf"(?!{EDGE})"
+                edge = rf"(?<!{EDGE})" if shift else ""
+                guards.append(rf"(?!{re.escape(word[:shift])}{edge}{re.escape(p)}(?!{EDGE}))")
+    return rf"(?<!{EDGE})" + "".join(dict.fromkeys(guards)) + re.escape(word) + rf"(?!{EDGE})"
 
 
 def _found(sentence: Column, vocab: tuple[str, ...], lang: str, phrases: tuple[str, ...]) -> Column:
@@ -66,7 +67,7 @@ def _found(sentence: Column, vocab: tuple[str, ...], lang: str, phrases: tuple[s
     hits = []
     for i, w in enumerate(dict.fromkeys(vocab)):
         if lang == "en":
-            pattern = _claim_pattern(T_lower(w), phrases)
+            pattern = _claim_pattern(_low(w), phrases)
             at = F.when(sentence.rlike(pattern), F.length(F.element_at(F.split(sentence, pattern, 2), 1)))
         else:
             at = F.when(F.contains(sentence, F.lit(w)), F.locate(w, sentence) if w else F.lit(0))
@@ -76,17 +77,13 @@ def _found(sentence: Column, vocab: tuple[str, ...], lang: str, phrases: tuple[s
     return F.array_sort(F.filter(F.array(*hits), lambda h: h["at"].isNotNull()))
 
 
-def T_lower(word: str) -> str:
-    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in word)
-
-
 def markers(sentence: Column, vocab: tuple[str, ...], lang: str) -> Column:
     """Certainty markers in the sentence, in the vocabulary's order."""
     words = [w for w in dict.fromkeys(vocab) if w]
     if not words:
         return F.array().cast("array<string>")
     low = T.ascii_lower(sentence)
-    has = lambda w: low.rlike(rf"(?<!{EDGE}){re.escape(T_lower(w))}(?!{EDGE})") if lang == "en" else F.contains(sentence, F.lit(w))
+    has = lambda w: low.rlike(rf"(?<!{EDGE}){re.escape(_low(w))}(?!{EDGE})") if lang == "en" else F.contains(sentence, F.lit(w))
     return F.filter(F.array(*(F.when(has(w), F.lit(w)) for w in words)), lambda x: x.isNotNull())
 
 
@@ -110,7 +107,7 @@ def candidates(docs: DataFrame, lang: str = "ja", vocab: tuple[str, ...] | None
         raise ValueError(f"unsupported audit lang: {lang!r} (valid: ja, en)")
     vocab = LANGS[lang][0] if vocab is None else tuple(vocab)
     modifiers = LANGS[lang][1] if modifiers is None else tuple(modifiers)
-    phrases = tuple(T_lower(p) for p in (EXCLUSIONS_EN if exclusions is None else exclusions)) if lang == "en" else ()
+    phrases = tuple(_low(p) for p in (EXCLUSIONS_EN if exclusions is None else exclusions)) if lang == "en" else ()
     rows = sentence_rows(docs, lang).withColumn("sentence_text", T.strip(F.col("text")))
     if lang == "en":
         rows = rows.where(~F.col("sentence_text").endswith("?"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
@@ -112,6 +112,15 @@ def score_pairs(docs: DataFrame, pairs: DataFrame, h1: float = H1_LEAST, h2: flo
     return rows.select("doc_a", "doc_b", F.col("h1_a").alias("h1"), "h2", "h3", "flagged", cover.alias("coverage"), mask.alias("mask"))
 
 
+def evaluate_pair(spark: SparkSession, doc_a: str, doc_b: str, id_a="doc_a", id_b="doc_b", h1: float = H1_LEAST, h2: float = H2_LEAST, h3: float = H3_LEAST) -> dict:
+    """The result of one pair of texts, with thresholds of one's own."""
+    docs = spark.createDataFrame([(id_a, doc_a), (id_b, doc_b)], "doc_id string, text string")
+    row = decide(score_pairs(docs, spark.createDataFrame([(id_a, id_b)], "doc_a string, doc_b string"), h1, h2, h3)).first()
+    show = {"structural_density": "h1", "max_structure_similarity": "h2", "max_content_similarity": "h3", "coverage": "coverage"}
+    own = {"item_id": id_a, "matched_peer_id": id_b, **{c: row[c] for c in ("evaluation_signal", "mask", "pattern_name", "reason")}, **{k: round(row[c], 4) for k, c in show.items()}}
+    return {c: own[c] for c in RESULT}
+
+
 def flagged_pairs(docs: DataFrame, h1: float = H1_LEAST, h2: float = H2_LEAST, h3: float = H3_LEAST, gated: bool = True) -> DataFrame:
     """(doc_a, doc_b, h2, h3, coverage, mask) of all RED and YELLOW pairs, by threshold joins instead of all comparisons.
 
@@ -202,7 +211,3 @@ def screen(docs: DataFrame, bases: DataFrame | None = None, exclude_quotes: bool
 
 def in_report_order(results: DataFrame) -> DataFrame:
     return results.orderBy(F.col("candidate").desc(), "item_id", "matched_peer_id")
-
-
-def with_row_numbers(df: DataFrame, *order: str) -> DataFrame:
-    return df.withColumn("n", F.row_number().over(Window.orderBy(*order)))

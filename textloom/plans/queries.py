@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from textloom.functions import fixed, unicode
 from textloom.functions import text as T
 from textloom.operators import audit, pairs, preprocess, risk, spans
-from textloom.operators.components import connected_components
 from textloom.sources import files, reports
 
 
@@ -491,7 +490,3 @@ def decoded_files(spark, sf_dir):
 @query()
 def result_objects(spark, sf_dir):
     return reports.result_json(structure_results(spark, sf_dir))
-
-
-def edges_components(spark, sf_dir) -> DataFrame:
-    return connected_components(pairs.edges(structure_results(spark, sf_dir)))

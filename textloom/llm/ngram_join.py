@@ -87,14 +87,33 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInPandas(run, "doc_id long, n_shingles long, set_id long")
 
 
+#: Grams that a task gathers before it sends their segments.
+SEND_GRAMS = 1_000_000
+
+
 def _segments(docs: DataFrame, n: int, fragments: int) -> DataFrame:
-    """(frag, set_id, n, grams): a set's hashes in each fragment. A task sends a set once, however many copies it reads."""
+    """(frag, set_ids, sizes, lengths, grams): segments of many sets in a fragment, laid end to end.
+
+    A task sends a set once, however many copies it reads.
+    """
+    width = np.uint64(min(2**64 - 1, 2**64 // fragments + 1))
+
+    def packed(ids: list[int], sets: list[np.ndarray]) -> pd.DataFrame:
+        sizes = np.array([len(s) for s in sets], dtype=np.int32)
+        grams, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+        frag = (grams // width).astype(np.int32)
+        order = np.argsort(frag, kind="stable")
+        grams, owner, frag = grams[order], owner[order], frag[order]
+        set_ids, rows = np.array(ids, dtype=np.uint64).view(np.int64), []
+        first = np.flatnonzero(np.r_[True, frag[1:] != frag[:-1]])
+        for x, y in zip(first, np.r_[first[1:], len(frag)], strict=True):
+            who, lengths = np.unique(owner[x:y], return_counts=True)
+            rows.append((int(frag[x]), set_ids[who].tobytes(), sizes[who].tobytes(), lengths.astype(np.int32).tobytes(), grams[x:y].tobytes()))
+        return pd.DataFrame(rows, columns=["frag", "set_ids", "sizes", "lengths", "grams"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, seen = WordHash(), set()
-        width = np.uint64(2**64 // fragments + 1)
+        words, seen, ids, sets, total = WordHash(), set(), [], [], 0
         for pdf in batches:
-            rows = []
             for text in pdf["text"]:
                 s = gram_set(text, words, n)
                 if not len(s) or (set_id := xxhash.xxh64_intdigest(s.tobytes(), seed=len(s))) in seen:
@@ -102,23 +121,16 @@ def _segments(docs: DataFrame, n: int, fragments: int) -> DataFrame:
                 if len(seen) >= 1_000_000:
                     seen.clear()
                 seen.add(set_id)
-                frag = (s // width).astype(np.int32)
-                cuts = np.flatnonzero(np.diff(frag)) + 1
-                for part, f in zip(np.split(s, cuts), frag[np.r_[0, cuts]], strict=True):
-                    rows.append((f, set_id, len(s), part.tobytes()))
-                if len(rows) > 50_000:
-                    yield _frame(rows, ["frag", "set_id", "n", "grams"])
-                    rows = []
-            if rows:
-                yield _frame(rows, ["frag", "set_id", "n", "grams"])
-
-    return docs.select("text").mapInPandas(run, "frag int, set_id long, n int, grams binary")
-
+                ids.append(set_id)
+                sets.append(s)
+                total += len(s)
+                if total > SEND_GRAMS:
+                    yield packed(ids, sets)
+                    ids, sets, total = [], [], 0
+        if ids:
+            yield packed(ids, sets)
 
-def _frame(rows: list, names: list[str]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=names)
-    out["set_id"] = out["set_id"].to_numpy(dtype=np.uint64).view(np.int64)
-    return out
+    return docs.select("text").mapInPandas(run, "frag int, set_ids binary, sizes binary, lengths binary, grams binary")
 
 
 def _shared(buckets: int):
@@ -133,27 +145,28 @@ def _shared_grams(batches: Iterator[pd.DataFrame], buckets: int) -> Iterator[pd.
 
     Sets are dealt to `buckets`, with a row for each: (bucket, set_ids, sizes, lengths, grams, dfs), all laid end to end.
     """
-    ids, sizes, grams, lengths, seen = [], [], [], [], set()
+    parts = {k: [] for k in ("set_ids", "sizes", "lengths", "grams")}
     for pdf in batches:
-        for frag, set_id, n, g in zip(pdf["frag"], pdf["set_id"], pdf["n"], pdf["grams"], strict=True):
-            if (frag, set_id) not in seen:  # the same set from another task
-                seen.add((frag, set_id))
-                ids.append(set_id)
-                sizes.append(n)
-                lengths.append(len(g) // 8)
-                grams.append(g)
-    if not ids:
+        for k, v in parts.items():
+            v.extend(pdf[k])
+    if not parts["grams"]:
         return
-    flat = np.frombuffer(b"".join(grams), dtype=np.uint64)
-    del grams, seen
-    owner = np.repeat(np.arange(len(ids)), lengths)
-    order = np.argsort(flat, kind="stable")
+    # The same set may come from several tasks, and a partition may hold several fragments: a gram counts once a set.
+    lengths = np.frombuffer(b"".join(parts["lengths"]), dtype=np.int32)
+    ids, which = np.unique(np.frombuffer(b"".join(parts["set_ids"]), dtype=np.int64), return_inverse=True)
+    sizes = np.zeros(len(ids), dtype=np.int32)
+    sizes[which] = np.frombuffer(b"".join(parts["sizes"]), dtype=np.int32)
+    owner = np.repeat(which, lengths)
+    flat = np.frombuffer(b"".join(parts["grams"]), dtype=np.uint64)
+    del parts
+    order = np.lexsort((owner, flat))
     flat, owner = flat[order], owner[order]
+    keep = np.r_[True, (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])]
+    flat, owner = flat[keep], owner[keep]
     first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
     df = np.diff(np.r_[first, len(flat)])
     keep = np.repeat(df, df) >= 2
     flat, owner, df = flat[keep], owner[keep], np.repeat(df, df)[keep].astype(np.int32)
-    ids, sizes = np.array(ids, dtype=np.int64), np.array(sizes, dtype=np.int32)
     bucket = (ids.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
     order = np.lexsort((owner, bucket[owner]))
     flat, owner, df = flat[order], owner[order], df[order]
@@ -211,7 +224,7 @@ def _candidates(percent: int, keys: int):
 
 def _sliced(fragments: int):
     """(set_id, grams) -> (set_id, frag, grams) for each fragment with grams of the set."""
-    width = np.uint64(2**64 // fragments + 1)
+    width = np.uint64(min(2**64 - 1, 2**64 // fragments + 1))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -288,7 +301,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
         _candidates(percent, KEYS), "set_id long, n int, shared int, centre double, mins array<long>, prefix array<long>, grams binary"
     )
     kept = materialize(kept, "candidates")
-    slices = max(8, -(-(kept.agg(F.sum("shared")).first()[0] or 0) // FRAGMENT_GRAMS))
+    slices = max(1, -(-(kept.agg(F.sum("shared")).first()[0] or 0) // FRAGMENT_GRAMS))
     segments = kept.select("set_id", "grams").mapInPandas(_sliced(slices), "set_id long, frag int, grams binary")
 
     # Step 2: for each min-hash, the set with the most common grams stands for its group.

@@ -51,6 +51,14 @@ class WordHash(dict):
         return h
 
 
+_HASHES = WordHash()
+
+
+def word_hashes() -> WordHash:
+    """The Python worker's own cache, kept between its tasks."""
+    return _HASHES
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(33))) * M1
     h = (h ^ (h >> np.uint64(33))) * M2
@@ -94,7 +102,7 @@ def _bit_counts(docs: DataFrame) -> list[np.ndarray]:
     width = int(base[-1]) // PARTS + 1
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, one, total = WordHash(), np.int32(1), np.zeros(2 * int(base[-1]), dtype=np.int32)
+        words, one, total = word_hashes(), np.int32(1), np.zeros(2 * int(base[-1]), dtype=np.int32)
         for pdf in batches:
             texts = iter(pdf["text"])
             while True:
@@ -152,7 +160,7 @@ def _unigrams(docs: DataFrame, fragments: int) -> DataFrame:
     width = np.uint64(2**64 // fragments + 1)
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = WordHash()
+        words = word_hashes()
         for pdf in batches:
             for at in range(0, len(pdf), 2000):
                 part = pdf.iloc[at : at + 2000]
@@ -299,7 +307,7 @@ def score(docs: DataFrame) -> DataFrame:
     tables = docs.sparkSession.sparkContext.broadcast(_bit_counts(docs.where("train").select("text")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = WordHash()
+        words = word_hashes()
         for pdf in batches:
             texts = [token_hashes(t, words) for t in pdf["text"]]
             code = code_log10(texts, tables.value)

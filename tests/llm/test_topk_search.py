@@ -45,6 +45,37 @@ def test_search_against_brute_force(spark, docs, texts, monkeypatch):
         assert all(rows[i][1] == want[q][i][1] for i in clear[:-1])
 
 
+def test_every_word_of_a_query_counts(spark, monkeypatch):
+    """Query rows of far more than 12 words, against brute force over all words."""
+    monkeypatch.setattr(topk_search, "SHARD_CHARS", 4000)
+    rng = random.Random(4)
+    vocab = [f"v{i}" for i in range(400)]
+    rows = [(i, " ".join(rng.choices(vocab, weights=range(1, 401), k=rng.randrange(1, 120)))) for i in range(1, 150)]
+    rows += [(200, rows[9][1] + " " + rows[19][1]), (201, " ".join(rows[9][1].split()[:8])), (202, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    asked = [(d, t) for d, t in rows if d % 10 == 0 and t]
+    assert max(len(set(t.split())) for _, t in asked) > 40
+    want = brute(rows, asked, 5, None)
+    queries = df.where("doc_id % 10 = 0").selectExpr("doc_id AS query_id", "text")
+    for found in (search(df, queries, k=5), search_rows(df, every=10, k=5, query_terms=None)):
+        got = {}
+        for r in found.orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append((r["score"], r["doc_id"]))
+        assert set(got) == set(want)
+        for q, x in got.items():
+            assert [d for _, d in x] == [d for _, d in want[q]]
+            assert np.allclose([s for s, _ in x], [s for s, _ in want[q]])
+
+
+def test_the_query_asks_every_word(spark, tmp_path):
+    """op5 finds a row that shares only a light word with a query row of many heavier ones."""
+    from textloom.llm.queries import op5_block_max_wand
+
+    rows = [(0, "light " + " ".join(f"heavy{i}" for i in range(30))), (1, "light"), *((i, f"light other{i}") for i in range(2, 6))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r["doc_id"] for r in op5_block_max_wand(spark, str(tmp_path)).collect()} == {1, 2, 3, 4, 5}
+
+
 def test_pruning_skips_and_stays_exact():
     rng = random.Random(2)
     vocab = [f"w{i}" for i in range(60)]

@@ -42,7 +42,7 @@ def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_block_max_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textloom.llm.topk_search import search_rows
 
-    return search_rows(table(spark, sf_dir, "documents"), every=100, k=10)
+    return search_rows(table(spark, sf_dir, "documents"), every=100, k=10, query_terms=None)
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

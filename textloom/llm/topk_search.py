@@ -1,10 +1,11 @@
-"""Exact top-k BM25 search: an inverted index with block-max WAND, run per shard and merged by global statistics.
+"""Exact top-k BM25 search: an inverted index with block bounds, run per shard and merged by global statistics.
 
 Documents are dealt to shards by a hash of their id. Each shard builds an inverted index of all its words, in blocks of
-postings of which the largest score is known, and answers queries by block-max WAND (Ding and Suel, 2011): documents
-that cannot reach the k-th best score found so far are skipped by the terms' and the blocks' bounds. Document
-frequencies, the number of documents and their mean length are those of the whole corpus, so scores of all shards are
-comparable and the k best of the shards' k best are the k best of all. A query only visits shards that have a term of it.
+postings of which the largest score is known (the index of block-max WAND, Ding and Suel, 2011). In place of WAND's
+pivots and cursors, whole blocks of documents are scored in falling order of their summed bounds, a few at a time; the
+k-th best score rises meanwhile, and the search ends at the first block whose bound is below it. Document frequencies,
+the number of documents and their mean length are those of the whole corpus, so scores of all shards are comparable and
+the k best of the shards' k best are the k best of all. Queries go to every shard in bundles.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ BLOCK = 64
 CACHE_WORDS = 300_000
 #: Characters of text in a shard, about: bounds what one task indexes.
 SHARD_CHARS = 16 << 20
-#: Terms of a query made from a document: those of its whole text that weigh most.
-QUERY_TERMS = 12
+#: Queries in a bundle, about.
+BUNDLE = 64
 
 
 def words(text: str | None) -> list[bytes]:
@@ -72,100 +73,96 @@ class Index:
         doc = np.repeat(np.arange(len(sizes)), sizes)
         norm = K1 * (1 - B + B * np.array(lengths, dtype=np.float64) / max(mean_length, 1e-9))
         by = np.argsort(term, kind="stable")
+        term = term[by]
         self.docs = doc[by]
         self.scores = (tf * (K1 + 1) / (tf + norm[doc]))[by] if len(doc) else tf
-        self.terms, self.first = np.unique(term[by], return_index=True)
+        self.terms, self.first = np.unique(term, return_index=True)
         self.last = np.r_[self.first[1:], len(term)]
         self.blocks = -(-len(self.ids) // BLOCK)
-        self._lists: dict[int, tuple | None] = {}
+        # An entry is the postings of one term in one block.
+        block = self.docs // BLOCK
+        self.start = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])][: len(term)])
+        self.end = np.r_[self.start[1:], len(term)][: len(self.start)]
+        self.block = block[self.start]
+        self.top = np.maximum.reduceat(self.scores, self.start) if len(self.start) else self.scores
+        self.entry = np.searchsorted(self.start, np.r_[self.first, len(term)])
 
     def postings(self, term: int) -> tuple | None:
-        """(documents, scores, blocks with postings, where these start, their largest scores) of a term."""
-        if term not in self._lists:
-            i = int(np.searchsorted(self.terms, term))
-            found = None
-            if i < len(self.terms) and self.terms[i] == term:
-                d, s = self.docs[self.first[i] : self.last[i]], self.scores[self.first[i] : self.last[i]]
-                block = d // BLOCK
-                start = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-                found = (d, s, block[start], np.r_[start, len(d)], np.maximum.reduceat(s, start))
-            self._lists[term] = found
-        return self._lists[term]
+        """(documents, scores) of a term."""
+        i = int(np.searchsorted(self.terms, term))
+        if i == len(self.terms) or self.terms[i] != term:
+            return None
+        x = slice(self.first[i], self.last[i])
+        return self.docs[x], self.scores[x]
 
     def search(self, terms: list[tuple[int, float]], k: int, skip: int | None = None) -> list[tuple[float, int]]:
-        """The k best (score, doc_id), higher scores first, then smaller ids, without the id `skip`; exact.
-
-        WAND's test, that the terms' largest scores add up to the k-th best score so far, is made for all blocks at once:
-        the blocks with the highest bounds are scored first, which gives the k-th score to beat, and of the others only
-        those whose bound reaches it.
-        """
-        lists = [(w, p) for t, w in sorted(terms, key=lambda x: (-x[1], x[0])) if (p := self.postings(t))]
-        if not lists:
+        """The k best (score, doc_id), higher scores first, then smaller ids, without the id `skip`; exact."""
+        terms = sorted(terms, key=lambda x: (-x[1], x[0]))
+        return self.search_arrays(np.array([t for t, _ in terms], dtype=np.int64), np.array([w for _, w in terms], dtype=np.float64), k, skip)
+
+    def search_arrays(self, term: np.ndarray, weight: np.ndarray, k: int, skip: int | None = None) -> list[tuple[float, int]]:
+        """search() for distinct terms in the order in which their scores are added."""
+        if not len(self.terms) or not len(term) or k < 1:
+            return []
+        at = np.minimum(np.searchsorted(self.terms, term), len(self.terms) - 1)
+        known = self.terms[at] == term
+        at, weight = at[known], weight[known]
+        if not len(at):
             return []
-        bound = np.zeros(self.blocks)
-        for w, (_, _, block, _, top) in lists:
-            bound[block] += w * top
+        sizes = self.entry[at + 1] - self.entry[at]
+        entries, weight = spread(self.entry[at], sizes), np.repeat(weight, sizes)
+        block = self.block[entries]
+        bound = np.bincount(block, weights=weight * self.top[entries], minlength=self.blocks)
         order = np.argsort(-bound, kind="stable")
-        ahead = max(4, -(-2 * (k + 1) // BLOCK))
-        score = np.zeros(len(self.ids))
-        self._add(score, lists, order[:ahead])
+        order = order[bound[order] > 0]
         if skip is not None:
-            at = int(np.searchsorted(self.ids, skip))
-            skip = at if at < len(self.ids) and self.ids[at] == skip else None
-        if skip is not None:
-            score[skip] = 0
-        full = np.flatnonzero(score)
-        least = np.partition(score[full], len(full) - k)[len(full) - k] if len(full) >= k else 0.0
-        rest = order[ahead:]
-        rest = rest[(bound[rest] > 0) & (bound[rest] * (1 + 1e-12) >= least)]
-        if len(rest):
-            self._add(score, lists, rest)
+            i = int(np.searchsorted(self.ids, skip))
+            skip = i if i < len(self.ids) and self.ids[i] == skip else None
+        score, least = np.zeros(len(self.ids)), 0.0
+        done, step = 0, max(4, -(-2 * (k + 1) // BLOCK))
+        while done < len(order):
+            ahead = order[done : done + step]
+            ahead = ahead[bound[ahead] * (1 + 1e-12) >= least]
+            if not len(ahead):
+                break
+            wanted = np.zeros(self.blocks, dtype=bool)
+            wanted[ahead] = True
+            hit = wanted[block]
+            own, w = entries[hit], weight[hit]
+            # Term by term in each document, so that equal documents have equal sums.
+            sizes = self.end[own] - self.start[own]
+            places = spread(self.start[own], sizes)
+            score += np.bincount(self.docs[places], weights=np.repeat(w, sizes) * self.scores[places], minlength=len(score))
             if skip is not None:
                 score[skip] = 0
-            full = np.flatnonzero(score)
-            least = np.partition(score[full], len(full) - k)[len(full) - k] if len(full) >= k else 0.0
-        best = full[score[full] >= least]
+            full = score[score > 0]
+            if len(full) >= k:
+                least = np.partition(full, len(full) - k)[len(full) - k]
+            done += step
+            step *= 2
+        best = np.flatnonzero((score > 0) & (score >= least))
         best = best[np.lexsort((best, -score[best]))[:k]]
         return [(float(score[d]), int(self.ids[d])) for d in best]
 
-    def _add(self, score: np.ndarray, lists: list, blocks: np.ndarray) -> None:
-        """Scores the documents of `blocks`, term by term, so that equal documents have equal sums."""
-        wanted = np.zeros(self.blocks, dtype=bool)
-        wanted[blocks] = True
-        for w, (d, s, block, start, _) in lists:
-            hit = np.flatnonzero(wanted[block])
-            if not len(hit):
-                continue
-            if len(hit) < 8:
-                for j in hit:
-                    x = slice(start[j], start[j + 1])
-                    score[d[x]] += w * s[x]
-            else:
-                keep = np.repeat(wanted[block], np.diff(start))
-                score[d[keep]] += w * s[keep]
+
+def spread(start: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of runs of the given sizes, one run after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + sizes, sizes)
 
 
 def _terms(docs: DataFrame) -> DataFrame:
-    """(term, shard, df): documents of each shard that have the term, summed in each task first."""
+    """(term, df): rows that have the term, to be added up by term; summed in each task's batches first."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids: dict[bytes, int] = {}
+        ids = TermIds()
         for pdf in batches:
-            for shard, part in pdf.groupby("shard"):
-                counts: Counter[bytes] = Counter()
-                for t in part["text"]:
-                    counts.update(set(words(t)))
-                out = np.empty(len(counts), dtype=np.int64)
-                for j, w in enumerate(counts):
-                    x = ids.get(w)
-                    if x is None:
-                        if len(ids) > 300_000:
-                            ids.clear()
-                        x = ids[w] = term_id(w)
-                    out[j] = x
-                yield pd.DataFrame({"term": out, "shard": np.int32(shard), "df": np.fromiter(counts.values(), dtype=np.int64, count=len(counts))})
-
-    return docs.select("shard", "text").mapInPandas(run, "term long, shard int, df long")
+            counts: Counter[bytes] = Counter()
+            for t in pdf["text"]:
+                counts.update(set(words(t)))
+            yield pd.DataFrame({"term": np.fromiter(map(ids.__getitem__, counts), dtype=np.int64, count=len(counts)), "df": np.fromiter(counts.values(), dtype=np.int64, count=len(counts))})
+
+    return docs.select("text").mapInPandas(run, "term long, df long")
 
 
 def _query_words(queries: DataFrame) -> DataFrame:
@@ -178,11 +175,11 @@ def _query_words(queries: DataFrame) -> DataFrame:
     return queries.mapInPandas(run, "query_id long, term long, tf long")
 
 
-def search(docs: DataFrame, queries: DataFrame, k: int = 10, query_terms: int = QUERY_TERMS, skip_self: bool = True) -> DataFrame:
+def search(docs: DataFrame, queries: DataFrame, k: int = 10, query_terms: int | None = None, skip_self: bool = True) -> DataFrame:
     """(query_id, rank, doc_id, score): the k best documents of `docs` (doc_id, text) for each of `queries` (query_id, text).
 
-    A query is the `query_terms` words of its whole text with the largest tf times idf (ties: smaller term hash); score is
-    the sum of idf times BM25's saturated frequency over them. Ties go to the smaller doc_id. Every row of `docs` is
+    A query is every distinct word of its whole text; with `query_terms`, only that many with the largest tf times idf
+    (ties: smaller term hash). Score is the sum of idf times BM25's saturated frequency over them. Ties go to the smaller doc_id. Every row of `docs` is
     indexed, whole. `skip_self` leaves out the document with the query's own id. Documents without a term of the query are
     no answers, so an empty text is never found and an empty query has none. Rows with a null id are not searched or
     asked; repeated rows are one document (the first by text). An empty table gives an empty result; other columns are
@@ -197,23 +194,34 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, query_terms: int =
     docs = docs.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int"))
     asked = materialize(_query_words(queries), "query_words")
     wanted = asked.select("term").distinct()
-    found = materialize(_terms(docs).groupBy("term", "shard").agg(F.sum("df").alias("df")).join(wanted, "term", "left_semi"), "terms")
-    total = found.groupBy("term").agg(F.sum("df").alias("df"))
+    total = _terms(docs).groupBy("term").agg(F.sum("df").alias("df")).join(wanted, "term", "left_semi")
     weight = F.log1p((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     asked = asked.join(total, "term").withColumn("idf", weight)
-    best = Window.partitionBy("query_id").orderBy((F.col("tf") * F.col("idf")).desc(), "term")
-    asked = asked.withColumn("r", F.row_number().over(best)).where(F.col("r") <= query_terms).select("query_id", "term", "idf")
-    asked = materialize(asked, "queries")
-    routed = found.select("term", F.col("shard").alias("to")).join(asked, "term").groupBy("to", "query_id").agg(F.collect_list(F.struct("term", "idf")).alias("terms"))
+    if query_terms is not None:
+        best = Window.partitionBy("query_id").orderBy((F.col("tf") * F.col("idf")).desc(), "term")
+        asked = asked.withColumn("r", F.row_number().over(best)).where(F.col("r") <= query_terms)
+    bundles = max(1, -(-queries.count() // BUNDLE))
+    asked = asked.select("query_id", "term", "idf", F.pmod(F.xxhash64("query_id"), F.lit(bundles)).alias("bundle"))
+
+    def bundle(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["query_id", "idf", "term"], ascending=[True, False, True])
+        q = pdf["query_id"].to_numpy()
+        first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
+        return pd.DataFrame({"ids": [q[first].tobytes()], "first": [np.r_[first, len(q)].tobytes()], "terms": [pdf["term"].to_numpy().tobytes()], "idfs": [pdf["idf"].to_numpy().tobytes()]})
+
+    bundled = materialize(asked.groupBy("bundle").applyInPandas(bundle, "ids binary, first binary, terms binary, idfs binary"), "queries")
+    routed = bundled.withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(int(shards) - 1))))
 
     def answer(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         rows = []
         if len(left) and len(right):
             left = left.sort_values(["doc_id", "text"]).drop_duplicates("doc_id")
             index = Index(left["doc_id"].to_numpy(dtype=np.int64), left["text"].tolist(), mean)
-            for q, terms in zip(right["query_id"], right["terms"], strict=True):
-                pairs = sorted((int(t["term"]), float(t["idf"])) for t in terms)
-                rows += [(q, d, s) for s, d in index.search(pairs, k, q if skip_self else None)]
+            for ids, first, terms, idfs in zip(right["ids"], right["first"], right["terms"], right["idfs"], strict=True):
+                ids, first = np.frombuffer(ids, dtype=np.int64), np.frombuffer(first, dtype=np.int64)
+                terms, idfs = np.frombuffer(terms, dtype=np.int64), np.frombuffer(idfs, dtype=np.float64)
+                for q, a, b in zip(ids.tolist(), first[:-1], first[1:], strict=True):
+                    rows += [(q, d, s) for s, d in index.search_arrays(terms[a:b], idfs[a:b], k, q if skip_self else None)]
         return pd.DataFrame(rows, columns=["query_id", "doc_id", "score"]).astype({"query_id": "int64", "doc_id": "int64", "score": "float64"})
 
     per_shard = docs.groupBy("shard").cogroup(routed.groupBy("to")).applyInPandas(answer, "query_id long, doc_id long, score double")
@@ -221,7 +229,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, query_terms: int =
     return per_shard.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 
 
-def search_rows(docs: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
-    """search() for the rows of `docs` whose id is divisible by `every`, against all rows."""
+def search_rows(docs: DataFrame, every: int = 100, k: int = 10, query_terms: int | None = 12) -> DataFrame:
+    """search() for the rows of `docs` whose id is divisible by `every`, against all rows; `query_terms` None for every word."""
     asked = docs.where(F.col("doc_id") % every == 0).select(F.col("doc_id").alias("query_id"), "text")
-    return search(docs, asked, k)
+    return search(docs, asked, k, query_terms)

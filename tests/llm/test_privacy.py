@@ -61,6 +61,28 @@ def test_terms_that_reveal(spark):
         assert (r["text"] is None) == (texts[r["doc_id"]] is None)
 
 
+def _marked(found, texts):
+    out = {}
+    for r in spans_digest(found).collect():
+        t = texts[r["doc_id"]] or ""
+        out[r["doc_id"]] = [t[int(a) : int(b)] for k, a, b in (x.split(":") for x in r["spans"].split(",") if x) if k == "term"]
+    return out
+
+
+def test_terms_far_from_the_entity_and_without_it(spark):
+    rng = random.Random(3)
+    fill = lambda n: " ".join(f"w{rng.randrange(300)}" for _ in range(n))
+    rows = [(i, fill(40)) for i in range(200)]
+    rows += [(1000 + i, f"Zanzibar {fill(30)} boss@corp.example {fill(30)} (Zanzibar), {fill(3)}") for i in range(8)]
+    rows += [(2000, f"{fill(20)} zanzibar. {fill(20)}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for limit in (1 << 20, 0):  # by broadcast, and by shuffle
+        got = _marked(find_private(df, broadcast_rows=limit), dict(rows))
+        assert all(got[1000 + i].count("Zanzibar") == 2 for i in range(8)) and got[2000] == ["zanzibar"]
+        assert not any(got[i] for i in range(200))
+    assert all("anzibar" not in r["text"] for r in sanitise_texts(df).collect())
+
+
 def test_empty(spark):
     assert spans_digest(find_private(spark.createDataFrame([], "doc_id long, text string"))).collect() == []
 

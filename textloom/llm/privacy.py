@@ -3,17 +3,22 @@
 The second part follows information-theoretic sanitisation (Sanchez and Batet, 2013): the corpus estimates how much a
 term t tells about a protected entity e by their pointwise mutual information, PMI(t; e) = log(N p(t,e) / (p(t) p(e))),
 against the information e itself carries, IC(e) = -log p(e). A term that discloses at least the share `threshold` of
-IC(e) gives e away and is removed (a hapax word of its own neighbourhood) or generalised to its class.
+IC(e) gives e away. Such terms are only removed; they are not generalised to a class.
+
+All counts are of distinct texts: n, those with e, those with t and those with both, wherever in the text they stand. An
+entity in fewer than `min_contexts` distinct texts has no terms, as every rare word of its text would be one.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +33,9 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 EDGE = ".,;:!?()[]{}<>\"'*&%$#|/\\-_=+~`"
+CACHE_WORDS = 300_000
+#: Revealing (entity, term) rows that are sent to all tasks.
+BROADCAST_ROWS = 200_000
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 
@@ -74,121 +82,153 @@ def term_key(word: str) -> str:
     return word.strip(EDGE).lower()
 
 
-def context(text: str, spans: list[tuple[int, int, int]], reach: int) -> list[tuple[str, str, int, int]]:
-    """(entity, term, start, end) of the words within `reach` words of each base span; words of base spans are none."""
-    if not spans:
-        return []
-    words = [(m.start(), m.end()) for m in WORD.finditer(text)]
-    starts = np.array([a for a, _ in words], dtype=np.int64)
-    ends = np.array([b for _, b in words], dtype=np.int64)
-    inside = np.zeros(len(words) + 1, dtype=bool)
-    ranges = []
-    for s, k, e in spans:
-        lo, hi = int(np.searchsorted(ends, s, side="right")), int(np.searchsorted(starts, e, side="left"))
-        inside[lo:hi] = True
-        ranges.append((lo, hi, f"{KINDS[k]}:{text[s:e].lower()}"))
-    out = {}
-    for lo, hi, entity in ranges:
-        for i in [*range(max(0, lo - reach), lo), *range(hi, min(len(words), hi + reach))]:
-            if not inside[i]:
-                a, b = words[i]
-                raw = text[a:b]
-                if key := term_key(raw):
-                    a += len(raw) - len(raw.lstrip(EDGE))
-                    out[entity, key, a] = (entity, key, a, a + len(raw.strip(EDGE)))
-    return list(out.values())
-
-
-def _find(docs: DataFrame, reach: int) -> DataFrame:
-    """Base spans of each row and the terms about them; row_key tells equal texts of one id from others."""
+class TermHash(dict):
+    """Hashes of words' terms; 0 for words without one."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        key = term_key(word)
+        self[word] = h = signed_hash(key) if key else 0
+        return h
+
+
+def signed_hash(key: str) -> int:
+    return xxhash.xxh64_intdigest(key.encode("utf-8", "surrogatepass")) - 2**63
+
+
+def entity_hashes(text: str, spans: list[tuple[int, int, int]]) -> set[int]:
+    return {signed_hash(f"{KINDS[k]}:{text[s:e].lower()}") for s, k, e in spans}
+
+
+def places(text: str, spans: list[tuple[int, int, int]], terms: TermHash) -> list[tuple[int, int, int]]:
+    """(term hash, start, end) of the words that no base span touches."""
+    words = [(terms[m[0]], m.start(), m.end()) for m in WORD.finditer(text)]
+    if spans:
+        starts, ends = np.array([w[1] for w in words]), np.array([w[2] for w in words])
+        inside = np.zeros(len(words), dtype=bool)
+        for s, _, e in spans:
+            inside[int(np.searchsorted(ends, s, side="right")) : int(np.searchsorted(starts, e, side="left"))] = True
+        words = [w for w, x in zip(words, inside, strict=True) if not x]
+    return [w for w in words if w[0]]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for doc_id, row_key, text in zip(pdf["doc_id"].astype("Int64"), pdf["row_key"], pdf["text"], strict=True):
-                spans = base_spans(text := text or "")
-                near = context(text, spans, reach)
-                rows.append((doc_id, row_key, [{"start": s, "kind": k, "end": e} for s, k, e in spans], [dict(zip(("entity", "term", "start", "end"), x, strict=True)) for x in near]))
-            yield pd.DataFrame(rows, columns=["doc_id", "row_key", "base", "near"]).astype({"doc_id": "Int64"})
 
-    schema = "doc_id long, row_key long, base array<struct<start:int,kind:int,end:int>>, near array<struct<entity:string,term:string,start:int,end:int>>"
-    return docs.mapInPandas(run, schema)
+def term_set(text: str, spans: list[tuple[int, int, int]], terms: TermHash) -> set[int]:
+    if spans:
+        return {t for t, _, _ in places(text, spans, terms)}
+    return set(map(terms.__getitem__, set(WORD.findall(text)))) - {0}
 
 
-def _document_frequencies(docs: DataFrame) -> DataFrame:
-    """(term_hash, df): number of rows that have the term; counts are summed in each task's batches before the shuffle."""
-    import xxhash
+def _counts(texts: DataFrame) -> DataFrame:
+    """(entity, term, texts): a null entity counts the texts with the term, a null term those with the entity."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys: dict[str, str] = {}
+        terms = TermHash()
+
+        def table(entity: list, term: list, count: list) -> pd.DataFrame:
+            e, t = np.concatenate(entity), np.concatenate(term)
+            return pd.DataFrame({"entity": pd.arrays.IntegerArray(e, e == 0), "term": pd.arrays.IntegerArray(t, t == 0), "texts": np.concatenate(count)})
+
         for pdf in batches:
-            counts: dict[str, int] = {}
+            df: Counter[int] = Counter()
+            entity, term, waiting = [], [], 0
             for text in pdf["text"]:
-                terms = set()
-                for w in set((text or "").split()):
-                    t = keys.get(w)
-                    if t is None:
-                        if len(keys) > 300_000:
-                            keys.clear()
-                        t = keys[w] = term_key(w)
-                    terms.add(t)
-                for t in terms:
-                    counts[t] = counts.get(t, 0) + 1
-            counts.pop("", None)
-            yield pd.DataFrame({
-                "term_hash": np.array([xxhash.xxh64_intdigest(t) for t in counts], dtype=np.uint64).view(np.int64),
-                "df": np.fromiter(counts.values(), dtype=np.int64, count=len(counts)),
-            })
-
-    return docs.select("text").mapInPandas(run, "term_hash long, df long").groupBy("term_hash").agg(F.sum("df").alias("df"))
-
-
-def revealing_terms(near: DataFrame, docs: DataFrame, total: int, threshold: float, min_contexts: int) -> DataFrame:
-    """(entity, term) whose co-occurrence over the corpus exceeds the disclosure threshold.
-
-    An entity's neighbourhoods that are word for word the same count once, so copies of a document are no evidence.
+                spans = base_spans(text)
+                own = term_set(text, spans, terms)
+                df.update(own)
+                if spans:
+                    own = np.fromiter([0, *own], dtype=np.int64, count=len(own) + 1)
+                    for e in entity_hashes(text, spans):
+                        entity.append(np.full(len(own), e, dtype=np.int64))
+                        term.append(own)
+                        waiting += len(own)
+                        if waiting > 500_000:
+                            yield table(entity, term, [np.ones(waiting, dtype=np.int64)])
+                            entity, term, waiting = [], [], 0
+            entity.append(np.zeros(len(df), dtype=np.int64))
+            term.append(np.fromiter(df, dtype=np.int64, count=len(df)))
+            yield table(entity, term, [np.ones(waiting, dtype=np.int64), np.fromiter(df.values(), dtype=np.int64, count=len(df))])
+
+    return texts.mapInPandas(run, "entity long, term long, texts long").groupBy("entity", "term").agg(F.sum("texts").alias("texts"))
+
+
+def revealing_terms(texts: DataFrame, total: int, threshold: float, min_contexts: int) -> DataFrame:
+    """(entity, term, alone) of the terms that exceed the disclosure threshold; `texts` are the `total` distinct texts.
+
+    alone: most of the texts with the term have the entity, so the term gives it away where the entity isn't told, too.
     """
-    import xxhash
+    counts = materialize(_counts(texts), "counts")
+    entity = counts.where("term IS NULL").select("entity", F.col("texts").alias("contexts")).where(F.col("contexts") >= min_contexts)
+    df = counts.where("entity IS NULL").select("term", F.col("texts").alias("df"))
+    pairs = counts.where("entity IS NOT NULL AND term IS NOT NULL").withColumnRenamed("texts", "both").where(F.col("both") >= min_contexts)
+    n = F.lit(float(max(total, 2)))
+    told = pairs.join(entity, "entity").join(df, "term")
+    told = told.withColumn("ic", F.log(n / F.col("contexts"))).withColumn("pmi", F.log(n * F.col("both") / (F.col("contexts") * F.col("df"))))
+    return told.where((F.col("ic") > 0) & (F.col("pmi") >= threshold * F.col("ic"))).select("entity", "term", (F.col("both") * 2 > F.col("df")).alias("alone"))
 
-    pairs = near.groupBy("entity", "term").agg(F.count_distinct("context").alias("both"), F.count("*").alias("rows"))
-    entity = near.groupBy("entity").agg(F.count_distinct("context").alias("contexts"))
-    pairs = pairs.join(entity, "entity").where(F.col("both") >= min_contexts)
 
-    @F.pandas_udf("long")
-    def term_hash(s: pd.Series) -> pd.Series:
-        return pd.Series(np.array([xxhash.xxh64_intdigest(t) for t in s], dtype=np.uint64).view(np.int64))
+def _own_terms(docs: DataFrame, told: DataFrame) -> DataFrame:
+    """(row_key, own): the terms of each row to be marked, by shuffle joins."""
 
-    pairs = materialize(pairs.withColumn("term_hash", term_hash("term")), "pairs")
-    wanted = pairs.select("term_hash").distinct()
-    df = _document_frequencies(docs).join(wanted, "term_hash", "left_semi")
-    n = F.lit(float(max(total, 2)))
-    told = pairs.join(df, "term_hash").withColumn("ic", F.log(n / F.col("contexts"))).withColumn("pmi", F.log(n * F.col("both") / (F.col("contexts") * F.greatest("df", "both"))))
-    return told.where((F.col("ic") > 0) & (F.col("pmi") >= threshold * F.col("ic"))).select("entity", "term")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        terms = TermHash()
+        for pdf in batches:
+            for key, text in zip(pdf["row_key"], pdf["text"], strict=True):
+                spans = base_spans(text)
+                for kind, own in ((0, entity_hashes(text, spans)), (1, term_set(text, spans, terms))):
+                    if own:
+                        yield pd.DataFrame({"row_key": key, "kind": kind, "x": np.fromiter(own, dtype=np.int64, count=len(own))})
 
+    rows = docs.select("row_key", "text").mapInPandas(run, "row_key long, kind int, x long")
+    by_entity = rows.where("kind = 0").select("row_key", F.col("x").alias("entity")).join(told, "entity").select("row_key", "term")
+    alone = rows.where("kind = 1").select("row_key", F.col("x").alias("term")).join(told.where("alone"), "term", "left_semi").select("row_key", "term")
+    return by_entity.unionByName(alone).groupBy("row_key").agg(F.collect_set("term").alias("own"))
 
-def find_private(docs: DataFrame, threshold: float = 0.75, min_contexts: int = 2, reach: int = 8) -> DataFrame:
+
+def find_private(docs: DataFrame, threshold: float = 0.75, min_contexts: int = 2, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(doc_id, row_key, base, terms) for each row of `docs` (doc_id, text): base spans and added term spans.
 
-    Corpus statistics cover all rows. A null text is empty; an empty text has no spans. Repeated rows give equal results
-    each; a null doc_id is kept. An empty table gives an empty result and other columns are not read. Only words near
-    base spans are candidates, so what is shuffled follows the number of personal data, not the square of anything;
-    document frequencies are summed per task before their shuffle.
+    Corpus statistics cover all distinct texts, whole. In a row with an entity every occurrence of its terms is marked;
+    in all other rows every occurrence of a term of which most texts have the entity. A null text is empty; an empty
+    text has no spans. Repeated rows give equal results each; a null doc_id is kept. An empty table gives an empty
+    result and other columns are not read. The revealing terms are sent to all tasks up to `broadcast_rows` of them and
+    joined by row beyond.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     docs = docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
-    found = materialize(_find(docs, reach), "found")
-    total = found.count()
-    near = found.where(F.size("near") > 0).select("row_key", F.explode("near").alias("x"))
-    near = near.withColumn("context", F.xxhash64(F.col("x.entity"), F.lit(0)))
-    # What stands about the entity in this row, as one hash: rows with the same neighbourhood are one observation.
-    words = found.where(F.size("near") > 0).select("row_key", F.explode(F.array_distinct(F.transform("near", lambda x: x["entity"]))).alias("entity"), "near")
-    words = words.select("row_key", "entity", F.xxhash64(F.transform(F.filter("near", lambda x: x["entity"] == F.col("entity")), lambda x: x["term"])).alias("context")).distinct()
-    flat = near.select("row_key", "x.entity", "x.term").distinct().join(words, ["row_key", "entity"])
-    revealing = revealing_terms(flat, docs, total, threshold, min_contexts)
-    spans = found.where(F.size("near") > 0).select("row_key", F.explode("near").alias("x")).select("row_key", "x.entity", "x.term", "x.start", "x.end")
-    spans = spans.join(revealing, ["entity", "term"], "left_semi").select("row_key", "start", "end").distinct()
-    spans = spans.groupBy("row_key").agg(F.sort_array(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end"))).alias("terms"))
-    return found.drop("near").join(spans, "row_key", "left")
+    texts = docs.select("text", F.xxhash64("text").alias("h"))
+    total = texts.select("h").distinct().count()
+    told = materialize(revealing_terms(texts.dropDuplicates(["h"]).select("text"), total, threshold, min_contexts), "revealing")
+    sent = None
+    if told.count() <= broadcast_rows:
+        rows = told.toPandas()
+        by_entity: dict[int, set[int]] = {}
+        for e, t in zip(rows["entity"].tolist(), rows["term"].tolist(), strict=True):
+            by_entity.setdefault(e, set()).add(t)
+        sent = docs.sparkSession.sparkContext.broadcast((by_entity, set(rows["term"][rows["alone"].astype(bool)].tolist())))
+        docs = docs.withColumn("own", F.lit(None).cast("array<long>"))
+    else:
+        docs = docs.join(_own_terms(docs, told), "row_key", "left")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = TermHash()
+        by_entity, alone = sent.value if sent is not None else ({}, set())
+        for pdf in batches:
+            rows = []
+            for doc_id, row_key, text, own in zip(pdf["doc_id"].astype("Int64"), pdf["row_key"], pdf["text"], pdf["own"], strict=True):
+                spans = base_spans(text)
+                wanted = set() if own is None else set(own.tolist())
+                for e in entity_hashes(text, spans) if by_entity else ():
+                    wanted |= by_entity.get(e, set())
+                terms = None
+                if wanted or (alone and not alone.isdisjoint(map(hashes.__getitem__, set(WORD.findall(text))))):
+                    terms = [(a, b) for t, a, b in places(text, spans, hashes) if t in wanted or t in alone]
+                    terms = [{"start": a + len(w) - len(w.lstrip(EDGE)), "kind": 4, "end": a + len(w.rstrip(EDGE))} for a, b in terms for w in (text[a:b],)] or None
+                rows.append((doc_id, row_key, [{"start": s, "kind": k, "end": e} for s, k, e in spans], terms))
+            yield pd.DataFrame(rows, columns=["doc_id", "row_key", "base", "terms"]).astype({"doc_id": "Int64"})
+
+    span = "array<struct<start:int,kind:int,end:int>>"
+    return materialize(docs.select("doc_id", "row_key", "text", "own").mapInPandas(run, f"doc_id long, row_key long, base {span}, terms {span}"), "found")
 
 
 def spans_digest(found: DataFrame) -> DataFrame:

@@ -83,6 +83,16 @@ def test_terms_far_from_the_entity_and_without_it(spark):
     assert all("anzibar" not in r["text"] for r in sanitise_texts(df).collect())
 
 
+def test_copies_do_not_hide_terms(spark):
+    rng = random.Random(5)
+    fill = lambda n: " ".join(f"w{rng.randrange(300)}" for _ in range(n))
+    texts = [f"{fill(12)} Zanzibar boss@corp.example {fill(12)}" for _ in range(2)]
+    rows = [(i, fill(30)) for i in range(300)] + [(1000 + i, texts[i % 2]) for i in range(60)] + [(2000 + i, "Timbuktu me@x.example once") for i in range(20)]
+    got = _marked(find_private(spark.createDataFrame(rows, "doc_id long, text string")), dict(rows))
+    assert all("Zanzibar" in got[1000 + i] for i in range(60))
+    assert not any(got[2000 + i] for i in range(20))  # one distinct text is no evidence
+
+
 def test_empty(spark):
     assert spans_digest(find_private(spark.createDataFrame([], "doc_id long, text string"))).collect() == []
 

@@ -32,6 +32,18 @@ def test_template_of_a_host(spark):
             assert (text, n) == (want, len(want))
 
 
+def test_template_inside_articles(spark):
+    """What a host repeats in its articles goes, whatever its class name; copies of a page and other hosts lose nothing."""
+    page = lambda i: f"<body><article><h1>Head {i}</h1><p>The story {i} has the word{i} the end{i}.</p><p class='tip'>Our staff wrote this page</p></article></body>"
+    text = lambda i: f"Head {i}\n\nThe story {i} has the word{i} the end{i}."
+    rows = [(i, f"http://h.example/{i}", page(i)) for i in range(8)] + [(20 + i, "http://copies.example/", page(3)) for i in range(6)]
+    rows += [(30 + i, "http://mixed.example/", f"<article><p>The one</p><p>other{i} thing{i}</p></article>") for i in range(2)] + [(40 + i, "http://mixed.example/", "<article><p>The long day</p><p>Quiet sea</p></article>") for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == text(i) for i in range(8))
+    assert all(got[20 + i] == text(3) + "\n\nOur staff wrote this page" for i in range(6))
+    assert all(got[40 + i] == "The long day\n\nQuiet sea" for i in range(6))
+
+
 def test_empty(spark):
     assert extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 

@@ -1,14 +1,15 @@
 """Main text of web pages by equivalence-class template deduction (after ExAlg, Arasu and Garcia-Molina, 2003).
 
-A page is a sequence of tokens: its tags and, outside an article, its words, each told apart by its path in the page. A
-token's occurrence vector is how often each page of a host has it. Tokens with one vector form an equivalence class; the
-classes that are large and frequent enough are the template's, and what is between their tokens are its slots. A host's
-pages are never brought together: a vector is known by two sums over the pages of a hash of (page, count), which add up
-in any order and on any number of machines, and equal vectors have equal sums.
-
-The template says which words outside articles are the host's own, and, by the text that flows through its slots,
-which container is the main one. Pages then keep the blocks of their article, or else of the host's main container,
-without menus, headers, footers, sidebars, notices, adverts, forms and comments, and without the template's words.
+A page is a sequence of tokens: its tags and its words, each told apart by its path in the page. A token's occurrence
+vector is how often each page of a host has it. Tokens with one vector form an equivalence class; the tokens of classes
+that are large and frequent enough are the template's. The classes are not ordered or nested: a block of text is a slot
+if any word of it is not the template's. A host's pages are never brought together: a vector is known by two sums over
+the host's distinct pages of a hash of (page, count), which add up in any order and on any number of machines, and equal
+vectors have equal sums.
+
+The template decides the slots of every page, in articles and outside, and, by the text that flows through them, which
+container is the main one. Of the slots, pages then keep those of their article, or else of the host's main container,
+without menus, headers, footers, sidebars, notices, adverts, forms and comments.
 """
 
 from __future__ import annotations
@@ -78,7 +79,7 @@ class Page:
         if not text:
             return
         _, dropped, article, path = self._top()
-        if self._with_tokens and not article:
+        if self._with_tokens:
             for w in text.split(" "):
                 self.tokens[f"{path}|{w}"] += 1
         if not dropped:
@@ -178,12 +179,26 @@ def host(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
+def _host_of(url: str):
+    @F.pandas_udf("string")
+    def hosts(x: pd.Series) -> pd.Series:
+        return x.map(host)
+
+    return hosts(url)
+
+
 def _occurrences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(host, kind, key, pages, count, v1, v2): kind 0 are tokens, 1 containers (count: characters), 2 the page itself."""
+    sums: dict[tuple[str, int, int], list[int]] = {}
+
+    def flush() -> pd.DataFrame:
+        out = pd.DataFrame([(*k, *x) for k, x in sums.items()], columns=["host", "kind", "key", "pages", "count", "v1", "v2"])
+        sums.clear()
+        return out
+
     for pdf in batches:
-        sums: dict[tuple[str, int, int], list[int]] = {}
 
-        def add(h, kind, key, count, v1=0, v2=0, sums=sums):
+        def add(h, kind, key, count, v1=0, v2=0):
             x = sums.setdefault((h, kind, key), [0, 0, 0, 0])
             x[0] += 1
             x[1] += count
@@ -199,17 +214,20 @@ def _occurrences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 add(h, 0, token_hash(token), count, v & 0x7FFFFFFF, v >> 32 & 0x7FFFFFFF)
             for path, mass in page.mass.items():
                 add(h, 1, token_hash(path), mass)
-        yield pd.DataFrame([(*k, *x) for k, x in sums.items()], columns=["host", "kind", "key", "pages", "count", "v1", "v2"])
+            if len(sums) > 50_000:
+                yield flush()
+    yield flush()
 
 
 def deduce_templates(pages: DataFrame, min_pages: int = 3, support: float = 0.5, min_tokens: int = 2) -> DataFrame:
-    """(host, tokens, container) of each host with at least `min_pages` pages.
+    """(host, tokens, container) of each host with at least `min_pages` distinct pages; copies of a page are no template.
 
     tokens: hashes of the tokens in equivalence classes of `min_tokens` or more that occur on the share `support` of the
     host's pages at least. There are no more of them than two average pages have, whatever the host's size. container:
     the path that holds most of the host's text.
     """
-    found = pages.select("url", "html").mapInPandas(_occurrences, "host string, kind int, key long, pages long, count long, v1 long, v2 long")
+    once = pages.select("url", "html").withColumn("h", _host_of("url")).withColumn("x", F.xxhash64("html")).dropDuplicates(["h", "x"])
+    found = once.select("url", "html").mapInPandas(_occurrences, "host string, kind int, key long, pages long, count long, v1 long, v2 long")
     found = found.groupBy("host", "kind", "key").agg(*(F.sum(c).alias(c) for c in ("pages", "count", "v1", "v2")))
     found = materialize(found, "occurrences")
     hosts = found.where("kind = 2").select("host", F.col("pages").alias("total")).where(F.col("total") >= min_pages)
@@ -223,9 +241,11 @@ def deduce_templates(pages: DataFrame, min_pages: int = 3, support: float = 0.5,
 def main_text(html: str | None, tokens=None, container: int | None = None) -> str:
     """The main text of one page, given its host's template if there is one."""
     page = Page(html)
-    if any(article for _, article, _ in page.blocks):
-        return "\n\n".join(text for text, article, _ in page.blocks if article)
     own = frozenset() if tokens is None else frozenset(tokens)
+    blocks = [x for x in page.blocks if not own or not all(token_hash(f"{x[2]}|{w}") in own for w in x[0].split(" "))]
+    if any(article for _, article, _ in page.blocks):
+        # An article of the template's words alone is all that such a page has to say.
+        return "\n\n".join(text for text, article, _ in (blocks if any(x[1] for x in blocks) else page.blocks) if article)
     if container is None:
         paths = Counter({p: m for p, m in page.mass.items() if m > 0})
         best = max(paths, key=lambda p: (paths[p], p)) if paths else ""
@@ -238,9 +258,9 @@ def main_text(html: str | None, tokens=None, container: int | None = None) -> st
                 path = path.rpartition("/")[0]
             return token_hash("") == container
 
-    kept = [(text, path) for text, _, path in page.blocks if inside(path)] or [(text, path) for text, _, path in page.blocks]
-    slots = [text for text, path in kept if not own or not all(token_hash(f"{path}|{w}") in own for w in text.split(" "))]
-    return "\n\n".join(slots)
+    if not any(inside(path) for _, _, path in page.blocks):
+        inside = lambda path: True
+    return "\n\n".join(text for text, _, path in blocks if inside(path))
 
 
 #: Templates are sent to all tasks up to this size, and joined by host beyond it.
@@ -257,12 +277,8 @@ def extract(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFra
     templates = materialize(deduce_templates(pages), "templates")
     size = templates.agg(F.coalesce(F.sum(F.size("tokens") * 8 + F.length("host") + 32), F.lit(0))).first()[0]
 
-    @F.pandas_udf("string")
-    def host_of(url: pd.Series) -> pd.Series:
-        return url.map(host)
-
     templates = templates.withColumnRenamed("host", "host_")
-    joined = pages.withColumn("host_", host_of("url")).join(F.broadcast(templates) if size <= broadcast_bytes else templates, "host_", "left").drop("host_")
+    joined = pages.withColumn("host_", _host_of("url")).join(F.broadcast(templates) if size <= broadcast_bytes else templates, "host_", "left").drop("host_")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

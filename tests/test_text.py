@@ -81,6 +81,9 @@ def test_position_map():
     assert unicode.position_map("か\u3099た") == ("がた", [0, 2, 3])
     assert unicode.position_map("\ufb01x") == ("fix", [0, 0, 1, 2])
     assert unicode.position_map("") == ("", [0])
+    assert unicode.position_map("\uff76\uff9ex\u0301y") == ("ガx\u0301y", [0, 2, 3, 4, 5])
+    assert unicode.position_map("x\u0301y") == ("x\u0301y", [0, 0, 2])
+    assert unicode.position_map("ᄀ\u1161ᄀ\u1161") == ("가가", [0, 0, 4])
     rng = random.Random(3)
     for _ in range(300):
         t = "".join(rng.choice("aがか\u3099\u0301ﬁ㈱ᄀ\u1161e") for _ in range(rng.randrange(12)))
@@ -89,6 +92,13 @@ def test_position_map():
         assert len(starts) == len(norm) + 1 and starts == sorted(starts) and starts[-1] == len(t)
 
 
+def test_prefix_sizes():
+    rng = random.Random(4)
+    for _ in range(500):
+        t = "".join(rng.choice("aがか\u3099\u0301\u0323ﬁ㈱ᄀ\u1161\u11a8\uff76\uff9e\u0344s") for _ in range(rng.randrange(14)))
+        assert unicode._prefix_sizes(t).tolist() == [len(unicodedata.normalize("NFKC", t[: j + 1])) for j in range(len(t))]
+
+
 def test_nfkc_and_rounding(spark):
     row = one(spark, "ﬁＡ", unicode.nfkc(F.col("text")), unicode.rounded(F.lit(0.78125)))
     assert tuple(row) == ("fiA", 0.7812)

@@ -82,7 +82,7 @@ def test_position_map():
     assert unicode.position_map("\ufb01x") == ("fix", [0, 0, 1, 2])
     assert unicode.position_map("") == ("", [0])
     assert unicode.position_map("\uff76\uff9ex\u0301y") == ("ガx\u0301y", [0, 2, 3, 4, 5])
-    assert unicode.position_map("x\u0301y") == ("x\u0301y", [0, 0, 2])
+    assert unicode.position_map("x\u0301y") == ("x\u0301y", [0, 0, 2, 3])
     assert unicode.position_map("ᄀ\u1161ᄀ\u1161") == ("가가", [0, 0, 4])
     rng = random.Random(3)
     for _ in range(300):

@@ -23,6 +23,16 @@ def test_raking_by_plain_code(spark):
     got = {tuple(r[d] for d in DIMS): r["fitted"] for r in rake(df, goal, DIMS, rounds=60, tolerance=1e-9).collect()}
     assert got.keys() == want.keys()
     assert all(abs(got[k] - want[k]) < 1e-6 for k in want)
+    far = rake(df, goal, DIMS, rounds=60, tolerance=1e-9, array_cells=0).collect()
+    assert all(abs(r["fitted"] - want[tuple(r[d] for d in DIMS)]) < 1e-6 and r["off"] <= 1e-6 for r in far) and len(far) == len(want)
+
+
+def test_what_misses_its_targets_is_told(spark):
+    df = spark.createDataFrame([("a", "x", "t", 1.0), ("b", "y", "t", 3.0)], ", ".join(f"{d} string" for d in DIMS) + ", mass double")
+    goal = spark.createDataFrame([("__source", "a", 0.5), ("__source", "b", 0.5), ("__lang", "x", 0.25), ("__lang", "y", 0.75)], "dim string, value string, target double")
+    for most in (0, 100):
+        rows = rake(df, goal, DIMS, array_cells=most).collect()
+        assert sorted(r["fitted"] for r in rows) == pytest.approx([0.25, 0.75]) and {round(r["off"], 6) for r in rows} == {0.25}
 
 
 def test_weights_and_sample(docs, texts):
@@ -39,6 +49,8 @@ def test_weights_and_sample(docs, texts):
     roots = {k: (v[0] / total) ** 0.5 for k, v in mass.items()}
     for k, v in mass.items():
         assert v[1] / total == pytest.approx(roots[k] / sum(roots.values()), abs=1e-4)
+    slim = weigh(docs, keep=0.5, columns=False).collect()
+    assert sorted((str(r["doc_id"]), r["__probability"], r["__sampled"]) for r in slim) == sorted((str(r["doc_id"]), r["__probability"], r["__sampled"]) for r in rows)
     kept = sample(docs, keep=0.5)
     assert kept.columns == docs.columns
     assert kept.count() == sum(r["__sampled"] for r in rows)
@@ -56,5 +68,6 @@ def test_scale_and_empty(spark, no_docs):
     cells = spark.createDataFrame([(10.0, 0.9), (10.0, 0.1)], "mass double, fitted double")
     s = scale_to(cells, 15.0)
     assert abs(10 * min(1, s * 0.09) + 10 * min(1, s * 0.01) - 15) < 1e-5
+    assert abs(scale_to(cells, 15.0, array_cells=0) - s) < 1e-6
     assert scale_to(cells, 20.0) >= 100.0 - 1e-9
     assert weigh(no_docs).collect() == []

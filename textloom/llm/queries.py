@@ -61,7 +61,7 @@ def op7_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_mixing_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textloom.llm.mixing import weigh
 
-    out = weigh(table(spark, sf_dir, "documents"))
+    out = weigh(table(spark, sf_dir, "documents"), columns=False)
     names = ("source", "lang", "topic", "tokens", "weight", "probability", "sampled")
     return out.select("doc_id", *(out[f"__{n}"].alias(n) for n in names))
 

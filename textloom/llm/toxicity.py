@@ -9,6 +9,7 @@ logistic function of the largest marginal and of their sum, fitted on the same s
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from collections import Counter
@@ -17,9 +18,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.functions.shared_store import materialize
+
 EDGE = ".,;:!?()[]{}<>\"'*&%$#|/\\-_=+~`"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 PREFIXES = (4, 5, 6)
@@ -263,20 +266,38 @@ def held_out(doc_id="doc_id"):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 1500, max_other: int = 3000) -> Model:
-    """Fits a model on labelled rows that are not held out: at most about `max_toxic` and `max_other` of them.
+#: Bytes of text that a model is fitted on, of each label.
+MAX_BYTES = 24 << 20
+
+
+def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 1500, max_other: int = 3000, max_bytes: int = MAX_BYTES) -> Model:
+    """Fits a model on labelled rows that are not held out: at most about `max_toxic` and `max_other` of them, and of either
+    label at most `max_bytes` of text.
 
-    The sample is the rows with the smallest id hashes, so it is the same however the tables are stored. Null labels
-    are left out, of repeated labels the toxic one counts. Only the sampled ids are broadcast, a bounded number.
+    The sample is the rows with the smallest id hashes, in their order, so it is the same however the tables are stored;
+    both bounds hold whatever the tables' size. Null labels are left out, of repeated labels the toxic one counts; without
+    labels, or of an empty table, the model's score is constant. Only the sampled ids are broadcast, a bounded number. One
+    task fits the model on an executor; the driver gets its weights alone.
     """
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") > 0).alias("toxic_")).dropna().where(~held_out())
     own = own.groupBy("doc_id").agg(F.max("toxic_").alias("toxic_"))
     n = {r["toxic_"]: r["count"] for r in own.groupBy("toxic_").count().collect()}
     part = F.when(F.col("toxic_"), F.lit(max_toxic / max(n.get(True, 0), 1))).otherwise(F.lit(max_other / max(n.get(False, 0), 1)))
-    sample = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < part * 1_000_000)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic_").toPandas()
-    rows = rows.sort_values(["doc_id", "text"], ignore_index=True)
-    return fit(rows["text"].tolist(), rows["toxic_"].to_numpy(dtype=bool))
+    sample = own.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))).where(F.col("h") < part * 1_000_000)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
+    seen = F.sum(F.octet_length("text")).over(Window.partitionBy("toxic_").orderBy("h", "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("seen", seen).where(F.col("seen") <= max_bytes).repartition(1).sortWithinPartitions("h", "doc_id", "text").select("text", "toxic_")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        texts, toxic = [], []
+        for pdf in batches:
+            texts += pdf["text"].tolist()
+            toxic += pdf["toxic_"].tolist()
+        yield pd.DataFrame({"model": [pickle.dumps(fit(texts, np.array(toxic, dtype=bool)))]})
+
+    # The written row keeps a lost result from costing a second fit.
+    found = materialize(rows.mapInPandas(run, "model binary"), "toxicity_model").first()
+    return pickle.loads(found["model"]) if found else fit([], np.zeros(0, dtype=bool))
 
 
 def score(docs: DataFrame, model: Model, least: float = 0.5, with_spans: bool = True) -> DataFrame:
@@ -304,7 +325,10 @@ def score(docs: DataFrame, model: Model, least: float = 0.5, with_spans: bool =
 
 
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of `docs`, with all columns as they are, that the model doesn't call toxic."""
+    """The rows of `docs`, with all columns as they are, that the model doesn't call toxic.
+
+    A null or empty text is scored as one without toxic words; repeated rows have one fate, an empty table stays empty.
+    """
 
     def run(batches):
         import pyarrow as pa

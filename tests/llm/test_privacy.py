@@ -1,8 +1,9 @@
 import hashlib
+import math
 import random
 import re
 
-from textloom.llm.privacy import base_spans, digest, find_private, luhn, sanitise, sanitise_texts, spans_digest
+from textloom.llm.privacy import EDGE, base_spans, digest, distinct_texts, find_private, generalised, luhn, sanitise, sanitise_texts, spans_digest
 
 PATTERNS = (
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
@@ -33,6 +34,67 @@ def test_long_texts_are_linear():
     assert base_spans("a" * 300_000 + "@") == [] and base_spans("1." * 100_000) and base_spans("+" * 100_000) == []
 
 
+def test_long_digit_runs():
+    assert base_spans("1.2.3." + "0" * 5000) == [(0, 1, 5006)] and base_spans("1.2.3." + "9" * 5000) == []
+    assert base_spans("1" * 5000) == [] and base_spans("+" + "1" * 5000) == []
+
+
+def brute_terms(rows, threshold=0.75, least=2):
+    """The term spans of each row, from the definition."""
+    def parts(text):
+        spans = plain(text)
+        words = [(m[0].strip(EDGE).lower(), m.start() + len(m[0]) - len(m[0].lstrip(EDGE)), m.start() + len(m[0].rstrip(EDGE)), m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
+        words = [w for w in words if w[0] and not any(w[3] < e and s < w[4] for s, _, e in spans)]
+        return {(k, text[s:e].lower()) for s, k, e in spans}, words
+
+    texts = {t or "": parts(t or "") for _, t in rows}
+    n, told, alone = max(2, len(texts)), {}, set()
+    entities, terms = {e for es, _ in texts.values() for e in es}, {w[0] for _, ws in texts.values() for w in ws}
+    own = {t: {w[0] for w in ws} for t, (_, ws) in texts.items()}
+    for e in entities:
+        have = [t for t, (es, _) in texts.items() if e in es]
+        for x in terms if len(have) >= least else ():
+            both, df = sum(x in own[t] for t in have), sum(x in o for o in own.values())
+            ic = math.log(n / len(have))
+            if both >= least and ic > 0 and math.log(n * both / (len(have) * df)) >= threshold * ic:
+                told.setdefault(e, set()).add(x)
+                if both * 2 > df:
+                    alone.add(x)
+    out = {}
+    for i, t in rows:
+        es, ws = texts[t or ""]
+        want = set().union(alone, *(told.get(e, set()) for e in es))
+        out[i] = sorted((a, b) for x, a, b, *_ in ws if x in want)
+    return out
+
+
+def test_terms_by_brute_force(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(90):
+        w = [f"w{min(rng.randrange(60), rng.randrange(60))}" + rng.choice(["", ".", ","]) for _ in range(rng.randrange(2, 25))]
+        if i % 3 == 0:
+            who = rng.randrange(6)
+            w[rng.randrange(len(w))] = (f"p{who}@x.example", f"10.0.0.{who}", f"+49 30 555 000{who}")[who % 3]
+            w.insert(rng.randrange(len(w)), rng.choice([f"(Name{who})", f"name{who}"]))
+        rows.append((i, " ".join(w)))
+    rows += [(200 + i, rows[3 * i][1]) for i in range(6)] + [(300, None), (301, ""), (302, rows[3][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_terms(rows)
+    assert sum(map(len, want.values())) > 10
+    for limit in (1 << 20, 0):
+        for r in spans_digest(find_private(df, broadcast_rows=limit)).collect():
+            assert [(int(a), int(b)) for k, a, b in (x.split(":") for x in r["spans"].split(",") if x) if k == "term"] == want[r["doc_id"]]
+
+
+def test_distinct_texts(spark):
+    rows = [(1, "a"), (1, "a"), (2, "a"), (None, "b"), (None, "b"), (3, "b"), (4, ""), (5, "c"), (5, "d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for most in (100, 0):
+        texts, n = distinct_texts(df, most)
+        assert n == 5 and sorted(r["text"] for r in texts.collect()) == ["", "a", "b", "c", "d"]
+
+
 def test_terms_that_reveal(spark):
     rng = random.Random(1)
     words = [f"w{i}" for i in range(300)]
@@ -98,5 +160,6 @@ def test_empty(spark):
 
 
 def test_sanitise():
+    assert [generalised(x) for x in ("Ann", "ann", "1200", "a-17")] == ["<NAME>", "", "<NUMBER>", "<ID>"]
     assert sanitise("ab x@y.z cd e", [(3, 0, 8), (9, 4, 11)]) == "ab <EMAIL>  e"
     assert sanitise("0123456789", [(1, 2, 5), (3, 3, 7)]) == "0<CARD>789"

@@ -3,7 +3,8 @@
 The second part follows information-theoretic sanitisation (Sanchez and Batet, 2013): the corpus estimates how much a
 term t tells about a protected entity e by their pointwise mutual information, PMI(t; e) = log(N p(t,e) / (p(t) p(e))),
 against the information e itself carries, IC(e) = -log p(e). A term that discloses at least the share `threshold` of
-IC(e) gives e away. Such terms are only removed; they are not generalised to a class.
+IC(e) gives e away. Such a term is generalised to its class (a number, a name, an identifier of letters and digits), of
+which too many texts have one to tell of e, and removed if it is of none of them.
 
 All counts are of distinct texts: n, those with e, those with t and those with both, wherever in the text they stand. An
 entity in fewer than `min_contexts` distinct texts has no terms, as every rare word of its text would be one.
@@ -61,7 +62,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
             done = m.end()
         at = text.find("@", max(at + 1, done))
     for m in IP.finditer(text):
-        if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m[0].split(".")):
+        if all(len(x) <= 3 and int(x or 0) <= 255 for x in (part.lstrip("0") for part in m[0].split("."))):
             out.append((m.start(), 1, m.end()))
     for m in CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
@@ -152,6 +153,28 @@ def _counts(texts: DataFrame) -> DataFrame:
     return texts.mapInPandas(run, "entity long, term long, texts long").groupBy("entity", "term").agg(F.sum("texts").alias("texts"))
 
 
+#: Hashes of texts with copies that are sent to all tasks; beyond that number they are joined by shuffle.
+BROADCAST_COPIES = 500_000
+
+
+def distinct_texts(docs: DataFrame, broadcast_copies: int = BROADCAST_COPIES) -> tuple[DataFrame, int]:
+    """(text) of one row for each distinct text of `docs` (doc_id, text), and their number.
+
+    Texts aren't shuffled for it, but their hashes and ids: of a text's rows the one with the smallest id stays. Only rows
+    that are repeated with their id are compared as whole rows.
+    """
+    rows = docs.select("text", F.xxhash64("text").alias("h"), F.coalesce("doc_id", F.lit(-(2**63))).alias("i"))
+    own = rows.groupBy("h", "i").agg(F.count("*").alias("n"))
+    kinds = materialize(own.groupBy("h").agg(F.min(F.struct("i", "n")).alias("first"), F.sum("n").alias("n")).select(F.col("h").alias("h_"), F.col("first.i").alias("i_"), F.col("first.n").alias("same"), "n"), "texts")
+    size = kinds.agg(F.count("*"), F.coalesce(F.sum((F.col("n") > 1).cast("int")), F.lit(0)), F.coalesce(F.sum((F.col("same") > 1).cast("int")), F.lit(0))).first()
+    copied = kinds.where("n > 1").select("h_", "i_", "same")
+    kept = rows.join(F.broadcast(copied) if size[1] <= broadcast_copies else copied, F.col("h") == F.col("h_"), "left").where("h_ IS NULL OR i = i_")
+    if size[2]:
+        repeated = kept.where("same > 1").select("text", "h").dropDuplicates(["h"])
+        kept = kept.where("same IS NULL OR same = 1").select("text", "h").unionByName(repeated)
+    return kept.select("text"), size[0]
+
+
 def revealing_terms(texts: DataFrame, total: int, threshold: float, min_contexts: int) -> DataFrame:
     """(entity, term, alone) of the terms that exceed the disclosure threshold; `texts` are the `total` distinct texts.
 
@@ -196,9 +219,8 @@ def find_private(docs: DataFrame, threshold: float = 0.75, min_contexts: int = 2
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     docs = docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
-    texts = docs.select("text", F.xxhash64("text").alias("h"))
-    total = texts.select("h").distinct().count()
-    told = materialize(revealing_terms(texts.dropDuplicates(["h"]).select("text"), total, threshold, min_contexts), "revealing")
+    texts, total = distinct_texts(docs)
+    told = materialize(revealing_terms(texts, total, threshold, min_contexts), "revealing")
     sent = None
     if told.count() <= broadcast_rows:
         rows = told.toPandas()
@@ -232,7 +254,11 @@ def find_private(docs: DataFrame, threshold: float = 0.75, min_contexts: int = 2
 
 
 def spans_digest(found: DataFrame) -> DataFrame:
-    """Counts and digests of the spans that find_private() gives."""
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term) of each row that find_private() gives.
+
+    Of a row without spans the counts are 0, base_sha256 is that of an empty string and spans is empty. A null doc_id and
+    repeated rows are kept; an empty table gives an empty result.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -247,19 +273,32 @@ def spans_digest(found: DataFrame) -> DataFrame:
     return found.mapInPandas(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_term long")
 
 
+def generalised(term: str) -> str:
+    """The class that stands for a revealing term; nothing for a term without one."""
+    digits, letters = any(c.isdigit() for c in term), any(c.isalpha() for c in term)
+    if digits:
+        return "<ID>" if letters else "<NUMBER>"
+    return "<NAME>" if term[:1].isupper() else ""
+
+
 def sanitise(text: str, spans: list[tuple[int, int, int]]) -> str:
-    """The text with each personal datum generalised to its kind and each revealing term removed; overlaps are merged."""
+    """The text with each personal datum generalised to its kind and each revealing term to its class, or removed if it has
+    none; overlaps are merged. Spans are (start, kind, end); without spans the text is unchanged."""
     out, at = [], 0
     for start, kind, end in sorted(spans):
         if start >= at:
             out.append(text[at:start])
-            out.append("" if kind == 4 else f"<{KINDS[kind].upper()}>")
+            out.append(generalised(text[start:end]) if kind == 4 else f"<{KINDS[kind].upper()}>")
         at = max(at, end)
     return "".join(out) + text[at:]
 
 
 def sanitise_texts(docs: DataFrame, **settings) -> DataFrame:
-    """`docs` with every column, its texts sanitised (a null text stays null); see find_private()."""
+    """`docs` with every column, its texts sanitised; see find_private() for `settings`.
+
+    A null text stays null, a text without personal data stays as it is. Repeated rows give equal rows each, a null doc_id is
+    kept, an empty table stays empty.
+    """
     found = find_private(docs, **settings).where((F.size("base") > 0) | F.col("terms").isNotNull())
     found = found.groupBy("row_key").agg(F.first("base").alias("__base"), F.first("terms").alias("__terms"))
     key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))

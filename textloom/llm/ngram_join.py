@@ -9,12 +9,15 @@ counts are summed per document or per pair.
    Summed up, a set of which less than 80 % is shared with any other set can have no partner and is done.
 2. Of the rest, each set is paired with one well-shared set for each of a few min-hashes (a number of pairs in
    proportion to the sets), the pairs' partial overlaps are counted and summed, and the links are joined to components.
-3. What is left are links between different components. They are found exactly, by the prefix filter under the global
-   order (document frequency, hash): two linked sets share an n-gram of both prefixes. A posting list whose sets are
-   all in one component is dropped whole, which removes those of large groups of near copies. Sets that were paired with
-   the same one in step 2 are bounded by those known overlaps: unless these are enough, they must share an n-gram outside
-   that set, and are joined by such n-grams, which are rare, instead. The pairs of different components that are left are
-   counted in the same way as before.
+3. What is left are links between different components. Each set belongs to a hub, the centre of its component or, if
+   it has no link yet, of its best match's. With D(x), the n-grams in which x differs from the hub's shared ones, two sets
+   differ by |D(x)| + |D(y)| - 2 |D(x) & D(y)|. So with V(x) = |D(x)| - |x| (100 - p) / (100 + p), two sets are linked
+   exactly if |D(x) & D(y)| >= (V(x) + V(y)) / 2. Sets of a hub whose V and the hub's least V add up to no more than 0
+   are thereby linked with the set of the least V. All other pairs must share n-grams of D, and are found by a prefix
+   filter on D, which is small and whose n-grams are rare, with bounds by position. Pairs of different hubs are found by
+   the prefix filter under the global order (document frequency, hash) on the whole sets, with the same kind of bounds;
+   in each posting list the sets of its most frequent hub meet only those of other hubs. The pairs that are left are
+   counted fragment by fragment as before.
 
 Equal sets are one class throughout, so copies are never expanded into pairs.
 """
@@ -26,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.shared_store import materialize
@@ -239,12 +242,14 @@ def _sliced(fragments: int):
     return run
 
 
-def _unpacked():
+def _difference(grams, hub_grams):
+    """array<long> of the n-grams of one packed list that the other lacks, of either side."""
+
     @F.pandas_udf("array<long>")
-    def run(lists: pd.Series) -> pd.Series:
-        return lists.map(lambda x: np.frombuffer(b"".join(x), dtype=np.int64).tolist())
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([np.setxor1d(np.frombuffer(p, dtype=np.int64), np.frombuffer(q, dtype=np.int64), assume_unique=True) for p, q in zip(x, y, strict=True)], dtype="object")
 
-    return run
+    return run(grams, hub_grams)
 
 
 def _enough(most, percent: int):
@@ -253,32 +258,95 @@ def _enough(most, percent: int):
 
 
 def _overlaps(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """A fragment's segments and pairs: each pair's partial overlap, and the first set's grams that the second lacks."""
+    """A fragment's segments and pairs: each pair's partial overlap."""
     at = {s: np.frombuffer(g, dtype=np.uint64) for s, g in zip(left["set_id"], left["grams"], strict=True)}
     none, rows = np.zeros(0, dtype=np.uint64), []
     for a, partners in zip(right["a"], right["partners"], strict=True):
         x = at.get(a, none)
         for b in partners:
             y = at.get(b, none)
-            hit = np.zeros(len(x), dtype=bool)
+            part = 0
             if len(y):
                 spot = np.searchsorted(y, x)
                 spot[spot == len(y)] = 0
-                hit = y[spot] == x
-            rows.append((a, b, int(hit.sum()), x[~hit].tobytes()))
-    return pd.DataFrame(rows, columns=["a", "b", "part", "outside"]).astype({"a": "int64", "b": "int64", "part": "int32"})
+                part = int((y[spot] == x).sum())
+            rows.append((a, b, part))
+    return pd.DataFrame(rows, columns=["a", "b", "part"]).astype({"a": "int64", "b": "int64", "part": "int32"})
 
 
-def _counted(pairs: DataFrame, segments: DataFrame, percent: int, with_outside: bool = False) -> DataFrame:
-    """`pairs` (a, b, a_n, b_n, ...) with o, the sum of their partial overlaps; and outside, the lists of a's grams not in b.
+def _counted(pairs: DataFrame, segments: DataFrame) -> DataFrame:
+    """`pairs` (a, b, a_n, b_n, ...) with o, the sum of their partial overlaps.
 
     A set's partners go to its fragments as lists, of which a set with very many has several.
     """
     lists = pairs.groupBy("a", F.pmod(F.xxhash64("b"), F.lit(16)).alias("k")).agg(F.collect_list("b").alias("partners"))
     where = segments.select(F.col("set_id").alias("a"), F.col("frag").alias("at")).join(lists, "a").select("a", "at", "partners")
-    parts = segments.groupBy("frag").cogroup(where.groupBy("at")).applyInPandas(_overlaps, "a long, b long, part int, outside binary")
-    more = [F.collect_list("outside").alias("outside")] if with_outside else []
-    return parts.groupBy("a", "b").agg(F.sum("part").alias("o"), *more).join(pairs, ["a", "b"])
+    parts = segments.groupBy("frag").cogroup(where.groupBy("at")).applyInPandas(_overlaps, "a long, b long, part int")
+    return parts.groupBy("a", "b").agg(F.sum("part").alias("o")).join(pairs, ["a", "b"])
+
+
+def _members(kept: DataFrame, star: DataFrame, first: DataFrame) -> DataFrame:
+    """(set_id, n, shared, comp, hub, prefix) of every candidate."""
+    like = F.col("o") / (F.col("a_n") + F.col("b_n") - F.col("o"))
+    middle = star.groupBy(F.col("a").alias("set_id")).agg(F.max_by("b", F.struct(like, "b")).alias("mid"))
+    own = kept.select("set_id", "n", "shared", "prefix").join(middle, "set_id", "left").join(first.select(F.col("node").alias("set_id"), "component"), "set_id", "left")
+    own = own.join(first.select(F.col("node").alias("mid"), F.col("component").alias("mid_comp")), "mid", "left")
+    own = materialize(own, "placed")
+    # A set with a link is linked with its best match, so every component has such a pair.
+    hubs = own.where("component = mid_comp").groupBy("component", "mid").agg(F.count("*").alias("size"))
+    hubs = hubs.groupBy(F.col("component").alias("of")).agg(F.max_by("mid", F.struct("size", "mid")).alias("hub"))
+    own = own.withColumn("of", F.coalesce("component", "mid_comp", "mid", "set_id")).join(hubs, "of", "left")
+    return own.select("set_id", "n", "shared", F.coalesce("component", "set_id").alias("comp"), F.coalesce("hub", "mid", "set_id").alias("hub"), "prefix")
+
+
+def _near_hubs(members: DataFrame, kept: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links that the hubs prove, between components (src, dst), and the pairs (a, b, a_n, b_n) within a hub that may be links.
+
+    V is kept in whole numbers, 100 + percent times as large.
+    """
+    up, down = 100 + percent, 100 - percent
+    mixed = members.groupBy("hub").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("hub")
+    own = members.select("set_id", "n", "shared", "comp", "hub").join(mixed, "hub")
+    own = own.join(kept.select("set_id", "grams"), "set_id").join(kept.select(F.col("set_id").alias("hub"), F.col("grams").alias("hub_grams")), "hub")
+    own = own.withColumn("d", _difference("grams", "hub_grams")).withColumn("size", F.col("n") - F.col("shared") + F.size("d"))
+    own = materialize(own.select("set_id", "n", "comp", "hub", "d", "size", (F.col("size") * up - F.col("n") * down).cast("long").alias("v")), "differences")
+    least = own.groupBy("hub").agg(F.min("v").alias("v0"), F.min_by("comp", F.struct("v", "set_id")).alias("comp0"))
+    own = own.join(least, "hub").withColumn("core", F.col("v") + F.col("v0") <= 0)
+    proved = materialize(own.where("core AND comp <> comp0").select(F.col("comp").alias("src"), F.col("comp0").alias("dst")).distinct(), "proved")
+    outer = own.where("NOT core").groupBy("hub").agg(F.min("v").alias("v1"))
+    need_ = lambda v: F.ceil(v / (2 * up))
+    own = own.join(outer, "hub").withColumn("t_outer", need_(F.col("v") + F.col("v0"))).withColumn("t_any", need_(F.col("v") + F.col("v1")))
+    posts = own.select("hub", "set_id", "n", "comp", "size", "v", "core", "t_outer", "t_any", F.explode("d").alias("g"))
+    df = posts.groupBy("hub", "g").agg(F.count("*").alias("df"), F.min("comp").alias("x"), F.max("comp").alias("y"), F.min("core").alias("all_core"))
+    # Grams that only one set has come first in the order; lists of one component or without an outer set join nothing.
+    posts = posts.join(df.where("df > 1"), ["hub", "g"])
+    order = Window.partitionBy("hub", "set_id").orderBy("df", "g")
+    posts = posts.withColumn("rank", F.col("size") - F.count("*").over(Window.partitionBy("hub", "set_id")) + F.row_number().over(order)).where("x < y AND NOT all_core")
+    posts = materialize(posts.where(F.col("rank") <= F.col("size") - F.least("t_any", F.when(~F.col("core"), F.col("t_outer")).otherwise(F.col("t_any"))) + 1), "hub_postings")
+    a = posts.where(~F.col("core") & (F.col("rank") <= F.col("size") - F.col("t_outer") + 1))
+    b = posts.where(F.col("rank") <= F.col("size") - F.col("t_any") + 1)
+    a, b = (x.select("hub", "g", *(F.col(c).alias(f"{p}_{c}") for c in ("set_id", "n", "comp", "size", "v", "rank"))) for p, x in (("a", a), ("b", b)))
+    most = F.least(F.col("a_size") - F.col("a_rank"), F.col("b_size") - F.col("b_rank")) + 1
+    pairs = a.join(b, ["hub", "g"]).where(F.col("a_comp") != F.col("b_comp")).where(2 * up * most >= F.col("a_v") + F.col("b_v"))
+    return proved, _ordered(pairs)
+
+
+def _across_hubs(members: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, a_n, b_n) of different hubs and components that may be links."""
+    posts = members.select("set_id", "n", "comp", "hub", (F.col("n") - F.col("shared")).alias("alone"), F.posexplode("prefix").alias("pos", "g"))
+    posts = materialize(posts.withColumn("rank", F.col("alone") + F.col("pos") + 1).drop("alone", "pos"), "postings")
+    kinds = posts.groupBy("g", "hub").agg(F.count("*").alias("size")).groupBy("g").agg(F.max_by("hub", F.struct("size", "hub")).alias("main"), F.count("*").alias("kinds"))
+    posts = posts.join(kinds.where("kinds > 1").select("g", "main"), "g").withColumn("of_main", F.col("hub") == F.col("main"))
+    a, b = (x.select("g", *(F.col(c).alias(f"{p}_{c}") for c in ("set_id", "n", "comp", "hub", "rank", "of_main"))) for p, x in (("a", posts.where("NOT of_main")), ("b", posts)))
+    most = F.least(F.col("a_n") - F.col("a_rank"), F.col("b_n") - F.col("b_rank")) + 1
+    apart = (F.col("a_hub") != F.col("b_hub")) & (F.col("a_comp") != F.col("b_comp")) & (F.col("b_of_main") | (F.col("a_set_id") < F.col("b_set_id")))
+    return _ordered(a.join(b, "g").where(apart).where(_enough(most, percent)))
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    swap = F.col("a_set_id") > F.col("b_set_id")
+    side = lambda c, p, q: F.when(swap, F.col(f"{q}_{c}")).otherwise(F.col(f"{p}_{c}"))
+    return pairs.select(side("set_id", "a", "b").alias("a"), side("set_id", "b", "a").alias("b"), side("n", "a", "b").alias("a_n"), side("n", "b", "a").alias("b_n"))
 
 
 def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -296,8 +364,8 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     fragments = max(8, -(-total // FRAGMENT_GRAMS))
 
     buckets = max(8, fragments // 4)
-    shared = _segments(docs, n, fragments).repartition(fragments, "frag").mapInPandas(_shared(buckets), "bucket int, set_ids binary, sizes binary, lengths binary, grams binary, dfs binary")
-    kept = shared.repartition(buckets, "bucket").mapInPandas(
+    shared = _segments(docs, n, fragments).repartitionById(fragments, "frag").mapInPandas(_shared(buckets), "bucket int, set_ids binary, sizes binary, lengths binary, grams binary, dfs binary")
+    kept = shared.repartitionById(buckets, "bucket").mapInPandas(
         _candidates(percent, KEYS), "set_id long, n int, shared int, centre double, mins array<long>, prefix array<long>, grams binary"
     )
     kept = materialize(kept, "candidates")
@@ -310,46 +378,20 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     best = best.select("k", "m", F.col("x.set_id").alias("b"), F.col("x.n").alias("b_n"))
     pairs = keyed.join(best, ["k", "m"]).where("set_id <> b").select(F.col("set_id").alias("a"), F.col("n").alias("a_n"), "b", "b_n")
     pairs = materialize(pairs.distinct(), "pairs")
-    star = materialize(_counted(pairs, segments, percent, with_outside=True), "star")
+    star = materialize(_counted(pairs, segments), "star")
     near = star.where(_enough(F.col("o"), percent)).select(F.col("a").alias("src"), F.col("b").alias("dst"))
     first = materialize(connected_components(near), "parts")
 
-    # Step 3: links between components. With x's and y's overlaps with a common centre c known, their own overlap is at
-    # most the smaller of those two and what they share outside c. So either the smaller of the two is enough, or they
-    # share a gram outside c; and sets of different centres are bounded by what they share with any set.
-    like = F.col("o") / (F.col("a_n") + F.col("b_n") - F.col("o"))
-    middle = star.groupBy(F.col("a").alias("set_id")).agg(F.max_by(F.struct("b", "o", "outside"), F.struct(like, "b")).alias("c"))
-    own = kept.select("set_id", "n", "shared", "prefix").join(middle, "set_id", "left").join(first.withColumnRenamed("node", "set_id"), "set_id", "left")
-    own = own.select(
-        "set_id", "n", "shared", "prefix", F.coalesce("component", "set_id").alias("comp"), F.coalesce("c.b", "set_id").alias("mid"), F.coalesce("c.o", F.col("n").cast("long")).alias("o"),
-        F.coalesce("c.outside", F.array().cast("array<binary>")).alias("outside"),
-    )
-    own = materialize(own, "members")
-    names = ("set_id", "n", "shared", "comp", "mid", "o", "rest")
-
-    def joined(posts: DataFrame, bound, *more) -> DataFrame:
-        posts = materialize(posts, "postings")
-        mixed = posts.groupBy("g").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("g")
-        posts = materialize(posts.join(mixed, "g"), "mixed")
-        a, b = (posts.select("g", *(F.col(c).alias(f"{p}_{c}") for c in names)) for p in "ab")
-        pairs = a.join(b, "g").where(F.col("a_comp") < F.col("b_comp")).where(bound)
-        return pairs.select(F.col("a_set_id").alias("a"), "a_n", F.col("b_set_id").alias("b"), "b_n", "a_comp", "b_comp", *more)
-
-    same = F.col("a_mid") == F.col("b_mid")
-    by_mid = F.least("a_o", "b_o")
-    rest = (F.col("shared") - F.col("o")).alias("rest")
-    inside = joined(own.select("set_id", "n", "shared", "comp", "mid", "o", rest, F.explode("prefix").alias("g")), _enough(F.when(same, by_mid).otherwise(F.least("a_shared", "b_shared")), percent))
-    grams_of = _unpacked()
-    outside = own.where(F.size("outside") > 0).select("set_id", "n", "shared", "comp", "mid", "o", rest, F.explode(grams_of("outside")).alias("g"))
-    # All their grams outside c are joined, so the rows of a pair are as many as it shares there.
-    outside = joined(outside, same & _enough(by_mid + F.least("a_rest", "b_rest"), percent), by_mid.alias("least_o"))
-    outside = outside.groupBy(*(c for c in outside.columns if c != "g")).agg(F.count("*").alias("m")).where(_enough(F.col("least_o") + F.col("m"), percent)).drop("least_o", "m")
-    across = materialize(inside.unionByName(outside).distinct(), "across")
-    late = _counted(across, segments, percent).where(_enough(F.col("o"), percent)).select(F.col("a_comp").alias("src"), F.col("b_comp").alias("dst"))
-    last = connected_components(late).select(F.col("node").alias("comp"), F.col("component").alias("over"))
-    label = first.select(F.col("node").alias("set_id"), F.col("component").alias("comp"))
-    label = label.unionByName(across.select(F.explode(F.array(F.struct(F.col("a").alias("s"), F.col("a_comp").alias("c")), F.struct(F.col("b").alias("s"), F.col("b_comp").alias("c")))).alias("x")).select(F.col("x.s").alias("set_id"), F.col("x.c").alias("comp")))
-    label = label.distinct().join(last, "comp", "left").select("set_id", F.coalesce("over", "comp").alias("label"))
+    # Step 3: links between components.
+    members = materialize(_members(kept, star, first), "members")
+    proved, pairs = _near_hubs(members, kept, percent)
+    across = materialize(pairs.unionByName(_across_hubs(members, percent)).distinct(), "across")
+    comp = members.select("set_id", "comp")
+    late = _counted(across, segments).where(_enough(F.col("o"), percent)).select("a", "b")
+    late = late.join(comp.select(F.col("set_id").alias("a"), F.col("comp").alias("src")), "a").join(comp.select(F.col("set_id").alias("b"), F.col("comp").alias("dst")), "b")
+    last = connected_components(late.select("src", "dst").unionByName(proved))
+    last = last.select(F.col("node").alias("comp"), F.col("component").alias("over"))
+    label = comp.join(last, "comp", "left").select("set_id", F.coalesce("over", "comp").alias("label"))
 
     grams = sets.where("n_shingles > 0").join(label, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("label", "set_id").alias("label"))
     least = grams.groupBy("label").agg(F.min("doc_id").alias("component_id"))
@@ -359,11 +401,15 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
 
 def near_duplicate_free(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of `docs`, with all columns, of which one stays for each component: the smallest doc_id, and one of its
-    repeated rows. Documents without words are linked with nothing and stay; rows with a null doc_id stay too."""
-    from pyspark.sql import Window
-
+    repeated rows (the first by text). Documents without words are linked with nothing and stay; rows with a null doc_id
+    stay too. An empty table stays empty."""
     joined = ngram_jaccard_join(docs, n, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
     known = docs.withColumn("__id", F.col("doc_id").cast("long"))
     kept = known.join(joined, F.col("__id") == F.col("__gone"), "left_anti")
+    twice = materialize(docs.select(F.col("doc_id").cast("long").alias("__twice")).where("__twice IS NOT NULL").groupBy("__twice").agg(F.count("*").alias("__rows")).where("__rows > 1").select("__twice"), "repeated_ids")
+    if twice.isEmpty():
+        return kept.select(*docs.columns)
+    # Only rows with a repeated id are sorted, by id.
     nth = F.row_number().over(Window.partitionBy("__id").orderBy(F.col("text")))
-    return kept.withColumn("__nth", nth).where("__nth = 1 OR __id IS NULL").select(*docs.columns)
+    one = kept.join(twice, F.col("__id") == F.col("__twice"), "left_semi").withColumn("__nth", nth).where("__nth = 1")
+    return kept.join(twice, F.col("__id") == F.col("__twice"), "left_anti").select(*docs.columns).unionByName(one.select(*docs.columns))

@@ -91,6 +91,34 @@ def test_pruning_skips_and_stays_exact():
         assert np.allclose([-s for s, _ in index.search(terms, 10)], [s for s, _ in want])
 
 
+def test_a_known_threshold_prunes_and_loses_nothing(monkeypatch):
+    rng = random.Random(9)
+    vocab = [f"w{i}" for i in range(200)]
+    texts = [" ".join(rng.choices(vocab, weights=[1 + 3000 // (i + 1) for i in range(200)], k=rng.randrange(5, 60))) for _ in range(2000)]
+    ids = np.array(rng.sample(range(10_000), 2000))
+    index, scored = Index(ids, texts, 30.0), []
+    whole = Index._scored
+    monkeypatch.setattr(Index, "_scored", lambda self, docs, *x: (scored.append(len(docs)), whole(self, docs, *x))[1])
+    for _ in range(40):
+        terms = sorted({term_id(w.encode()): rng.uniform(0.2, 4) for w in rng.sample(vocab, rng.randrange(2, 30))}.items())
+        term, weight = np.array([t for t, _ in terms]), np.array([w for _, w in terms])
+        want = index.search_arrays(term, weight, 10)
+        got = index.search_arrays(term, weight, 10, least=want[0][-1])
+        assert want[0].tolist() == got[0].tolist() and want[1].tolist() == got[1].tolist()
+    assert len(scored) > 20 and np.mean(scored) < 1000
+
+
+def test_ties_and_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(topk_search, "SHARD_CHARS", 40)
+    rows = [(i, "same words here") for i in (9, 3, 30, 12, 7, 21, 40, 5)] + [(3, "same words here"), (9, "also same words"), (50, "other")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    asked = spark.createDataFrame([(1, "same words here"), (3, "same words")], "query_id long, text string")
+    got = {}
+    for r in search(df, asked, k=4).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["doc_id"])
+    assert got == {1: [3, 5, 7, 12], 3: [5, 7, 9, 12]}
+
+
 def test_empty(spark, docs, no_docs):
     none = spark.createDataFrame([], "query_id long, text string")
     assert search(docs, none).collect() == [] and search(no_docs, none).collect() == []

@@ -1,11 +1,16 @@
-"""Exact top-k BM25 search: an inverted index with block bounds, run per shard and merged by global statistics.
+"""Exact top-k BM25 search: an inverted index with block bounds in shards, searched by WAND's pivot and block-max bounds.
 
-Documents are dealt to shards by a hash of their id. Each shard builds an inverted index of all its words, in blocks of
-postings of which the largest score is known (the index of block-max WAND, Ding and Suel, 2011). In place of WAND's
-pivots and cursors, whole blocks of documents are scored in falling order of their summed bounds, a few at a time; the
-k-th best score rises meanwhile, and the search ends at the first block whose bound is below it. Document frequencies,
+A shard is a run of documents that one task reads; it is indexed where it is read, so texts are never shuffled, and kept
+as packed arrays in the shared folder: of each term its postings in ascending order of documents, of which the largest
+score is known for the term and for each block of documents (block-max WAND, Ding and Suel, 2011). Document frequencies,
 the number of documents and their mean length are those of the whole corpus, so scores of all shards are comparable and
-the k best of the shards' k best are the k best of all. Queries go to every shard in bundles.
+the k best of the shards' k best are the k best of all.
+
+Queries are searched in blocks of a bounded size, each sent to all tasks that hold shards. WAND's pivot is taken for a
+whole shard at once: with a query's terms in rising order of their bounds, those before the pivot can't reach the k-th
+best score together, so a document with none of the others is skipped. What is left is skipped by the bounds of its
+block, and then scored whole. The k-th best score rises from shard to shard of a task, and every shard starts from that
+of a few pilot shards, which are searched first: so shards return few rows that aren't answers.
 """
 
 from __future__ import annotations
@@ -16,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,10 +31,11 @@ K1, B = 1.2, 0.75
 #: Documents in a block.
 BLOCK = 64
 CACHE_WORDS = 300_000
-#: Characters of text in a shard, about: bounds what one task indexes.
-SHARD_CHARS = 16 << 20
-#: Queries in a bundle, about.
-BUNDLE = 64
+#: Characters of text in a shard, about, and documents at most: bounds what is indexed at a time.
+SHARD_CHARS = 6 << 20
+SHARD_DOCS = 60_000
+#: Terms of the queries that are searched at a time, about.
+BLOCK_TERMS = 1_000_000
 
 
 def words(text: str | None) -> list[bytes]:
@@ -54,95 +61,139 @@ class TermIds(dict):
 class Index:
     """Postings of a shard by term: documents in ascending order with their BM25 score, less the idf.
 
-    Documents are in blocks of `BLOCK` by position; of each term and block the largest score is known.
+    Documents are in blocks of `BLOCK` by position; of each term, and of each term and block, the largest score is known.
     """
 
     def __init__(self, ids: np.ndarray, texts: list, mean_length: float):
         order = np.argsort(ids, kind="stable")
-        self.ids = ids[order]
-        known, terms, tfs, sizes, lengths = TermIds(), [], [], [], []
-        for i in order:
-            found = words(texts[i])
-            t, n = np.unique(np.fromiter(map(known.__getitem__, found), dtype=np.int64, count=len(found)), return_counts=True)
-            terms.append(t)
-            tfs.append(n)
-            sizes.append(len(t))
-            lengths.append(len(found))
-        term = np.concatenate(terms) if terms else np.zeros(0, dtype=np.int64)
-        tf = np.concatenate(tfs).astype(np.float64) if tfs else np.zeros(0)
-        doc = np.repeat(np.arange(len(sizes)), sizes)
-        norm = K1 * (1 - B + B * np.array(lengths, dtype=np.float64) / max(mean_length, 1e-9))
-        by = np.argsort(term, kind="stable")
-        term = term[by]
-        self.docs = doc[by]
-        self.scores = (tf * (K1 + 1) / (tf + norm[doc]))[by] if len(doc) else tf
-        self.terms, self.first = np.unique(term, return_index=True)
-        self.last = np.r_[self.first[1:], len(term)]
+        self._load(unpacked(packed(ids[order], [texts[i] for i in order], TermIds())), mean_length)
+
+    @classmethod
+    def of(cls, row: dict, mean_length: float) -> Index:
+        index = cls.__new__(cls)
+        index._load(unpacked(row), mean_length)
+        return index
+
+    def _load(self, x: dict[str, np.ndarray], mean_length: float) -> None:
+        self.ids, self.terms, self.docs = x["ids"], x["terms"], x["docs"]
+        n = len(self.docs)
+        self.entry_first = x["first"]  # of each term, and the end
+        tf = x["tfs"].astype(np.float64)
+        norm = K1 * (1 - B + B * x["lengths"].astype(np.float64) / max(mean_length, 1e-9))
+        self.scores = tf * (K1 + 1) / (tf + norm[self.docs]) if n else tf
+        self.term_of = np.repeat(np.arange(len(self.terms), dtype=np.int32), np.diff(self.entry_first))
+        # The same postings by document, in the order of terms: scores are added in that order everywhere.
+        self.by_doc = np.argsort(self.docs, kind="stable")
+        self.doc_first = np.searchsorted(self.docs[self.by_doc], np.arange(len(self.ids) + 1))
+        self.top = np.maximum.reduceat(self.scores, self.entry_first[:-1]) if n else tf
+        # A run is the postings of one term in one block.
+        block = self.docs.astype(np.int64) // BLOCK
+        start = np.flatnonzero(np.r_[True, (self.term_of[1:] != self.term_of[:-1]) | (block[1:] != block[:-1])][:n])
+        self.run_block = block[start]
+        self.run_top = np.maximum.reduceat(self.scores, start) if n else tf
+        self.run_first = np.searchsorted(start, self.entry_first)
         self.blocks = -(-len(self.ids) // BLOCK)
-        # An entry is the postings of one term in one block.
-        block = self.docs // BLOCK
-        self.start = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])][: len(term)])
-        self.end = np.r_[self.start[1:], len(term)][: len(self.start)]
-        self.block = block[self.start]
-        self.top = np.maximum.reduceat(self.scores, self.start) if len(self.start) else self.scores
-        self.entry = np.searchsorted(self.start, np.r_[self.first, len(term)])
+        self.weight = np.zeros(len(self.terms))
 
     def postings(self, term: int) -> tuple | None:
         """(documents, scores) of a term."""
         i = int(np.searchsorted(self.terms, term))
         if i == len(self.terms) or self.terms[i] != term:
             return None
-        x = slice(self.first[i], self.last[i])
+        x = slice(self.entry_first[i], self.entry_first[i + 1])
         return self.docs[x], self.scores[x]
 
     def search(self, terms: list[tuple[int, float]], k: int, skip: int | None = None) -> list[tuple[float, int]]:
         """The k best (score, doc_id), higher scores first, then smaller ids, without the id `skip`; exact."""
-        terms = sorted(terms, key=lambda x: (-x[1], x[0]))
-        return self.search_arrays(np.array([t for t, _ in terms], dtype=np.int64), np.array([w for _, w in terms], dtype=np.float64), k, skip)
+        terms = sorted(terms)
+        score, ids = self.search_arrays(np.array([t for t, _ in terms], dtype=np.int64), np.array([w for _, w in terms], dtype=np.float64), k, skip)
+        return list(zip(score.tolist(), ids.tolist(), strict=True))
 
-    def search_arrays(self, term: np.ndarray, weight: np.ndarray, k: int, skip: int | None = None) -> list[tuple[float, int]]:
-        """search() for distinct terms in the order in which their scores are added."""
+    def search_arrays(self, term: np.ndarray, weight: np.ndarray, k: int, skip: int | None = None, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """search() for distinct terms in ascending order, of documents that score `least` or more: (scores, ids)."""
+        none = np.zeros(0), np.zeros(0, dtype=np.int64)
         if not len(self.terms) or not len(term) or k < 1:
-            return []
-        at = np.minimum(np.searchsorted(self.terms, term), len(self.terms) - 1)
+            return none
+        at = np.searchsorted(self.terms, term)
+        at[at == len(self.terms)] = 0
         known = self.terms[at] == term
         at, weight = at[known], weight[known]
         if not len(at):
-            return []
-        sizes = self.entry[at + 1] - self.entry[at]
-        entries, weight = spread(self.entry[at], sizes), np.repeat(weight, sizes)
-        block = self.block[entries]
-        bound = np.bincount(block, weights=weight * self.top[entries], minlength=self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
+            return none
+        found = self._candidates(at, weight, least * (1 - 1e-9)) if least > 0 else None
+        if found is None:
+            sizes = self.entry_first[at + 1] - self.entry_first[at]
+            places = spread(self.entry_first[at], sizes)
+            score = np.bincount(self.docs[places], weights=np.repeat(weight, sizes) * self.scores[places], minlength=len(self.ids))
+            found = np.flatnonzero(score)
+            score = score[found]
+        else:
+            score = self._scored(found, at, weight)
+        keep = (score > 0) & (score >= least)
         if skip is not None:
-            i = int(np.searchsorted(self.ids, skip))
-            skip = i if i < len(self.ids) and self.ids[i] == skip else None
-        score, least = np.zeros(len(self.ids)), 0.0
-        done, step = 0, max(4, -(-2 * (k + 1) // BLOCK))
-        while done < len(order):
-            ahead = order[done : done + step]
-            ahead = ahead[bound[ahead] * (1 + 1e-12) >= least]
-            if not len(ahead):
-                break
-            wanted = np.zeros(self.blocks, dtype=bool)
-            wanted[ahead] = True
-            hit = wanted[block]
-            own, w = entries[hit], weight[hit]
-            # Term by term in each document, so that equal documents have equal sums.
-            sizes = self.end[own] - self.start[own]
-            places = spread(self.start[own], sizes)
-            score += np.bincount(self.docs[places], weights=np.repeat(w, sizes) * self.scores[places], minlength=len(score))
-            if skip is not None:
-                score[skip] = 0
-            full = score[score > 0]
-            if len(full) >= k:
-                least = np.partition(full, len(full) - k)[len(full) - k]
-            done += step
-            step *= 2
-        best = np.flatnonzero((score > 0) & (score >= least))
-        best = best[np.lexsort((best, -score[best]))[:k]]
-        return [(float(score[d]), int(self.ids[d])) for d in best]
+            keep &= self.ids[found] != skip
+        score, found = score[keep], found[keep]
+        if len(score) > k:
+            keep = score >= np.partition(score, len(score) - k)[len(score) - k]
+            score, found = score[keep], found[keep]
+        ids = self.ids[found]
+        best = np.lexsort((ids, -score))[:k]
+        return score[best], ids[best]
+
+    def _candidates(self, at: np.ndarray, weight: np.ndarray, least: float) -> np.ndarray | None:
+        """Documents that may score `least` or more; None if the bounds tell nothing."""
+        bound = weight * self.top[at]
+        order = np.argsort(bound, kind="stable")
+        upto = np.cumsum(bound[order])
+        pivot = int(np.searchsorted(upto, least, side="left"))
+        if pivot == len(order):
+            return np.zeros(0, dtype=np.int64)  # not even all of them
+        if not pivot:
+            return None
+        low, high = order[:pivot], order[pivot:]
+        sizes = self.entry_first[at[high] + 1] - self.entry_first[at[high]]
+        places = spread(self.entry_first[at[high]], sizes)
+        part = np.bincount(self.docs[places], weights=np.repeat(weight[high], sizes) * self.scores[places], minlength=len(self.ids))
+        found = np.flatnonzero((part > 0) & (part + upto[pivot - 1] >= least))
+        if len(found) * 4 > pivot:  # else scoring them costs less than looking at the blocks
+            sizes = self.run_first[at[low] + 1] - self.run_first[at[low]]
+            runs = spread(self.run_first[at[low]], sizes)
+            most = np.bincount(self.run_block[runs], weights=np.repeat(weight[low], sizes) * self.run_top[runs], minlength=self.blocks)
+            found = found[part[found] + most[found // BLOCK] >= least]
+        return found
+
+    def _scored(self, docs: np.ndarray, at: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        self.weight[at] = weight
+        sizes = self.doc_first[docs + 1] - self.doc_first[docs]
+        places = self.by_doc[spread(self.doc_first[docs], sizes)]
+        out = np.bincount(np.repeat(np.arange(len(docs)), sizes), weights=self.weight[self.term_of[places]] * self.scores[places], minlength=len(docs))
+        self.weight[at] = 0
+        return out
+
+
+SHARD = "ids binary, lengths binary, terms binary, first binary, docs binary, tfs binary"
+KINDS = {"ids": np.int64, "lengths": np.int32, "terms": np.int64, "first": np.int64, "docs": np.uint16, "tfs": np.int32}
+
+
+def packed(ids: np.ndarray, texts: list, known: TermIds) -> dict[str, bytes]:
+    """A shard's postings as arrays, by term and document."""
+    terms, tfs, lengths = [], [], np.zeros(len(ids), dtype=np.int32)
+    for i, text in enumerate(texts):
+        found = words(text)
+        t, n = np.unique(np.fromiter(map(known.__getitem__, found), dtype=np.int64, count=len(found)), return_counts=True)
+        terms.append(t)
+        tfs.append(n)
+        lengths[i] = len(found)
+    docs = np.repeat(np.arange(len(ids)), [len(t) for t in terms])
+    term, tf = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (terms, tfs))
+    by = np.argsort(term, kind="stable")
+    kinds, first = np.unique(term[by], return_index=True)
+    x = {"ids": ids, "lengths": lengths, "terms": kinds, "first": np.r_[first, len(term)], "docs": docs[by], "tfs": tf[by]}
+    return {c: np.ascontiguousarray(v, dtype=KINDS[c]).tobytes() for c, v in x.items()}
+
+
+def unpacked(row) -> dict[str, np.ndarray]:
+    return {c: np.frombuffer(row[c], dtype=kind) for c, kind in KINDS.items()}
 
 
 def spread(start: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -151,18 +202,35 @@ def spread(start: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + sizes, sizes)
 
 
-def _terms(docs: DataFrame) -> DataFrame:
-    """(term, df): rows that have the term, to be added up by term; summed in each task's batches first."""
+def _shards(docs: DataFrame) -> DataFrame:
+    """A row for each shard of `docs` (doc_id, text)."""
+    chars, most = SHARD_CHARS, SHARD_DOCS
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids = TermIds()
+        known, ids, texts, size = TermIds(), [], [], 0
         for pdf in batches:
-            counts: Counter[bytes] = Counter()
-            for t in pdf["text"]:
-                counts.update(set(words(t)))
-            yield pd.DataFrame({"term": np.fromiter(map(ids.__getitem__, counts), dtype=np.int64, count=len(counts)), "df": np.fromiter(counts.values(), dtype=np.int64, count=len(counts))})
+            for d, t in zip(pdf["doc_id"].tolist(), pdf["text"], strict=True):
+                ids.append(d)
+                texts.append(t)
+                size += len(t)
+                if size >= chars or len(ids) >= most:
+                    yield pd.DataFrame([packed(np.array(ids, dtype=np.int64), texts, known)])
+                    ids, texts, size = [], [], 0
+        if ids:
+            yield pd.DataFrame([packed(np.array(ids, dtype=np.int64), texts, known)])
+
+    return docs.select("doc_id", "text").mapInPandas(run, SHARD)
 
-    return docs.select("text").mapInPandas(run, "term long, df long")
+
+def _frequencies(shards: DataFrame) -> DataFrame:
+    """(term, df): documents that have the term, to be added up by term."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for terms, first in zip(pdf["terms"], pdf["first"], strict=True):
+                yield pd.DataFrame({"term": np.frombuffer(terms, dtype=np.int64), "df": np.diff(np.frombuffer(first, dtype=np.int64))})
+
+    return shards.select("terms", "first").mapInPandas(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
 
 
 def _query_words(queries: DataFrame) -> DataFrame:
@@ -185,48 +253,85 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, query_terms: int |
     asked; repeated rows are one document (the first by text). An empty table gives an empty result; other columns are
     not read.
     """
+    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("doc_id IS NOT NULL")
     queries = queries.select(F.col("query_id").cast("long").alias("query_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("query_id IS NOT NULL")
     queries = queries.groupBy("query_id").agg(F.min("text").alias("text"))
-    stats = docs.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.sum(F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+"))).alias("words")).first()
-    n, mean = float(stats["n"]), float(stats["words"] or 0) / max(stats["n"], 1)
-    shards = max(4, -(-(stats["chars"] or 0) // SHARD_CHARS))
-    docs = docs.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int"))
+    shards = materialize(_shards(docs).withColumn("n", F.length("ids") / 8).withColumn("words", _total("lengths")), "shards")
+    size = shards.agg(F.coalesce(F.sum("n"), F.lit(0.0)), F.coalesce(F.sum("words"), F.lit(0)), F.count("*")).first()
+    n, mean = float(size[0]), float(size[1]) / max(size[0], 1)
+    twice = materialize(docs.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"), "repeated_ids")
+    searched = shards
+    if not twice.isEmpty():
+        # Statistics are of all rows; of rows with one id only the first by text is searched.
+        once = docs.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+        searched = materialize(_shards(docs.join(twice, "doc_id", "left_anti").unionByName(once)), "shards")
+
     asked = materialize(_query_words(queries), "query_words")
-    wanted = asked.select("term").distinct()
-    total = _terms(docs).groupBy("term").agg(F.sum("df").alias("df")).join(wanted, "term", "left_semi")
+    total = _frequencies(shards).join(asked.select("term").distinct(), "term", "left_semi")
     weight = F.log1p((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     asked = asked.join(total, "term").withColumn("idf", weight)
     if query_terms is not None:
         best = Window.partitionBy("query_id").orderBy((F.col("tf") * F.col("idf")).desc(), "term")
         asked = asked.withColumn("r", F.row_number().over(best)).where(F.col("r") <= query_terms)
-    bundles = max(1, -(-queries.count() // BUNDLE))
-    asked = asked.select("query_id", "term", "idf", F.pmod(F.xxhash64("query_id"), F.lit(bundles)).alias("bundle"))
-
-    def bundle(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["query_id", "idf", "term"], ascending=[True, False, True])
-        q = pdf["query_id"].to_numpy()
-        first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
-        return pd.DataFrame({"ids": [q[first].tobytes()], "first": [np.r_[first, len(q)].tobytes()], "terms": [pdf["term"].to_numpy().tobytes()], "idfs": [pdf["idf"].to_numpy().tobytes()]})
-
-    bundled = materialize(asked.groupBy("bundle").applyInPandas(bundle, "ids binary, first binary, terms binary, idfs binary"), "queries")
-    routed = bundled.withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(int(shards) - 1))))
-
-    def answer(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        if len(left) and len(right):
-            left = left.sort_values(["doc_id", "text"]).drop_duplicates("doc_id")
-            index = Index(left["doc_id"].to_numpy(dtype=np.int64), left["text"].tolist(), mean)
-            for ids, first, terms, idfs in zip(right["ids"], right["first"], right["terms"], right["idfs"], strict=True):
-                ids, first = np.frombuffer(ids, dtype=np.int64), np.frombuffer(first, dtype=np.int64)
-                terms, idfs = np.frombuffer(terms, dtype=np.int64), np.frombuffer(idfs, dtype=np.float64)
-                for q, a, b in zip(ids.tolist(), first[:-1], first[1:], strict=True):
-                    rows += [(q, d, s) for s, d in index.search_arrays(terms[a:b], idfs[a:b], k, q if skip_self else None)]
-        return pd.DataFrame(rows, columns=["query_id", "doc_id", "score"]).astype({"query_id": "int64", "doc_id": "int64", "score": "float64"})
-
-    per_shard = docs.groupBy("shard").cogroup(routed.groupBy("to")).applyInPandas(answer, "query_id long, doc_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id"))
-    return per_shard.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+    asked = materialize(asked.select("query_id", "term", "idf"), "queries")
+    blocks = max(1, -(-asked.count() // BLOCK_TERMS))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    # Pilots are one in so many shards that they return about as many rows as all shards do afterwards.
+    every = max(1, round(size[2] ** 0.5))
+    searched = searched.withColumn("pilot", F.pmod(F.xxhash64("ids"), F.lit(every)) == 0)
+
+    def answers(part: DataFrame, sent: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            asked_ids, first, terms, idfs, least = sent.value
+            best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, dtype=np.int64))] * len(asked_ids)
+            least = least.copy()
+            for pdf in batches:
+                for row in pdf.to_dict("records"):
+                    index = Index.of(row, mean)
+                    for i, q in enumerate(asked_ids.tolist()):
+                        x = slice(first[i], first[i + 1])
+                        score, ids = index.search_arrays(terms[x], idfs[x], k, q if skip_self else None, least[i])
+                        if len(score):
+                            score, ids = np.r_[best[i][0], score], np.r_[best[i][1], ids]
+                            order = np.lexsort((ids, -score))[:k]
+                            best[i] = score[order], ids[order]
+                            if len(order) == k:
+                                least[i] = max(least[i], score[order[-1]])
+            sizes = [len(s) for s, _ in best]
+            if sum(sizes):
+                yield pd.DataFrame({"query_id": np.repeat(asked_ids, sizes), "doc_id": np.concatenate([d for _, d in best]), "score": np.concatenate([s for s, _ in best])})
+
+        return part.select(*KINDS).mapInPandas(run, "query_id long, doc_id long, score double")
+
+    rank = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
+    best_of = lambda df: df.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
+    out = []
+    for b in range(blocks):
+        x = asked.where(F.col("block") == b).select("query_id", "term", "idf").toPandas().sort_values(["query_id", "term"])  # BLOCK_TERMS rows, about
+        q = x["query_id"].to_numpy(dtype=np.int64)
+        first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]][: len(q)])
+        sent = [q[first], np.r_[first, len(q)], x["term"].to_numpy(dtype=np.int64), x["idf"].to_numpy(dtype=np.float64)]
+        pilot = materialize(best_of(answers(searched.where("pilot"), spark.sparkContext.broadcast((*sent, np.zeros(len(first)))))).drop("rank"), "pilot")
+        known = pilot.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("s")).where(F.col("n") == k).toPandas()  # a row a query
+        least = np.zeros(len(first))
+        least[np.searchsorted(q[first], known["query_id"].to_numpy(dtype=np.int64))] = known["s"]
+        rest = answers(searched.where("NOT pilot"), spark.sparkContext.broadcast((*sent, least)))
+        out.append(materialize(best_of(pilot.unionByName(rest)), "answers"))
+    found = out[0]
+    for more in out[1:]:
+        found = found.unionByName(more)
+    return found.select("query_id", "rank", "doc_id", "score")
+
+
+def _total(packed_ints: str):
+    """Sum of a packed array of 32-bit integers."""
+
+    @F.pandas_udf("long")
+    def run(x: pd.Series) -> pd.Series:
+        return x.map(lambda b: int(np.frombuffer(b, dtype=np.int32).sum(dtype=np.int64)))
+
+    return run(packed_ints)
 
 
 def search_rows(docs: DataFrame, every: int = 100, k: int = 10, query_terms: int | None = 12) -> DataFrame:

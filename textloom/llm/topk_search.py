@@ -32,10 +32,10 @@ K1, B = 1.2, 0.75
 BLOCK = 64
 CACHE_WORDS = 300_000
 #: Characters of text in a shard, about, and documents at most: bounds what is indexed at a time.
-SHARD_CHARS = 6 << 20
+SHARD_CHARS = 24 << 20
 SHARD_DOCS = 60_000
 #: Terms of the queries that are searched at a time, about.
-BLOCK_TERMS = 1_000_000
+BLOCK_TERMS = 600_000
 
 
 def words(text: str | None) -> list[bytes]:
@@ -75,25 +75,27 @@ class Index:
         return index
 
     def _load(self, x: dict[str, np.ndarray], mean_length: float) -> None:
-        self.ids, self.terms, self.docs = x["ids"], x["terms"], x["docs"]
+        self.ids, self.terms, self.docs = x["ids"], x["terms"], x["docs"].astype(np.int64)
         n = len(self.docs)
         self.entry_first = x["first"]  # of each term, and the end
         tf = x["tfs"].astype(np.float64)
         norm = K1 * (1 - B + B * x["lengths"].astype(np.float64) / max(mean_length, 1e-9))
         self.scores = tf * (K1 + 1) / (tf + norm[self.docs]) if n else tf
-        self.term_of = np.repeat(np.arange(len(self.terms), dtype=np.int32), np.diff(self.entry_first))
-        # The same postings by document, in the order of terms: scores are added in that order everywhere.
-        self.by_doc = np.argsort(self.docs, kind="stable")
-        self.doc_first = np.searchsorted(self.docs[self.by_doc], np.arange(len(self.ids) + 1))
+        term_of = np.repeat(np.arange(len(self.terms)), np.diff(self.entry_first))
+        # The same postings by document, in the order of terms: equal documents have equal sums in every shard.
+        by_doc = np.argsort(x["docs"], kind="stable")
+        self.own_terms, self.own_scores = term_of[by_doc], self.scores[by_doc]
+        self.doc_first = np.searchsorted(self.docs[by_doc], np.arange(len(self.ids) + 1)).tolist()
         self.top = np.maximum.reduceat(self.scores, self.entry_first[:-1]) if n else tf
         # A run is the postings of one term in one block.
-        block = self.docs.astype(np.int64) // BLOCK
-        start = np.flatnonzero(np.r_[True, (self.term_of[1:] != self.term_of[:-1]) | (block[1:] != block[:-1])][:n])
+        block = self.docs // BLOCK
+        start = np.flatnonzero(np.r_[True, (term_of[1:] != term_of[:-1]) | (block[1:] != block[:-1])][:n])
         self.run_block = block[start]
         self.run_top = np.maximum.reduceat(self.scores, start) if n else tf
         self.run_first = np.searchsorted(start, self.entry_first)
         self.blocks = -(-len(self.ids) // BLOCK)
         self.weight = np.zeros(len(self.terms))
+        self.doc_terms = 2 * n / max(1, len(self.ids))  # what scoring a document whole costs, in postings that are added up
 
     def postings(self, term: int) -> tuple | None:
         """(documents, scores) of a term."""
@@ -120,53 +122,58 @@ class Index:
         at, weight = at[known], weight[known]
         if not len(at):
             return none
-        found = self._candidates(at, weight, least * (1 - 1e-9)) if least > 0 else None
-        if found is None:
-            sizes = self.entry_first[at + 1] - self.entry_first[at]
-            places = spread(self.entry_first[at], sizes)
-            score = np.bincount(self.docs[places], weights=np.repeat(weight, sizes) * self.scores[places], minlength=len(self.ids))
-            found = np.flatnonzero(score)
-            score = score[found]
-        else:
-            score = self._scored(found, at, weight)
+        found = self._candidates(at, weight, k, least * (1 - 1e-9))
+        score = self._scored(found, at, weight)
         keep = (score > 0) & (score >= least)
         if skip is not None:
             keep &= self.ids[found] != skip
-        score, found = score[keep], found[keep]
-        if len(score) > k:
-            keep = score >= np.partition(score, len(score) - k)[len(score) - k]
-            score, found = score[keep], found[keep]
-        ids = self.ids[found]
+        score, ids = score[keep], self.ids[found[keep]]
         best = np.lexsort((ids, -score))[:k]
         return score[best], ids[best]
 
-    def _candidates(self, at: np.ndarray, weight: np.ndarray, least: float) -> np.ndarray | None:
-        """Documents that may score `least` or more; None if the bounds tell nothing."""
-        bound = weight * self.top[at]
+    def _sums(self, at: np.ndarray, weight: np.ndarray, into: np.ndarray) -> None:
+        """Adds the terms' scores to all documents: frequent terms one by one, the others together."""
+        sizes = self.entry_first[at + 1] - self.entry_first[at]
+        often = sizes >= 48
+        rare, n = at[~often], sizes[~often]
+        places = spread(self.entry_first[rare], n)
+        docs, scores = [self.docs[places]], [np.repeat(weight[~often], n) * self.scores[places]]
+        first, last = self.entry_first[at[often]].tolist(), self.entry_first[at[often] + 1].tolist()
+        docs += [self.docs[a:b] for a, b in zip(first, last, strict=True)]
+        scores += [w * self.scores[a:b] for a, b, w in zip(first, last, weight[often].tolist(), strict=True)]
+        into += np.bincount(np.concatenate(docs), weights=np.concatenate(scores), minlength=len(self.ids))
+
+    def _candidates(self, at: np.ndarray, weight: np.ndarray, k: int, least: float) -> np.ndarray:
+        """The documents that may be among the k + 1 best and score `least` or more, by bounds and rounded sums."""
+        part, bound = np.zeros(len(self.ids)), weight * self.top[at]
         order = np.argsort(bound, kind="stable")
         upto = np.cumsum(bound[order])
         pivot = int(np.searchsorted(upto, least, side="left"))
         if pivot == len(order):
             return np.zeros(0, dtype=np.int64)  # not even all of them
-        if not pivot:
-            return None
         low, high = order[:pivot], order[pivot:]
-        sizes = self.entry_first[at[high] + 1] - self.entry_first[at[high]]
-        places = spread(self.entry_first[at[high]], sizes)
-        part = np.bincount(self.docs[places], weights=np.repeat(weight[high], sizes) * self.scores[places], minlength=len(self.ids))
-        found = np.flatnonzero((part > 0) & (part + upto[pivot - 1] >= least))
-        if len(found) * 4 > pivot:  # else scoring them costs less than looking at the blocks
+        self._sums(at[high], weight[high], part)
+        if pivot:
+            found = np.flatnonzero((part > 0) & (part + upto[pivot - 1] >= least))
+            cost = int((self.entry_first[at[low] + 1] - self.entry_first[at[low]]).sum())
             sizes = self.run_first[at[low] + 1] - self.run_first[at[low]]
-            runs = spread(self.run_first[at[low]], sizes)
-            most = np.bincount(self.run_block[runs], weights=np.repeat(weight[low], sizes) * self.run_top[runs], minlength=self.blocks)
-            found = found[part[found] + most[found // BLOCK] >= least]
+            if len(found) * self.doc_terms > cost > 4 * int(sizes.sum()):  # else the blocks' bounds cost more than they save
+                runs = spread(self.run_first[at[low]], sizes)
+                most = np.bincount(self.run_block[runs], weights=np.repeat(weight[low], sizes) * self.run_top[runs], minlength=self.blocks)
+                found = found[part[found] + most[found // BLOCK] >= least]
+            if len(found) * self.doc_terms <= cost:
+                return found
+            self._sums(at[low], weight[low], part)
+        found = np.flatnonzero((part > 0) & (part >= least))
+        if len(found) > k + 1:  # one of them may be the query itself
+            top = part[found]
+            found = found[top >= np.partition(top, len(top) - k - 1)[len(top) - k - 1] * (1 - 1e-9)]
         return found
 
     def _scored(self, docs: np.ndarray, at: np.ndarray, weight: np.ndarray) -> np.ndarray:
         self.weight[at] = weight
-        sizes = self.doc_first[docs + 1] - self.doc_first[docs]
-        places = self.by_doc[spread(self.doc_first[docs], sizes)]
-        out = np.bincount(np.repeat(np.arange(len(docs)), sizes), weights=self.weight[self.term_of[places]] * self.scores[places], minlength=len(docs))
+        rows = [slice(self.doc_first[d], self.doc_first[d + 1]) for d in docs.tolist()]
+        out = np.array([(self.weight[self.own_terms[x]] * self.own_scores[x]).sum() for x in rows])
         self.weight[at] = 0
         return out
 
@@ -308,14 +315,16 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, query_terms: int |
     best_of = lambda df: df.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
     out = []
     for b in range(blocks):
-        x = asked.where(F.col("block") == b).select("query_id", "term", "idf").toPandas().sort_values(["query_id", "term"])  # BLOCK_TERMS rows, about
-        q = x["query_id"].to_numpy(dtype=np.int64)
+        x = asked.where(F.col("block") == b).select("query_id", "term", "idf").toArrow()  # BLOCK_TERMS rows, about
+        q, term, idfs = (x.column(c).to_numpy() for c in ("query_id", "term", "idf"))
+        order = np.lexsort((term, q))
+        q, term, idfs = q[order], term[order], idfs[order]
         first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]][: len(q)])
-        sent = [q[first], np.r_[first, len(q)], x["term"].to_numpy(dtype=np.int64), x["idf"].to_numpy(dtype=np.float64)]
+        sent = [q[first], np.r_[first, len(q)], term, idfs]
         pilot = materialize(best_of(answers(searched.where("pilot"), spark.sparkContext.broadcast((*sent, np.zeros(len(first)))))).drop("rank"), "pilot")
-        known = pilot.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("s")).where(F.col("n") == k).toPandas()  # a row a query
+        known = pilot.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("s")).where(F.col("n") == k).select("query_id", "s").toArrow()  # a row a query
         least = np.zeros(len(first))
-        least[np.searchsorted(q[first], known["query_id"].to_numpy(dtype=np.int64))] = known["s"]
+        least[np.searchsorted(q[first], known.column("query_id").to_numpy())] = known.column("s").to_numpy()
         rest = answers(searched.where("NOT pilot"), spark.sparkContext.broadcast((*sent, least)))
         out.append(materialize(best_of(pilot.unionByName(rest)), "answers"))
     found = out[0]

@@ -1,8 +1,9 @@
 import hashlib
+import random
 
 from pyspark.sql import functions as F
 
-from textloom.llm.winnowing import CHUNK, edited_fingerprint, fingerprint, fingerprint_table
+from textloom.llm.winnowing import CHUNK, edited, edited_fingerprint, fingerprint, fingerprint_table, with_next
 
 
 def chosen(hashes, w):
@@ -59,6 +60,24 @@ def test_table(docs, texts, spark):
     assert apart and all(r["near_edited"] > 0.4 > 0.2 > r["near_next"] for r in apart)
 
 
+def following(rows):
+    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, (r[1] or "").encode()))
+    return sorted((str(d), hashlib.sha256(((t or "")[: len(t or "") - len(t or "") // 4] + (o or "")[: len(t or "") // 4]).encode()).hexdigest()) for (d, t), (_, o) in zip(rows, rows[1:] + rows[:1], strict=True))
+
+
+def test_ids_of_any_kind(spark):
+    """Wide and outlying ids, and rows without ids."""
+    rng = random.Random(2)
+    text = lambda: "".join(rng.choice("abcdé ") for _ in range(rng.randrange(40)))
+    wide = [(rng.randrange(-(2**63), 2**63), text()) for _ in range(300)] + [(2**63 - 1, "top"), (-(2**63), "bottom"), (2**63 - 2, "under")]
+    far = [(i, text()) for i in range(200)] + [(2**62, "far")]
+    none = [(None, text()) for _ in range(60)] + [(None, None)]
+    for rows in (wide, far, none, far + none):
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        got = with_next(df, 20).select("doc_id", F.sha2(edited(F.col("text"), F.col("n_chars"), F.col("next_text")).cast("binary"), 256).alias("e")).collect()
+        assert sorted((str(r["doc_id"]), r["e"]) for r in got) == following(rows)
+
+
 def test_edited_marks_are_those_of_the_edited_text(spark, texts):
     rows = [(t[: n], t[: n - n // 4] + texts[9][1][: n // 4], n - n // 4) for _, t in texts[:8] for n in (5, 20, 30, 31, 40, 100) if len(t) >= n]
     df = spark.createDataFrame(rows, "t string, e string, kept long")

@@ -84,20 +84,41 @@ def as_text(marks: Column) -> Column:
     return F.array_join(F.transform(marks, lambda m: F.concat(m["pos"].cast("string"), F.lit(":"), F.lower(F.hex(m["hash"])))), ",")
 
 
+#: Quantiles of the ids between which ranges are cut evenly.
+KNOTS = 256
+#: Ranges of the rows without an id.
+NULL_RANGES = 4096
+
+
+def _range_of(doc_id: Column, text: Column, knots: list[float], ranges: int) -> Column:
+    """A number that grows with (doc_id, text): the knots below the id, and one of `ranges` even ranges between two of them.
+
+    All steps are monotone in floating point, so no range overlaps another. Null ids come first, by their texts' first bytes.
+    """
+    x, at = doc_id.cast("double"), F.array(*(F.lit(float(k)) for k in knots))
+    below = F.size(F.filter(at, lambda k: k <= x))
+    lo, hi = F.get(at, F.greatest(below - 1, F.lit(0))), F.get(at, F.least(below, F.lit(len(knots) - 1)))
+    inner = F.when(hi > lo, F.least(F.floor((x - lo) / (hi - lo) * ranges), F.lit(ranges - 1))).otherwise(0)
+    prefix = F.conv(F.rpad(F.hex(F.substring(text.cast("binary"), 1, 5)), 10, "0"), 16, 10).cast("double")
+    null = F.floor(prefix / float(1 << 40) * NULL_RANGES) - NULL_RANGES
+    return F.when(doc_id.isNull(), null).otherwise(below * F.lit(ranges) + F.greatest(inner, F.lit(0))).cast("long")
+
+
 def with_next(docs: DataFrame, rows_in_bucket: int = 500) -> DataFrame:
     """`docs` (doc_id, text) with n_chars, marks, own (their hashes), and next_text and next_own of the row after it by (doc_id, text).
 
-    The row after the last is the first. Ids are cut into ranges of about `rows_in_bucket` rows each (by their mean
-    distance), so rows are shuffled once, to their range, and no window spans the table; the first rows of the ranges,
-    one in `rows_in_bucket`, are shuffled once more, to the range before. Ids that are far from evenly spread make
-    ranges uneven, not results wrong. A null id comes before all others.
+    The row after the last is the first. Ids are cut into ranges of about `rows_in_bucket` rows each, evenly between
+    quantiles, so an outlying id doesn't stretch the others' ranges; rows are shuffled once, to their range, and no window
+    spans the table; the first rows of the ranges, one in `rows_in_bucket`, are shuffled once more, to the range before. Ids
+    that are very uneven between two quantiles make ranges uneven, not results wrong. A null id comes before all others;
+    rows without one are dealt by their texts' first bytes.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    span = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
-    lo, hi, n = span["lo"] or 0, span["hi"] or 0, max(span["n"], 1)
-    width = max(1, (hi - lo) * rows_in_bucket // n)
+    span = docs.agg(F.percentile_approx("doc_id", [k / KNOTS for k in range(KNOTS + 1)]).alias("knots"), F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    n = max(span["n"], 1)
+    knots = sorted({float(k) for k in span["knots"] or ()}) or [0.0]
     parts = max(8, min(-(-n // rows_in_bucket), -(-(span["bytes"] or 0) // (8 << 20))))
-    bucket = F.coalesce(F.floor((F.col("doc_id") - F.lit(lo)) / F.lit(width)).cast("long"), F.lit(-1))
+    bucket = _range_of(F.col("doc_id"), F.col("text"), knots, max(1, n // (rows_in_bucket * len(knots))))
     docs = docs.withColumn("bucket", bucket).repartition(parts, "bucket")
     order = Window.partitionBy("bucket").orderBy(F.col("doc_id").asc_nulls_first(), "text")
     rows = docs.withColumn("n_chars", F.length("text").cast("long")).withColumn("marks", fingerprint(F.col("text")))

@@ -17,7 +17,9 @@ BLOCK = 256
 
 
 def turn_header(role: Column, name: Column) -> Column:
-    return F.concat(F.lit("<|im_start|>"), role, F.when(role == "user", F.concat(F.lit(" name="), name)).otherwise(F.lit("")), F.lit("\n"))
+    """The header of a turn. Markers in a name are broken up, and line breaks are spaces there, so that it can't end the header."""
+    safe = F.translate(F.replace(name, F.lit("<|"), F.lit("<\\|")), "\r\n", "  ")
+    return F.concat(F.lit("<|im_start|>"), role, F.when(role == "user", F.concat(F.lit(" name="), safe)).otherwise(F.lit("")), F.lit("\n"))
 
 
 def rotate_perspectives(conversations: DataFrame) -> DataFrame:
@@ -25,8 +27,8 @@ def rotate_perspectives(conversations: DataFrame) -> DataFrame:
 
     `conversations`: (conv_id, turn, role, text). `segment` is the rendered turn, [start, end) its place, in characters,
     in the rendering of its conversation for `speaker`; the loss mask is [mask_start, mask_end), the content and end mark
-    of that speaker's turns, null elsewhere. Markers within a text are broken up by a backslash, so that a text can't
-    open or close a turn. Turns are in the order of (turn, role, text), nulls first; repeated rows are repeated turns. A
+    of that speaker's turns, null elsewhere. Markers within a text or name are broken up by a backslash, and line breaks in a
+    name are spaces in its header, so that neither can open or close a turn. Turns are in the order of (turn, role, text), nulls first; repeated rows are repeated turns. A
     null text is empty, a null role is a participant named "unknown", a null conv_id is a conversation of its own, and
     a conversation of system turns alone has no participant and no row. An empty table gives an empty result. Columns of
     `conversations` with other names are not read.
@@ -38,7 +40,7 @@ def rotate_perspectives(conversations: DataFrame) -> DataFrame:
         F.col("conv_id").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
         F.coalesce(F.col("role").cast("string"), F.lit(UNKNOWN)).alias("name"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    c = c.withColumn("text", F.replace("text", F.lit("<|"), F.lit("<\\|"))).withColumn("key", F.coalesce(F.col("conv_id").cast("string"), F.lit("")))
+    c = c.withColumn("text", F.replace("text", F.lit("<|"), F.lit("<\\|")))
     c = c.withColumn("block", F.floor(F.coalesce(F.col("turn"), F.lit(-1)) / BLOCK))
     speakers = c.where(F.col("name") != SYSTEM).select(F.col("conv_id").alias("of"), F.col("name").alias("speaker")).distinct()
     t = c.join(speakers, F.col("conv_id").eqNullSafe(F.col("of"))).drop("of")
@@ -84,7 +86,7 @@ t AS (
     CASE WHEN c.name = 'system' THEN 'system' WHEN c.name = s.speaker THEN 'assistant' ELSE 'user' END AS role
   FROM c JOIN s ON c.conv_id IS NOT DISTINCT FROM s.conv_id
 ), h AS (
-  SELECT *, '<|im_start|>' || role || CASE WHEN role = 'user' THEN ' name=' || name ELSE '' END || chr(10) AS head FROM t
+  SELECT *, '<|im_start|>' || role || CASE WHEN role = 'user' THEN ' name=' || translate(replace(name, '<|', '<' || chr(92) || '|'), chr(13) || chr(10), '  ') ELSE '' END || chr(10) AS head FROM t
 ), g AS (SELECT *, head || text || '<|im_end|>' || chr(10) AS segment FROM h),
 o AS (
   SELECT *, length(segment) AS size,

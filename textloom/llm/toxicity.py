@@ -27,6 +27,8 @@ EDGE = ".,;:!?()[]{}<>\"'*&%$#|/\\-_=+~`"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 PREFIXES = (4, 5, 6)
 CACHE_WORDS = 400_000
+#: Tokens of a chain when the field is learned; scoring follows whole texts.
+CHAIN = 512
 
 
 def features(word: str) -> list[str]:
@@ -161,11 +163,12 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 60, field_texts: int
         return model
     marks = _token_labels([t for t, y in zip(texts, toxic, strict=True) if y], [t for t, y in zip(texts, toxic, strict=True) if not y])
     pick = np.flatnonzero(toxic)[:field_texts].tolist() + np.flatnonzero(~toxic)[:field_texts].tolist()
-    words = {i: _words(texts[i]) for i in pick}
+    # Long texts are learned from as chains of CHAIN tokens, so that the texts' steps stay side by side.
+    words = [(i, w[at : at + CHAIN]) for i in pick for w in (_words(texts[i]),) for at in range(0, max(1, len(w)), CHAIN)]
     types: dict[bytes, int] = {}
-    flat = np.fromiter((types.setdefault(w, len(types)) for i in pick for w in words[i]), dtype=np.int64)
-    lengths = np.array([len(words[i]) for i in pick])
-    owner_toxic = np.repeat(toxic[pick], lengths)
+    flat = np.fromiter((types.setdefault(w, len(types)) for _, chain in words for w in chain), dtype=np.int64)
+    lengths = np.array([len(chain) for _, chain in words])
+    owner_toxic = np.repeat(toxic[[i for i, _ in words]], lengths)
     feats = [features(w.decode("utf-8", "replace")) for w in types]
     known = sorted(marks)
     index = {f: j for j, f in enumerate(known)}

@@ -37,10 +37,10 @@ from textloom.operators.components import connected_components
 
 M1, M2, ROLL = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
 #: N-grams in a fragment, about: bounds what one task holds.
-FRAGMENT_GRAMS = 2_000_000
+FRAGMENT_GRAMS = 1_000_000
 #: Min-hashes of a set, each of which gives it one pair in step 2.
 KEYS = 4
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 
 
 class WordHash(dict):
@@ -91,7 +91,7 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
 
 
 #: Grams that a task gathers before it sends their segments.
-SEND_GRAMS = 1_000_000
+SEND_GRAMS = 500_000
 
 
 def _segments(docs: DataFrame, n: int, fragments: int) -> DataFrame:

@@ -34,7 +34,7 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 EDGE = ".,;:!?()[]{}<>\"'*&%$#|/\\-_=+~`"
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 #: Revealing (entity, term) rows that are sent to all tasks.
 BROADCAST_ROWS = 200_000
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -143,7 +143,7 @@ def _counts(texts: DataFrame) -> DataFrame:
                         entity.append(np.full(len(own), e, dtype=np.int64))
                         term.append(own)
                         waiting += len(own)
-                        if waiting > 500_000:
+                        if waiting > 250_000:
                             yield table(entity, term, [np.ones(waiting, dtype=np.int64)])
                             entity, term, waiting = [], [], 0
             entity.append(np.zeros(len(df), dtype=np.int64))

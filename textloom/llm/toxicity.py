@@ -26,7 +26,7 @@ from textloom.functions.shared_store import materialize
 EDGE = ".,;:!?()[]{}<>\"'*&%$#|/\\-_=+~`"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 PREFIXES = (4, 5, 6)
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 #: Tokens of a chain when the field is learned; scoring follows whole texts.
 CHAIN = 512
 
@@ -169,10 +169,9 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 60, field_texts: int
     flat = np.fromiter((types.setdefault(w, len(types)) for _, chain in words for w in chain), dtype=np.int64)
     lengths = np.array([len(chain) for _, chain in words])
     owner_toxic = np.repeat(toxic[[i for i, _ in words]], lengths)
-    feats = [features(w.decode("utf-8", "replace")) for w in types]
     known = sorted(marks)
     index = {f: j for j, f in enumerate(known)}
-    pairs = [(i, index[f]) for i, fs in enumerate(feats) for f in fs if f in index]
+    pairs = [(i, index[f]) for i, w in enumerate(types) for f in features(w.decode("utf-8", "replace")) if f in index]
     tt, ff = (np.array(x, dtype=np.int64) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 2
     marked = np.zeros(len(types), dtype=bool)
     marked[tt] = True

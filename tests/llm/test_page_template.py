@@ -1,6 +1,9 @@
+import random
+
 import pytest
 
-from textloom.llm.page_template import Page, deduce_templates, extract, main_text
+from textloom.llm import page_template
+from textloom.llm.page_template import Page, deduce_templates, extract, main_text, nested, token_hash
 
 ARTICLE = "<article><h1>Head &amp; all</h1><p>One<br>two  three.<p>Four <b>five</p><aside>side</aside><form>mail <input></form><div class='share-bar'>share</div></article>"
 
@@ -53,3 +56,39 @@ def test_long_and_odd_pages():
     assert main_text(deep) == "x"
     assert main_text("<" * 5000) == "<" * 5000
     assert len(Page("<p>" + "a " * 100_000).blocks) == 1
+
+
+def test_classes_nest_or_go():
+    outer, inner, apart = [(0, 1), (10, 2), (20, 3)], [(12, 4), (15, 5)], [(30, 6), (31, 7)]
+    crossing = [(5, 8), (12, 9)]
+    assert nested([inner, crossing, apart, outer]) == [outer, inner, apart]
+
+
+def brute_tokens(pages, support=0.5, least=2):
+    """Tokens of the host's classes by whole occurrence vectors."""
+    own = [Page(h, with_tokens=True) for h in sorted(set(pages))]
+    vectors = {}
+    for t in {t for p in own for t in p.tokens}:
+        v = tuple(p.tokens[t] for p in own)
+        if sum(x > 0 for x in v) >= support * len(own):
+            at = [p.places[t] for p in own if t in p.places]
+            vectors.setdefault(v, []).append((sum(at) / len(at), token_hash(t)))
+    return {k for c in nested([c for c in vectors.values() if len(c) >= least]) for _, k in c}
+
+
+def test_templates_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(page_template, "CHUNK_TOKENS", 60)
+    rng = random.Random(3)
+    rows, by_host = [], {}
+    for i in range(90):
+        h = f"h{rng.choice([0, 0, 1, 2])}.example"
+        words = " ".join(f"w{rng.randrange(40)}" for _ in range(rng.randrange(3, 20)))
+        extra = "<aside><b>Read also</b> tip</aside>" if rng.random() < 0.6 else ""
+        html = f"<html><body><div class=top>Menu {h}</div><article><p>{words}</p>{extra}<p>by staff of {h}</p></article></body></html>"
+        for _ in range(rng.choice([1, 1, 2])):
+            rows.append((i, f"https://{h}/{i}", html))
+        by_host.setdefault(h, []).append(html)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    for most in (1 << 20, 0):
+        got = {r["host"]: set(r["tokens"]) for r in deduce_templates(df, broadcast_bytes=most).collect()}
+        assert got == {h: brute_tokens(v) for h, v in by_host.items()}

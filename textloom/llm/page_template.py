@@ -2,11 +2,16 @@
 
 A page is a sequence of tokens: its tags and its words, each told apart by its path in the page. A token's occurrence
 vector is how often each page of a host has it. Tokens with one vector form an equivalence class; the tokens of classes
-that are large and frequent enough are the template's. The classes are not ordered or nested: a block of text is a slot
-if any word of it is not the template's. A host's pages are never brought together: a vector is known by two sums over
+that are large and frequent enough are ordered and nested into the host's template; a block of text is a slot if any word of
+it is not the template's. A host's pages are never brought together: a vector is known by two sums over
 the host's distinct pages of a hash of (page, count), which add up in any order and on any number of machines, and equal
 vectors have equal sums.
 
+Only tokens that may be frequent enough are summed: what is on a share of all pages of a host is on that share of them in
+one chunk of pages at least, so a first pass counts each chunk by itself and keeps the tokens that reach the share there.
+Classes are valid if they keep one order and nest: in order of their mean places, a class lies between two tokens of
+another, or the other between two of its own, or the two lie apart. Of two classes that cross, the smaller is dropped.
+
 The template decides the slots of every page, in articles and outside, and, by the text that flows through them, which
 container is the main one. Of the slots, pages then keep those of their article, or else of the host's main container,
 without menus, headers, footers, sidebars, notices, adverts, forms and comments.
@@ -15,6 +20,7 @@ without menus, headers, footers, sidebars, notices, adverts, forms and comments.
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from collections import Counter
 from collections.abc import Iterator
 from html import unescape
@@ -63,6 +69,7 @@ class Page:
         self.blocks: list[tuple[str, bool, str]] = []
         self.tokens: Counter[str] = Counter()
         self.mass: Counter[str] = Counter()
+        self.places: dict[str, int] = {}  # of a token's first occurrence
         self._stack: list[tuple[str, bool, bool, str]] = []  # name, dropped, in an article, path
         self._text: list[str] = []
         self._links = 0
@@ -72,6 +79,10 @@ class Page:
     def _top(self) -> tuple[str, bool, bool, str]:
         return self._stack[-1] if self._stack else ("", False, False, "")
 
+    def _token(self, token: str) -> None:
+        self.tokens[token] += 1
+        self.places.setdefault(token, len(self.places))
+
     def _flush(self) -> None:
         text = SPACE.sub(" ", unescape("".join(self._text))).strip()
         self._text = []
@@ -81,7 +92,7 @@ class Page:
         _, dropped, article, path = self._top()
         if self._with_tokens:
             for w in text.split(" "):
-                self.tokens[f"{path}|{w}"] += 1
+                self._token(f"{path}|{w}")
         if not dropped:
             self.blocks.append((text, article, path))
             self.mass[path.rpartition("/")[0]] += max(0, len(text) - 2 * links)
@@ -99,7 +110,7 @@ class Page:
         label = _names(a.get("class", "") + " " + a.get("id", "")) if a else set()
         path = f"{path}/{name}" + (f".{'.'.join(sorted(label))}" if label else "")
         if self._with_tokens:
-            self.tokens["<" + path] += 1
+            self._token("<" + path)
         if name in VOID:
             return
         if name in ("article", "main") or a.get("role") in ("main", "article") or a.get("itemprop") == "articleBody":
@@ -129,7 +140,7 @@ class Page:
         if any(x[0] == name for x in self._stack):
             if self._with_tokens:
                 path = next(x[3] for x in reversed(self._stack) if x[0] == name)
-                self.tokens[">" + path] += 1
+                self._token(">" + path)
             self._close_to(name)
         elif name == "p":
             pass
@@ -187,54 +198,136 @@ def _host_of(url: str):
     return hosts(url)
 
 
-def _occurrences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(host, kind, key, pages, count, v1, v2): kind 0 are tokens, 1 containers (count: characters), 2 the page itself."""
-    sums: dict[tuple[str, int, int], list[int]] = {}
+#: Tokens of hosts that a chunk of pages holds, about.
+CHUNK_TOKENS = 300_000
+
+
+def _frequent(support: float):
+    """Pages to (host, key): tokens on the share `support` of a host's pages in one chunk."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pages: Counter[str] = Counter()
+        seen: dict[str, Counter[int]] = {}
+        size = 0
+
+        def flush() -> pd.DataFrame:
+            out = [(h, k) for h, counts in seen.items() for k, n in counts.items() if n >= support * pages[h]]
+            pages.clear()
+            seen.clear()
+            return pd.DataFrame(out, columns=["host", "key"])
+
+        for pdf in batches:
+            for url, html in zip(pdf["url"], pdf["html"], strict=True):
+                h = host(url)
+                own = seen.setdefault(h, Counter())
+                before = len(own)
+                own.update(map(token_hash, Page(html, with_tokens=True).tokens))
+                pages[h] += 1
+                size += len(own) - before
+                if size > CHUNK_TOKENS:
+                    yield flush()
+                    size = 0
+        yield flush()
+
+    return run
 
-    def flush() -> pd.DataFrame:
-        out = pd.DataFrame([(*k, *x) for k, x in sums.items()], columns=["host", "kind", "key", "pages", "count", "v1", "v2"])
-        sums.clear()
-        return out
 
-    for pdf in batches:
+def _sums(wanted: dict[str, set[int]] | None):
+    """Pages to (host, kind, key, pages, count, v1, v2, place), to be added up: kind 0 are tokens (of `wanted`, if given), 1
+    containers (count: characters), 2 the page itself."""
 
-        def add(h, kind, key, count, v1=0, v2=0):
-            x = sums.setdefault((h, kind, key), [0, 0, 0, 0])
-            x[0] += 1
-            x[1] += count
-            x[2] += v1
-            x[3] += v2
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple[str, int, int], list[int]] = {}
 
-        for url, html in zip(pdf["url"], pdf["html"], strict=True):
-            page, h = Page(html, with_tokens=True), host(url)
-            seed = xxhash.xxh64_intdigest(html or "")
-            add(h, 2, 0, 1)
-            for token, count in page.tokens.items():
-                v = xxhash.xxh64_intdigest(count.to_bytes(8, "little"), seed=seed)
-                add(h, 0, token_hash(token), count, v & 0x7FFFFFFF, v >> 32 & 0x7FFFFFFF)
-            for path, mass in page.mass.items():
-                add(h, 1, token_hash(path), mass)
-            if len(sums) > 50_000:
-                yield flush()
-    yield flush()
+        def flush() -> pd.DataFrame:
+            out = pd.DataFrame([(*k, *x) for k, x in sums.items()], columns=["host", "kind", "key", "pages", "count", "v1", "v2", "place"])
+            sums.clear()
+            return out
 
+        def add(h, kind, key, count, v1=0, v2=0, place=0):
+            x = sums.setdefault((h, kind, key), [0, 0, 0, 0, 0])
+            for i, v in enumerate((1, count, v1, v2, place)):
+                x[i] += v
 
-def deduce_templates(pages: DataFrame, min_pages: int = 3, support: float = 0.5, min_tokens: int = 2) -> DataFrame:
+        for pdf in batches:
+            for url, html in zip(pdf["url"], pdf["html"], strict=True):
+                page, h = Page(html, with_tokens=True), host(url)
+                seed = xxhash.xxh64_intdigest(html or "")
+                own = None if wanted is None else wanted.get(h, frozenset())
+                add(h, 2, 0, 1)
+                for token, count in page.tokens.items():
+                    key = token_hash(token)
+                    if own is None or key in own:
+                        v = xxhash.xxh64_intdigest(count.to_bytes(8, "little"), seed=seed)
+                        add(h, 0, key, count, v & 0x7FFFFFFF, v >> 32 & 0x7FFFFFFF, page.places[token])
+                for path, mass in page.mass.items():
+                    add(h, 1, token_hash(path), mass)
+                if len(sums) > 50_000:
+                    yield flush()
+        yield flush()
+
+    return run
+
+
+def nested(classes: list[list[tuple[float, int]]]) -> list[list[tuple[float, int]]]:
+    """The valid ones of a host's classes, each a list of (mean place, token): largest first, those that cross none before."""
+
+    def crosses(a: list[float], b: list[float]) -> bool:
+        if a[-1] < b[0] or b[-1] < a[0]:
+            return False
+        gap = lambda x, outer: bisect(outer, x)
+        return gap(b[0], a) != gap(b[-1], a) and gap(a[0], b) != gap(a[-1], b)
+
+    kept: list[tuple[list[float], list[tuple[float, int]]]] = []
+    for c in sorted(classes, key=lambda c: (-len(c), sorted(c))):
+        places = sorted(p for p, _ in c)
+        if not any(crosses(other, places) for other, _ in kept):
+            kept.append((places, c))
+    return [c for _, c in kept]
+
+
+def _template(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The template of one host from its frequent tokens: no more than two average pages have."""
+    classes: dict[tuple, list[tuple[float, int]]] = {}
+    for key, pages, v1, v2, place in zip(pdf["key"].tolist(), pdf["pages"].tolist(), pdf["v1"].tolist(), pdf["v2"].tolist(), pdf["place"].tolist(), strict=True):
+        classes.setdefault((pages, v1, v2), []).append((place / pages, key))
+    least = int(pdf["least"].iloc[0])
+    valid = nested([c for c in classes.values() if len(c) >= least])
+    return pd.DataFrame({"host": [pdf["host"].iloc[0]], "tokens": [[k for c in valid for _, k in c]]})
+
+
+def deduce_templates(pages: DataFrame, min_pages: int = 3, support: float = 0.5, min_tokens: int = 2, broadcast_bytes: int = 32 << 20) -> DataFrame:
     """(host, tokens, container) of each host with at least `min_pages` distinct pages; copies of a page are no template.
 
-    tokens: hashes of the tokens in equivalence classes of `min_tokens` or more that occur on the share `support` of the
-    host's pages at least. There are no more of them than two average pages have, whatever the host's size. container:
-    the path that holds most of the host's text.
+    tokens: hashes of the tokens of valid equivalence classes of `min_tokens` or more that occur on the share `support` of
+    the host's pages at least; there are no more of them than two average pages have, whatever the host's size. container:
+    the path that holds most of the host's text. Null pages are empty, null urls are of the empty host; an empty table has
+    no template. The tokens that may be frequent are sent to all tasks up to `broadcast_bytes`; beyond, all are summed.
     """
-    once = pages.select("url", "html").withColumn("h", _host_of("url")).withColumn("x", F.xxhash64("html")).dropDuplicates(["h", "x"])
-    found = once.select("url", "html").mapInPandas(_occurrences, "host string, kind int, key long, pages long, count long, v1 long, v2 long")
-    found = found.groupBy("host", "kind", "key").agg(*(F.sum(c).alias(c) for c in ("pages", "count", "v1", "v2")))
-    found = materialize(found, "occurrences")
-    hosts = found.where("kind = 2").select("host", F.col("pages").alias("total")).where(F.col("total") >= min_pages)
-    tokens = found.where("kind = 0").join(hosts, "host").where(F.col("pages") >= support * F.col("total"))
-    classes = tokens.groupBy("host", "pages", "v1", "v2").agg(F.collect_list("key").alias("keys")).where(F.size("keys") >= min_tokens)
-    tokens = classes.groupBy("host").agg(F.flatten(F.collect_list("keys")).alias("tokens"))
-    main = found.where("kind = 1").groupBy("host").agg(F.max_by("key", F.struct("count", "key")).alias("container"))
+    spark = pages.sparkSession
+    once = pages.select("url", "html").withColumn("h", _host_of("url")).withColumn("x", F.xxhash64("html"))
+    # Copies are found by hashes: a page's text isn't shuffled for it.
+    copied = materialize(once.groupBy("h", "x").agg(F.count("*").alias("n")).where("n > 1"), "page_copies")
+    if not copied.isEmpty():
+        single = once.join(copied.select("h", "x"), ["h", "x"], "left_anti")
+        once = single.unionByName(once.join(copied.select("h", "x"), ["h", "x"], "left_semi").dropDuplicates(["h", "x"]).select(*single.columns))
+    once = once.select("url", "html")
+    found = materialize(once.mapInPandas(_frequent(support), "host string, key long").distinct(), "frequent")
+    size = found.agg(F.coalesce(F.sum(F.length("host") + 16), F.lit(0))).first()[0]
+    wanted = None
+    if size <= broadcast_bytes:
+        rows = found.toArrow()
+        wanted = {}
+        for h, k in zip(rows.column("host").to_pylist(), rows.column("key").to_pylist(), strict=True):
+            wanted.setdefault(h, set()).add(k)
+    sent = spark.sparkContext.broadcast(wanted)
+    sums = once.mapInPandas(lambda batches: _sums(sent.value)(batches), "host string, kind int, key long, pages long, count long, v1 long, v2 long, place long")
+    sums = sums.groupBy("host", "kind", "key").agg(*(F.sum(c).alias(c) for c in ("pages", "count", "v1", "v2", "place")))
+    sums = materialize(sums, "occurrences")
+    hosts = sums.where("kind = 2").select("host", F.col("pages").alias("total")).where(F.col("total") >= min_pages)
+    tokens = sums.where("kind = 0").join(hosts, "host").where(F.col("pages") >= support * F.col("total")).withColumn("least", F.lit(min_tokens))
+    tokens = tokens.select("host", "key", "pages", "v1", "v2", "place", "least").groupBy("host").applyInPandas(_template, "host string, tokens array<long>").where(F.size("tokens") > 0)
+    main = sums.where("kind = 1").groupBy("host").agg(F.max_by("key", F.struct("count", "key")).alias("container"))
     return tokens.join(main, "host", "left")
 
 

@@ -3,7 +3,7 @@ import random
 import pytest
 
 from textloom.llm import page_template
-from textloom.llm.page_template import Page, deduce_templates, extract, main_text, nested, token_hash
+from textloom.llm.page_template import Page, deduce_templates, extract, main_text, nested
 
 ARTICLE = "<article><h1>Head &amp; all</h1><p>One<br>two  three.<p>Four <b>five</p><aside>side</aside><form>mail <input></form><div class='share-bar'>share</div></article>"
 
@@ -72,7 +72,7 @@ def brute_tokens(pages, support=0.5, least=2):
         v = tuple(p.tokens[t] for p in own)
         if sum(x > 0 for x in v) >= support * len(own):
             at = [p.places[t] for p in own if t in p.places]
-            vectors.setdefault(v, []).append((sum(at) / len(at), token_hash(t)))
+            vectors.setdefault(v, []).append((sum(at) / len(at), t))
     return {k for c in nested([c for c in vectors.values() if len(c) >= least]) for _, k in c}
 
 

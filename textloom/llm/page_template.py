@@ -62,14 +62,45 @@ def _names(value: str) -> set[str]:
     return {x.lower() for x in NAME.findall(value)}
 
 
+class WordsOf(dict):
+    """Token hashes of the words under one path."""
+
+    def __init__(self, path: str, cache: WordKeys):
+        super().__init__()
+        self.path, self.cache = path, cache
+
+    def __missing__(self, word: str) -> int:
+        self[word] = key = token_hash(f"{self.path}|{word}")
+        self.cache.size += 1
+        return key
+
+
+class WordKeys(dict):
+    """WordsOf by path, kept between a worker's pages; emptied when full."""
+
+    size = 0
+
+    def of(self, path: str) -> WordsOf:
+        if self.size > 200_000:
+            self.clear()
+            self.size = 0
+        if path not in self:
+            self[path] = WordsOf(path, self)
+            self.size += 1
+        return self[path]
+
+
+WORD_KEYS = WordKeys()
+
+
 class Page:
     """Blocks of a page: (text, whether in an article, path of its container); and the tokens of its template."""
 
     def __init__(self, html: str | None, with_tokens: bool = False):
         self.blocks: list[tuple[str, bool, str]] = []
-        self.tokens: Counter[str] = Counter()
+        self.tokens: dict[int, int] = {}  # by hash
         self.mass: Counter[str] = Counter()
-        self.places: dict[str, int] = {}  # of a token's first occurrence
+        self.places: dict[int, int] = {}  # of a token's first occurrence
         self._stack: list[tuple[str, bool, bool, str]] = []  # name, dropped, in an article, path
         self._text: list[str] = []
         self._links = 0
@@ -79,9 +110,12 @@ class Page:
     def _top(self) -> tuple[str, bool, bool, str]:
         return self._stack[-1] if self._stack else ("", False, False, "")
 
-    def _token(self, token: str) -> None:
-        self.tokens[token] += 1
-        self.places.setdefault(token, len(self.places))
+    def _token(self, key: int) -> None:
+        n = self.tokens.get(key)
+        if n is None:
+            self.tokens[key], self.places[key] = 1, len(self.places)
+        else:
+            self.tokens[key] = n + 1
 
     def _flush(self) -> None:
         text = SPACE.sub(" ", unescape("".join(self._text))).strip()
@@ -91,8 +125,9 @@ class Page:
             return
         _, dropped, article, path = self._top()
         if self._with_tokens:
+            known = WORD_KEYS.of(path)
             for w in text.split(" "):
-                self._token(f"{path}|{w}")
+                self._token(known[w])
         if not dropped:
             self.blocks.append((text, article, path))
             self.mass[path.rpartition("/")[0]] += max(0, len(text) - 2 * links)
@@ -110,7 +145,7 @@ class Page:
         label = _names(a.get("class", "") + " " + a.get("id", "")) if a else set()
         path = f"{path}/{name}" + (f".{'.'.join(sorted(label))}" if label else "")
         if self._with_tokens:
-            self._token("<" + path)
+            self._token(token_hash("<" + path))
         if name in VOID:
             return
         if name in ("article", "main") or a.get("role") in ("main", "article") or a.get("itemprop") == "articleBody":
@@ -140,7 +175,7 @@ class Page:
         if any(x[0] == name for x in self._stack):
             if self._with_tokens:
                 path = next(x[3] for x in reversed(self._stack) if x[0] == name)
-                self._token(">" + path)
+                self._token(token_hash(">" + path))
             self._close_to(name)
         elif name == "p":
             pass
@@ -221,7 +256,7 @@ def _frequent(support: float):
                 h = host(url)
                 own = seen.setdefault(h, Counter())
                 before = len(own)
-                own.update(map(token_hash, Page(html, with_tokens=True).tokens))
+                own.update(Page(html, with_tokens=True).tokens.keys())
                 pages[h] += 1
                 size += len(own) - before
                 if size > CHUNK_TOKENS:
@@ -245,9 +280,15 @@ def _sums(wanted: dict[str, set[int]] | None):
             return out
 
         def add(h, kind, key, count, v1=0, v2=0, place=0):
-            x = sums.setdefault((h, kind, key), [0, 0, 0, 0, 0])
-            for i, v in enumerate((1, count, v1, v2, place)):
-                x[i] += v
+            x = sums.get((h, kind, key))
+            if x is None:
+                sums[h, kind, key] = [1, count, v1, v2, place]
+            else:
+                x[0] += 1
+                x[1] += count
+                x[2] += v1
+                x[3] += v2
+                x[4] += place
 
         for pdf in batches:
             for url, html in zip(pdf["url"], pdf["html"], strict=True):
@@ -255,11 +296,10 @@ def _sums(wanted: dict[str, set[int]] | None):
                 seed = xxhash.xxh64_intdigest(html or "")
                 own = None if wanted is None else wanted.get(h, frozenset())
                 add(h, 2, 0, 1)
-                for token, count in page.tokens.items():
-                    key = token_hash(token)
-                    if own is None or key in own:
-                        v = xxhash.xxh64_intdigest(count.to_bytes(8, "little"), seed=seed)
-                        add(h, 0, key, count, v & 0x7FFFFFFF, v >> 32 & 0x7FFFFFFF, page.places[token])
+                for key in page.tokens if own is None else page.tokens.keys() & own:
+                    count = page.tokens[key]
+                    v = xxhash.xxh64_intdigest(count.to_bytes(8, "little"), seed=seed)
+                    add(h, 0, key, count, v & 0x7FFFFFFF, v >> 32 & 0x7FFFFFFF, page.places[key])
                 for path, mass in page.mass.items():
                     add(h, 1, token_hash(path), mass)
                 if len(sums) > 50_000:

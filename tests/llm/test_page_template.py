@@ -69,7 +69,7 @@ def brute_tokens(pages, support=0.5, least=2):
     own = [Page(h, with_tokens=True) for h in sorted(set(pages))]
     vectors = {}
     for t in {t for p in own for t in p.tokens}:
-        v = tuple(p.tokens[t] for p in own)
+        v = tuple(p.tokens.get(t, 0) for p in own)
         if sum(x > 0 for x in v) >= support * len(own):
             at = [p.places[t] for p in own if t in p.places]
             vectors.setdefault(v, []).append((sum(at) / len(at), t))

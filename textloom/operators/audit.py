@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -77,6 +79,15 @@ def _found(sentence: Column, vocab: tuple[str, ...], lang: str, phrases: tuple[s
     return F.array_sort(F.filter(F.array(*hits), lambda h: h["at"].isNotNull()))
 
 
+def _any_word(sentence: Column, vocab: tuple[str, ...], lang: str, phrases: tuple[str, ...]) -> Column:
+    """Whether `_found` finds a word."""
+    tests = []
+    for w in dict.fromkeys(vocab):
+        has = F.contains(sentence, F.lit(_low(w) if lang == "en" else w))
+        tests.append(has & sentence.rlike(_claim_pattern(_low(w), phrases)) if lang == "en" else has)
+    return reduce(or_, tests, F.lit(False))
+
+
 def markers(sentence: Column, vocab: tuple[str, ...], lang: str) -> Column:
     """Certainty markers in the sentence, in the vocabulary's order."""
     words = [w for w in dict.fromkeys(vocab) if w]
@@ -108,11 +119,13 @@ def candidates(docs: DataFrame, lang: str = "ja", vocab: tuple[str, ...] | None
     vocab = LANGS[lang][0] if vocab is None else tuple(vocab)
     modifiers = LANGS[lang][1] if modifiers is None else tuple(modifiers)
     phrases = tuple(_low(p) for p in (EXCLUSIONS_EN if exclusions is None else exclusions)) if lang == "en" else ()
-    rows = sentence_rows(docs, lang).withColumn("sentence_text", T.strip(F.col("text")))
+    # Forms that the tests share are made with the units: above the explode they'd be computed anew in every test.
+    forms = lambda u: F.struct(u["start"], u["end"], T.strip(u["text"]).alias("sentence_text"), (T.ascii_lower(u["text"]) if lang == "en" else u["text"]).alias("low"))
+    rows = docs.select("doc_id", F.explode(F.transform(sentence_units(F.col("text"), lang), forms)).alias("u")).select("doc_id", "u.*")
     if lang == "en":
         rows = rows.where(~F.col("sentence_text").endswith("?"))
-    rows = rows.withColumn("low", T.ascii_lower(F.col("text")) if lang == "en" else F.col("text"))
-    rows = rows.withColumn("hits", _found(F.col("low"), vocab, lang, phrases)).where(F.size("hits") > 0)
+    # The words are listed for sentences that have one; letters are looked for before a word's pattern is tried.
+    rows = rows.where(_any_word(F.col("low"), vocab, lang, phrases)).withColumn("hits", _found(F.col("low"), vocab, lang, phrases))
     seq = F.row_number().over(Window.partitionBy("doc_id").orderBy("start"))
     s = F.col("sentence_text")
     return rows.select(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from textloom.functions.fixed import ABBREVIATIONS_EN, EXCLUSIONS_EN, QUANTIFIERS_EN
 from textloom.operators import audit, risk
 from textloom.plans.screening import audit_receipt
-from textloom.sources.files import TagFileError, parse_tags, tag_table, text_with_map
+from textloom.sources.files import TagFileError, load_tags, load_vocabulary, parse_tags, tag_table, text_with_map
 from textloom.sources.reports import worksheet
 
 
@@ -127,3 +127,16 @@ def test_markers_at_edges(spark):
 def test_file_map():
     assert text_with_map("  ﬁx ") == ("fix", [2, 2, 3, 4])
     assert text_with_map(" \n") is None
+
+
+def test_missing_and_empty_files(spark, tmp_path):
+    with pytest.raises(TagFileError, match="not found"):
+        load_tags(spark, str(tmp_path / "none.json"))
+    with pytest.raises(FileNotFoundError):
+        load_vocabulary(spark, str(tmp_path / "none.txt"))
+    (tmp_path / "empty.txt").write_text("")
+    (tmp_path / "words.txt").write_text("# words\n\n all \nnone\n")
+    assert load_vocabulary(spark, str(tmp_path / "empty.txt")) == ()
+    assert load_vocabulary(spark, str(tmp_path / "words.txt")) == ("all", "none")
+    with pytest.raises(TagFileError, match="JSON"):
+        load_tags(spark, str(tmp_path / "empty.txt"))

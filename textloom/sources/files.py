@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,15 +98,28 @@ def tag_table(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, "n int, sentence_sha256 string, backing string, scope string, evidence string")
 
 
+def _whole_text(spark: SparkSession, path: str) -> str | None:
+    """The text of one file, None where there is no such file."""
+    try:
+        row = spark.read.text(path, wholetext=True).first()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return row[0] if row else ""
+
+
 def load_tags(spark: SparkSession, path: str) -> DataFrame:
-    text = spark.read.text(path, wholetext=True).first()
+    text = _whole_text(spark, path)
     if text is None:
         raise TagFileError(f"tagfile not found: {path}")
-    return tag_table(spark, parse_tags(text[0]))
+    return tag_table(spark, parse_tags(text))
 
 
 def load_vocabulary(spark: SparkSession, path: str) -> tuple[str, ...]:
-    """One pattern a line; blank lines and those that begin with # are left out."""
-    text = spark.read.text(path, wholetext=True).first()
-    lines = [x.strip() for x in (text[0] if text else "").splitlines()]
+    """One pattern a line; blank lines and those that begin with # are left out. A missing file is a FileNotFoundError."""
+    text = _whole_text(spark, path)
+    if text is None:
+        raise FileNotFoundError(f"vocabulary not found: {path}")
+    lines = [x.strip() for x in text.splitlines()]
     return tuple(x for x in lines if x and not x.startswith("#"))

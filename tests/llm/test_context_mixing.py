@@ -3,8 +3,9 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import xxhash
 
-from textloom.llm.context_mixing import CODE_BITS, NODES, SLOT_BITS, WordHash, code_log10, score, token_hashes
+from textloom.llm.context_mixing import CODE_BITS, END, MAP_CELLS, MUCH, NODES, RATE, SCALE, START_WEIGHTS, code_log10, score
 
 
 def toks(t):
@@ -30,22 +31,111 @@ def test_base_scores_by_plain_code(docs, texts):
         assert r["score"] < 0 and (r["bits_per_byte"] is None or r["bits_per_byte"] > 0)
 
 
+def predictors(rng, tokens):
+    """Log odds for each node of the code's tree, and for three contexts, whatever the bits that follow."""
+    order0 = rng.integers(-60, 60, NODES).astype(np.int8)
+    return order0, rng.integers(-60, 60, (tokens, NODES)).astype(np.int8)
+
+
+def on_path(by_node, code):
+    return np.stack([by_node[np.arange(len(code)), (code >> (CODE_BITS - b)) | (1 << b)] for b in range(CODE_BITS)], axis=1)
+
+
 def test_codes_have_a_probability_each():
-    """The probabilities of all codes of one token add up to one, whatever the tables hold."""
+    """The probabilities of all codes of one token add up to one, whatever was counted."""
     rng = np.random.default_rng(1)
-    tables = [rng.normal(0, 2, 1 << k).astype(np.float32) for k in (CODE_BITS, *SLOT_BITS)]
-    texts = [np.array([c << (64 - CODE_BITS)], dtype=np.uint64) for c in range(NODES)]
-    assert math.isclose(np.sum(10 ** code_log10(texts, tables)), 1, rel_tol=1e-3)
+    order0, by_node = predictors(rng, 2)
+    code = np.arange(NODES)
+    order1, order2 = (on_path(np.repeat(x[None], NODES, axis=0), code) for x in by_node)
+    assert math.isclose(np.sum(10 ** code_log10(np.ones(NODES, dtype=np.int64), code, order0, order1, order2)), 1, rel_tol=1e-3)
 
 
 def test_scores_do_not_depend_on_neighbours():
     rng = np.random.default_rng(2)
-    tables = [rng.normal(0, 2, 1 << k).astype(np.float32) for k in (CODE_BITS, *SLOT_BITS)]
-    words = WordHash()
-    texts = [token_hashes(" ".join(f"w{rng.integers(50)}" for _ in range(n)), words) for n in (0, 1, 5, 33, 70, 200)]
-    together = code_log10(texts, tables)
-    alone = [code_log10([t], tables, steps=7)[0] for t in texts]
-    assert np.allclose(together, alone, rtol=1e-4)
+    lengths = np.array([1, 2, 6, 34, 71, 201])
+    order0, by_node = predictors(rng, int(lengths.sum()))
+    code = rng.integers(0, NODES, lengths.sum())
+    order1, order2 = on_path(by_node, code), on_path(by_node[::-1], code)
+    together = code_log10(lengths, code, order0, order1, order2)
+    for i, begin in enumerate(np.r_[0, np.cumsum(lengths)[:-1]]):
+        x = slice(begin, begin + lengths[i])
+        alone = code_log10(lengths[i : i + 1], code[x], order0, order1[x], order2[x], steps=7)[0]
+        assert math.isclose(together[i], alone, rel_tol=1e-4)
+
+
+def odds(same, other):
+    return max(-120, min(120, round(math.log((same + 0.2) / (other + 0.2)) * SCALE)))
+
+
+def scalar_scores(texts):
+    """Scores of all rows by plain counts and a loop over tokens and bits."""
+    trains = [zlib.crc32(("" if d is None else str(d)).encode()) % 7 != 2 for d, _ in texts]
+    rows = [toks(t) for _, t in texts]
+    code = {w: (int(END) if w is None else xxhash.xxh64_intdigest(w)) >> (64 - CODE_BITS) for r in rows for w in r}
+    path = lambda w, b: (code[w] >> (CODE_BITS - b)) | (1 << b)
+    count, tree, of_code, of_words = Counter(), Counter(), Counter(), Counter()
+    before = lambda r, i: [(), (r[i - 1] if i else "start",), ("start" if i < 1 else r[i - 1], "start" if i < 2 else r[i - 2])]
+    for r, train in zip(rows, trains):
+        for i, w in enumerate(r if train else []):
+            count[w] += 1
+            of_code[code[w]] += 1
+            for c in before(r, i):
+                tree.update((c, path(w, b)) for b in range(1, CODE_BITS + 1))
+    of_words.update(code[w] for w in count)
+    for r, train in zip(rows, trains):
+        factors = [[1.0] * 3 for _ in range(CODE_BITS)]
+        apm = [1 / (1 + math.exp(-(i - (MAP_CELLS - 1) / 2) / 1.5)) for i in range(MAP_CELLS)]
+        out = 0.0
+        for i, w in enumerate(r):
+            own = int(train)
+            out += math.log10(count[w] + 1 - own) - math.log10(of_code[code[w]] + of_words[code[w]] + 1 - own)
+            for b in range(CODE_BITS):
+                bit = path(w, b + 1) & 1
+                st = []
+                for k, c in enumerate(before(r, i)):
+                    same, other = tree[c, path(w, b + 1)], tree[c, path(w, b + 1) ^ 1]
+                    if k == 0:  # its counts hold all tokens
+                        st.append(odds(*((same, other) if bit else (other, same))))
+                    else:
+                        st.append(odds(same - own, other) * (1 if bit else -1))
+                start = START_WEIGHTS[(st[2] != 0) + (abs(st[2]) >= MUCH)]
+                x = [float(start[k]) * st[k] / SCALE for k in range(3)]
+                dot = max(-7.9, min(7.9, sum(f * v for f, v in zip(factors[b], x))))
+                p = 1 / (1 + math.exp(-dot))
+                factors[b] = [f + v * float(RATE) * (bit - p) for f, v in zip(factors[b], x)]
+                cell = int(dot * 1.5 + MAP_CELLS / 2)
+                refined = 0.7 * p + 0.3 * apm[cell]
+                apm[cell] += (bit - apm[cell]) * 0.02
+                out += math.log10(max(refined if bit else 1 - refined, 1e-5))
+        yield out
+
+
+def test_scores_by_plain_loops(docs, texts):
+    want = {}
+    for (d, _), x in zip(texts, scalar_scores(texts)):
+        want.setdefault(d, []).append(x)
+    got = {}
+    for r in score(docs).collect():
+        got.setdefault(r["doc_id"], []).append(r["score"])
+    assert got.keys() == want.keys()
+    for d in want:
+        assert np.allclose(sorted(got[d]), sorted(want[d]), rtol=2e-3), d
+
+
+def test_wide_ids_beside_a_null_id(spark):
+    rows = [(2**62 + 1, "a b"), (None, "a b"), (-(2**62) - 1, "c")]
+    out = {r["doc_id"] for r in score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {2**62 + 1, None, -(2**62) - 1}
+
+
+def test_one_copy_elsewhere_tells(spark):
+    rng = np.random.default_rng(5)
+    text = lambda: " ".join(f"w{rng.integers(3000)}" for _ in range(80))
+    twice = [text() for _ in range(20)]
+    rows = [*enumerate(twice), *enumerate(twice, 100), *((i, text()) for i in range(200, 400))]
+    out = {r["doc_id"]: r["bits_per_byte"] for r in score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    in_training = [i for i in range(20) if all(zlib.crc32(str(j).encode()) % 7 != 2 for j in (i, i + 100))]
+    assert in_training and max(out[i] for i in in_training) < min(out[i] for i in range(200, 400))
 
 
 def test_context_helps_on_held_out_rows(spark):

@@ -2,26 +2,29 @@
 
 A token (a word, or the end of a text) is sent as the `CODE_BITS` leading bits of its hash, most significant first, and
 then as itself among the tokens with that code. The code's bits are predicted by three predictors whose contexts are the
-bits so far with nothing else, with the token before, and with the two tokens before. Each predictor holds bit counts in
-a table of a fixed number of hashed slots; the counts cover all training texts. In a text, the predictions are mixed in
-the logistic domain by weights of which a gate, the bit's position, picks a set; after each bit the weights move along the coding error's gradient, and an adaptive probability map refines the mixed
-prediction. Both start anew in each text, so its score doesn't depend on how the table is dealt out. What is left of the
-token, given its code, has its smoothed unigram probability. The probabilities of all texts add up to one, so the bits a
-text costs are those of a compressor.
-
-All that is gathered grows with the corpus: every training text's words are counted, in fragments of the hash space in
-which a task sees every occurrence of its words, and its bit counts are added up slot by slot. What is broadcast is
-bounded by the tables' fixed size.
+bits so far with nothing else, with the token before, and with the two tokens before. Each predictor predicts from the
+bits that followed its context, known by its hash, in all training texts; an occurrence that is itself being scored is
+left out of the counts, so that training and other texts are scored alike. In a text, the predictions are mixed in the
+logistic domain: a gate, the evidence of the longest context, picks the weights to start from, and sets of factors, one
+a bit's position, move along the coding error's gradient after each bit; an adaptive probability map refines the mixed
+prediction. Factors and map start anew in each text, so its score doesn't depend on how the table is dealt out. What is
+left of the token, given its code, has its smoothed unigram probability, so the bits a text costs are those of a
+compressor.
+
+All that is gathered grows with the corpus: there is no table of fixed size. Texts are read once into batches of tokens.
+A batch's distinct words and contexts, not its occurrences, go with their counts to the fragment of the hash space that
+they belong to, so a common word is one entry a batch; the fragment adds up all batches' counts and sends each batch the
+predictions for its own entries. What is broadcast is the table of codes, `NODES` entries.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,17 +32,21 @@ from textloom.functions.shared_store import materialize
 
 CODE_BITS = 10
 NODES = 1 << CODE_BITS
-#: Slots of the predictors with one and two tokens of context, as powers of two.
-SLOT_BITS = (20, 22)
-PARTS = 64
 END = np.uint64(xxhash.xxh64_intdigest(b"\n"))  # no word holds white space
 CACHE_WORDS = 400_000
 M1, M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
-NODE_MIX = np.arange(NODES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)
-#: Words to be counted by one task, about.
-FRAGMENT_WORDS = 3_000_000
-START_WEIGHTS = np.array([0.45, 0.45, 0.2], dtype=np.float32)
-RATE = np.float32(0.004)
+#: A batch ends with the text that reaches one of these.
+BATCH_TOKENS, BATCH_TEXTS = 1_000_000, 4096
+#: Tokens for each fragment, about; a token has an entry for each context at most.
+FRAGMENT_TOKENS = 2_000_000
+#: Hashes of contexts are kept to this many bits, with the code's bits below them.
+CONTEXT_BITS = 48
+#: Predictions are natural logarithms of odds, in sixteenths.
+SCALE = 16
+#: Weights to start from, of the three predictors (columns), without, with little and with more evidence of two tokens.
+START_WEIGHTS = np.array([[0.3, 0.8, 0.0], [0.15, 0.6, 0.6], [0.05, 0.35, 0.9]], dtype=np.float32)
+MUCH = 24
+RATE = np.float32(0.01)
 MAP_CELLS = 24
 
 
@@ -74,7 +81,7 @@ def token_hashes(text: str | None, words: WordHash) -> np.ndarray:
 
 
 def contexts(h: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the one and the two tokens before each token along axis 0; `fresh` marks a text's first tokens."""
+    """Hashes of the one and the two tokens before each token; `fresh` marks a text's first tokens."""
     zero = np.zeros_like(h[:1])
     before = np.where(fresh, np.uint64(0), np.concatenate([zero, h[:-1]]))
     c1 = mix(before + np.uint64(1))
@@ -82,177 +89,205 @@ def contexts(h: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return c1, c2
 
 
-def nodes(code: np.ndarray, b: int) -> np.ndarray:
-    """The bits of a code before its bit b, with a leading one."""
-    return (code >> (CODE_BITS - b)) | (1 << b)
+def codes(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - CODE_BITS)).astype(np.int64)
 
 
-def slot(context: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
-    return ((context ^ NODE_MIX[node]) >> np.uint64(8) & np.uint64((1 << bits) - 1) ^ NODE_MIX[node] & np.uint64((1 << bits) - 1)).astype(np.int64)
+def context_keys(h: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For the one and the two tokens before each token: the context's hash and the token's code, in one number."""
+    code = codes(h).astype(np.uint64)
+    return tuple(c >> np.uint64(64 - CONTEXT_BITS) << np.uint64(CODE_BITS) | code for c in contexts(h, fresh))
+
+
+def planes(x: np.ndarray) -> bytes:
+    """The bytes of the numbers, first all lowest ones: in sorted numbers the high ones compress to next to nothing."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+
+
+def from_planes(data: bytes, dtype: type) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(size, -1).T).view(dtype).ravel()
 
 
 def is_training(doc_id="doc_id"):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 7 != 2
 
 
-def _bit_counts(docs: DataFrame) -> list[np.ndarray]:
-    """The predictors' stretched probabilities, one array for each, from the bits of all rows."""
-    sizes = [NODES, *(1 << s for s in SLOT_BITS)]
-    base = np.r_[0, np.cumsum(sizes)]
-    width = int(base[-1]) // PARTS + 1
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, one, total = word_hashes(), np.int32(1), np.zeros(2 * int(base[-1]), dtype=np.int32)
-        for pdf in batches:
-            texts = iter(pdf["text"])
-            while True:
-                group, n = [], 0
-                for t in texts:
-                    group.append(token_hashes(t, words))
-                    n += len(group[-1])
-                    if n > 300_000:
-                        break
-                if not group:
-                    break
-                h = np.concatenate(group)
-                fresh = np.zeros(len(h), dtype=bool)
-                fresh[np.r_[0, np.cumsum([len(g) for g in group])[:-1]]] = True
-                c = contexts(h, fresh)
-                code = (h >> np.uint64(64 - CODE_BITS)).astype(np.int64)
-                for b in range(CODE_BITS):
-                    node, bit = nodes(code, b), code >> (CODE_BITS - 1 - b) & 1
-                    total[: 2 * NODES] += np.bincount(2 * node + bit, minlength=2 * NODES).astype(np.int32)
-                    for k, s in enumerate(SLOT_BITS):
-                        np.add.at(total, 2 * (slot(c[k], node, s) + base[k + 1]) + bit, one)
-        rows = [(p, zlib.compress(total[2 * p * width : 2 * (p + 1) * width].tobytes(), 1)) for p in range(PARTS)]
-        yield pd.DataFrame(rows, columns=["part", "counts"])
-
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[int, np.ndarray] = {}
-        for pdf in batches:
-            for p, x in zip(pdf["part"], pdf["counts"], strict=True):
-                x = np.frombuffer(zlib.decompress(x), dtype=np.int32)
-                if p in sums:
-                    sums[p] += x
-                else:
-                    sums[p] = x.astype(np.int64)
-        rows = []
-        for p, x in sums.items():
-            n0, n1 = x[0::2], x[1::2]
-            rows.append((p, np.clip(np.log((n1 + 0.4) / (n0 + 0.4)), -8, 8).astype(np.float16).tobytes()))
-        yield pd.DataFrame(rows, columns=["part", "st"])
-
-    counted = docs.mapInPandas(count, "part int, counts binary")
-    parts = counted.repartition(PARTS, "part").mapInPandas(add, "part int, st binary").toPandas()  # 2 bytes a slot
-    st = np.zeros(PARTS * width, dtype=np.float16)
-    for p, x in zip(parts["part"], parts["st"], strict=True):
-        x = np.frombuffer(x, dtype=np.float16)
-        st[p * width : p * width + len(x)] = x
-    return [st[base[k] : base[k + 1]].astype(np.float32) for k in range(len(sizes))]
-
-
-def _unigrams(docs: DataFrame, fragments: int) -> DataFrame:
-    """Rows (kind, key, a, b, c), to be added up by kind and key.
-
-    kind 0, of a text: a = sum of log10(c + 1) over its tokens, b = its tokens that are known, c = 1 for each such row.
-    kind 1, of a code: b = training tokens with it, c = distinct ones.
+BATCH = "batch long, train boolean, ids binary, null_ids binary, bytes binary, lengths binary, words binary, at binary"
+
+
+def _batches(docs: DataFrame) -> DataFrame:
+    """Rows BATCH of (doc_id, none, train, text): distinct word hashes of some texts and each token's place among them.
+
+    A batch has training texts only or none.
+    """
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words, number = word_hashes(), TaskContext.get().partitionId() << 32
+        held = {True: [], False: []}
+        tokens = {True: 0, False: 0}
+
+        def batch(train: bool) -> pd.DataFrame:
+            nonlocal number
+            rows, held[train], tokens[train], number = held[train], [], 0, number + 1
+            distinct, at = np.unique(np.concatenate([r[2] for r in rows]), return_inverse=True)
+            at = at.astype(np.uint16 if len(distinct) <= 1 << 16 else np.uint32)
+            ids = np.array([r[0] for r in rows], dtype=np.int64)
+            sizes = np.array([r[1] for r in rows], dtype=np.int64)
+            lengths = np.array([len(r[2]) for r in rows], dtype=np.int64)
+            none = np.array([r[3] for r in rows], dtype=bool)
+            return pd.DataFrame([(number - 1, train, planes(ids), none.tobytes(), planes(sizes), planes(lengths), planes(distinct), planes(at))], columns=[c.split()[0] for c in BATCH.split(", ")])
+
+        for pdf in frames:
+            for i, none, train, text in pdf[["doc_id", "none", "train", "text"]].itertuples(index=False):
+                h = token_hashes(text, words)
+                held[train].append((i, len(text.encode("utf-8", "replace")), h, none))
+                tokens[train] += len(h)
+                if tokens[train] >= BATCH_TOKENS or len(held[train]) >= BATCH_TEXTS:
+                    yield batch(train)
+        for train in (True, False):
+            if held[train]:
+                yield batch(train)
+
+    return materialize(docs.mapInPandas(read, BATCH), "batches")
+
+
+def _tokens(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a row BATCH: distinct words, each token's place there, its hash, whether it is a text's first, texts' lengths."""
+    lengths, words = from_planes(row.lengths, np.int64), from_planes(row.words, np.uint64)
+    at = from_planes(row.at, np.uint16 if len(words) <= 1 << 16 else np.uint32).astype(np.int64)
+    fresh = np.zeros(len(at), dtype=bool)
+    fresh[np.r_[0, np.cumsum(lengths)[:-1]]] = True
+    return words, at, words[at], fresh, lengths
+
+
+SENT = "frag long, batch long, kind int, train boolean, keys binary, n binary"
+
+
+def _pieces(row, kind: int, keys: np.ndarray, n: np.ndarray, fragments: int, bits: int) -> pd.DataFrame:
+    """The sorted keys of `bits` bits, cut where a fragment of the key space ends."""
+    width = 2**bits // fragments + 1
+    cuts = np.searchsorted(keys, np.array([f * width for f in range(1, fragments)], dtype=np.uint64))
+    bounds = np.r_[0, cuts, len(keys)]
+    rows = [(kind * fragments + f, row.batch, kind, row.train, planes(keys[a:b]), planes(n[a:b])) for f, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if b > a]
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in SENT.split(", ")])
+
+
+def _counted(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a fragment's rows SENT: distinct keys, their training counts, each entry's place there, where each row begins."""
+    keys = [from_planes(k, np.uint64) for k in pdf["keys"]]
+    n = np.concatenate([from_planes(x, np.uint32) * np.uint32(t) for x, t in zip(pdf["n"], pdf["train"], strict=True)])
+    distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return distinct, np.bincount(at, weights=n, minlength=len(distinct)), at, np.r_[0, np.cumsum([len(k) for k in keys])]
+
+
+def _word_counts(batches: DataFrame, fragments: int) -> DataFrame:
+    """Rows (batch, kind 0, frag, data): training counts of the batch's words; and (-1, 3, frag, data): code, tokens, words."""
+
+    def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for row in pdf.itertuples(index=False):
+                words, at, *_ = _tokens(row)
+                yield _pieces(row, 0, words, np.bincount(at, minlength=len(words)).astype(np.uint32), fragments, 64)
+
+    def total(pdf: pd.DataFrame) -> pd.DataFrame:
+        distinct, n, at, begin = _counted(pdf)
+        n = n.astype(np.int64)
+        own = [(b, 0, f, planes(n[at[x:y]])) for b, f, x, y in zip(pdf["batch"], pdf["frag"], begin[:-1], begin[1:], strict=True)]
+        used, back = np.unique(codes(distinct), return_inverse=True)
+        sums = np.stack([used, np.bincount(back, weights=n).astype(np.int64), np.bincount(back, weights=n > 0).astype(np.int64)])
+        return pd.DataFrame([*own, (-1, 3, pdf["frag"].iloc[0], sums.tobytes())], columns=["batch", "kind", "frag", "data"])
+
+    return materialize(batches.mapInPandas(send, SENT).groupBy("frag").applyInPandas(total, "batch long, kind int, frag long, data binary"), "word_counts")
+
+
+def log_odds(same: np.ndarray, other: np.ndarray) -> np.ndarray:
+    return np.clip(np.rint(np.log((same + 0.2) / (other + 0.2)) * SCALE), -120, 120).astype(np.int8)
+
+
+def path_odds(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the sorted context keys with counts: log odds of ones for each bit on the way to the key's code.
+
+    Two arrays of a row a bit: for an occurrence that is not in the counts, and for one that is and is left out.
+    """
+    out = np.empty((2, CODE_BITS, len(keys)), dtype=np.int8)
+    above = None
+    for b in range(CODE_BITS + 1):
+        prefix = keys >> np.uint64(CODE_BITS - b)
+        begin = np.flatnonzero(np.r_[True, prefix[1:] != prefix[:-1]])
+        below = np.repeat(np.add.reduceat(n, begin), np.diff(np.r_[begin, len(keys)])).astype(np.float32)
+        if above is not None:
+            sign = (2 * (prefix & np.uint64(1)).astype(np.int8) - 1).astype(np.int8)
+            out[0, b - 1] = log_odds(below, above - below) * sign
+            out[1, b - 1] = log_odds(np.maximum(below - 1, 0), above - below) * sign
+        above = below
+    return out[0], out[1]
+
+
+def _predictions(batches: DataFrame, fragments: int) -> DataFrame:
+    """Rows (batch, kind, frag, data): log odds of the batch's distinct keys with one (kind 1) and two tokens of context."""
+
+    def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for row in pdf.itertuples(index=False):
+                _, _, h, fresh, _ = _tokens(row)
+                for kind, keys in enumerate(context_keys(h, fresh), 1):
+                    keys, n = np.unique(keys, return_counts=True)
+                    yield _pieces(row, kind, keys, n.astype(np.uint32), fragments, CONTEXT_BITS + CODE_BITS)
+
+    def predict(pdf: pd.DataFrame) -> pd.DataFrame:
+        distinct, n, at, begin = _counted(pdf)
+        odds = path_odds(distinct, n)
+        rows = [(b, k, f, odds[int(t)][:, at[x:y]].tobytes()) for b, k, f, t, x, y in zip(pdf["batch"], pdf["kind"], pdf["frag"], pdf["train"], begin[:-1], begin[1:], strict=True)]
+        return pd.DataFrame(rows, columns=["batch", "kind", "frag", "data"])
+
+    return batches.mapInPandas(send, SENT).groupBy("frag").applyInPandas(predict, "batch long, kind int, frag long, data binary")
+
+
+def node_odds(n: np.ndarray) -> np.ndarray:
+    """Log odds of ones of the predictor without a token of context, for each node, from the codes' counts."""
+    out = np.zeros(NODES, dtype=np.int8)
+    for b in range(CODE_BITS):
+        below = n.reshape(1 << b, 2, -1).sum(axis=2)
+        out[1 << b : 2 << b] = log_odds(below[:, 1], below[:, 0])
+    return out
+
+
+def code_log10(lengths: np.ndarray, code: np.ndarray, order0: np.ndarray, order1: np.ndarray, order2: np.ndarray, steps: int = 32, group: int = 4096) -> np.ndarray:
+    """log10 of the probability of each text's codes, the texts side by side, a bit of each at a time.
+
+    `code` has the texts' codes one after the other; `order0` log odds for each node, `order1` and `order2` a row of
+    them for each token, a column a bit.
     """
-    width = np.uint64(2**64 // fragments + 1)
-
-    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = word_hashes()
-        for pdf in batches:
-            for at in range(0, len(pdf), 2000):
-                part = pdf.iloc[at : at + 2000]
-                own = [np.unique(token_hashes(t, words), return_counts=True) for t in part["text"]]
-                h, n = np.concatenate([x[0] for x in own]), np.concatenate([x[1] for x in own]).astype(np.uint32)
-                who = np.repeat(np.arange(len(own), dtype=np.int32), [len(x[0]) for x in own])
-                frag = (h // width).astype(np.int32)
-                order = np.argsort(frag, kind="stable")
-                h, n, who, frag = h[order], n[order], who[order], frag[order]
-                first = np.flatnonzero(np.r_[True, frag[1:] != frag[:-1]])
-                keys, train = part["key"].to_numpy(dtype=np.int64), part["train"].to_numpy(dtype=bool)
-                rows, batch = [], xxhash.xxh64_intdigest(keys.tobytes()) - 2**63
-                for a, b in zip(first, np.r_[first[1:], len(frag)], strict=True):
-                    docs_here, local = np.unique(who[a:b], return_inverse=True)
-                    rows.append((frag[a], batch, keys[docs_here].tobytes(), train[docs_here].tobytes(), local.astype(np.uint16).tobytes(), h[a:b].tobytes(), n[a:b].tobytes()))
-                yield pd.DataFrame(rows, columns=["frag", "batch", "keys", "train", "who", "h", "n"])
-
-    def total(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = [r for pdf in batches for r in pdf[["batch", "keys", "train", "who", "h", "n"]].itertuples(index=False)]
-        if not rows:
-            return
-        h = np.frombuffer(b"".join(r.h for r in rows), dtype=np.uint64)
-        n = np.frombuffer(b"".join(r.n for r in rows), dtype=np.uint32).astype(np.int64)
-        train = np.concatenate([np.frombuffer(r.train, dtype=bool)[np.frombuffer(r.who, dtype=np.uint16)] for r in rows])
-        kinds, at = np.unique(h, return_inverse=True)
-        c = np.bincount(at, weights=n * train, minlength=len(kinds)).astype(np.int64)
-        code = (kinds >> np.uint64(64 - CODE_BITS)).astype(np.int64)
-        used, back = np.unique(code, return_inverse=True)
-        yield pd.DataFrame({"kind": 1, "key": used, "a": 0.0, "keys": None, "sums": None, "b": np.bincount(back, weights=c).astype(np.int64), "c": np.bincount(back, weights=c > 0).astype(np.int64)})
-        done = 0
-        for r in rows:
-            keys, who = np.frombuffer(r.keys, dtype=np.int64), np.frombuffer(r.who, dtype=np.uint16)
-            x = slice(done, done + len(who))
-            done += len(who)
-            a = np.bincount(who, weights=n[x] * np.log10(c[at[x]] + 1), minlength=len(keys))
-            known = np.bincount(who, weights=n[x] * (c[at[x]] > 0), minlength=len(keys))
-            ends = np.bincount(who, weights=n[x] * (h[x] == END), minlength=len(keys))
-            sums = np.stack([a, known, ends]).tobytes()
-            yield pd.DataFrame({"kind": [0], "key": [r.batch], "a": 0.0, "b": 0, "c": 0, "keys": [r.keys], "sums": [sums]})
-
-    def unpack(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys, at = np.unique(np.concatenate([np.frombuffer(k, dtype=np.int64) for k in pdf["keys"]]), return_inverse=True)
-        sums = np.concatenate([np.frombuffer(x, dtype=np.float64).reshape(3, -1) for x in pdf["sums"]], axis=1)
-        a, known, ends = (np.bincount(at, weights=x, minlength=len(keys)) for x in sums)
-        return pd.DataFrame({"kind": 0, "key": keys, "a": a, "b": known.astype(np.int64), "c": ends.astype(np.int64)})
-
-    plain = "kind int, key long, a double, b long, c long"
-    sent = docs.select("key", "train", "text").mapInPandas(send, "frag int, batch long, keys binary, train binary, who binary, h binary, n binary")
-    summed = sent.repartition(fragments, "frag").mapInPandas(total, plain + ", keys binary, sums binary")
-    summed = materialize(summed, "fragments")
-    own = summed.where("kind = 0").select(F.col("key").alias("batch"), "keys", "sums").groupBy("batch").applyInPandas(unpack, plain)
-    return own.unionByName(summed.where("kind = 1").select("kind", "key", "a", "b", "c"))
-
-
-def code_log10(texts: list[np.ndarray], tables: list[np.ndarray], steps: int = 32, group: int = 4096) -> np.ndarray:
-    """log10 of the probability of each text's codes, the texts side by side, a bit of each at a time."""
-    lengths = np.array([len(t) for t in texts])
     order = np.argsort(-lengths, kind="stable")
-    out = np.zeros(len(texts))
+    starts = np.r_[0, np.cumsum(lengths)[:-1]]
+    out = np.zeros(len(lengths))
     f = np.float32
     for at in range(0, len(order), group):
         rows = order[at : at + group]
-        n = lengths[rows]
-        d = len(rows)
-        flat = np.concatenate([texts[i] for i in rows])
-        begin = np.r_[0, np.cumsum(n)[:-1]]
-        w = np.repeat(np.repeat(START_WEIGHTS[None, :, None], CODE_BITS, axis=0), d, axis=2)  # bit, input, text
+        n, begin, d = lengths[rows], starts[rows], len(rows)
+        w = np.ones((CODE_BITS, 3, d), dtype=f)
         centers = (np.arange(MAP_CELLS) - (MAP_CELLS - 1) / 2) / 1.5
         apm = np.repeat((1 / (1 + np.exp(-centers))).astype(f)[:, None], d, axis=1).ravel()
         cost = np.zeros(d)
-        carry_h = np.zeros((2, d), dtype=np.uint64)
         texts_at = np.arange(d)
         for t0 in range(0, int(n[0]), steps):
             k = int(np.searchsorted(-n, -t0, side="left"))  # texts with more than t0 tokens
             t1 = min(t0 + steps, int(n[0]))
-            idx = np.minimum(begin[:k] + np.arange(t0, t1)[:, None], len(flat) - 1)
-            h = flat[idx]
-            full = np.concatenate([carry_h[:, :k], h])
-            first = np.zeros((len(full), 1), dtype=bool)
-            first[: 3 if t0 == 0 else 0] = True  # nothing before a text's first token
-            c1, c2 = contexts(full, np.broadcast_to(first, full.shape))
-            c1, c2 = c1[2:], c2[2:]
-            carry_h = full[-2:]
-            code = (h >> np.uint64(64 - CODE_BITS)).astype(np.int32)
+            idx = np.minimum(begin[:k] + np.arange(t0, t1)[:, None], len(code) - 1)
+            own = code[idx]
+            two = order2[idx].transpose(0, 2, 1)
+            gate = np.abs(two) >= MUCH
+            gate = gate.astype(np.int8) + (two != 0)
             inputs = np.empty((t1 - t0, CODE_BITS, 3, k), dtype=f)
             bits = np.empty((t1 - t0, CODE_BITS, k), dtype=f)
             for b in range(CODE_BITS):
-                node = nodes(code, b)
-                inputs[:, b, 0] = tables[0].take(node)
-                inputs[:, b, 1] = tables[1].take(slot(c1, node, SLOT_BITS[0]))
-                inputs[:, b, 2] = tables[2].take(slot(c2, node, SLOT_BITS[1]))
-                bits[:, b] = code >> (CODE_BITS - 1 - b) & 1
+                inputs[:, b, 0] = order0.take((own >> (CODE_BITS - b)) | (1 << b))
+                bits[:, b] = own >> (CODE_BITS - 1 - b) & 1
+            inputs[:, :, 1] = order1[idx].transpose(0, 2, 1)
+            inputs[:, :, 2] = two
+            for j in range(3):
+                inputs[:, :, j] *= (START_WEIGHTS[:, j] / f(SCALE)).take(gate)
             right = np.ones((t1 - t0, CODE_BITS, k), dtype=f)
             counts = (np.arange(t0, t1)[:, None] < n[:k]).sum(axis=1)
             for t in range(t1 - t0):
@@ -285,44 +320,55 @@ def code_log10(texts: list[np.ndarray], tables: list[np.ndarray], steps: int = 3
     return out
 
 
+RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
+
+
 def score(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for each row of (doc_id, text).
 
-    Learns from the rows whose crc32(doc_id as text) mod 7 is not 2. A null text is empty; an empty text is its end alone.
+    Learns from the rows whose crc32(doc_id as text) mod 7 is not 2. In `score`, an occurrence in a training row is left
+    out of the counts that predict it; `base_score` counts all. A null text is empty; an empty text is its end alone.
     A null doc_id counts as an empty text in that rule and is kept. Repeated rows are learned from as often as they occur
     and give equal results each. An empty table gives an empty result; other columns are not read. bits_per_byte is null
     for an empty text.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"), is_training().alias("train"))
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    fragments = max(8, -(-size // (10 * FRAGMENT_WORDS)))
-    sums = _unigrams(docs, fragments).groupBy("kind", "key").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("c").alias("c"))
-    sums = materialize(sums, "unigrams")
-    codes = sums.where("kind = 1").toPandas()  # one row for each code: NODES at most
-    n, v = int(codes["b"].sum()), int(codes["c"].sum())
-    rest = np.zeros(NODES)
-    rest[codes["key"].to_numpy(dtype=np.int64)] = codes["b"] + codes["c"]
-    rest = np.log10(rest + 1)
-    tables = docs.sparkSession.sparkContext.broadcast(_bit_counts(docs.where("train").select("text")))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = word_hashes()
-        for pdf in batches:
-            texts = [token_hashes(t, words) for t in pdf["text"]]
-            code = code_log10(texts, tables.value)
-            rest_sum = [float(rest[(h >> np.uint64(64 - CODE_BITS)).astype(np.int64)].sum()) for h in texts]
-            yield pd.DataFrame({
-                "doc_id": pdf["doc_id"].astype("Int64"), "key": pdf["key"], "held_out": ~pdf["train"].astype(bool),
-                "n_tokens": [len(h) for h in texts], "code_score": code - np.array(rest_sum), "n_bytes": [len(t.encode("utf-8", "replace")) for t in pdf["text"]],
-            })
-
-    out = docs.mapInPandas(run, "doc_id long, key long, held_out boolean, n_tokens long, code_score double, n_bytes long")
-    own = sums.where("kind = 0").select("key", (F.col("a") / F.col("c")).alias("a"), (F.col("b") / F.col("c")).cast("long").alias("n_known"))
-    out = out.join(own, "key")
-    total = F.col("code_score") + F.col("a")
-    return out.select(
-        "doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("a") - F.col("n_tokens") * F.log10(F.lit(float(n + v + 1)))).alias("base_score"), total.alias("score"),
-        F.when(F.col("n_bytes") > 0, -total * float(np.log2(10)) / F.col("n_bytes")).alias("bits_per_byte"),
-    )
+    batches = _batches(docs.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("none"), is_training().alias("train"), "text"))
+    tokens = batches.agg(F.coalesce(F.sum(F.octet_length("at")), F.lit(0))).first()[0] // 2
+    fragments = max(8, -(-tokens // FRAGMENT_TOKENS))
+    counts = _word_counts(batches, fragments)
+    of_code, words_of_code = np.zeros(NODES, dtype=np.int64), np.zeros(NODES, dtype=np.int64)
+    for (data,) in counts.where("kind = 3").select("data").toLocalIterator():
+        code, n, v = np.frombuffer(data, dtype=np.int64).reshape(3, -1)
+        of_code[code] += n
+        words_of_code[code] += v
+    total, known_words = int(of_code.sum()), int(words_of_code.sum())
+    order0 = node_odds(of_code)
+    rest = (of_code + words_of_code + 1).astype(np.float64)
+
+    def run(batch: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
+        row = next(batch.itertuples(index=False))
+        words, at, h, fresh, lengths = _tokens(row)
+        parts = parts.sort_values("frag")
+        c = np.concatenate([from_planes(x, np.int64) for x in parts.loc[parts["kind"] == 0, "data"]])
+        code = codes(h)
+        odds = []
+        for kind, keys in enumerate(context_keys(h, fresh), 1):
+            _, back = np.unique(keys, return_inverse=True)
+            table = np.concatenate([np.frombuffer(x, dtype=np.int8).reshape(CODE_BITS, -1) for x in parts.loc[parts["kind"] == kind, "data"]], axis=1)
+            odds.append(np.ascontiguousarray(table.T)[back])
+        begin, own = np.r_[0, np.cumsum(lengths)[:-1]], int(row.train)
+        base = np.add.reduceat(np.log10(c + 1.0)[at], begin) - lengths * np.log10(float(total + known_words + 1))
+        word_code = codes(words)
+        left = np.add.reduceat((np.log10(c + 1.0 - own) - np.log10(rest[word_code] - own))[at], begin)
+        value = code_log10(lengths, code, order0, *odds) + left
+        size = from_planes(row.bytes, np.int64)
+        return pd.DataFrame({
+            "doc_id": pd.arrays.IntegerArray(from_planes(row.ids, np.int64), np.frombuffer(row.null_ids, dtype=bool).copy()),
+            "held_out": not row.train, "n_tokens": lengths, "n_known": np.add.reduceat((c > 0).astype(np.int64)[at], begin),
+            "train_tokens": total, "base_score": base, "score": value,
+            "bits_per_byte": pd.arrays.FloatingArray(-value * np.log2(10) / np.maximum(size, 1), size == 0),
+        })
+
+    parts = counts.where("kind = 0").unionByName(_predictions(batches, fragments))
+    return batches.groupBy("batch").cogroup(parts.groupBy("batch")).applyInPandas(run, RESULT)

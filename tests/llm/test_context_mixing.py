@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import xxhash
 
-from textloom.llm.context_mixing import CODE_BITS, END, MAP_CELLS, MUCH, NODES, RATE, SCALE, START_WEIGHTS, code_log10, score
+from textloom.llm.context_mixing import CODE_BITS, END, LIMIT, MAP_CELLS, MUCH, NODES, RATE, SCALE, START_WEIGHTS, code_log10, score
 
 
 def toks(t):
@@ -33,8 +33,8 @@ def test_base_scores_by_plain_code(docs, texts):
 
 def predictors(rng, tokens):
     """Log odds for each node of the code's tree, and for three contexts, whatever the bits that follow."""
-    order0 = rng.integers(-60, 60, NODES).astype(np.int8)
-    return order0, rng.integers(-60, 60, (tokens, NODES)).astype(np.int8)
+    order0 = rng.integers(-LIMIT, LIMIT + 1, NODES).astype(np.int8)
+    return order0, rng.integers(-LIMIT, LIMIT + 1, (tokens, NODES)).astype(np.int8)
 
 
 def on_path(by_node, code):
@@ -64,7 +64,7 @@ def test_scores_do_not_depend_on_neighbours():
 
 
 def odds(same, other):
-    return max(-120, min(120, round(math.log((same + 0.2) / (other + 0.2)) * SCALE)))
+    return max(-LIMIT, min(LIMIT, round(math.log((same + 0.2) / (other + 0.2)) * SCALE)))
 
 
 def scalar_scores(texts):

@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,16 +37,14 @@ END = np.uint64(xxhash.xxh64_intdigest(b"\n"))  # no word holds white space
 CACHE_WORDS = 400_000
 M1, M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 #: A batch ends with the text that reaches one of these.
-BATCH_TOKENS, BATCH_TEXTS = 1_000_000, 4096
+BATCH_TOKENS, BATCH_TEXTS = 2_000_000, 4096
 #: Tokens for each fragment, about; a token has an entry for each context at most.
 FRAGMENT_TOKENS = 2_000_000
-#: Hashes of contexts are kept to this many bits, with the code's bits below them.
-CONTEXT_BITS = 48
-#: Predictions are natural logarithms of odds, in sixteenths.
-SCALE = 16
+#: Predictions are natural logarithms of odds in halves, up to LIMIT of them.
+SCALE, LIMIT = 2, 15
 #: Weights to start from, of the three predictors (columns), without, with little and with more evidence of two tokens.
 START_WEIGHTS = np.array([[0.3, 0.8, 0.0], [0.15, 0.6, 0.6], [0.05, 0.35, 0.9]], dtype=np.float32)
-MUCH = 24
+MUCH = 3
 RATE = np.float32(0.01)
 MAP_CELLS = 24
 
@@ -93,27 +92,40 @@ def codes(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - CODE_BITS)).astype(np.int64)
 
 
-def context_keys(h: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For the one and the two tokens before each token: the context's hash and the token's code, in one number."""
+def context_bits(tokens: int) -> int:
+    """Bits of a context's hash that are kept: with so many more than tokens have, one context in 2^15 meets another."""
+    return min(54, max(40, tokens.bit_length() + 15))
+
+
+def context_keys(h: np.ndarray, fresh: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """For the one and the two tokens before each token: `bits` of the context's hash and the token's code in one number."""
     code = codes(h).astype(np.uint64)
-    return tuple(c >> np.uint64(64 - CONTEXT_BITS) << np.uint64(CODE_BITS) | code for c in contexts(h, fresh))
+    return tuple(c >> np.uint64(64 - bits) << np.uint64(CODE_BITS) | code for c in contexts(h, fresh))
 
 
 def planes(x: np.ndarray) -> bytes:
-    """The bytes of the numbers, first all lowest ones: in sorted numbers the high ones compress to next to nothing."""
-    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+    """The bytes of the numbers, first all lowest ones, compressed."""
+    return zstandard.compress(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes(), 1)
 
 
 def from_planes(data: bytes, dtype: type) -> np.ndarray:
     size = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(size, -1).T).view(dtype).ravel()
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), dtype=np.uint8).reshape(size, -1).T).view(dtype).ravel()
+
+
+def steps_of(keys: np.ndarray) -> bytes:
+    return planes(np.diff(keys, prepend=np.uint64(0)))
+
+
+def from_steps(data: bytes) -> np.ndarray:
+    return np.cumsum(from_planes(data, np.uint64), dtype=np.uint64)
 
 
 def is_training(doc_id="doc_id"):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 7 != 2
 
 
-BATCH = "batch long, train boolean, ids binary, null_ids binary, bytes binary, lengths binary, words binary, at binary"
+BATCH = "batch long, train boolean, tokens long, ids binary, null_ids binary, bytes binary, lengths binary, words binary, at binary"
 
 
 def _batches(docs: DataFrame) -> DataFrame:
@@ -136,7 +148,7 @@ def _batches(docs: DataFrame) -> DataFrame:
             sizes = np.array([r[1] for r in rows], dtype=np.int64)
             lengths = np.array([len(r[2]) for r in rows], dtype=np.int64)
             none = np.array([r[3] for r in rows], dtype=bool)
-            return pd.DataFrame([(number - 1, train, planes(ids), none.tobytes(), planes(sizes), planes(lengths), planes(distinct), planes(at))], columns=[c.split()[0] for c in BATCH.split(", ")])
+            return pd.DataFrame([(number - 1, train, int(lengths.sum()), planes(ids), none.tobytes(), planes(sizes), planes(lengths), steps_of(distinct), planes(at))], columns=[c.split()[0] for c in BATCH.split(", ")])
 
         for pdf in frames:
             for i, none, train, text in pdf[["doc_id", "none", "train", "text"]].itertuples(index=False):
@@ -154,7 +166,7 @@ def _batches(docs: DataFrame) -> DataFrame:
 
 def _tokens(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a row BATCH: distinct words, each token's place there, its hash, whether it is a text's first, texts' lengths."""
-    lengths, words = from_planes(row.lengths, np.int64), from_planes(row.words, np.uint64)
+    lengths, words = from_planes(row.lengths, np.int64), from_steps(row.words)
     at = from_planes(row.at, np.uint16 if len(words) <= 1 << 16 else np.uint32).astype(np.int64)
     fresh = np.zeros(len(at), dtype=bool)
     fresh[np.r_[0, np.cumsum(lengths)[:-1]]] = True
@@ -169,13 +181,13 @@ def _pieces(row, kind: int, keys: np.ndarray, n: np.ndarray, fragments: int, bit
     width = 2**bits // fragments + 1
     cuts = np.searchsorted(keys, np.array([f * width for f in range(1, fragments)], dtype=np.uint64))
     bounds = np.r_[0, cuts, len(keys)]
-    rows = [(kind * fragments + f, row.batch, kind, row.train, planes(keys[a:b]), planes(n[a:b])) for f, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if b > a]
+    rows = [(kind * fragments + f, row.batch, kind, row.train, steps_of(keys[a:b]), planes(n[a:b])) for f, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if b > a]
     return pd.DataFrame(rows, columns=[c.split()[0] for c in SENT.split(", ")])
 
 
 def _counted(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a fragment's rows SENT: distinct keys, their training counts, each entry's place there, where each row begins."""
-    keys = [from_planes(k, np.uint64) for k in pdf["keys"]]
+    keys = [from_steps(k) for k in pdf["keys"]]
     n = np.concatenate([from_planes(x, np.uint32) * np.uint32(t) for x, t in zip(pdf["n"], pdf["train"], strict=True)])
     distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
     return distinct, np.bincount(at, weights=n, minlength=len(distinct)), at, np.r_[0, np.cumsum([len(k) for k in keys])]
@@ -202,15 +214,15 @@ def _word_counts(batches: DataFrame, fragments: int) -> DataFrame:
 
 
 def log_odds(same: np.ndarray, other: np.ndarray) -> np.ndarray:
-    return np.clip(np.rint(np.log((same + 0.2) / (other + 0.2)) * SCALE), -120, 120).astype(np.int8)
+    return np.clip(np.rint(np.log((same + 0.2) / (other + 0.2)) * SCALE), -LIMIT, LIMIT).astype(np.int8)
 
 
 def path_odds(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of the sorted context keys with counts: log odds of ones for each bit on the way to the key's code.
 
-    Two arrays of a row a bit: for an occurrence that is not in the counts, and for one that is and is left out.
+    Two arrays of a column a bit: for an occurrence that is not in the counts, and for one that is and is left out.
     """
-    out = np.empty((2, CODE_BITS, len(keys)), dtype=np.int8)
+    out = np.empty((2, len(keys), CODE_BITS), dtype=np.int8)
     above = None
     for b in range(CODE_BITS + 1):
         prefix = keys >> np.uint64(CODE_BITS - b)
@@ -218,27 +230,27 @@ def path_odds(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         below = np.repeat(np.add.reduceat(n, begin), np.diff(np.r_[begin, len(keys)])).astype(np.float32)
         if above is not None:
             sign = (2 * (prefix & np.uint64(1)).astype(np.int8) - 1).astype(np.int8)
-            out[0, b - 1] = log_odds(below, above - below) * sign
-            out[1, b - 1] = log_odds(np.maximum(below - 1, 0), above - below) * sign
+            out[0, :, b - 1] = log_odds(below, above - below) * sign
+            out[1, :, b - 1] = log_odds(np.maximum(below - 1, 0), above - below) * sign
         above = below
     return out[0], out[1]
 
 
-def _predictions(batches: DataFrame, fragments: int) -> DataFrame:
+def _predictions(batches: DataFrame, fragments: int, bits: int) -> DataFrame:
     """Rows (batch, kind, frag, data): log odds of the batch's distinct keys with one (kind 1) and two tokens of context."""
 
     def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             for row in pdf.itertuples(index=False):
                 _, _, h, fresh, _ = _tokens(row)
-                for kind, keys in enumerate(context_keys(h, fresh), 1):
+                for kind, keys in enumerate(context_keys(h, fresh, bits), 1):
                     keys, n = np.unique(keys, return_counts=True)
-                    yield _pieces(row, kind, keys, n.astype(np.uint32), fragments, CONTEXT_BITS + CODE_BITS)
+                    yield _pieces(row, kind, keys, n.astype(np.uint32), fragments, bits + CODE_BITS)
 
     def predict(pdf: pd.DataFrame) -> pd.DataFrame:
         distinct, n, at, begin = _counted(pdf)
         odds = path_odds(distinct, n)
-        rows = [(b, k, f, odds[int(t)][:, at[x:y]].tobytes()) for b, k, f, t, x, y in zip(pdf["batch"], pdf["kind"], pdf["frag"], pdf["train"], begin[:-1], begin[1:], strict=True)]
+        rows = [(b, k, f, zstandard.compress(odds[int(t)][at[x:y]].tobytes(), 1)) for b, k, f, t, x, y in zip(pdf["batch"], pdf["kind"], pdf["frag"], pdf["train"], begin[:-1], begin[1:], strict=True)]
         return pd.DataFrame(rows, columns=["batch", "kind", "frag", "data"])
 
     return batches.mapInPandas(send, SENT).groupBy("frag").applyInPandas(predict, "batch long, kind int, frag long, data binary")
@@ -334,8 +346,8 @@ def score(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     batches = _batches(docs.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("none"), is_training().alias("train"), "text"))
-    tokens = batches.agg(F.coalesce(F.sum(F.octet_length("at")), F.lit(0))).first()[0] // 2
-    fragments = max(8, -(-tokens // FRAGMENT_TOKENS))
+    tokens = batches.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    fragments, bits = max(8, -(-tokens // FRAGMENT_TOKENS)), context_bits(tokens)
     counts = _word_counts(batches, fragments)
     of_code, words_of_code = np.zeros(NODES, dtype=np.int64), np.zeros(NODES, dtype=np.int64)
     for (data,) in counts.where("kind = 3").select("data").toLocalIterator():
@@ -353,10 +365,10 @@ def score(docs: DataFrame) -> DataFrame:
         c = np.concatenate([from_planes(x, np.int64) for x in parts.loc[parts["kind"] == 0, "data"]])
         code = codes(h)
         odds = []
-        for kind, keys in enumerate(context_keys(h, fresh), 1):
+        for kind, keys in enumerate(context_keys(h, fresh, bits), 1):
             _, back = np.unique(keys, return_inverse=True)
-            table = np.concatenate([np.frombuffer(x, dtype=np.int8).reshape(CODE_BITS, -1) for x in parts.loc[parts["kind"] == kind, "data"]], axis=1)
-            odds.append(np.ascontiguousarray(table.T)[back])
+            table = b"".join(zstandard.decompress(x) for x in parts.loc[parts["kind"] == kind, "data"])
+            odds.append(np.frombuffer(table, dtype=np.int8).reshape(-1, CODE_BITS)[back])
         begin, own = np.r_[0, np.cumsum(lengths)[:-1]], int(row.train)
         base = np.add.reduceat(np.log10(c + 1.0)[at], begin) - lengths * np.log10(float(total + known_words + 1))
         word_code = codes(words)
@@ -370,5 +382,5 @@ def score(docs: DataFrame) -> DataFrame:
             "bits_per_byte": pd.arrays.FloatingArray(-value * np.log2(10) / np.maximum(size, 1), size == 0),
         })
 
-    parts = counts.where("kind = 0").unionByName(_predictions(batches, fragments))
+    parts = counts.where("kind = 0").unionByName(_predictions(batches, fragments, bits))
     return batches.groupBy("batch").cogroup(parts.groupBy("batch")).applyInPandas(run, RESULT)

@@ -124,3 +124,35 @@ def test_empty(spark, docs, no_docs):
     assert search(docs, none).collect() == [] and search(no_docs, none).collect() == []
     odd = spark.createDataFrame([(1, ""), (2, None), (None, "the"), (3, "nowordlikethis")], "query_id long, text string")
     assert search(docs, odd).collect() == []
+
+
+def test_many_queries_at_once_with_and_without_a_table(monkeypatch):
+    """Common terms from the shard's table, or none: the same documents and the same scores, for thresholds up to the k-th."""
+    rng = random.Random(5)
+    vocab = [f"w{i}" for i in range(300)]
+    texts = [" ".join(rng.choices(vocab, weights=[1 + 3000 // (i + 1) for i in range(300)], k=rng.randrange(5, 60))) for _ in range(900)]
+    queries = []
+    for i in range(70):
+        terms = sorted({term_id(w.encode()): rng.uniform(0.2, 4) for w in texts[i].split() + ["unknown"]}.items())
+        queries.append((np.array([t for t, _ in terms]), np.array([w for _, w in terms]), i, 0.0))
+    index = Index(np.arange(900), texts, 30.0)
+    want = list(index.search_many(queries, 10))
+    for q, (score, ids) in zip(queries, want, strict=True):
+        whole = index._scored(np.arange(900), *((at := np.searchsorted(index.terms, q[0][np.isin(q[0], index.terms)])), q[1][np.isin(q[0], index.terms)]))
+        whole[q[2]] = 0
+        best = np.lexsort((np.arange(900), -whole))[:10]
+        best = best[whole[best] > 0]
+        assert ids.tolist() == best.tolist() and score.tolist() == whole[best].tolist() and len(at)
+    assert 0 < len(index.table) < len(index.terms)
+    for cells in (0, 900 * 20, 4_000_000):
+        monkeypatch.setattr(topk_search, "TABLE_CELLS", cells)
+        other = Index(np.arange(900), texts, 30.0)
+        for share in (0.5, 1.0):
+            got = list(other.search_many([(t, w, i, s[-1] * share) for (t, w, i, _), (s, _) in zip(queries, want, strict=True)], 10))
+            assert all(a[0].tolist() == b[0].tolist() and a[1].tolist() == b[1].tolist() for a, b in zip(got, want, strict=True))
+
+
+def test_shards_tell_their_sizes_without_a_second_worker(spark):
+    """A function over the shards would keep another Python worker a task, with its memory."""
+    shards = topk_search._shards(spark.createDataFrame([(1, "a b"), (2, ""), (3, "b c d")], "doc_id long, text string").coalesce(1))
+    assert [(r["n"], r["words"]) for r in shards.collect()] == [(3, 5)]

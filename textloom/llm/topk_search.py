@@ -9,7 +9,8 @@ the k best of the shards' k best are the k best of all.
 Queries are searched in blocks of a bounded size, each sent to all tasks that hold shards. WAND's pivot is taken for a
 whole shard at once: with a query's terms in rising order of their bounds, those before the pivot can't reach the k-th
 best score together, so a document with none of the others is skipped. What is left is skipped by the bounds of its
-block, and then scored whole. The k-th best score rises from shard to shard of a task, and every shard starts from that
+block, and then scored whole. Scores of a shard's commonest terms are also kept as a table, so they are added up for many
+queries at a time by a matrix product. The k-th best score rises from shard to shard of a task, and every shard starts from that
 of a few pilot shards, which are searched first: so shards return few rows that aren't answers.
 """
 
@@ -30,12 +31,20 @@ from textloom.functions.shared_store import materialize
 K1, B = 1.2, 0.75
 #: Documents in a block.
 BLOCK = 64
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 #: Characters of text in a shard, about, and documents at most: bounds what is indexed at a time.
 SHARD_CHARS = 16 << 20
 SHARD_DOCS = 60_000
 #: Terms of the queries that are searched at a time, about.
 BLOCK_TERMS = 600_000
+#: Terms in at least one of so many of a shard's documents are in its table, as long as that has no more cells.
+COMMON, TABLE_CELLS = 32, 4_000_000
+#: Queries whose common terms are added up at a time.
+TOGETHER = 64
+#: The share of the least score that terms before the pivot may reach together: a lower one leaves fewer documents.
+PIVOT = 0.25
+#: Sums in single precision are true to this share: all their terms are positive, and there are a few thousand at most.
+ROUNDING = 1e-3
 
 
 def words(text: str | None) -> list[bytes]:
@@ -75,13 +84,13 @@ class Index:
         return index
 
     def _load(self, x: dict[str, np.ndarray], mean_length: float) -> None:
-        self.ids, self.terms, self.docs = x["ids"], x["terms"], x["docs"].astype(np.int64)
+        self.ids, self.terms, self.docs = x["ids"], x["terms"], x["docs"]
         n = len(self.docs)
         self.entry_first = x["first"]  # of each term, and the end
         tf = x["tfs"].astype(np.float64)
         norm = K1 * (1 - B + B * x["lengths"].astype(np.float64) / max(mean_length, 1e-9))
         self.scores = tf * (K1 + 1) / (tf + norm[self.docs]) if n else tf
-        term_of = np.repeat(np.arange(len(self.terms)), np.diff(self.entry_first))
+        term_of = np.repeat(np.arange(len(self.terms), dtype=np.int32), np.diff(self.entry_first))
         # The same postings by document, in the order of terms: equal documents have equal sums in every shard.
         by_doc = np.argsort(x["docs"], kind="stable")
         self.own_terms, self.own_scores = term_of[by_doc], self.scores[by_doc]
@@ -95,7 +104,14 @@ class Index:
         self.run_first = np.searchsorted(start, self.entry_first)
         self.blocks = -(-len(self.ids) // BLOCK)
         self.weight = np.zeros(len(self.terms))
-        self.doc_terms = 2 * n / max(1, len(self.ids))  # what scoring a document whole costs, in postings that are added up
+        sizes = np.diff(self.entry_first)
+        common = np.flatnonzero(sizes * COMMON >= max(1, len(self.ids)))
+        common = common[np.argsort(-sizes[common], kind="stable")][: TABLE_CELLS // max(1, len(self.ids))]
+        self.row = np.full(len(self.terms), -1, dtype=np.int32)  # of a term in the table
+        self.row[common] = np.arange(len(common))
+        self.table = np.zeros((len(common), len(self.ids)), dtype=np.float32)
+        for r, a, b in zip(range(len(common)), self.entry_first[common].tolist(), self.entry_first[common + 1].tolist(), strict=True):
+            self.table[r, self.docs[a:b]] = self.scores[a:b]
 
     def postings(self, term: int) -> tuple | None:
         """(documents, scores) of a term."""
@@ -113,62 +129,87 @@ class Index:
 
     def search_arrays(self, term: np.ndarray, weight: np.ndarray, k: int, skip: int | None = None, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
         """search() for distinct terms in ascending order, of documents that score `least` or more: (scores, ids)."""
-        none = np.zeros(0), np.zeros(0, dtype=np.int64)
-        if not len(self.terms) or not len(term) or k < 1:
-            return none
+        return next(self.search_many([(term, weight, skip, least)], k))
+
+    def search_many(self, queries: list[tuple], k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """search_arrays() for each of some (term, weight, skip, least)."""
+        sums = np.zeros((len(queries), len(self.table)), dtype=np.float32)
+        plans = []
+        for q, (term, weight, _, least) in enumerate(queries):
+            plan = self._plan(term, weight, least * (1 - ROUNDING)) if k > 0 else None
+            if plan:
+                at, weight, order, _, pivot = plan
+                high = order[pivot:]
+                row = self.row[at[high]]
+                sums[q, row[row >= 0]] = weight[high[row >= 0]]
+            plans.append(plan)
+        part = sums @ self.table
+        for q, (_, _, skip, least) in enumerate(queries):
+            if not plans[q]:
+                yield np.zeros(0), np.zeros(0, dtype=np.int64)
+                continue
+            at, weight, *_ = plans[q]
+            found = self._candidates(plans[q], part[q], k, least * (1 - ROUNDING))
+            score = self._scored(found, at, weight)
+            keep = (score > 0) & (score >= least)
+            if skip is not None:
+                keep &= self.ids[found] != skip
+            score, ids = score[keep], self.ids[found[keep]]
+            best = np.lexsort((ids, -score))[:k]
+            yield score[best], ids[best]
+
+    def _plan(self, term: np.ndarray, weight: np.ndarray, least: float) -> tuple | None:
+        """(terms' places, weights, their order by bounds, the bounds' sums in that order, the pivot); None if no document can reach `least`."""
+        if not len(self.terms) or not len(term):
+            return None
         at = np.searchsorted(self.terms, term)
         at[at == len(self.terms)] = 0
         known = self.terms[at] == term
         at, weight = at[known], weight[known]
-        if not len(at):
-            return none
-        found = self._candidates(at, weight, k, least * (1 - 1e-9))
-        score = self._scored(found, at, weight)
-        keep = (score > 0) & (score >= least)
-        if skip is not None:
-            keep &= self.ids[found] != skip
-        score, ids = score[keep], self.ids[found[keep]]
-        best = np.lexsort((ids, -score))[:k]
-        return score[best], ids[best]
-
-    def _sums(self, at: np.ndarray, weight: np.ndarray, into: np.ndarray) -> None:
-        """Adds the terms' scores to all documents: frequent terms one by one, the others together."""
-        sizes = self.entry_first[at + 1] - self.entry_first[at]
-        often = sizes >= 48
-        rare, n = at[~often], sizes[~often]
-        places = spread(self.entry_first[rare], n)
-        docs, scores = [self.docs[places]], [np.repeat(weight[~often], n) * self.scores[places]]
-        first, last = self.entry_first[at[often]].tolist(), self.entry_first[at[often] + 1].tolist()
-        docs += [self.docs[a:b] for a, b in zip(first, last, strict=True)]
-        scores += [w * self.scores[a:b] for a, b, w in zip(first, last, weight[often].tolist(), strict=True)]
-        into += np.bincount(np.concatenate(docs), weights=np.concatenate(scores), minlength=len(self.ids))
-
-    def _candidates(self, at: np.ndarray, weight: np.ndarray, k: int, least: float) -> np.ndarray:
-        """The documents that may be among the k + 1 best and score `least` or more, by bounds and rounded sums."""
-        part, bound = np.zeros(len(self.ids)), weight * self.top[at]
+        bound = weight * self.top[at]
         order = np.argsort(bound, kind="stable")
         upto = np.cumsum(bound[order])
-        pivot = int(np.searchsorted(upto, least, side="left"))
-        if pivot == len(order):
-            return np.zeros(0, dtype=np.int64)  # not even all of them
+        if not len(at) or upto[-1] < least:
+            return None  # not even all of them
+        return at, weight, order, upto, int(np.searchsorted(upto, least * PIVOT, side="left"))
+
+    def _sums(self, at: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """The scores of terms that aren't in the table, added up by document."""
+        sizes = self.entry_first[at + 1] - self.entry_first[at]
+        places = spread(self.entry_first[at], sizes)
+        return np.bincount(self.docs[places], weights=np.repeat(weight, sizes) * self.scores[places], minlength=len(self.ids))
+
+    def _candidates(self, plan: tuple, common: np.ndarray, k: int, least: float) -> np.ndarray:
+        """The documents that may be among the k + 1 best and score `least` or more, by bounds and rounded sums.
+
+        `common`: sums of the terms from the pivot on that are in the table.
+        """
+        at, weight, order, upto, pivot = plan
         low, high = order[:pivot], order[pivot:]
-        self._sums(at[high], weight[high], part)
-        if pivot:
-            found = np.flatnonzero((part > 0) & (part + upto[pivot - 1] >= least))
-            cost = int((self.entry_first[at[low] + 1] - self.entry_first[at[low]]).sum())
-            sizes = self.run_first[at[low] + 1] - self.run_first[at[low]]
-            if len(found) * self.doc_terms > cost > 4 * int(sizes.sum()):  # else the blocks' bounds cost more than they save
-                runs = spread(self.run_first[at[low]], sizes)
-                most = np.bincount(self.run_block[runs], weights=np.repeat(weight[low], sizes) * self.run_top[runs], minlength=self.blocks)
-                found = found[part[found] + most[found // BLOCK] >= least]
-            if len(found) * self.doc_terms <= cost:
-                return found
-            self._sums(at[low], weight[low], part)
-        found = np.flatnonzero((part > 0) & (part >= least))
-        if len(found) > k + 1:  # one of them may be the query itself
-            top = part[found]
-            found = found[top >= np.partition(top, len(top) - k - 1)[len(top) - k - 1] * (1 - 1e-9)]
-        return found
+        high = high[self.row[at[high]] < 0]
+        part = self._sums(at[high], weight[high]) + common
+        if not pivot:
+            found = np.flatnonzero((part > 0) & (part >= least))
+            return self._best(found, part[found], k)
+        found = np.flatnonzero((part > 0) & (part + upto[pivot - 1] >= least))
+        sizes = self.run_first[at[low] + 1] - self.run_first[at[low]]
+        if len(found) * len(low) > 4 * int(sizes.sum()):  # else the blocks' bounds cost more than they save
+            runs = spread(self.run_first[at[low]], sizes)
+            most = np.bincount(self.run_block[runs], weights=np.repeat(weight[low], sizes) * self.run_top[runs], minlength=self.blocks)
+            found = found[part[found] + most[found // BLOCK] >= least]
+        row = self.row[at[low]]
+        known, other = low[row >= 0], low[row < 0]
+        part = part[found] + weight[known] @ self.table[np.ix_(row[row >= 0], found)]
+        rest = float((weight[other] * self.top[at[other]]).sum())
+        keep = part + rest >= least
+        found, part = found[keep], part[keep]
+        return found if len(other) else self._best(found, part, k)
+
+    def _best(self, found: np.ndarray, part: np.ndarray, k: int) -> np.ndarray:
+        """Of documents with the rounded sums `part`, those that may be among the k + 1 best: one may be the query itself."""
+        if len(found) <= k + 1:
+            return found
+        return found[part >= np.partition(part, len(part) - k - 1)[len(part) - k - 1] * (1 - ROUNDING)]
 
     def _scored(self, docs: np.ndarray, at: np.ndarray, weight: np.ndarray) -> np.ndarray:
         self.weight[at] = weight
@@ -178,25 +219,25 @@ class Index:
         return out
 
 
-SHARD = "ids binary, lengths binary, terms binary, first binary, docs binary, tfs binary"
+SHARD = "n long, words long, ids binary, lengths binary, terms binary, first binary, docs binary, tfs binary"
 KINDS = {"ids": np.int64, "lengths": np.int32, "terms": np.int64, "first": np.int64, "docs": np.uint16, "tfs": np.int32}
 
 
-def packed(ids: np.ndarray, texts: list, known: TermIds) -> dict[str, bytes]:
-    """A shard's postings as arrays, by term and document."""
+def packed(ids: np.ndarray, texts: list, known: TermIds) -> dict:
+    """A shard's documents and words, and its postings as arrays, by term and document."""
     terms, tfs, lengths = [], [], np.zeros(len(ids), dtype=np.int32)
     for i, text in enumerate(texts):
         found = words(text)
         t, n = np.unique(np.fromiter(map(known.__getitem__, found), dtype=np.int64, count=len(found)), return_counts=True)
         terms.append(t)
-        tfs.append(n)
+        tfs.append(n.astype(np.int32))
         lengths[i] = len(found)
-    docs = np.repeat(np.arange(len(ids)), [len(t) for t in terms])
+    docs = np.repeat(np.arange(len(ids), dtype=np.uint16), [len(t) for t in terms])
     term, tf = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (terms, tfs))
     by = np.argsort(term, kind="stable")
     kinds, first = np.unique(term[by], return_index=True)
     x = {"ids": ids, "lengths": lengths, "terms": kinds, "first": np.r_[first, len(term)], "docs": docs[by], "tfs": tf[by]}
-    return {c: np.ascontiguousarray(v, dtype=KINDS[c]).tobytes() for c, v in x.items()}
+    return {"n": len(ids), "words": int(lengths.sum())} | {c: np.ascontiguousarray(v, dtype=KINDS[c]).tobytes() for c, v in x.items()}
 
 
 def unpacked(row) -> dict[str, np.ndarray]:
@@ -264,8 +305,8 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, query_terms: int |
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("doc_id IS NOT NULL")
     queries = queries.select(F.col("query_id").cast("long").alias("query_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("query_id IS NOT NULL")
     queries = queries.groupBy("query_id").agg(F.min("text").alias("text"))
-    shards = materialize(_shards(docs).withColumn("n", F.length("ids") / 8).withColumn("words", _total("lengths")), "shards")
-    size = shards.agg(F.coalesce(F.sum("n"), F.lit(0.0)), F.coalesce(F.sum("words"), F.lit(0)), F.count("*")).first()
+    shards = materialize(_shards(docs), "shards")
+    size = shards.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0)), F.count("*")).first()
     n, mean = float(size[0]), float(size[1]) / max(size[0], 1)
     twice = materialize(docs.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"), "repeated_ids")
     searched = shards
@@ -296,15 +337,19 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, query_terms: int |
             for pdf in batches:
                 for row in pdf.to_dict("records"):
                     index = Index.of(row, mean)
-                    for i, q in enumerate(asked_ids.tolist()):
-                        x = slice(first[i], first[i + 1])
-                        score, ids = index.search_arrays(terms[x], idfs[x], k, q if skip_self else None, least[i])
-                        if len(score):
+                    for at in range(0, len(asked_ids), TOGETHER):
+                        some = range(at, min(at + TOGETHER, len(asked_ids)))
+                        parts = [slice(first[i], first[i + 1]) for i in some]
+                        asked_now = [(terms[x], idfs[x], int(asked_ids[i]) if skip_self else None, least[i]) for i, x in zip(some, parts, strict=True)]
+                        for i, (score, ids) in zip(some, index.search_many(asked_now, k), strict=True):
+                            if not len(score):
+                                continue
                             score, ids = np.r_[best[i][0], score], np.r_[best[i][1], ids]
                             order = np.lexsort((ids, -score))[:k]
                             best[i] = score[order], ids[order]
                             if len(order) == k:
                                 least[i] = max(least[i], score[order[-1]])
+                    del index  # before the next one is made
             sizes = [len(s) for s, _ in best]
             if sum(sizes):
                 yield pd.DataFrame({"query_id": np.repeat(asked_ids, sizes), "doc_id": np.concatenate([d for _, d in best]), "score": np.concatenate([s for s, _ in best])})
@@ -333,16 +378,6 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, query_terms: int |
     return found.select("query_id", "rank", "doc_id", "score")
 
 
-def _total(packed_ints: str):
-    """Sum of a packed array of 32-bit integers."""
-
-    @F.pandas_udf("long")
-    def run(x: pd.Series) -> pd.Series:
-        return x.map(lambda b: int(np.frombuffer(b, dtype=np.int32).sum(dtype=np.int64)))
-
-    return run(packed_ints)
-
-
 def search_rows(docs: DataFrame, every: int = 100, k: int = 10, query_terms: int | None = 12) -> DataFrame:
     """search() for the rows of `docs` whose id is divisible by `every`, against all rows; `query_terms` None for every word."""
     asked = docs.where(F.col("doc_id") % every == 0).select(F.col("doc_id").alias("query_id"), "text")

@@ -1,0 +1,31 @@
+from pathlib import Path
+
+import numpy as np
+
+from textloom.functions.worker_memory import gives_back
+
+
+def anonymous_mb() -> float:
+    return sum(int(x.split()[1]) for x in Path("/proc/self/smaps_rollup").read_text().splitlines() if x.startswith("Anonymous:")) / 1024
+
+
+def rows(batches):
+    for n in batches:
+        kept = [np.ones(5_000) for _ in range(n)]  # below the size that malloc() maps by itself
+        last = np.ones(1)
+        yield len(kept) + len(last)
+
+
+def test_a_worker_gives_back_what_its_task_freed():
+    """Small arrays under one that stays would hold 160 MB in the allocator."""
+    before = anonymous_mb()
+    stays = []
+
+    def task(batches):
+        for n in rows(batches):
+            stays.append(np.ones(3_000))  # above them, so that the heap's end can't fall
+            yield n
+
+    assert list(gives_back(task)([4_000])) == [4_001] and len(stays) == 1
+    assert anonymous_mb() - before < 40
+    assert gives_back(lambda x: x + 1)(1) == 2

@@ -29,3 +29,15 @@ def test_a_worker_gives_back_what_its_task_freed():
     assert list(gives_back(task)([4_000])) == [4_001] and len(stays) == 1
     assert anonymous_mb() - before < 40
     assert gives_back(lambda x: x + 1)(1) == 2
+
+
+def test_the_pipelines_functions_give_back(spark, monkeypatch):
+    from textloom.llm import ngram_join, privacy
+
+    df = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    seen, own = [], type(df).mapInPandas
+    monkeypatch.setattr(type(df), "mapInPandas", lambda self, run, schema: (seen.append(run), own(self, run, schema))[1])
+    privacy._counts(df.select("text"))
+    privacy._own_terms(df.withColumnRenamed("doc_id", "row_key"), spark.createDataFrame([], "entity long, term long, alone boolean"))
+    ngram_join._segments(df, 5, 8)
+    assert len(seen) == 3 and all(hasattr(run, "__wrapped__") for run in seen)

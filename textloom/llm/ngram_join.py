@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.shared_store import materialize
+from textloom.functions.worker_memory import gives_back
 from textloom.operators.components import connected_components
 
 M1, M2, ROLL = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
@@ -77,6 +78,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 def _sets(docs: DataFrame, n: int) -> DataFrame:
     """(doc_id, n_shingles, set_id): set_id is a hash of the whole set, 0 for an empty one."""
 
+    @gives_back
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = WordHash()
         for pdf in batches:
@@ -114,6 +116,7 @@ def _segments(docs: DataFrame, n: int, fragments: int) -> DataFrame:
             rows.append((int(frag[x]), set_ids[who].tobytes(), sizes[who].tobytes(), lengths.astype(np.int32).tobytes(), grams[x:y].tobytes()))
         return pd.DataFrame(rows, columns=["frag", "set_ids", "sizes", "lengths", "grams"])
 
+    @gives_back
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, seen, ids, sets, total = WordHash(), set(), [], [], 0
         for pdf in batches:
@@ -137,6 +140,7 @@ def _segments(docs: DataFrame, n: int, fragments: int) -> DataFrame:
 
 
 def _shared(buckets: int):
+    @gives_back
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return _shared_grams(batches, buckets)
 
@@ -195,6 +199,7 @@ def _candidates(percent: int, keys: int):
     grams), where grams are the shared ones. A task holds the shared grams of its buckets."""
     seeds = [np.uint64(0xA0761D6478BD642F * (i + 1) % 2**64) for i in range(keys)]
 
+    @gives_back
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = {k: [] for k in ("set_ids", "sizes", "lengths", "grams", "dfs")}
         for pdf in batches:
@@ -229,6 +234,7 @@ def _sliced(fragments: int):
     """(set_id, grams) -> (set_id, frag, grams) for each fragment with grams of the set."""
     width = np.uint64(min(2**64 - 1, 2**64 // fragments + 1))
 
+    @gives_back
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []

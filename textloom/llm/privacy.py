@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.shared_store import materialize
+from textloom.functions.worker_memory import gives_back
 
 #: The kinds in the order of the digest; the method's own spans come last.
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -123,6 +124,7 @@ def term_set(text: str, spans: list[tuple[int, int, int]], terms: TermHash) -> s
 def _counts(texts: DataFrame) -> DataFrame:
     """(entity, term, texts): a null entity counts the texts with the term, a null term those with the entity."""
 
+    @gives_back
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         terms = TermHash()
 
@@ -193,6 +195,7 @@ def revealing_terms(texts: DataFrame, total: int, threshold: float, min_contexts
 def _own_terms(docs: DataFrame, told: DataFrame) -> DataFrame:
     """(row_key, own): the terms of each row to be marked, by shuffle joins."""
 
+    @gives_back
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         terms = TermHash()
         for pdf in batches:
@@ -232,6 +235,7 @@ def find_private(docs: DataFrame, threshold: float = 0.75, min_contexts: int = 2
     else:
         docs = docs.join(_own_terms(docs, told), "row_key", "left")
 
+    @gives_back
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = TermHash()
         by_entity, alone = sent.value if sent is not None else ({}, set())
@@ -260,6 +264,7 @@ def spans_digest(found: DataFrame) -> DataFrame:
     repeated rows are kept; an empty table gives an empty result.
     """
 
+    @gives_back
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []

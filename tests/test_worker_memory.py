@@ -41,3 +41,28 @@ def test_the_pipelines_functions_give_back(spark, monkeypatch):
     privacy._own_terms(df.withColumnRenamed("doc_id", "row_key"), spark.createDataFrame([], "entity long, term long, alone boolean"))
     ngram_join._segments(df, 5, 8)
     assert len(seen) == 3 and all(hasattr(run, "__wrapped__") for run in seen)
+
+
+def test_packing_holds_a_part_of_a_batch(spark, monkeypatch):
+    """Python objects of a task are less than its batch's texts, and it gives back what it freed."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from textloom.llm.packing import pieces, word_ids
+    from textloom.llm.queries import tokenizer_path
+
+    df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    seen = []
+    for name in ("mapInPandas", "mapInArrow"):
+        monkeypatch.setattr(type(df), name, lambda self, run, schema, name=name: seen.append((name, run)))
+    pieces(df, tokenizer_path())
+    (name, run), texts = seen[0], [f"{i % 7}{'x' * 98} " * 20 for i in range(6_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6_000), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    assert hasattr(run, "__wrapped__")
+    word_ids(tokenizer_path()).learn({b"x"})
+    tracemalloc.start()
+    assert sum(len(out) if name == "mapInPandas" else out.num_rows for out in run(iter([batch.to_pandas() if name == "mapInPandas" else batch]))) == 6_000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 6_000 * 2_000 / 2

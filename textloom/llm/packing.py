@@ -12,10 +12,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.shared_store import materialize
+from textloom.functions.worker_memory import gives_back
 
 #: Words kept in a Python worker's cache of token ids.
 CACHE_WORDS = 600_000
@@ -62,7 +64,7 @@ class WordIds(dict):
                 plain.append(w)
             else:
                 cut.append((w, stem.lower(), w[len(stem) :]))
-        low = [w if b"<|" in w else w.lower() for w in plain]
+        low = [w if b"<|" in w or w.islower() else w.lower() for w in plain]
         need = set(low)
         need.update([x[1] for x in cut], [x[2] for x in cut])
         if len(stems) + len(need) > 2 * CACHE_WORDS:
@@ -87,9 +89,11 @@ class WordIds(dict):
             raw = ids.tobytes()
             self.stems.update((w, raw[x:y]) for w, x, y in zip(part, cuts, cuts[1:], strict=False))
 
-    def encode_all(self, texts: list[str | None]) -> Iterator[bytes]:
-        for at in range(0, len(texts), 500):
-            words = [(t or "").encode("utf-8", "replace").split() for t in texts[at : at + 500]]
+    def encode_all(self, texts: pa.Array) -> Iterator[bytes]:
+        """Of each text its ids; only a part of the texts is held as Python objects at a time."""
+        raw = texts.cast(pa.binary())
+        for at in range(0, len(raw), 500):
+            words = [(t or b"").split() for t in raw[at : at + 500].to_pylist()]
             self.learn(set().union(*words))
             for w in words:
                 yield b"".join(map(self.__getitem__, w))
@@ -112,21 +116,24 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: i
     """
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @gives_back
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(tokenizer_path)
-        for pdf in batches:
-            rows = []
-            for doc_id, ids in zip(pdf["doc_id"], words.encode_all(pdf["text"].tolist()), strict=True):
+        for batch in batches:
+            owner, places, sums = [], [], []
+            for i, ids in enumerate(words.encode_all(batch.column(1))):
                 ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     cut = ids[at : at + 4 * capacity]
-                    rows.append((doc_id, k, at // 4, len(cut) // 4, zlib.crc32(cut)))
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            out["doc_id"] = pd.array([None if pd.isna(x) else int(x) for x in out["doc_id"]], dtype="Int64")
-            yield out
+                    owner.append(i)
+                    places.append((k, at // 4, len(cut) // 4))
+                    sums.append(zlib.crc32(cut))
+            piece, start, length = np.array(places, dtype=np.int64).reshape(-1, 3).T
+            columns = [batch.column(0).take(pa.array(owner, pa.int64())), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(sums, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def best_two_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:

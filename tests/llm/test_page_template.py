@@ -92,3 +92,23 @@ def test_templates_by_brute_force(spark, monkeypatch):
     for most in (1 << 20, 0):
         got = {r["host"]: set(r["tokens"]) for r in deduce_templates(df, broadcast_bytes=most).collect()}
         assert got == {h: brute_tokens(v) for h, v in by_host.items()}
+
+
+def test_tags_are_read_once(monkeypatch):
+    """Tags like those of pages before are known; long ones aren't kept. Tokens, counts and places are those of a plain count."""
+    read, own = [], page_template._attributes
+    monkeypatch.setattr(page_template, "_attributes", lambda text: (read.append(text), own(text))[1])
+    for i in range(50):
+        page = Page(f"<div class='once-only'><p id='o1'>a b{i} a</p><p id='o1'>b{i} c</p></div>", with_tokens=True)
+        key = page_template.token_hash
+        at = "/div.once.only/p.o"
+        want = [key("<" + at[:14]), key("<" + at), *(key(f"{at}|{w}") for w in ("a", f"b{i}", "a")), key(">" + at), key("<" + at), *(key(f"{at}|{w}") for w in (f"b{i}", "c")), key(">" + at), key(">" + at[:14])]
+        assert dict(page.tokens) == {k: want.count(k) for k in want}
+        assert page.places == {k: n for n, k in enumerate(dict.fromkeys(want))}
+    assert len(read) == 2
+    kept = page_template._tag.cache_info().currsize
+    assert main_text(f"<p><img src='{'x' * 1000}'>a</p>") == main_text(f"<p><img src='{'y' * 1000}'>a</p>") == "a"
+    assert page_template._tag.cache_info().currsize <= kept + 1
+    # All white space of Unicode is one space.
+    spaces = "".join(c for c in map(chr, range(0x110000)) if c.isspace())
+    assert main_text(f"<p>{spaces}a{spaces}b{spaces}</p>") == "a b" and page_template.re.sub(r"\s+", "", spaces) == ""

@@ -23,6 +23,7 @@ import re
 from bisect import bisect
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property, lru_cache
 from html import unescape
 
 import numpy as np
@@ -35,7 +36,6 @@ from textloom.functions.shared_store import materialize
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([A-Za-z-]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)|\b(hidden)\b")
-SPACE = re.compile(r"\s+")
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 RAW = frozenset("script style noscript template textarea title iframe xmp noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr param".split())
@@ -93,42 +93,68 @@ class WordKeys(dict):
 WORD_KEYS = WordKeys()
 
 
+#: Tags with longer paths and attributes are read anew each time, so that what is kept is bounded.
+KEPT_CHARS = 500
+
+
+@lru_cache(maxsize=20_000)
+def _tag(above: str, name: str, attributes: str) -> tuple[str, int, bool, bool, bool]:
+    """Of an opening tag under the path `above`: its path and token hash; whether it begins an article; whether it is dropped,
+    and whether it is outside articles only."""
+    a = _attributes(attributes) if attributes else {}
+    label = _names(a.get("class", "") + " " + a.get("id", "")) if a else set()
+    path = f"{above}/{name}" + (f".{'.'.join(sorted(label))}" if label else "")
+    key, begins, drops, heads = token_hash("<" + path), False, False, False
+    if name in ("article", "main") or a.get("role") in ("main", "article") or a.get("itemprop") == "articleBody":
+        begins, drops = True, bool(label & ARTICLE_MARKS)
+    elif name not in ("html", "body"):
+        heads = name == "header" or "header" in label
+        drops = name in DROPPED or a.get("role") in ROLES or bool(label & MARKS)
+        drops |= "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "")
+    return path, key, begins, drops, heads
+
+
+@lru_cache(maxsize=20_000)
+def _end_key(path: str) -> int:
+    return token_hash(">" + path)
+
+
 class Page:
     """Blocks of a page: (text, whether in an article, path of its container); and the tokens of its template."""
 
     def __init__(self, html: str | None, with_tokens: bool = False):
         self.blocks: list[tuple[str, bool, str]] = []
-        self.tokens: dict[int, int] = {}  # by hash
         self.mass: Counter[str] = Counter()
-        self.places: dict[int, int] = {}  # of a token's first occurrence
         self._stack: list[tuple[str, bool, bool, str]] = []  # name, dropped, in an article, path
         self._text: list[str] = []
         self._links = 0
         self._with_tokens = with_tokens
+        self._sequence: list[int] = []
         self._read(html or "")
+        #: How often each token occurs, by hash, in order of first occurrences.
+        self.tokens: Counter[int] = Counter(self._sequence)
+
+    @cached_property
+    def places(self) -> dict[int, int]:
+        """Of a token's first occurrence."""
+        return dict(zip(self.tokens, range(len(self.tokens)), strict=True))
 
     def _top(self) -> tuple[str, bool, bool, str]:
         return self._stack[-1] if self._stack else ("", False, False, "")
 
-    def _token(self, key: int) -> None:
-        n = self.tokens.get(key)
-        if n is None:
-            self.tokens[key], self.places[key] = 1, len(self.places)
-        else:
-            self.tokens[key] = n + 1
-
     def _flush(self) -> None:
-        text = SPACE.sub(" ", unescape("".join(self._text))).strip()
+        if not self._text:
+            return
+        words = unescape("".join(self._text)).split()
         self._text = []
         links, self._links = self._links, 0
-        if not text:
+        if not words:
             return
         _, dropped, article, path = self._top()
         if self._with_tokens:
-            known = WORD_KEYS.of(path)
-            for w in text.split(" "):
-                self._token(known[w])
+            self._sequence.extend(map(WORD_KEYS.of(path).__getitem__, words))
         if not dropped:
+            text = " ".join(words)
             self.blocks.append((text, article, path))
             self.mass[path.rpartition("/")[0]] += max(0, len(text) - 2 * links)
 
@@ -141,20 +167,11 @@ class Page:
             if self._stack and self._top()[0] == other:
                 self._close_to(other)
         _, dropped, article, path = self._top()
-        a = _attributes(attributes) if attributes else {}
-        label = _names(a.get("class", "") + " " + a.get("id", "")) if a else set()
-        path = f"{path}/{name}" + (f".{'.'.join(sorted(label))}" if label else "")
+        path, key, begins, drops, heads = (_tag if len(path) + len(attributes) < KEPT_CHARS else _tag.__wrapped__)(path, name, attributes)
         if self._with_tokens:
-            self._token(token_hash("<" + path))
-        if name in VOID:
-            return
-        if name in ("article", "main") or a.get("role") in ("main", "article") or a.get("itemprop") == "articleBody":
-            dropped |= bool(label & ARTICLE_MARKS)
-            article = True
-        elif name not in ("html", "body"):
-            dropped |= name in DROPPED or (name == "header" and not article) or a.get("role") in ROLES or bool(label & MARKS) or ("header" in label and not article)
-            dropped |= "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "")
-        self._stack.append((name, dropped, article, path))
+            self._sequence.append(key)
+        if name not in VOID:
+            self._stack.append((name, dropped or drops or (heads and not article), article or begins, path))
 
     def _inside(self, name: str) -> bool:
         """Whether an element is open with only inline ones in it."""
@@ -172,13 +189,12 @@ class Page:
     def _close(self, name: str) -> None:
         if name in BLOCK:
             self._flush()
-        if any(x[0] == name for x in self._stack):
-            if self._with_tokens:
-                path = next(x[3] for x in reversed(self._stack) if x[0] == name)
-                self._token(token_hash(">" + path))
-            self._close_to(name)
-        elif name == "p":
-            pass
+        for x, _, _, path in reversed(self._stack):
+            if x == name:
+                if self._with_tokens:
+                    self._sequence.append((_end_key if len(path) < KEPT_CHARS else _end_key.__wrapped__)(path))
+                self._close_to(name)
+                break
 
     def _say(self, text: str) -> None:
         if text:

@@ -62,3 +62,16 @@ def test_patterns_use_every_piece():
         assert used == counts
     # 6 + 3 leave 1; in place of 3, two pieces of 2 fill the bin.
     assert best_two_fit({6: 1, 3: 1, 2: 2}, 10)[0] == (1, [6, 2, 2])
+
+
+def test_words_are_learned_once(tokenizer):
+    """Whatever their case and the signs after them; the ids are the tokenizer's."""
+    import pyarrow as pa
+
+    from textloom.llm.packing import WordIds
+
+    words = WordIds(tokenizer_path())
+    texts = ["Word word, WORD... (word) word\x0b", "a.b, é., ”. 1,5. x\x7f. -- ... ß!\n.\x85.", "<|endoftext|>, Word,", "word.", None, "Ünder, Ünder! naïve.) 𝒳. q.\x1c"]
+    assert list(words.encode_all(pa.array(texts[:1]))) and set(words) == {b"word", b",", b"...", b"(word", b")"}
+    want = [np.asarray(tokenizer.encode(t or "", add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    assert list(words.encode_all(pa.array(texts))) == want

@@ -7,6 +7,7 @@ take their places by their rank among the pieces of their length. No list of doc
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -22,6 +23,8 @@ from textloom.functions.worker_memory import gives_back
 #: Words kept in a Python worker's cache of token ids.
 CACHE_WORDS = 600_000
 SIGNS = b"!\"#$%&()*+,-./:;=?@[\\]^_`{|}~"
+#: Signs from an ASCII letter or digit to white space or the end; it begins with a sign, which re looks for first.
+TAIL = re.compile(rb"[%b](?<=[0-9a-z].)[%b]*(?=[\t-\r ]|\Z)" % (re.escape(SIGNS), re.escape(SIGNS)))
 
 
 def _letter_last(word: bytes) -> bool:
@@ -34,8 +37,16 @@ def _letter_last(word: bytes) -> bool:
     return word.decode("utf-8", "replace")[-1].isalpha()
 
 
+def _parts(text: bytes) -> list[bytes]:
+    """Words in lower case, ASCII signs at the end of one apart: the tokenizer gives them tokens of their own.
+
+    So "word", "Word" and "word," are learned once. A text that may name a special token is split at white space only.
+    """
+    return text.split() if b"<|" in text else TAIL.sub(rb" \g<0>", text.lower()).split()
+
+
 class WordIds(dict):
-    """Token ids of words as little-endian bytes.
+    """Token ids of words as little-endian bytes, of at most CACHE_WORDS words or of those of one part of the texts.
 
     The tokenizer's pre-tokenizer never joins text across white space, so the ids of a text are those of its
     white-space separated parts in turn. Parts that are new are encoded together, as one text, and told apart by the
@@ -47,32 +58,30 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.bare = Tokenizer.from_file(path)
-        self.bare.normalizer = None
-        self.stems: dict[bytes, bytes] = {}
+        self.normalizer = self.tokenizer.normalizer
 
     def learn(self, words: set[bytes]) -> None:
-        new = words - self.keys()
-        if len(self) + len(new) > CACHE_WORDS:
-            self.clear()
-            new = words
+        new = [w for w in words if w not in self]  # words - self.keys() goes through the whole cache
         # A run of ASCII signs after a letter or digit is a token of the pre-tokenizer by itself, and case is dropped.
-        plain, cut, stems = [], [], self.stems
+        plain, cut, need = [], [], set()
         for w in new:
             stem = w.rstrip(SIGNS)
             if len(stem) == len(w) or b"<|" in w or not _letter_last(stem):  # "<|" may begin the name of a special token
-                plain.append(w)
+                low = w if b"<|" in w or w.islower() else w.lower()
+                need.add(low)
+                if low is not w:
+                    plain.append((w, low))
             else:
                 cut.append((w, stem.lower(), w[len(stem) :]))
-        low = [w if b"<|" in w or w.islower() else w.lower() for w in plain]
-        need = set(low)
         need.update([x[1] for x in cut], [x[2] for x in cut])
-        if len(stems) + len(need) > 2 * CACHE_WORDS:
-            stems.clear()
-        self._encode(sorted(need - stems.keys(), key=bytes.isascii))
-        self.update(zip(plain, map(stems.__getitem__, low), strict=True))
+        if len(self) + len(need) + len(plain) + len(cut) > CACHE_WORDS and len(self):
+            self.clear()
+            return self.learn(words)
+        self._encode(sorted((w for w in need if w not in self), key=bytes.isascii))
+        for w, low in plain:
+            self[w] = self[low]
         for w, stem, tail in cut:
-            self[w] = stems[stem] + stems[tail]
+            self[w] = self[stem] + self[tail]
 
     def _encode(self, new: list[bytes]) -> None:
         """`new`: parts, those in ASCII last."""
@@ -81,19 +90,20 @@ class WordIds(dict):
             joined = b" ".join(part).decode("utf-8", "replace")
             # Lower-case letters that are composed are what the normaliser would give.
             easy = joined.isascii() and b"<|" not in joined.encode()
-            found = (self.bare if easy else self.tokenizer).encode(joined, add_special_tokens=False)
+            self.tokenizer.normalizer = None if easy else self.normalizer
+            found = self.tokenizer.encode(joined, add_special_tokens=False)
             starts = np.cumsum([0, *(len(t) + 1 for t in (part if easy else joined.split(" ")))])
             ids = np.asarray(found.ids, dtype="<u4")
             first = np.fromiter((x[0] for x in found.offsets), dtype=np.int64, count=len(ids))
             cuts = (np.searchsorted(first, starts) * 4).tolist()
             raw = ids.tobytes()
-            self.stems.update((w, raw[x:y]) for w, x, y in zip(part, cuts, cuts[1:], strict=False))
+            self.update((w, raw[x:y]) for w, x, y in zip(part, cuts, cuts[1:], strict=False))
 
     def encode_all(self, texts: pa.Array) -> Iterator[bytes]:
         """Of each text its ids; only a part of the texts is held as Python objects at a time."""
         raw = texts.cast(pa.binary())
         for at in range(0, len(raw), 500):
-            words = [(t or b"").split() for t in raw[at : at + 500].to_pylist()]
+            words = [_parts(t or b"") for t in raw[at : at + 500].to_pylist()]
             self.learn(set().union(*words))
             for w in words:
                 yield b"".join(map(self.__getitem__, w))

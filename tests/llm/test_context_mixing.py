@@ -148,3 +148,27 @@ def test_context_helps_on_held_out_rows(spark):
 
 def test_empty(no_docs):
     assert score(no_docs).collect() == []
+
+
+def test_bits_of_a_token_are_mixed_at_once(monkeypatch):
+    """The steps are a long text's tokens, not their bits."""
+    rng = np.random.default_rng(6)
+    order0, by_node = predictors(rng, 80)
+    code = rng.integers(0, NODES, 80)
+    calls, own = [], np.exp
+    monkeypatch.setattr(np, "exp", lambda *a, **b: (calls.append(1), own(*a, **b))[1])
+    assert code_log10(np.array([80]), code, order0, on_path(by_node, code), on_path(by_node[::-1], code))[0] < 0
+    assert len(calls) < 2 * 80
+
+
+def test_predictions_are_small_where_contexts_are_alike():
+    """Contexts that one code follows twice have the same row each, whatever the code; a batch puts back the signs."""
+    from textloom.llm.context_mixing import odds_of_ones, packed_odds, path_odds
+
+    rng = np.random.default_rng(7)
+    keys = np.sort(np.arange(20_000, dtype=np.uint64) << np.uint64(CODE_BITS) | rng.integers(0, NODES, 20_000).astype(np.uint64))
+    whole, left = path_odds(keys, np.full(20_000, 2))
+    parts = [packed_odds(x) for x in (whole[:7_000], whole[7_000:])]
+    assert sum(map(len, parts)) < 1_000 and len(packed_odds(left)) < 1_000
+    bits = keys[:, None] >> np.arange(CODE_BITS - 1, -1, -1, dtype=np.uint64) & np.uint64(1)
+    assert (odds_of_ones(keys, parts) == odds(2, 0) * (2 * bits.astype(int) - 1)).all()

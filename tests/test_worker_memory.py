@@ -66,3 +66,17 @@ def test_packing_holds_a_part_of_a_batch(spark, monkeypatch):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 6_000 * 2_000
+
+
+def test_the_word_cache_holds_no_more_than_its_bound(spark, monkeypatch):
+    """All that a worker keeps counts: words, and the parts that words are put together from."""
+    import pyarrow as pa
+
+    from textloom.llm import packing
+    from textloom.llm.queries import tokenizer_path
+
+    monkeypatch.setattr(packing, "CACHE_WORDS", 1_000)
+    words = packing.WordIds(tokenizer_path())
+    for at in range(0, 6_000, 200):
+        list(words.encode_all(pa.array([" ".join(f"é{i}é, Z{i}" for i in range(at, at + 200))])))
+        assert len(words) + sum(len(x) for x in vars(words).values() if isinstance(x, dict)) <= 1_000

@@ -172,3 +172,30 @@ def test_predictions_are_small_where_contexts_are_alike():
     assert sum(map(len, parts)) < 1_000 and len(packed_odds(left)) < 1_000
     bits = keys[:, None] >> np.arange(CODE_BITS - 1, -1, -1, dtype=np.uint64) & np.uint64(1)
     assert (odds_of_ones(keys, parts) == odds(2, 0) * (2 * bits.astype(int) - 1)).all()
+
+
+def test_odds_on_a_shared_way_are_sent_once():
+    """Keys of one context share the odds of their codes' common bits; parts may begin within a context."""
+    import zstandard
+
+    from textloom.llm.context_mixing import odds_of_ones, packed_odds, path_odds
+
+    rng = np.random.default_rng(8)
+    keys = np.unique(rng.integers(0, 2_000, 20_000).astype(np.uint64) << np.uint64(CODE_BITS) | rng.integers(0, NODES, 20_000).astype(np.uint64))
+    signs = 2 * (keys[:, None] >> np.arange(CODE_BITS - 1, -1, -1, dtype=np.uint64) & np.uint64(1)).astype(int) - 1
+    for rows in path_odds(keys, rng.geometric(0.3, len(keys))):
+        parts = [packed_odds(rows[a:b], keys[a:b]) for a, b in ((0, 0), (0, 7_003), (7_003, len(keys)))]
+        assert (odds_of_ones(keys, parts) == rows * signs).all()
+        assert sum(map(len, parts)) < 0.8 * len(zstandard.compress(rows.tobytes(), 1))
+
+
+def test_places_of_frequent_words_are_small(spark):
+    """A batch's tokens come back in their order, in fewer bytes than as places among its sorted words."""
+    from textloom.llm.context_mixing import WordHash, _batches, _tokens, planes, token_hashes
+
+    rng = np.random.default_rng(9)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.3, 400) % 5_000) for _ in range(100)]
+    rows = _batches(spark.createDataFrame([(i, False, True, t) for i, t in enumerate(texts)], "doc_id long, none boolean, train boolean, text string").coalesce(1)).collect()
+    h = np.concatenate([token_hashes(t, WordHash()) for t in texts])
+    assert len(rows) == 1 and (_tokens(rows[0])[2] == h).all()
+    assert len(rows[0]["at"]) + len(rows[0]["n"]) < 0.9 * len(planes(np.unique(h, return_inverse=True)[1].astype(np.uint16)))

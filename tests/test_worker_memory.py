@@ -43,6 +43,26 @@ def test_the_pipelines_functions_give_back(spark, monkeypatch):
     assert len(seen) == 3 and all(hasattr(run, "__wrapped__") for run in seen)
 
 
+def test_columns_made_by_workers_give_back_too(spark, monkeypatch):
+    """The functions of sanitised texts and of sets' differences; only texts that change are sent to the former."""
+    import pandas as pd
+
+    from textloom.llm import ngram_join, privacy
+
+    assert hasattr(privacy.clean, "__wrapped__")
+    out = privacy.clean(iter([(pd.Series(["to a@b.cd", None, ""]), pd.Series([[{"start": 3, "kind": 0, "end": 9}], None, []]), pd.Series([None, None, None]))]))
+    assert [x.tolist() for x in out] == [["to <EMAIL>", None, ""]]
+    seen, own = [], privacy.F.pandas_udf
+    with monkeypatch.context() as m:
+        m.setattr(ngram_join.F, "pandas_udf", lambda kind: lambda f: (seen.append(f), own(kind)(f))[1])
+        ngram_join._difference(privacy.F.lit(b""), privacy.F.lit(b""))
+    assert len(seen) == 1 and hasattr(seen[0], "__wrapped__")
+    df = spark.createDataFrame([(1, "to a@b.cd"), (2, "plain words"), (None, None)], "doc_id long, text string")
+    plan = privacy.sanitise_texts(df)._jdf.queryExecution().optimizedPlan().toString()
+    sent = next(x for x in plan.splitlines() if "ArrowEvalPython" in x)
+    assert "clean(text#" not in sent
+
+
 def test_packing_holds_a_part_of_a_batch(spark, monkeypatch):
     """Python objects of a task are less than its batch's texts, and it gives back what it freed."""
     import tracemalloc

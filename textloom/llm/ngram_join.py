@@ -252,8 +252,10 @@ def _difference(grams, hub_grams):
     """array<long> of the n-grams of one packed list that the other lacks, of either side."""
 
     @F.pandas_udf("array<long>")
-    def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([np.setxor1d(np.frombuffer(p, dtype=np.int64), np.frombuffer(q, dtype=np.int64), assume_unique=True) for p, q in zip(x, y, strict=True)], dtype="object")
+    @gives_back
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for x, y in batches:
+            yield pd.Series([np.setxor1d(np.frombuffer(p, dtype=np.int64), np.frombuffer(q, dtype=np.int64), assume_unique=True) for p, q in zip(x, y, strict=True)], dtype="object")
 
     return run(grams, hub_grams)
 

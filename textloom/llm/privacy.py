@@ -298,6 +298,14 @@ def sanitise(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join(out) + text[at:]
 
 
+@gives_back
+def clean(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """The sanitised texts of (text, base spans, term spans or null); null for a null text."""
+    for text, base, terms in batches:
+        spans = ([] if b is None else [(x["start"], x["kind"], x["end"]) for x in [*b, *([] if m is None else m)]] for b, m in zip(base, terms, strict=True))
+        yield pd.Series([None if t is None else sanitise(t, s) for t, s in zip(text, spans, strict=True)], dtype="object")
+
+
 def sanitise_texts(docs: DataFrame, **settings) -> DataFrame:
     """`docs` with every column, its texts sanitised; see find_private() for `settings`.
 
@@ -309,14 +317,7 @@ def sanitise_texts(docs: DataFrame, **settings) -> DataFrame:
     key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
     joined = docs.withColumn("__key", key).join(found.withColumnRenamed("row_key", "__key"), "__key", "left")
 
-    @F.pandas_udf("string")
-    def clean(text: pd.Series, base: pd.Series, terms: pd.Series) -> pd.Series:
-        def one(t, b, m):
-            if t is None or b is None:
-                return t
-            return sanitise(t, [(x["start"], x["kind"], x["end"]) for x in [*b, *([] if m is None else m)]])
-
-        return pd.Series([one(*x) for x in zip(text, base, terms, strict=True)], dtype="object")
-
-    text = F.when(F.col("__base").isNull(), F.col("text")).otherwise(clean("text", "__base", "__terms"))
+    # Python gets the texts that change, no others.
+    cleaned = F.pandas_udf(clean, "string")(F.when(F.col("__base").isNotNull(), F.col("text")), "__base", "__terms")
+    text = F.when(F.col("__base").isNull(), F.col("text")).otherwise(cleaned)
     return joined.withColumn("text", text).select(*docs.columns)

@@ -78,11 +78,29 @@ def op10_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"))
 
 
+def op11_byte_pair_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.byte_pairs import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_multi_50k.tiktoken"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.importance import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=25, least_words=20, seed=7)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.spelling import spelling_variants, variant_words
+
+    return spelling_variants(variant_words(table(spark, sf_dir, "documents"), least_size=7, every=31).where("n >= 2"), ratio=10)
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
 
 def oracle_sql() -> dict:
-    from textloom.llm import chat
+    from textloom.llm import chat, sql_checks
 
-    return {"op1_chat_perspectives": chat.SQL}
+    return {"op1_chat_perspectives": chat.SQL, "op12_importance_resampling": sql_checks.IMPORTANCE, "op13_spelling_variants": sql_checks.SPELLING}

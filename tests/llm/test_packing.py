@@ -75,3 +75,32 @@ def test_words_are_learned_once(tokenizer):
     assert list(words.encode_all(pa.array(texts[:1]))) and set(words) == {b"word", b",", b"...", b"(word", b")"}
     want = [np.asarray(tokenizer.encode(t or "", add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
     assert list(words.encode_all(pa.array(texts))) == want
+
+
+def test_signs_after_and_before_every_letter(tokenizer):
+    """Each letter, mark and number of Unicode alone, after a letter and between signs: the ids are the tokenizer's."""
+    import unicodedata
+
+    import pyarrow as pa
+
+    from textloom.llm.packing import WordIds
+
+    points = [chr(c) for c in range(0x80, 0x110000) if unicodedata.category(chr(c))[0] in "LMN" and not 0xAC10 <= c < 0xD7A0 and not 0x3500 <= c < 0x9F00 and not 0x17010 <= c < 0x18CD0 and not 0x20010 <= c < 0x323A0]
+    texts = [f"{c}! a{c}. ({c}) .{c}{c},; é{c}?" for c in points]
+    words = WordIds(tokenizer_path())
+    got = list(words.encode_all(pa.array(texts)))
+    want = [np.asarray(x.ids, dtype="<u4").tobytes() for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [t for t, a, b in zip(texts, got, want) if a != b] == []
+
+
+def test_random_texts(tokenizer):
+    import pyarrow as pa
+
+    from textloom.llm.packing import WordIds
+
+    rng = random.Random(6)
+    chars = "aB1.!?,;:'-\"() \n" * 4 + "İıſßéÉ়ক়য়़ा٣²Ⅷ漢ｶﾞ가각\u1100\u1161\u11a8\u0301\u0338Σς’“…\u00ad\u200d\u3000K\u212a\U0001d4b3"
+    texts = ["".join(rng.choice(chars) for _ in range(rng.randrange(1, 30))) for _ in range(50_000)]
+    got = list(WordIds(tokenizer_path()).encode_all(pa.array(texts)))
+    want = [np.asarray(x.ids, dtype="<u4").tobytes() for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [t for t, a, b in zip(texts, got, want) if a != b] == []

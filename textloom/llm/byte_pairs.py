@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions.worker_memory import gives_back
+from textloom.llm.worker_memory import gives_back
 
 #: Slices in a worker's cache, and the longest that is kept (in bytes).
 CACHE_PIECES, CACHE_BYTES = 300_000, 32

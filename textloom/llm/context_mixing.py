@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.shared_store import materialize
-from textloom.functions.worker_memory import gives_back
+from textloom.llm.worker_memory import gives_back
 
 CODE_BITS = 10
 NODES = 1 << CODE_BITS

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.shared_store import materialize
-from textloom.functions.worker_memory import gives_back
+from textloom.llm.worker_memory import gives_back
 from textloom.operators.components import connected_components
 
 M1, M2, ROLL = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.shared_store import materialize
-from textloom.functions.worker_memory import gives_back
+from textloom.llm.worker_memory import gives_back
 
 #: Words kept in a Python worker's cache of token ids.
 CACHE_WORDS = 600_000
@@ -27,16 +27,6 @@ SIGNS = b"!\"#$%&()*+,-./:;=?@[\\]^_`{|}~"
 TAIL = re.compile(rb"[%b](?<=[0-9a-z].)[%b]*(?=[\t-\r ]|\Z)" % (re.escape(SIGNS), re.escape(SIGNS)))
 
 
-def _letter_last(word: bytes) -> bool:
-    """Whether the last character is a letter or an ASCII digit."""
-    last = word[-1:]
-    if last < b"\x80":
-        return last.isalnum()
-    if word[-2:-1] == b"\xc3":
-        return last not in b"\x97\xb7"  # of these, two signs aren't letters
-    return word.decode("utf-8", "replace")[-1].isalpha()
-
-
 def _parts(text: bytes) -> list[bytes]:
     """Words in lower case, ASCII signs at the end of one apart: the tokenizer gives them tokens of their own.
 
@@ -59,14 +49,28 @@ class WordIds(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.normalizer = self.tokenizer.normalizer
+        self.apart: dict[str, bool] = {}
+
+    def _signs_apart(self, stem: bytes) -> bool:
+        """Whether ASCII signs after `stem` are tokens of their own, by its last character.
+
+        The tokenizer is asked once for each character: lower-casing and composing may turn a letter into one with a mark
+        behind it, which signs join, and its tables of letters are its own.
+        """
+        if stem[-1:] < b"\x80":
+            return stem[-1:].isalnum()
+        last = stem.decode("utf-8", "replace")[-1]
+        if last not in self.apart:
+            self.apart[last] = self.tokenizer.pre_tokenizer.pre_tokenize_str(self.normalizer.normalize_str(last + "!"))[-1][0] == "!"
+        return self.apart[last]
 
     def learn(self, words: set[bytes]) -> None:
         new = [w for w in words if w not in self]  # words - self.keys() goes through the whole cache
-        # A run of ASCII signs after a letter or digit is a token of the pre-tokenizer by itself, and case is dropped.
+        # A run of ASCII signs after a letter or digit is a token of the pre-tokenizer by itself, and ASCII case is dropped.
         plain, cut, need = [], [], set()
         for w in new:
             stem = w.rstrip(SIGNS)
-            if len(stem) == len(w) or b"<|" in w or not _letter_last(stem):  # "<|" may begin the name of a special token
+            if len(stem) == len(w) or b"<|" in w or not self._signs_apart(stem):  # "<|" may begin the name of a special token
                 low = w if b"<|" in w or w.islower() else w.lower()
                 need.add(low)
                 if low is not w:

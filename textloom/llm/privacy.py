@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.shared_store import materialize
-from textloom.functions.worker_memory import gives_back
+from textloom.llm.worker_memory import gives_back
 
 #: The kinds in the order of the digest; the method's own spans come last.
 KINDS = ("email", "ip", "card", "phone", "term")

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.shared_store import materialize
-from textloom.functions.worker_memory import gives_back
+from textloom.llm.worker_memory import gives_back
 
 #: Ranges of more words are divided.
 RANGE_WORDS = 200

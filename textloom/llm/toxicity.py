@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.shared_store import materialize
-from textloom.functions.worker_memory import gives_back
+from textloom.llm.worker_memory import gives_back
 
 EDGE = ".,;:!?()[]{}<>\"'*&%$#|/\\-_=+~`"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")

@@ -50,9 +50,8 @@ def _chunk(text: Column, at: Column, k: int, w: int) -> Column:
     """Chosen keys of the chunk of `text` that starts at character `at` (from 0)."""
     piece = F.substring(text, at + 1, F.lit(CHUNK + w + k - 2))
     grams = F.regexp_extract_all(piece, F.lit(f"(?s)(?=(.{{{k}}}))."), F.lit(1))
-    hashed = lambda g: F.shiftleft(F.xxhash64(g).bitwiseAND(F.lit(0x7FFFFFFF)), SHIFT)
-    keys = F.transform(grams, lambda g, i: hashed(g) + (F.lit(LAST) - (at + i).cast("long")))
-    return F.array_distinct(_minima(keys, w))
+    keys = F.transform(grams, lambda g, i: F.shiftleft(F.xxhash64(g).bitwiseAND(F.lit(0x7FFFFFFF)), SHIFT) + (F.lit(LAST) - i))
+    return F.transform(F.array_distinct(_minima(keys, w)), lambda key: key - at)
 
 
 def fingerprint(text: Column, k: int = K, w: int = W) -> Column:
@@ -101,10 +100,11 @@ def _range_of(doc_id: Column, text: Column, knots: list[float], ranges: int) ->
     inner = F.when(hi > lo, F.least(F.floor((x - lo) / (hi - lo) * ranges), F.lit(ranges - 1))).otherwise(0)
     prefix = F.conv(F.rpad(F.hex(F.substring(text.cast("binary"), 1, 5)), 10, "0"), 16, 10).cast("double")
     null = F.floor(prefix / float(1 << 40) * NULL_RANGES) - NULL_RANGES
-    return F.when(doc_id.isNull(), null).otherwise(below * F.lit(ranges) + F.greatest(inner, F.lit(0))).cast("long")
+    # Never null, and said so: a join on it adds no filter to one of its sides, and both use one shuffle of the texts.
+    return F.coalesce(F.when(doc_id.isNull(), null).otherwise(below * F.lit(ranges) + F.greatest(inner, F.lit(0))).cast("long"), F.lit(0).cast("long"))
 
 
-def with_next(docs: DataFrame, rows_in_bucket: int = 500) -> DataFrame:
+def with_next(docs: DataFrame, rows_in_bucket: int = 64) -> DataFrame:
     """`docs` (doc_id, text) with n_chars, marks, own (their hashes), and next_text and next_own of the row after it by (doc_id, text).
 
     The row after the last is the first. Ids are cut into ranges of about `rows_in_bucket` rows each, evenly between
@@ -117,7 +117,7 @@ def with_next(docs: DataFrame, rows_in_bucket: int = 500) -> DataFrame:
     span = docs.agg(F.percentile_approx("doc_id", [k / KNOTS for k in range(KNOTS + 1)]).alias("knots"), F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
     n = max(span["n"], 1)
     knots = sorted({float(k) for k in span["knots"] or ()}) or [0.0]
-    parts = max(8, min(-(-n // rows_in_bucket), -(-(span["bytes"] or 0) // (8 << 20))))
+    parts = max(8, min(-(-n // (4 * rows_in_bucket)), -(-(span["bytes"] or 0) // (8 << 20))))  # many ranges to a part, so parts are even
     bucket = _range_of(F.col("doc_id"), F.col("text"), knots, max(1, n // (rows_in_bucket * len(knots))))
     docs = docs.withColumn("bucket", bucket).repartition(parts, "bucket")
     order = Window.partitionBy("bucket").orderBy(F.col("doc_id").asc_nulls_first(), "text")

@@ -13,6 +13,8 @@ from textloom.operators.block_join import block_join
 from textloom.operators.components import connected_components
 from textloom.operators.similarity import similarity_join
 
+#: Documents of a part of a large set of documents that share a gram.
+PART_DOCS = 256
 RESULT = (
     "item_id", "evaluation_signal", "mask", "pattern_name", "reason", "structural_density", "max_structure_similarity",
     "max_content_similarity", "coverage", "matched_peer_id",
@@ -25,19 +27,56 @@ def blocking_postings(docs: DataFrame, n: int = 3) -> DataFrame:
     return docs.select("doc_id", F.explode(grams).alias("gram"))
 
 
+def gram_sets(docs: DataFrame, n: int = 3) -> DataFrame:
+    """(set_id, doc_id, df, weight): the distinct sets of documents that have a gram in common, and how many grams have each.
+
+    Grams of one document are left out. Grams of a passage that the same documents copy have one set between them, however
+    many they are; sets are told apart by their size and by 128 bits of their members' hashes, which add up without
+    collecting a list.
+    """
+    posts = materialize(blocking_postings(docs, n).select(F.xxhash64("gram").alias("g1"), F.xxhash64(F.lit(1), "gram").alias("g2"), "doc_id"), "postings")
+    hashes = F.bit_xor(F.xxhash64("doc_id")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(1), "doc_id")).alias("h2")
+    grams = posts.groupBy("g1", "g2").agg(F.count("*").alias("df"), *hashes).where("df >= 2")
+    sets = grams.groupBy("df", "h1", "h2").agg(F.min(F.struct("g1", "g2")).alias("g"), F.count("*").alias("weight"))
+    return posts.join(sets.select("g.g1", "g.g2", "df", "weight"), ["g1", "g2"]).select(F.struct("g1", "g2").alias("set_id"), "doc_id", "df", "weight")
+
+
+def shared_counts(sets: DataFrame, in_part: int = PART_DOCS) -> DataFrame:
+    """(doc_a, doc_b, shared), doc_a < doc_b: the summed weights of the sets (set_id, doc_id, df, weight) that hold both.
+
+    A set is dealt to parts of about `in_part` documents, and pairs are made part by part, so no task holds all of a large
+    set and its pairs are spread over tasks by their two parts. Pairs of a small set are made where its list is.
+    """
+    parts = F.ceil(F.col("df") / in_part).cast("int")
+    parted = sets.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    lists = materialize(parted.groupBy("set_id", "part", "parts", "weight").agg(F.collect_list("doc_id").alias("docs")), "lists")
+    one = lists.select("weight", F.explode("docs").alias("x"), "docs").select("weight", "x", F.explode("docs").alias("y")).where("x < y")
+    large = lists.where("parts > 1")
+    met = large.select("set_id", "part", "docs", "weight", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).where("part < other")
+    met = met.join(large.select("set_id", F.col("part").alias("other"), F.col("docs").alias("others")), ["set_id", "other"])
+    two = met.select("weight", F.explode("docs").alias("x"), "others").select("weight", "x", F.explode("others").alias("y"))
+    rows = one.unionByName(two.select("weight", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")))
+    return rows.groupBy(F.col("x").alias("doc_a"), F.col("y").alias("doc_b")).agg(F.sum("weight").alias("shared"))
+
+
 def candidate_pairs(docs: DataFrame, n: int = 3, least: int = 1, all_below: int = ALL_PAIRS_BELOW) -> DataFrame:
     """(doc_a, doc_b, shared), doc_a < doc_b: pairs that share at least `least` grams; with few documents, all pairs.
 
-    Grams of one document are dropped before the self-join. `shared` is null where all pairs are taken.
+    `shared` is null where all pairs are taken. A null id or text has no pairs; ids must be unique.
     """
     if docs.limit(all_below).count() < all_below:
         a, b = docs.select(F.col("doc_id").alias("doc_a")), docs.select(F.col("doc_id").alias("doc_b"))
         return a.join(b, F.col("doc_a") < F.col("doc_b")).withColumn("shared", F.lit(None).cast("long"))
-    posts = blocking_postings(docs, n)
-    common = posts.groupBy("gram").agg(F.count("*").alias("df")).where("df >= 2").select("gram")
-    posts = materialize(posts.join(common, "gram"), "postings")
-    a, b = posts.select("gram", F.col("doc_id").alias("doc_a")), posts.select("gram", F.col("doc_id").alias("doc_b"))
-    return a.join(b, "gram").where("doc_a < doc_b").groupBy("doc_a", "doc_b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+    return shared_counts(gram_sets(docs, n)).where(F.col("shared") >= least)
+
+
+def blocking_report(docs: DataFrame, n: int = 3, least: int = 1) -> DataFrame:
+    """(documents, pairs, candidates, reduction): one row; reduction is the per cent of pairs that blocking leaves out."""
+    counts = docs.select(F.lit(1).alias("d"), F.lit(0).alias("c")).unionByName(candidate_pairs(docs, n, least).select(F.lit(0).alias("d"), F.lit(1).alias("c")))
+    sums = counts.agg(F.coalesce(F.sum("d"), F.lit(0)).alias("documents"), F.coalesce(F.sum("c"), F.lit(0)).alias("candidates"))
+    sums = sums.select("documents", F.expr("documents * (documents - 1) div 2").alias("pairs"), "candidates")
+    share = F.when(F.col("pairs") > 0, F.lit(100.0) * (F.col("pairs") - F.col("candidates")) / F.col("pairs")).otherwise(F.lit(0.0))
+    return sums.withColumn("reduction", share)
 
 
 def document_features(docs: DataFrame) -> DataFrame:

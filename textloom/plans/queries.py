@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from textloom.functions import fixed, unicode
 from textloom.functions import text as T
 from textloom.operators import audit, pairs, preprocess, risk, spans
+from textloom.operators.ranking import global_rank
 from textloom.sources import files, reports
 
 
@@ -108,12 +109,10 @@ def candidate_pairs(spark, sf_dir):
     return pairs.candidate_pairs(docs(spark, sf_dir))
 
 
-@query(PAIRS_SQL + " SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) * (count(*) - 1) // 2 FROM documents) AS pairs, (SELECT count(*) FROM p) AS candidates")
+@query(PAIRS_SQL + """, s AS (SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) * (count(*) - 1) // 2 FROM documents) AS pairs, (SELECT count(*) FROM p) AS candidates)
+SELECT documents, pairs, candidates, 100.0::DOUBLE * (pairs - candidates) / pairs AS reduction FROM s""")
 def blocking_summary(spark, sf_dir):
-    d = docs(spark, sf_dir)
-    n = d.agg(F.count("*").alias("documents"))
-    c = pairs.candidate_pairs(d).agg(F.count("*").alias("candidates"))
-    return n.crossJoin(c).select("documents", F.expr("documents * (documents - 1) div 2").alias("pairs"), "candidates")  # one row each
+    return pairs.blocking_report(docs(spark, sf_dir))
 
 
 NON_SQL = PAIRS_SQL + " SELECT a.doc_id AS doc_a, count(*) - count(p.doc_b) AS pairs FROM documents a JOIN documents b ON a.doc_id < b.doc_id LEFT JOIN p ON p.doc_a = a.doc_id AND p.doc_b = b.doc_id GROUP BY a.doc_id HAVING count(*) > count(p.doc_b)"
@@ -184,16 +183,41 @@ def indirect_chains(spark, sf_dir):
     return pairs.indirect_chains(r, pairs.clusters(r))
 
 
-@query()
-def flagged_pairs(spark, sf_dir):
-    return pairs.flagged_pairs(docs(spark, sf_dir))
-
-
 WINDOWS_SQL = f"""WITH s AS (SELECT doc_id, list_transform(list_filter(list_transform(regexp_split_to_array(text, '正?。|！|？|\n'), lambda x: {strip_sql('x')}), lambda x: length(x) > 0), lambda x: x || '。') AS s FROM documents)
 SELECT doc_id, CAST(i - 1 AS BIGINT) AS chunk_id, CAST(1 AS BIGINT) AS window_size, s[i] AS text FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM s)
 UNION ALL SELECT doc_id, len(s) + i - 1, 2, s[i] || s[i + 1] FROM (SELECT doc_id, s, unnest(range(1, len(s))) AS i FROM s)"""
 
 
+# H3 of all pairs of windows: shared features are counted as bits for the 1024 most frequent ones and by a join for the
+# others. Pairs that share none of the others are compared by their bits alone.
+H3_SQL = f"""w AS (SELECT row_number() OVER () AS wid, * FROM ({WINDOWS_SQL})),
+kw AS (SELECT wid, unnest(list_distinct(list_filter(regexp_extract_all(text, '{TOKEN_SQL}'), lambda x: ({TAG_SQL}) = '<KW>'))) AS k FROM w),
+f AS MATERIALIZED (SELECT wid, k AS f FROM kw UNION SELECT wid, substring(k, i, 2) FROM (SELECT wid, k, unnest(range(1, length(k))) AS i FROM kw)),
+top AS (SELECT f, CAST(row_number() OVER (ORDER BY df DESC, f) - 1 AS INTEGER) AS bit FROM (SELECT f, count(*) AS df FROM f GROUP BY f ORDER BY df DESC, f LIMIT 1024)),
+hot AS (SELECT wid, bitstring_agg(bit, 0, 1023) AS hot FROM f JOIN top USING (f) GROUP BY wid),
+win AS MATERIALIZED (SELECT w.wid, doc_id, chunk_id, window_size, n, coalesce(hot, repeat('0', 1024)::BIT) AS hot
+  FROM w JOIN (SELECT wid, count(*) AS n FROM f GROUP BY wid) USING (wid) LEFT JOIN hot USING (wid)),
+rest AS (SELECT doc_id, wid, f FROM f ANTI JOIN top USING (f) JOIN w USING (wid)),
+met AS MATERIALIZED (SELECT a.wid AS x, b.wid AS y, count(*) AS c FROM rest a JOIN rest b ON a.f = b.f AND a.doc_id < b.doc_id GROUP BY ALL),
+near AS (SELECT x, y, c + bit_count(p.hot & q.hot) AS shared, p.n + q.n AS n FROM met JOIN win p ON p.wid = x JOIN win q ON q.wid = y
+  UNION ALL SELECT * FROM (SELECT p.wid AS x, q.wid AS y, bit_count(p.hot & q.hot) AS shared, p.n + q.n AS n FROM win p JOIN win q
+    ON p.doc_id < q.doc_id AND p.n >= 0.45 * q.n AND q.n >= 0.45 * p.n AND bit_count(p.hot & q.hot) >= 0.31 * (p.n + q.n)) ANTI JOIN met USING (x, y)),
+h3 AS MATERIALIZED (SELECT p.doc_id AS doc_a, q.doc_id AS doc_b, max(shared / (near.n - shared)) AS h3, count(DISTINCT p.chunk_id) FILTER (p.window_size = 1) AS flagged
+  FROM near JOIN win p ON p.wid = x JOIN win q ON q.wid = y WHERE shared / (near.n - shared) >= 0.45 GROUP BY ALL)"""
+FLAGGED_SQL = f"""WITH {H3_SQL}, h2 AS (SELECT doc_a, doc_b, shared / (n_a + n_b - shared) AS h2 FROM ({H2_SQL} SELECT * FROM h2)),
+gate AS MATERIALIZED ({PAIRS_SQL} SELECT doc_a, doc_b FROM p),
+own AS (SELECT doc_id AS doc_a, CASE WHEN length(text) > 0 THEN len(list_distinct(string_split(text, ''))) / length(text) ELSE 0.0 END AS h1,
+  len(list_filter(string_split(text, '。'), lambda x: length({strip_sql('x')}) > 0)) AS total FROM documents),
+flagged AS (SELECT doc_a, doc_b, h1, h2, h3, CASE WHEN total > 0 THEN coalesce(flagged, 0) / total ELSE 0.0 END AS coverage,
+  CASE WHEN h1 >= 0.35 THEN '1' ELSE '0' END || CASE WHEN h2 IS NULL THEN '0' ELSE '1' END || CASE WHEN h3 IS NULL THEN '0' ELSE '1' END || '0' AS mask
+  FROM h2 FULL JOIN h3 USING (doc_a, doc_b) SEMI JOIN gate USING (doc_a, doc_b) JOIN own USING (doc_a))"""
+
+
+@query(FLAGGED_SQL + " SELECT * FROM flagged")
+def flagged_pairs(spark, sf_dir):
+    return pairs.flagged_pairs(docs(spark, sf_dir))
+
+
 @query(WINDOWS_SQL)
 def sentence_windows(spark, sf_dir):
     c = docs(spark, sf_dir).select("doc_id", F.explode(T.windows(F.col("text"))).alias("c"))
@@ -447,9 +471,8 @@ def vocabularies(spark, sf_dir):
 @query("""WITH n AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS n, count(*) OVER () AS total FROM benchmark)
 SELECT item_id, round(400 + 175 * cos(2 * pi() * n / total), 1) AS x, round(250 + 175 * sin(2 * pi() * n / total), 1) AS y FROM n""")
 def graph_layout(spark, sf_dir):
-    n = F.row_number().over(Window.orderBy("item_id")) - 1
-    names = base(spark, sf_dir).select(F.col("item_id").alias("id"), n.alias("n"))
-    return reports.layout(names).withColumnRenamed("id", "item_id")
+    names = global_rank(base(spark, sf_dir).select(F.col("item_id").alias("id")), ["id"], "n")
+    return reports.layout(names.withColumn("n", F.col("n") - 1)).withColumnRenamed("id", "item_id")
 
 
 def html_escape(x: str, quotes: bool) -> str:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
@@ -11,6 +11,7 @@ from textloom.functions.shared_store import materialize
 from textloom.functions.unicode import nfkc, rounded
 from textloom.operators.block_join import block_join
 from textloom.operators.components import connected_components
+from textloom.operators.ranking import global_rank
 from textloom.operators.similarity import similarity_join
 
 #: Documents of a part of a large set of documents that share a gram.
@@ -160,15 +161,18 @@ def evaluate_pair(spark: SparkSession, doc_a: str, doc_b: str, id_a="doc_a", id_
     return {c: own[c] for c in RESULT}
 
 
-def flagged_pairs(docs: DataFrame, h1: float = H1_LEAST, h2: float = H2_LEAST, h3: float = H3_LEAST, gated: bool = True) -> DataFrame:
-    """(doc_a, doc_b, h2, h3, coverage, mask) of all RED and YELLOW pairs, by threshold joins instead of all comparisons.
+def flagged_pairs(docs: DataFrame, h1: float = H1_LEAST, h2: float = H2_LEAST, h3: float = H3_LEAST, gated: bool = True, candidates: DataFrame | None = None) -> DataFrame:
+    """(doc_a, doc_b, h1, h2, h3, coverage, mask) of all RED and YELLOW pairs, by threshold joins instead of all comparisons.
 
     Mask, coverage and the scores that reach their thresholds are exact; a score below its threshold is null. `gated`
-    leaves out pairs that share no blocking gram, as screening does from ten documents on.
+    leaves out pairs that share no blocking gram, as screening does from ten documents on; where `candidates` (doc_a,
+    doc_b) are known, pairs that aren't among them are left out instead.
     """
     s = structure_pairs(docs, h2).select("doc_a", "doc_b", (F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))).alias("h2"))
     pairs = s.join(content_pairs(docs, h3), ["doc_a", "doc_b"], "full")
-    if gated and docs.limit(ALL_PAIRS_BELOW).count() >= ALL_PAIRS_BELOW:
+    if candidates is not None:
+        pairs = pairs.join(candidates.select("doc_a", "doc_b"), ["doc_a", "doc_b"], "left_semi")
+    elif gated and docs.limit(ALL_PAIRS_BELOW).count() >= ALL_PAIRS_BELOW:
         pairs = materialize(pairs, "near")
         grams = docs.select("doc_id", T.let(T.tokens(F.col("text")), lambda t: T.blocking_grams(F.col("text"), t)).alias("grams"))
         a, b = (grams.select(F.col("doc_id").alias(f"doc_{x}"), F.col("grams").alias(f"grams_{x}")) for x in "ab")
@@ -217,13 +221,41 @@ def indirect_chains(results: DataFrame, found: DataFrame) -> DataFrame:
     return pairs.join(direct, ["item_id_a", "item_id_b"], "left_anti").select("item_id_a", "item_id_b", "component")
 
 
-def screen(docs: DataFrame, bases: DataFrame | None = None, exclude_quotes: bool = False, exclude_bibliography: bool = False,
-           only_candidates: bool = False, exact_report: bool = True) -> DataFrame:
-    """The pair lane from documents (doc_id, text) to results in the reported form.
+def fill_ranges(ids: DataFrame, pairs: DataFrame, bits: int = 16) -> DataFrame:
+    """(doc_a, first, last, n, low, high): the pairs that aren't among `pairs` (doc_a, doc_b), doc_a < doc_b, as ranges.
 
-    Order of work: bibliography, quotations, passages of base documents, NFKC, blocking, scores, fill, clusters,
-    promotion. All n(n-1)/2 pairs are returned unless `only_candidates`; `exact_report` rounds scores as Python does.
+    A row says that doc_a has no pair with any of the n documents from `first` to `last` in the order of ids; `low` and
+    `high` are their places. `ids` (doc_id) are unique. There is a row for each gap between two partners of a document that
+    follow each other, so rows grow with `pairs` and not with the square of the documents; fill_rows() makes the pairs
+    themselves. A gap's end is the next partner in a stretch of 2**`bits` places, else the first of the next stretch that has
+    one, so no task sorts all partners of a document.
     """
+    ranked = materialize(global_rank(ids.select("doc_id"), ["doc_id"], "place"), "places")
+    n = ranked.count()
+    a, b = (ranked.select(F.col("doc_id").alias(f"doc_{x}"), F.col("place").alias(x)) for x in "ab")
+    met = pairs.select("doc_a", "doc_b").join(a, "doc_a").join(b, "doc_b").select("a", F.col("b").alias("p"))
+    ends = ranked.select(F.col("place").alias("a"), F.explode(F.array(F.col("place"), F.lit(n + 1))).alias("p"))
+    points = met.unionByName(ends).withColumn("stretch", F.shiftright("p", bits))
+    points = materialize(points.withColumn("then", F.lead("p").over(Window.partitionBy("a", "stretch").orderBy("p"))), "points")
+    firsts = points.groupBy("a", "stretch").agg(F.min("p").alias("p"))
+    firsts = firsts.select("a", "stretch", F.lead("p").over(Window.partitionBy("a").orderBy("stretch")).alias("next"))
+    gaps = points.where("then is not null").select("a", "p", "then").unionByName(points.where("then is null").join(firsts, ["a", "stretch"]).select("a", "p", F.col("next").alias("then")))
+    gaps = gaps.where("then > p + 1").select("a", (F.col("p") + 1).alias("low"), (F.col("then") - 1).alias("high"))
+    name = lambda key, out: ranked.select(F.col("place").alias(key), F.col("doc_id").alias(out))
+    gaps = gaps.join(name("a", "doc_a"), "a").join(name("low", "first"), "low").join(name("high", "last"), "high")
+    return gaps.select("doc_a", "first", "last", (F.col("high") - F.col("low") + 1).alias("n"), "low", "high")
+
+
+def fill_rows(ids: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(doc_a, doc_b) of the pairs that `ranges` stand for; ranges may be filtered before. Long ones are taken in pieces."""
+    places = global_rank(ids.select("doc_id"), ["doc_id"], "place").select("place", F.col("doc_id").alias("doc_b"))
+    cut = ranges.select("doc_a", "high", F.explode(F.sequence("low", "high", F.lit(4096).cast("long"))).alias("low"))
+    rows = cut.select("doc_a", F.explode(F.sequence("low", F.least("high", F.col("low") + 4095))).alias("place"))
+    return rows.join(places, "place").select("doc_a", "doc_b")
+
+
+def prepared(docs: DataFrame, bases: DataFrame | None = None, exclude_quotes: bool = False, exclude_bibliography: bool = False) -> DataFrame:
+    """Texts as they are screened: without bibliography, quotations and passages of base documents, in NFKC."""
     from textloom.operators.preprocess import without_base_passages
 
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -233,19 +265,56 @@ def screen(docs: DataFrame, bases: DataFrame | None = None, exclude_quotes: bool
         docs = docs.withColumn("text", T.without_quotes(F.col("text")))
     if bases is not None:
         docs = without_base_passages(docs, bases).select("doc_id", "text")
-    docs = materialize(docs.select("doc_id", nfkc(F.col("text")).alias("text")), "documents")
-    pairs = materialize(candidate_pairs(docs).select("doc_a", "doc_b"), "candidates")
-    scored = score_pairs(docs, pairs)
+    return materialize(docs.select("doc_id", nfkc(F.col("text")).alias("text")), "documents")
+
+
+def decisive_scores(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(doc_a, doc_b, h1, h2, h3, coverage, mask) of each of `pairs`: masks and coverage are exact, as are scores that reach
+    their thresholds; a lower score is null. No pair of texts is compared that doesn't reach one."""
+    flagged = flagged_pairs(docs, candidates=pairs).drop("h1")
+    own = docs.select(F.col("doc_id").alias("doc_a"), T.character_density(F.col("text")).alias("h1"))
+    rows = pairs.select("doc_a", "doc_b").join(flagged, ["doc_a", "doc_b"], "left").join(own, "doc_a")
+    plain = F.concat(_bit(F.col("h1") >= H1_LEAST), F.lit("000"))
+    return rows.select("doc_a", "doc_b", "h1", "h2", "h3", F.coalesce("coverage", F.lit(0.0)).alias("coverage"), F.coalesce("mask", plain).alias("mask"))
+
+
+def screened(docs: DataFrame, pairs: DataFrame, scores: DataFrame, exact_report: bool = True) -> DataFrame:
+    """Results of `pairs` from their `scores`: decided, grouped to clusters, and promoted."""
     show = (lambda c: rounded(F.col(c))) if exact_report else F.col
-    rows = scored.select(F.col("doc_a").alias("item_id"), F.col("doc_b").alias("matched_peer_id"), "mask", show("h1").alias("structural_density"),
-                         show("h2").alias("max_structure_similarity"), show("h3").alias("max_content_similarity"), show("coverage").alias("coverage"), F.lit(True).alias("candidate"))
-    if not only_candidates:
-        a, b = docs.select(F.col("doc_id").alias("doc_a")), docs.select(F.col("doc_id").alias("doc_b"))
-        rest = a.join(b, F.col("doc_a") < F.col("doc_b")).join(pairs, ["doc_a", "doc_b"], "left_anti")
-        zero = [F.lit(0.0).alias(c) for c in ("structural_density", "max_structure_similarity", "max_content_similarity", "coverage")]
-        rows = rows.unionByName(rest.select(F.col("doc_a").alias("item_id"), F.col("doc_b").alias("matched_peer_id"), F.lit("1000").alias("mask"), *zero, F.lit(False).alias("candidate")))
+    rows = scores.select(F.col("doc_a").alias("item_id"), F.col("doc_b").alias("matched_peer_id"), "mask", show("h1").alias("structural_density"),
+                         show("h2").alias("max_structure_similarity"), show("h3").alias("max_content_similarity"), show("coverage").alias("coverage"))
     results = materialize(decide(rows), "results")
-    return promote(results, clusters(results)).select(*RESULT, "candidate")
+    return promote(results, clusters(results)).select(*RESULT)
+
+
+def screen_by_ranges(docs: DataFrame, bases: DataFrame | None = None, exclude_quotes: bool = False, exclude_bibliography: bool = False,
+                     exact_scores: bool = False, exact_report: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The pair lane at scale: (results of all candidate pairs, fill_ranges() of all others).
+
+    A pair in the ranges has mask 1000, GREEN and scores of 0. Without `exact_scores`, scores below their thresholds are
+    null and everything else is exact.
+    """
+    docs = prepared(docs, bases, exclude_quotes, exclude_bibliography)
+    pairs = materialize(candidate_pairs(docs).select("doc_a", "doc_b"), "candidates")
+    scores = score_pairs(docs, pairs) if exact_scores else decisive_scores(docs, pairs)
+    return screened(docs, pairs, scores, exact_report), fill_ranges(docs, pairs)
+
+
+def screen(docs: DataFrame, bases: DataFrame | None = None, exclude_quotes: bool = False, exclude_bibliography: bool = False,
+           only_candidates: bool = False, exact_report: bool = True) -> DataFrame:
+    """The pair lane from documents (doc_id, text) to results in the reported form.
+
+    Order of work: bibliography, quotations, passages of base documents, NFKC, blocking, scores, fill, clusters,
+    promotion. All n(n-1)/2 pairs are returned unless `only_candidates`; `exact_report` rounds scores as Python does.
+    """
+    docs = prepared(docs, bases, exclude_quotes, exclude_bibliography)
+    pairs = materialize(candidate_pairs(docs).select("doc_a", "doc_b"), "candidates")
+    rows = screened(docs, pairs, score_pairs(docs, pairs), exact_report).withColumn("candidate", F.lit(True))
+    if only_candidates:
+        return rows
+    zero = [F.lit(0.0).alias(c) for c in ("structural_density", "max_structure_similarity", "max_content_similarity", "coverage")]
+    rest = fill_rows(docs, fill_ranges(docs, pairs)).select(F.col("doc_a").alias("item_id"), F.col("doc_b").alias("matched_peer_id"), F.lit("1000").alias("mask"), *zero)
+    return rows.unionByName(decide(rest).select(*RESULT, F.lit(False).alias("candidate")))
 
 
 def in_report_order(results: DataFrame) -> DataFrame:

@@ -224,6 +224,33 @@ def sentence_windows(spark, sf_dir):
     return c.select("doc_id", F.col("c.chunk_id").cast("long").alias("chunk_id"), F.col("c.window_size").cast("long").alias("window_size"), "c.text")
 
 
+LUT_SQL = "(VALUES " + ", ".join(f"('{m}', '{x[0]}', '{x[1]}', '{x[2]}')" for m, x in fixed.PAIR_TABLE.items()) + ") lut(mask, evaluation_signal, pattern_name, reason)"
+SCREEN_SQL = FLAGGED_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + f""", r AS MATERIALIZED (SELECT doc_a, doc_b, own.h1, h2, h3, coalesce(coverage, 0.0) AS coverage,
+  coalesce(mask, CASE WHEN own.h1 >= 0.35 THEN '1000' ELSE '0000' END) AS mask FROM gate JOIN own USING (doc_a) LEFT JOIN flagged USING (doc_a, doc_b)),
+e AS MATERIALIZED (SELECT doc_a AS x, doc_b AS y FROM flagged UNION SELECT doc_b, doc_a FROM flagged),
+reach AS (SELECT x AS node, x AS seen FROM e UNION SELECT reach.node, e.y FROM reach JOIN e ON reach.seen = e.x),
+comp AS (SELECT node, min(seen) AS component FROM reach GROUP BY node), size AS (SELECT component, count(*) AS size FROM comp GROUP BY component),
+up AS (SELECT r.* EXCLUDE mask, CASE WHEN size >= 3 AND mask[2:3] <> '00' THEN left(mask, 3) || '1' ELSE mask END AS mask FROM r LEFT JOIN comp ON node = doc_a LEFT JOIN size USING (component))
+SELECT doc_a AS item_id, doc_b AS matched_peer_id, evaluation_signal, mask, pattern_name, reason, h1 AS structural_density, h2 AS max_structure_similarity,
+  h3 AS max_content_similarity, coverage FROM up JOIN {LUT_SQL} USING (mask)"""
+
+
+@query(SCREEN_SQL)
+def screen_results(spark, sf_dir):
+    """Batch screening: the decided and promoted result of every candidate pair; scores below their thresholds are null."""
+    return pairs.screen_by_ranges(docs(spark, sf_dir))[0]
+
+
+@query(PAIRS_SQL + """, d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS place FROM documents),
+q AS (SELECT a.place AS a, b.place AS b FROM d a JOIN d b ON a.place < b.place WHERE NOT EXISTS (SELECT 1 FROM p WHERE doc_a = a.doc_id AND doc_b = b.doc_id)),
+i AS (SELECT a, b, b - row_number() OVER (PARTITION BY a ORDER BY b) AS island FROM q), gaps AS (SELECT a, min(b) AS low, max(b) AS high FROM i GROUP BY a, island)
+SELECT x.doc_id AS doc_a, y.doc_id AS first, z.doc_id AS last, high - low + 1 AS n FROM gaps JOIN d x ON x.place = a JOIN d y ON y.place = low JOIN d z ON z.place = high""")
+def screen_fill(spark, sf_dir):
+    """Batch screening: the pairs that blocking left out, as ranges of documents without a gram in common with doc_a."""
+    d = docs(spark, sf_dir)
+    return pairs.fill_ranges(d, pairs.candidate_pairs(d)).select("doc_a", "first", "last", "n")
+
+
 SPANS_SQL = """WITH g AS (SELECT doc_id AS a, i AS pos_a, substring(text, i + 1, 16) AS gram FROM (SELECT doc_id, text, unnest(range(0, length(text) - 15)) AS i FROM documents)),
 h AS (SELECT item_id AS b, i AS pos_b, substring(text, i + 1, 16) AS gram FROM (SELECT item_id, text, unnest(range(0, length(text) - 15)) AS i FROM benchmark)),
 m AS (SELECT a, b, pos_a, pos_b - pos_a AS diag FROM g JOIN h USING (gram)),

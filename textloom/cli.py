@@ -10,9 +10,10 @@ from pyspark.sql import SparkSession
 
 from textloom.operators.audit import resolve_lang
 from textloom.operators.pairs import clusters, in_report_order, indirect_chains, members, screen
-from textloom.operators.spans import explain
+from textloom.operators.spans import explain_files
 from textloom.plans.screening import audit_receipt
-from textloom.sources.files import TagFileError, documents, load_tags, load_vocabulary, name_collisions, read_files, skipped, text_with_map
+from textloom.sources.files import TagFileError, documents, load_tags, load_vocabulary, name_collisions, read_files, skipped
+from textloom.sources.folders import write_pages
 from textloom.sources.reports import as_json, dashboard, diff_pages, payload, standalone, worksheet
 
 
@@ -92,12 +93,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             return fail(str(e))
     spans = None
     if args.spans and results is not None:
-        raw = {r["doc_id"]: r["raw"] for r in files.where("reason IS NULL").select("doc_id", "raw").collect()}
-        maps = {k: text_with_map(v) for k, v in raw.items()}
-        spans = {}
-        for r in explain(docs, results).collect():
-            a, b = next((a, b) for a, b in ((x["item_id"], x["matched_peer_id"]) for x in rows) if f"{a}_vs_{b}" == r["pair_key"])
-            spans[r["pair_key"]] = [{k: (maps[a] if k[0] == "a" else maps[b])[1][s[k]] for k in ("a_start", "a_end", "b_start", "b_end")} for s in r["spans"]]
+        found_in = explain_files(files.where("reason IS NULL"), results)
+        spans = {r["pair_key"]: [s.asDict() for s in r["spans"]] for r in found_in.orderBy("item_id", "matched_peer_id").toLocalIterator()}
     text = as_json(payload(rows, left_out, spans, audit))
     if args.json:
         print(text)
@@ -108,13 +105,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if results is not None:
         out = Path(args.output_dir)
         out.mkdir(parents=True, exist_ok=True)
-        pages = {r["pair_key"]: r["html"] for r in diff_pages(results, docs).toLocalIterator()}
-        if args.standalone:
-            (out / "standalone_dashboard.html").write_text(standalone(pages), encoding="utf-8")
+        pages = diff_pages(results, docs)
+        if args.standalone:  # one file that holds all pages
+            (out / "standalone_dashboard.html").write_text(standalone({r["pair_key"]: r["html"] for r in pages.toLocalIterator()}), encoding="utf-8")
         else:
-            (out / "diff_htmls").mkdir(exist_ok=True)
-            for k, page in pages.items():
-                (out / "diff_htmls" / f"{k}.html").write_text(page, encoding="utf-8")
+            write_pages(pages, str(out / "diff_htmls"))
         red = [(r["item_id"], r["matched_peer_id"]) for r in rows if r["evaluation_signal"] == "RED"]
         (out / "dashboard.html").write_text(dashboard(red, chains, len(left_out)), encoding="utf-8")
         if args.fail_on_risk and red:

@@ -271,10 +271,21 @@ def base_stripped(spark, sf_dir):
     return out.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.size("removed").alias("n_removed"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
 
 
-@query()
+EXPLAIN_SQL = MASK_SQL + """, z AS (SELECT doc_id, i AS pos, substring(text, i + 1, 16) AS gram FROM (SELECT doc_id, text, unnest(range(0, length(text) - 15)) AS i FROM documents)),
+m AS (SELECT r.doc_a, r.doc_b, x.pos AS pos_a, y.pos - x.pos AS diag FROM r JOIN z x ON x.doc_id = r.doc_a JOIN z y ON y.doc_id = r.doc_b AND y.gram = x.gram),
+i AS (SELECT *, pos_a - row_number() OVER (PARTITION BY doc_a, doc_b, diag ORDER BY pos_a) AS island FROM m),
+spans AS (SELECT doc_a, doc_b, min(pos_a) AS s, max(pos_a) + 16 AS e, diag FROM i GROUP BY doc_a, doc_b, diag, island)
+SELECT doc_a || '_vs_' || doc_b AS pair_key, count(s) AS n_spans, coalesce(string_agg(s || ':' || e || ':' || (s + diag) || ':' || (e + diag), ',' ORDER BY s, e, diag), '') AS spans
+FROM r LEFT JOIN spans USING (doc_a, doc_b) GROUP BY doc_a, doc_b"""
+
+
+@query(EXPLAIN_SQL)
 def explained_pairs(spark, sf_dir):
+    """The spans of the pairs of like structure, as a_start:a_end:b_start:b_end."""
     d = docs(spark, sf_dir)
-    return spans.explain(d, structure_results(spark, sf_dir))
+    out = spans.explain(d, structure_results(spark, sf_dir))
+    text = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["a_start"], s["a_end"], s["b_start"], s["b_end"])), ",")
+    return out.select("pair_key", F.size("spans").cast("long").alias("n_spans"), text.alias("spans"))
 
 
 @query()

@@ -10,7 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions.fixed import BACKINGS, SCOPES
-from textloom.functions.unicode import file_text, position_map, raw_text
+from textloom.functions.unicode import file_text, raw_text, text_with_map
+from textloom.sources.folders import scan_folder
+
+
+__all__ = ["TagFileError", "documents", "load_tags", "load_vocabulary", "name_collisions", "parse_tag", "parse_tags", "read_files", "skipped", "skipped_counts", "tag_table", "text_with_map"]
 
 
 class TagFileError(ValueError):
@@ -18,10 +22,15 @@ class TagFileError(ValueError):
 
 
 def read_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, doc_id, content, raw, text, reason) of the folder's own *.txt files; doc_id is the file's name."""
+    """(path, doc_id, content, raw, text, reason) of the folder's own *.txt files; doc_id is the file's name.
+
+    Folders that executors see as paths are listed and read by the tasks. Of other stores, which only Spark's readers
+    reach, the driver takes the list, since those readers leave out empty and unreadable files.
+    """
+    if "://" not in folder or folder.startswith("file://"):
+        return scan_folder(spark, folder)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("ignoreCorruptFiles", "true").load(folder)
     rows = files.select("path", "content").withColumn("t", file_text(F.col("content"))).select("path", "content", raw_text(F.col("content")).alias("raw"), "t.text", "t.reason")
-    # Readers leave out empty and unreadable files: the listing has them.
     there = spark.createDataFrame(_listed(spark, folder), "path string, size long")
     rows = there.join(rows, "path", "left").withColumn("reason", F.when(F.col("size") == 0, "empty_input").when(F.col("content").isNull(), "unreadable").otherwise(F.col("reason")))
     return rows.select("path", F.element_at(F.split("path", "/"), -1).alias("doc_id"), "content", "raw", "text", "reason")
@@ -48,16 +57,6 @@ def skipped_counts(files: DataFrame) -> DataFrame:
     return skipped(files).groupBy("reason").agg(F.count("*").alias("n"))
 
 
-def text_with_map(raw: str) -> tuple[str, list[int]] | None:
-    """A file's stripped NFKC text and the raw position of each of its characters; None if nothing is left."""
-    norm, starts = position_map(raw)
-    text = norm.strip()
-    if not text:
-        return None
-    lead = len(norm) - len(norm.lstrip())
-    return text, starts[lead : lead + len(text) + 1]
-
-
 def name_collisions(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.select("doc_id").intersect(right.select("doc_id"))
 

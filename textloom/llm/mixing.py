@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.shared_store import materialize
+from textloom.llm.names import keeps_other_columns
 
 NONE = "(none)"
 #: A topic for each document by its form: the first pattern that its text has.
@@ -210,6 +211,7 @@ def weigh(docs: DataFrame, targets: DataFrame | None = None, power: float = 0.5,
     return out.withColumn("__sampled", (u if columns else F.col("__u")) < F.col("__probability")).drop("__u")
 
 
+@keeps_other_columns
 def sample(docs: DataFrame, **settings) -> DataFrame:
     """The rows of `docs` that weigh() samples, with the columns of `docs`."""
     return weigh(docs, **settings).where("__sampled").select(*docs.columns)

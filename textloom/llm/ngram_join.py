@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.shared_store import materialize
+from textloom.llm.names import keeps_other_columns
 from textloom.llm.worker_memory import gives_back
 from textloom.operators.components import connected_components
 
@@ -407,6 +408,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     return grams.join(least, "label").select("doc_id", "n_shingles", "component_id").unionByName(empty)
 
 
+@keeps_other_columns
 def near_duplicate_free(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of `docs`, with all columns, of which one stays for each component: the smallest doc_id, and one of its
     repeated rows (the first by text). Documents without words are linked with nothing and stay; rows with a null doc_id

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.shared_store import materialize
+from textloom.llm.names import keeps_other_columns
 from textloom.llm.worker_memory import gives_back
 
 #: The kinds in the order of the digest; the method's own spans come last.
@@ -306,6 +307,7 @@ def clean(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator
         yield pd.Series([None if t is None else sanitise(t, s) for t, s in zip(text, spans, strict=True)], dtype="object")
 
 
+@keeps_other_columns
 def sanitise_texts(docs: DataFrame, **settings) -> DataFrame:
     """`docs` with every column, its texts sanitised; see find_private() for `settings`.
 

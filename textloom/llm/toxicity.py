@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.shared_store import materialize
+from textloom.llm.names import keeps_other_columns
 from textloom.llm.worker_memory import gives_back
 
 EDGE = ".,;:!?()[]{}<>\"'*&%$#|/\\-_=+~`"
@@ -329,6 +330,7 @@ def score(docs: DataFrame, model: Model, least: float = 0.5, with_spans: bool =
     return rows.mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int, spans array<struct<start:int,end:int,p:double>>")
 
 
+@keeps_other_columns
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of `docs`, with all columns as they are, that the model doesn't call toxic.
 

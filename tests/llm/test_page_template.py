@@ -112,3 +112,14 @@ def test_tags_are_read_once(monkeypatch):
     # All white space of Unicode is one space.
     spaces = "".join(c for c in map(chr, range(0x110000)) if c.isspace())
     assert main_text(f"<p>{spaces}a{spaces}b{spaces}</p>") == "a b" and page_template.re.sub(r"\s+", "", spaces) == ""
+
+
+def test_pages_that_share_a_title(spark):
+    """Two of three pages with one headline, also in bold below it, keep both; what all pages' articles end with goes."""
+    page = lambda title, body: f"<body><nav>Home News About</nav><article><h1>{title}</h1><p><b>{title}</b></p><p>{body}</p><p>Share this story now</p></article><footer>All rights</footer></body>"
+    rows = [(1, "One headline here", "first words"), (2, "One headline here", "other words follow"), (3, "Another title", "third text")]
+    df = spark.createDataFrame([(i, f"http://a.example/{i}", page(t, b)) for i, t, b in rows], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in extract(df).collect()}
+    assert got == {i: "\n\n".join([t, t, b]) for i, t, b in rows}
+    same = spark.createDataFrame([(i, f"http://b.example/{i}", page("One headline here", f"body {i} own{i}")) for i in range(5)], "page_id long, url string, html string")
+    assert all(r.text.startswith("One headline here\n\n") for r in extract(same).collect())  # a headline of all pages

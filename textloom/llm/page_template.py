@@ -349,14 +349,17 @@ def _template(pdf: pd.DataFrame) -> pd.DataFrame:
         classes.setdefault((pages, v1, v2), []).append((place / pages, key))
     least = int(pdf["least"].iloc[0])
     valid = nested([c for c in classes.values() if len(c) >= least])
-    return pd.DataFrame({"host": [pdf["host"].iloc[0]], "tokens": [[k for c in valid for _, k in c]]})
+    tokens = [k for c in valid for _, k in c]
+    firm = set(pdf["key"][pdf["pages"] >= pdf["firmly"]])
+    return pd.DataFrame({"host": [pdf["host"].iloc[0]], "tokens": [tokens], "firm": [[k for k in tokens if k in firm]]})
 
 
-def deduce_templates(pages: DataFrame, min_pages: int = 3, support: float = 0.5, min_tokens: int = 2, broadcast_bytes: int = 32 << 20) -> DataFrame:
-    """(host, tokens, container) of each host with at least `min_pages` distinct pages; copies of a page are no template.
+def deduce_templates(pages: DataFrame, min_pages: int = 3, support: float = 0.5, min_tokens: int = 2, broadcast_bytes: int = 32 << 20, firm_support: float = 0.9) -> DataFrame:
+    """(host, tokens, firm, container) of each host with at least `min_pages` distinct pages; copies of a page are no template.
 
     tokens: hashes of the tokens of valid equivalence classes of `min_tokens` or more that occur on the share `support` of
-    the host's pages at least; there are no more of them than two average pages have, whatever the host's size. container:
+    the host's pages at least; there are no more of them than two average pages have, whatever the host's size. firm: those
+    on the share `firm_support` and on `min_pages` pages at least, which few pages with one title don't reach. container:
     the path that holds most of the host's text. Null pages are empty, null urls are of the empty host; an empty table has
     no template. The tokens that may be frequent are sent to all tasks up to `broadcast_bytes`; beyond, all are summed.
     """
@@ -381,17 +384,27 @@ def deduce_templates(pages: DataFrame, min_pages: int = 3, support: float = 0.5,
     sums = sums.groupBy("host", "kind", "key").agg(*(F.sum(c).alias(c) for c in ("pages", "count", "v1", "v2", "place")))
     sums = materialize(sums, "occurrences")
     hosts = sums.where("kind = 2").select("host", F.col("pages").alias("total")).where(F.col("total") >= min_pages)
-    tokens = sums.where("kind = 0").join(hosts, "host").where(F.col("pages") >= support * F.col("total")).withColumn("least", F.lit(min_tokens))
-    tokens = tokens.select("host", "key", "pages", "v1", "v2", "place", "least").groupBy("host").applyInPandas(_template, "host string, tokens array<long>").where(F.size("tokens") > 0)
+    tokens = sums.where("kind = 0").join(hosts, "host").where(F.col("pages") >= support * F.col("total")).withColumn("least", F.lit(min_tokens)).withColumn("firmly", F.greatest(firm_support * F.col("total"), F.lit(float(min_pages))))
+    tokens = tokens.select("host", "key", "pages", "v1", "v2", "place", "least", "firmly").groupBy("host").applyInPandas(_template, "host string, tokens array<long>, firm array<long>").where(F.size("tokens") > 0)
     main = sums.where("kind = 1").groupBy("host").agg(F.max_by("key", F.struct("count", "key")).alias("container"))
     return tokens.join(main, "host", "left")
 
 
-def main_text(html: str | None, tokens=None, container: int | None = None) -> str:
-    """The main text of one page, given its host's template if there is one."""
+#: The last element of a heading's path.
+HEADING = re.compile(r"(^|/)h[1-6]$")
+
+
+def main_text(html: str | None, tokens=None, container: int | None = None, firm=None) -> str:
+    """The main text of one page, given its host's template if there is one.
+
+    Within an article only blocks of `firm` tokens, which nearly all pages of the host have, are the template's, and headings
+    never are; `firm` is `tokens` if not given.
+    """
     page = Page(html)
     own = frozenset() if tokens is None else frozenset(tokens)
-    blocks = [x for x in page.blocks if not own or not all(token_hash(f"{x[2]}|{w}") in own for w in x[0].split(" "))]
+    sure = own if firm is None else frozenset(firm)
+    made = lambda block, known: bool(known) and all(token_hash(f"{block[2]}|{w}") in known for w in block[0].split(" "))
+    blocks = [x for x in page.blocks if not (made(x, sure) and not HEADING.search(x[2]) if x[1] else made(x, own))]
     if any(article for _, article, _ in page.blocks):
         # An article of the template's words alone is all that such a page has to say.
         return "\n\n".join(text for text, article, _ in (blocks if any(x[1] for x in blocks) else page.blocks) if article)
@@ -424,14 +437,14 @@ def extract(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFra
     """
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     templates = materialize(deduce_templates(pages), "templates")
-    size = templates.agg(F.coalesce(F.sum(F.size("tokens") * 8 + F.length("host") + 32), F.lit(0))).first()[0]
+    size = templates.agg(F.coalesce(F.sum((F.size("tokens") + F.size("firm")) * 8 + F.length("host") + 32), F.lit(0))).first()[0]
 
     templates = templates.withColumnRenamed("host", "host_")
     joined = pages.withColumn("host_", _host_of("url")).join(F.broadcast(templates) if size <= broadcast_bytes else templates, "host_", "left").drop("host_")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            text = [main_text(h, t, None if c is None or c != c else int(c)) for h, t, c in zip(pdf["html"], pdf["tokens"], pdf["container"].astype("object"), strict=True)]
+            text = [main_text(h, t, None if c is None or c != c else int(c), f) for h, t, c, f in zip(pdf["html"], pdf["tokens"], pdf["container"].astype("object"), pdf["firm"], strict=True)]
             yield pd.DataFrame({"page_id": pdf["page_id"].astype("Int64"), "url": pdf["url"], "text": text, "n_chars": np.array([len(t) for t in text], dtype=np.int64)})
 
     return joined.mapInPandas(run, "page_id long, url string, text string, n_chars long")

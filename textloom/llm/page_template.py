@@ -443,8 +443,19 @@ def extract(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFra
     joined = pages.withColumn("host_", _host_of("url")).join(F.broadcast(templates) if size <= broadcast_bytes else templates, "host_", "left").drop("host_")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[bytes, frozenset[int]] = {}  # of the hosts of a batch: their pages have the same lists
+
+        def of(tokens) -> frozenset[int] | None:
+            if tokens is None:
+                return None
+            key = tokens.tobytes()
+            if key not in known:
+                known[key] = frozenset(tokens.tolist())
+            return known[key]
+
         for pdf in batches:
-            text = [main_text(h, t, None if c is None or c != c else int(c), f) for h, t, c, f in zip(pdf["html"], pdf["tokens"], pdf["container"].astype("object"), pdf["firm"], strict=True)]
+            known.clear()
+            text = [main_text(h, of(t), None if c is None or c != c else int(c), of(f)) for h, t, c, f in zip(pdf["html"], pdf["tokens"], pdf["container"].astype("object"), pdf["firm"], strict=True)]
             yield pd.DataFrame({"page_id": pdf["page_id"].astype("Int64"), "url": pdf["url"], "text": text, "n_chars": np.array([len(t) for t in text], dtype=np.int64)})
 
     return joined.mapInPandas(run, "page_id long, url string, text string, n_chars long")

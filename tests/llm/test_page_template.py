@@ -89,8 +89,8 @@ def test_templates_by_brute_force(spark, monkeypatch):
             rows.append((i, f"https://{h}/{i}", html))
         by_host.setdefault(h, []).append(html)
     df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
-    for most in (1 << 20, 0):
-        got = {r["host"]: set(r["tokens"]) for r in deduce_templates(df, broadcast_bytes=most).collect()}
+    for most in (28, 15, 9):
+        got = {r["host"]: set(r["tokens"]) for r in deduce_templates(df, most_bits=most).collect()}
         assert got == {h: brute_tokens(v) for h, v in by_host.items()}
 
 

@@ -28,11 +28,14 @@ from html import unescape
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.shared_store import materialize
+from textloom.llm.worker_memory import gives_back
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([A-Za-z-]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)|\b(hidden)\b")
@@ -127,6 +130,7 @@ class Page:
         self.mass: Counter[str] = Counter()
         self._stack: list[tuple[str, bool, bool, str]] = []  # name, dropped, in an article, path
         self._text: list[str] = []
+        self._seen: list[str] = []  # the text and what is dropped outside articles, whose words are tokens
         self._links = 0
         self._with_tokens = with_tokens
         self._sequence: list[int] = []
@@ -143,17 +147,16 @@ class Page:
         return self._stack[-1] if self._stack else ("", False, False, "")
 
     def _flush(self) -> None:
-        if not self._text:
+        if not self._text and not self._seen:
             return
         words = unescape("".join(self._text)).split()
-        self._text = []
+        seen = words if len(self._seen) == len(self._text) else unescape("".join(self._seen)).split()
+        self._text, self._seen = [], []
         links, self._links = self._links, 0
-        if not words:
-            return
         _, dropped, article, path = self._top()
-        if self._with_tokens:
-            self._sequence.extend(map(WORD_KEYS.of(path).__getitem__, words))
-        if not dropped:
+        if self._with_tokens and seen:
+            self._sequence.extend(map(WORD_KEYS.of(path).__getitem__, seen))
+        if words and not dropped:
             text = " ".join(words)
             self.blocks.append((text, article, path))
             self.mass[path.rpartition("/")[0]] += max(0, len(text) - 2 * links)
@@ -198,7 +201,10 @@ class Page:
 
     def _say(self, text: str) -> None:
         if text:
-            if self._top()[1] and not (self._with_tokens and not self._top()[2]):
+            _, dropped, article, _ = self._top()
+            if not (dropped and article):
+                self._seen.append(text)
+            if dropped:
                 return
             self._text.append(text)
             if any(x[0] == "a" for x in self._stack[-3:]):
@@ -225,6 +231,7 @@ class Page:
                     at = end.end() if end else n
             elif name == "br":
                 self._text.append(" ")
+                self._seen.append(" ")
             else:
                 self._open(name, m[3] or m[6] or "")
                 if (m[3] or m[6] or "").endswith("/") and name in ("svg", "canvas", "object"):
@@ -241,88 +248,138 @@ def host(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def _host_of(url: str):
-    @F.pandas_udf("string")
-    def hosts(x: pd.Series) -> pd.Series:
-        return x.map(host)
+#: Tokens that a chunk of pages holds, about, each page's distinct ones.
+CHUNK_TOKENS = 1_000_000
+PARSED = """page_id long, url string, host string, own long, seed long, keys array<long>, counts array<int>, texts array<string>,
+  articles array<boolean>, paths array<string>, boxes array<string>, masses array<long>"""
 
-    return hosts(url)
 
+def _lists(rows: list[list], kind: pa.DataType) -> pa.ListArray:
+    offsets = np.zeros(len(rows) + 1, dtype=np.int32)
+    np.cumsum([len(x) for x in rows], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array([x for row in rows for x in row], kind))
 
-#: Tokens of hosts that a chunk of pages holds, about.
-CHUNK_TOKENS = 300_000
 
+def parsed(pages: DataFrame) -> DataFrame:
+    """`pages` read once, as PARSED: tokens and their counts by first occurrence, blocks, and text by container."""
 
-def _frequent(support: float):
-    """Pages to (host, key): tokens on the share `support` of a host's pages in one chunk."""
+    @gives_back
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                htmls, hosts = part.column("html").to_pylist(), [host(u) for u in part.column("url").to_pylist()]
+                read = [Page(h, with_tokens=True) for h in htmls]
+                blocks = [list(zip(*x.blocks, strict=True)) or [(), (), ()] for x in read]
+                yield pa.RecordBatch.from_arrays([
+                    part.column("page_id"), part.column("url"), pa.array(hosts, pa.string()), pa.array([token_hash(h) for h in hosts], pa.int64()),
+                    pa.array([token_hash(h or "") for h in htmls], pa.int64()), _lists([list(x.tokens) for x in read], pa.int64()),
+                    _lists([list(x.tokens.values()) for x in read], pa.int32()), _lists([x[0] for x in blocks], pa.string()), _lists([x[1] for x in blocks], pa.bool_()),
+                    _lists([x[2] for x in blocks], pa.string()), _lists([list(x.mass) for x in read], pa.string()), _lists([list(x.mass.values()) for x in read], pa.int64()),
+                ], names=["page_id", "url", "host", "own", "seed", "keys", "counts", "texts", "articles", "paths", "boxes", "masses"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pages: Counter[str] = Counter()
-        seen: dict[str, Counter[int]] = {}
-        size = 0
+    return pages.select("page_id", "url", "html").mapInArrow(run, PARSED)
 
-        def flush() -> pd.DataFrame:
-            out = [(h, k) for h, counts in seen.items() for k, n in counts.items() if n >= support * pages[h]]
-            pages.clear()
-            seen.clear()
-            return pd.DataFrame(out, columns=["host", "key"])
 
-        for pdf in batches:
-            for url, html in zip(pdf["url"], pdf["html"], strict=True):
-                h = host(url)
-                own = seen.setdefault(h, Counter())
-                before = len(own)
-                own.update(Page(html, with_tokens=True).tokens.keys())
-                pages[h] += 1
-                size += len(own) - before
-                if size > CHUNK_TOKENS:
-                    yield flush()
-                    size = 0
-        yield flush()
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches put together until they hold CHUNK_TOKENS tokens."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += len(batch.column("keys").flatten())
+        if size > CHUNK_TOKENS:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _column(table: pa.Table, name: str) -> np.ndarray:
+    return table.column(name).to_numpy()
+
+
+def _flat(table: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a list column, and the row of each."""
+    lists = table.column(name)
+    return pc.list_flatten(lists).to_numpy(), np.repeat(np.arange(table.num_rows), pc.list_value_length(lists).to_numpy())
+
+
+def _frequent(support: float):
+    """Parsed pages to x, the key of a host's token: tokens on the share `support` of a host's pages in one chunk."""
+
+    @gives_back
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in _chunks(batches):
+            own = _column(chunk, "own")
+            keys, row = _flat(chunk, "keys")
+            _, place, pages = np.unique(own, return_inverse=True, return_counts=True)
+            x, first, n = np.unique(keys ^ own[row], return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(x[n >= support * pages[place[row[first]]]])], names=["x"])
 
     return run
 
 
-def _sums(wanted: dict[str, set[int]] | None):
-    """Pages to (host, kind, key, pages, count, v1, v2, place), to be added up: kind 0 are tokens (of `wanted`, if given), 1
+def _noise(seed: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """A hash of (page, count)."""
+    with np.errstate(over="ignore"):
+        z = seed.astype(np.uint64) + count.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return z ^ (z >> np.uint64(31))
+
+
+def _sums(bits: np.ndarray, mask: int):
+    """Parsed pages to (host, kind, key, pages, count, v1, v2, place), to be added up: kind 0 are tokens whose bit is set, 1
     containers (count: characters), 2 the page itself."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[tuple[str, int, int], list[int]] = {}
+    def added(chunk: pa.Table, own: np.ndarray, kind: int, keys: np.ndarray, row: np.ndarray, values: list[np.ndarray]) -> pa.RecordBatch:
+        x = keys ^ own[row]
+        order = np.argsort(x, kind="stable")
+        starts = np.flatnonzero(np.r_[True, np.diff(x[order]) != 0]) if len(x) else np.zeros(0, dtype=np.int64)
+        first = order[starts]
+        total = lambda v: np.add.reduceat(v[order], starts) if len(x) else v
+        return pa.RecordBatch.from_arrays([
+            chunk.column("host").combine_chunks().take(pa.array(row[first])), pa.array(np.full(len(first), kind, dtype=np.int32)), pa.array(keys[first]),
+            *(pa.array(total(v.astype(np.int64))) for v in (np.ones(len(x)), *values)),
+        ], names=["host", "kind", "key", "pages", "count", "v1", "v2", "place"])
+
+    @gives_back
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in _chunks(batches):
+            own, seed = _column(chunk, "own"), _column(chunk, "seed")
+            keys, row = _flat(chunk, "keys")
+            sizes = np.bincount(row, minlength=len(own))
+            place = np.arange(len(keys)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            at = (keys ^ own[row]) & mask
+            wanted = np.flatnonzero(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+            count = _flat(chunk, "counts")[0][wanted]
+            v = _noise(seed[row[wanted]], count)
+            yield added(chunk, own, 0, keys[wanted], row[wanted], [count, v & np.uint64(0x7FFFFFFF), v >> np.uint64(32) & np.uint64(0x7FFFFFFF), place[wanted]])
+            boxes, row = _flat(chunk, "boxes")
+            nothing = np.zeros(len(boxes))
+            names = {b: token_hash(b) for b in set(boxes.tolist())}
+            yield added(chunk, own, 1, np.array([names[b] for b in boxes], dtype=np.int64), row, [_flat(chunk, "masses")[0], nothing, nothing, nothing])
+            row, nothing = np.arange(len(own)), np.zeros(len(own))
+            yield added(chunk, own, 2, nothing.astype(np.int64), row, [nothing, nothing, nothing, nothing])
 
-        def flush() -> pd.DataFrame:
-            out = pd.DataFrame([(*k, *x) for k, x in sums.items()], columns=["host", "kind", "key", "pages", "count", "v1", "v2", "place"])
-            sums.clear()
-            return out
+    return run
 
-        def add(h, kind, key, count, v1=0, v2=0, place=0):
-            x = sums.get((h, kind, key))
-            if x is None:
-                sums[h, kind, key] = [1, count, v1, v2, place]
-            else:
-                x[0] += 1
-                x[1] += count
-                x[2] += v1
-                x[3] += v2
-                x[4] += place
 
-        for pdf in batches:
-            for url, html in zip(pdf["url"], pdf["html"], strict=True):
-                page, h = Page(html, with_tokens=True), host(url)
-                seed = xxhash.xxh64_intdigest(html or "")
-                own = None if wanted is None else wanted.get(h, frozenset())
-                add(h, 2, 0, 1)
-                for key in page.tokens if own is None else page.tokens.keys() & own:
-                    count = page.tokens[key]
-                    v = xxhash.xxh64_intdigest(count.to_bytes(8, "little"), seed=seed)
-                    add(h, 0, key, count, v & 0x7FFFFFFF, v >> 32 & 0x7FFFFFFF, page.places[key])
-                for path, mass in page.mass.items():
-                    add(h, 1, token_hash(path), mass)
-                if len(sums) > 50_000:
-                    yield flush()
-        yield flush()
+#: Bits for the tokens that may be frequent: 16 for each, up to this power of two (32 MB). A bit that two tokens share lets
+#: more rows through, never fewer, and every token that passes is summed whole, so results don't depend on it.
+MOST_BITS = 28
 
-    return run
+
+def _bitmap(found: DataFrame, most_bits: int) -> tuple[np.ndarray, int]:
+    """The bits of `found` (x) and the mask of their places."""
+    bits = min(most_bits, max(15, (16 * found.count()).bit_length()))
+    mask = (1 << bits) - 1
+    place = F.col("x").bitwiseAND(F.lit(mask)) + 1  # bitmap functions count from 1
+    rows = found.groupBy(F.bitmap_bucket_number(place).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).toArrow()
+    out = np.zeros(max(4096, 1 << bits - 3), dtype=np.uint8)
+    for part, b in zip(rows.column("part").to_pylist(), rows.column("bits"), strict=True):
+        out[(part - 1) * 4096 : part * 4096] = np.frombuffer(b.as_buffer(), dtype=np.uint8)
+    return out, mask
 
 
 def nested(classes: list[list[tuple[float, int]]]) -> list[list[tuple[float, int]]]:
@@ -354,33 +411,29 @@ def _template(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"host": [pdf["host"].iloc[0]], "tokens": [tokens], "firm": [[k for k in tokens if k in firm]]})
 
 
-def deduce_templates(pages: DataFrame, min_pages: int = 3, support: float = 0.5, min_tokens: int = 2, broadcast_bytes: int = 32 << 20, firm_support: float = 0.9) -> DataFrame:
+def deduce_templates(pages: DataFrame, min_pages: int = 3, support: float = 0.5, min_tokens: int = 2, most_bits: int = MOST_BITS, firm_support: float = 0.9) -> DataFrame:
     """(host, tokens, firm, container) of each host with at least `min_pages` distinct pages; copies of a page are no template.
 
     tokens: hashes of the tokens of valid equivalence classes of `min_tokens` or more that occur on the share `support` of
     the host's pages at least; there are no more of them than two average pages have, whatever the host's size. firm: those
     on the share `firm_support` and on `min_pages` pages at least, which few pages with one title don't reach. container:
     the path that holds most of the host's text. Null pages are empty, null urls are of the empty host; an empty table has
-    no template. The tokens that may be frequent are sent to all tasks up to `broadcast_bytes`; beyond, all are summed.
+    no template. Which tokens may be frequent is sent to all tasks as bits, 2 ** `most_bits` at most.
     """
-    spark = pages.sparkSession
-    once = pages.select("url", "html").withColumn("h", _host_of("url")).withColumn("x", F.xxhash64("html"))
-    # Copies are found by hashes: a page's text isn't shuffled for it.
-    copied = materialize(once.groupBy("h", "x").agg(F.count("*").alias("n")).where("n > 1"), "page_copies")
+    return templates_of(materialize(parsed(pages.withColumn("page_id", F.lit(None).cast("long"))), "parsed_pages"), min_pages, support, min_tokens, most_bits, firm_support)
+
+
+def templates_of(read: DataFrame, min_pages: int = 3, support: float = 0.5, min_tokens: int = 2, most_bits: int = MOST_BITS, firm_support: float = 0.9) -> DataFrame:
+    """deduce_templates() of parsed() pages."""
+    once = read.select("host", "own", "seed", "keys", "counts", "boxes", "masses")
+    # Copies are found by hashes: what was read of a page isn't shuffled for it.
+    copied = materialize(once.groupBy("own", "seed").agg(F.count("*").alias("n")).where("n > 1"), "page_copies")
     if not copied.isEmpty():
-        single = once.join(copied.select("h", "x"), ["h", "x"], "left_anti")
-        once = single.unionByName(once.join(copied.select("h", "x"), ["h", "x"], "left_semi").dropDuplicates(["h", "x"]).select(*single.columns))
-    once = once.select("url", "html")
-    found = materialize(once.mapInPandas(_frequent(support), "host string, key long").distinct(), "frequent")
-    size = found.agg(F.coalesce(F.sum(F.length("host") + 16), F.lit(0))).first()[0]
-    wanted = None
-    if size <= broadcast_bytes:
-        rows = found.toArrow()
-        wanted = {}
-        for h, k in zip(rows.column("host").to_pylist(), rows.column("key").to_pylist(), strict=True):
-            wanted.setdefault(h, set()).add(k)
-    sent = spark.sparkContext.broadcast(wanted)
-    sums = once.mapInPandas(lambda batches: _sums(sent.value)(batches), "host string, kind int, key long, pages long, count long, v1 long, v2 long, place long")
+        single = once.join(copied.select("own", "seed"), ["own", "seed"], "left_anti")
+        once = single.unionByName(once.join(copied.select("own", "seed"), ["own", "seed"], "left_semi").dropDuplicates(["own", "seed"]))
+    bits, mask = _bitmap(materialize(once.select("own", "keys").mapInArrow(_frequent(support), "x long"), "frequent"), most_bits)
+    sent = read.sparkSession.sparkContext.broadcast(bits)
+    sums = once.mapInArrow(lambda batches: _sums(sent.value, mask)(batches), "host string, kind int, key long, pages long, count long, v1 long, v2 long, place long")
     sums = sums.groupBy("host", "kind", "key").agg(*(F.sum(c).alias(c) for c in ("pages", "count", "v1", "v2", "place")))
     sums = materialize(sums, "occurrences")
     hosts = sums.where("kind = 2").select("host", F.col("pages").alias("total")).where(F.col("total") >= min_pages)
@@ -401,15 +454,20 @@ def main_text(html: str | None, tokens=None, container: int | None = None, firm=
     never are; `firm` is `tokens` if not given.
     """
     page = Page(html)
+    return _chosen(page.blocks, page.mass, tokens, container, firm)
+
+
+def _chosen(all_blocks: list[tuple[str, bool, str]], mass: dict[str, int], tokens=None, container: int | None = None, firm=None) -> str:
+    """The main text from the blocks of a page and its text by container."""
     own = frozenset() if tokens is None else frozenset(tokens)
     sure = own if firm is None else frozenset(firm)
     made = lambda block, known: bool(known) and all(token_hash(f"{block[2]}|{w}") in known for w in block[0].split(" "))
-    blocks = [x for x in page.blocks if not (made(x, sure) and not HEADING.search(x[2]) if x[1] else made(x, own))]
-    if any(article for _, article, _ in page.blocks):
+    blocks = [x for x in all_blocks if not (made(x, sure) and not HEADING.search(x[2]) if x[1] else made(x, own))]
+    if any(article for _, article, _ in all_blocks):
         # An article of the template's words alone is all that such a page has to say.
-        return "\n\n".join(text for text, article, _ in (blocks if any(x[1] for x in blocks) else page.blocks) if article)
+        return "\n\n".join(text for text, article, _ in (blocks if any(x[1] for x in blocks) else all_blocks) if article)
     if container is None:
-        paths = Counter({p: m for p, m in page.mass.items() if m > 0})
+        paths = Counter({p: m for p, m in mass.items() if m > 0})
         best = max(paths, key=lambda p: (paths[p], p)) if paths else ""
         inside = lambda path: path == best or path.startswith(best + "/")
     else:
@@ -420,27 +478,34 @@ def main_text(html: str | None, tokens=None, container: int | None = None, firm=
                 path = path.rpartition("/")[0]
             return token_hash("") == container
 
-    if not any(inside(path) for _, _, path in page.blocks):
+    if not any(inside(path) for _, _, path in all_blocks):
         inside = lambda path: True
     return "\n\n".join(text for text, _, path in blocks if inside(path))
 
 
 #: Templates are sent to all tasks up to this size, and joined by host beyond it.
 BROADCAST_BYTES = 32 << 20
+#: Parts of a host's pages in the join beyond it, so that no task gets a large host whole.
+HOST_PARTS = 16
 
 
 def extract(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(page_id, url, text, n_chars) for each row of `pages` (page_id, url, html).
 
-    A null html is an empty page, with an empty text. A null or odd url has the empty host. Repeated rows give equal
-    results each, an empty table an empty result; other columns are not read.
+    A page is read once, to a table of its tokens and blocks; templates and texts come from that. A null html is an empty page,
+    with an empty text. A null or odd url has the empty host. Repeated rows give equal results each, an empty table an empty
+    result; other columns are not read.
     """
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    templates = materialize(deduce_templates(pages), "templates")
+    read = materialize(parsed(pages), "parsed_pages")
+    templates = materialize(templates_of(read), "templates")
     size = templates.agg(F.coalesce(F.sum((F.size("tokens") + F.size("firm")) * 8 + F.length("host") + 32), F.lit(0))).first()[0]
-
-    templates = templates.withColumnRenamed("host", "host_")
-    joined = pages.withColumn("host_", _host_of("url")).join(F.broadcast(templates) if size <= broadcast_bytes else templates, "host_", "left").drop("host_")
+    blocks = read.select("page_id", "url", "host", "seed", "texts", "articles", "paths", "boxes", "masses")
+    if size <= broadcast_bytes:
+        joined = blocks.join(F.broadcast(templates), "host", "left")
+    else:
+        parts = templates.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(HOST_PARTS - 1))))
+        joined = blocks.withColumn("part", F.pmod("seed", F.lit(HOST_PARTS)).cast("int")).join(parts, ["host", "part"], "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[bytes, frozenset[int]] = {}  # of the hosts of a batch: their pages have the same lists
@@ -455,7 +520,10 @@ def extract(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFra
 
         for pdf in batches:
             known.clear()
-            text = [main_text(h, of(t), None if c is None or c != c else int(c), of(f)) for h, t, c, f in zip(pdf["html"], pdf["tokens"], pdf["container"].astype("object"), pdf["firm"], strict=True)]
+            text = [
+                _chosen(list(zip(x, y, z, strict=True)), dict(zip(b, m, strict=True)), of(t), None if c is None or c != c else int(c), of(f))
+                for x, y, z, b, m, t, c, f in zip(pdf["texts"], pdf["articles"], pdf["paths"], pdf["boxes"], pdf["masses"], pdf["tokens"], pdf["container"].astype("object"), pdf["firm"], strict=True)
+            ]
             yield pd.DataFrame({"page_id": pdf["page_id"].astype("Int64"), "url": pdf["url"], "text": text, "n_chars": np.array([len(t) for t in text], dtype=np.int64)})
 
-    return joined.mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "texts", "articles", "paths", "boxes", "masses", "tokens", "container", "firm").mapInPandas(run, "page_id long, url string, text string, n_chars long")

@@ -31,7 +31,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.shared_store import materialize
@@ -243,15 +243,14 @@ def token_hash(token: str) -> int:
     return xxhash.xxh64_intdigest(token) - 2**63
 
 
-def host(url: str | None) -> str:
-    m = re.match(r"[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", url or "")
-    return m[1].lower() if m else ""
+def host_of(url: Column) -> Column:
+    """The host of an url in lower case, empty if there is none."""
+    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1))
 
 
 #: Tokens that a chunk of pages holds, about, each page's distinct ones.
 CHUNK_TOKENS = 1_000_000
-PARSED = """page_id long, url string, host string, own long, seed long, keys array<long>, counts array<int>, texts array<string>,
-  articles array<boolean>, paths array<string>, boxes array<string>, masses array<long>"""
+PARSED = "host string, own long, seed long, keys array<long>, counts array<int>, boxes array<string>, masses array<long>"
 
 
 def _lists(rows: list[list], kind: pa.DataType) -> pa.ListArray:
@@ -261,24 +260,24 @@ def _lists(rows: list[list], kind: pa.DataType) -> pa.ListArray:
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """`pages` read once, as PARSED: tokens and their counts by first occurrence, blocks, and text by container."""
+    """`pages` (url, html) as PARSED: hashes of the host and of the page, tokens and their counts by first occurrence, and text
+    by container."""
 
     @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                htmls, hosts = part.column("html").to_pylist(), [host(u) for u in part.column("url").to_pylist()]
-                read = [Page(h, with_tokens=True) for h in htmls]
-                blocks = [list(zip(*x.blocks, strict=True)) or [(), (), ()] for x in read]
-                yield pa.RecordBatch.from_arrays([
-                    part.column("page_id"), part.column("url"), pa.array(hosts, pa.string()), pa.array([token_hash(h) for h in hosts], pa.int64()),
-                    pa.array([token_hash(h or "") for h in htmls], pa.int64()), _lists([list(x.tokens) for x in read], pa.int64()),
-                    _lists([list(x.tokens.values()) for x in read], pa.int32()), _lists([x[0] for x in blocks], pa.string()), _lists([x[1] for x in blocks], pa.bool_()),
-                    _lists([x[2] for x in blocks], pa.string()), _lists([list(x.mass) for x in read], pa.string()), _lists([list(x.mass.values()) for x in read], pa.int64()),
-                ], names=["page_id", "url", "host", "own", "seed", "keys", "counts", "texts", "articles", "paths", "boxes", "masses"])
+                read = [Page(h, with_tokens=True) for h in part.column("html").to_pylist()]
+                lists = [
+                    _lists([list(x.tokens) for x in read], pa.int64()), _lists([list(x.tokens.values()) for x in read], pa.int32()),
+                    _lists([list(x.mass) for x in read], pa.string()), _lists([list(x.mass.values()) for x in read], pa.int64()),
+                ]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("host", "own", "seed")), *lists], names=["host", "own", "seed", "keys", "counts", "boxes", "masses"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, PARSED)
+    html = F.coalesce("html", F.lit(""))
+    own = pages.select(host_of(F.col("url")).alias("host"), html.alias("html"))
+    return own.select("host", F.xxhash64("host").alias("own"), F.xxhash64("html").alias("seed"), "html").mapInArrow(run, PARSED)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -420,19 +419,15 @@ def deduce_templates(pages: DataFrame, min_pages: int = 3, support: float = 0.5,
     the path that holds most of the host's text. Null pages are empty, null urls are of the empty host; an empty table has
     no template. Which tokens may be frequent is sent to all tasks as bits, 2 ** `most_bits` at most.
     """
-    return templates_of(materialize(parsed(pages.withColumn("page_id", F.lit(None).cast("long"))), "parsed_pages"), min_pages, support, min_tokens, most_bits, firm_support)
-
-
-def templates_of(read: DataFrame, min_pages: int = 3, support: float = 0.5, min_tokens: int = 2, most_bits: int = MOST_BITS, firm_support: float = 0.9) -> DataFrame:
-    """deduce_templates() of parsed() pages."""
-    once = read.select("host", "own", "seed", "keys", "counts", "boxes", "masses")
+    # What is counted first and summed after is read once. Texts aren't kept with it: they'd take 0.6 of the input again.
+    once = materialize(parsed(pages), "parsed_pages")
     # Copies are found by hashes: what was read of a page isn't shuffled for it.
     copied = materialize(once.groupBy("own", "seed").agg(F.count("*").alias("n")).where("n > 1"), "page_copies")
     if not copied.isEmpty():
         single = once.join(copied.select("own", "seed"), ["own", "seed"], "left_anti")
         once = single.unionByName(once.join(copied.select("own", "seed"), ["own", "seed"], "left_semi").dropDuplicates(["own", "seed"]))
     bits, mask = _bitmap(materialize(once.select("own", "keys").mapInArrow(_frequent(support), "x long"), "frequent"), most_bits)
-    sent = read.sparkSession.sparkContext.broadcast(bits)
+    sent = pages.sparkSession.sparkContext.broadcast(bits)
     sums = once.mapInArrow(lambda batches: _sums(sent.value, mask)(batches), "host string, kind int, key long, pages long, count long, v1 long, v2 long, place long")
     sums = sums.groupBy("host", "kind", "key").agg(*(F.sum(c).alias(c) for c in ("pages", "count", "v1", "v2", "place")))
     sums = materialize(sums, "occurrences")
@@ -454,20 +449,15 @@ def main_text(html: str | None, tokens=None, container: int | None = None, firm=
     never are; `firm` is `tokens` if not given.
     """
     page = Page(html)
-    return _chosen(page.blocks, page.mass, tokens, container, firm)
-
-
-def _chosen(all_blocks: list[tuple[str, bool, str]], mass: dict[str, int], tokens=None, container: int | None = None, firm=None) -> str:
-    """The main text from the blocks of a page and its text by container."""
     own = frozenset() if tokens is None else frozenset(tokens)
     sure = own if firm is None else frozenset(firm)
     made = lambda block, known: bool(known) and all(token_hash(f"{block[2]}|{w}") in known for w in block[0].split(" "))
-    blocks = [x for x in all_blocks if not (made(x, sure) and not HEADING.search(x[2]) if x[1] else made(x, own))]
-    if any(article for _, article, _ in all_blocks):
+    blocks = [x for x in page.blocks if not (made(x, sure) and not HEADING.search(x[2]) if x[1] else made(x, own))]
+    if any(article for _, article, _ in page.blocks):
         # An article of the template's words alone is all that such a page has to say.
-        return "\n\n".join(text for text, article, _ in (blocks if any(x[1] for x in blocks) else all_blocks) if article)
+        return "\n\n".join(text for text, article, _ in (blocks if any(x[1] for x in blocks) else page.blocks) if article)
     if container is None:
-        paths = Counter({p: m for p, m in mass.items() if m > 0})
+        paths = Counter({p: m for p, m in page.mass.items() if m > 0})
         best = max(paths, key=lambda p: (paths[p], p)) if paths else ""
         inside = lambda path: path == best or path.startswith(best + "/")
     else:
@@ -478,7 +468,7 @@ def _chosen(all_blocks: list[tuple[str, bool, str]], mass: dict[str, int], token
                 path = path.rpartition("/")[0]
             return token_hash("") == container
 
-    if not any(inside(path) for _, _, path in all_blocks):
+    if not any(inside(path) for _, _, path in page.blocks):
         inside = lambda path: True
     return "\n\n".join(text for text, _, path in blocks if inside(path))
 
@@ -492,20 +482,19 @@ HOST_PARTS = 16
 def extract(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(page_id, url, text, n_chars) for each row of `pages` (page_id, url, html).
 
-    A page is read once, to a table of its tokens and blocks; templates and texts come from that. A null html is an empty page,
-    with an empty text. A null or odd url has the empty host. Repeated rows give equal results each, an empty table an empty
-    result; other columns are not read.
+    A page is read twice, for its tokens and, once its host's template is known, for its text. A null html is an empty page, with
+    an empty text. A null or odd url has the empty host. Repeated rows give equal results each, an empty table an empty result;
+    other columns are not read.
     """
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    read = materialize(parsed(pages), "parsed_pages")
-    templates = materialize(templates_of(read), "templates")
+    templates = materialize(deduce_templates(pages), "templates")
     size = templates.agg(F.coalesce(F.sum((F.size("tokens") + F.size("firm")) * 8 + F.length("host") + 32), F.lit(0))).first()[0]
-    blocks = read.select("page_id", "url", "host", "seed", "texts", "articles", "paths", "boxes", "masses")
+    hosted = pages.withColumn("host", host_of(F.col("url")))
     if size <= broadcast_bytes:
-        joined = blocks.join(F.broadcast(templates), "host", "left")
+        joined = hosted.join(F.broadcast(templates), "host", "left")
     else:
         parts = templates.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(HOST_PARTS - 1))))
-        joined = blocks.withColumn("part", F.pmod("seed", F.lit(HOST_PARTS)).cast("int")).join(parts, ["host", "part"], "left")
+        joined = hosted.withColumn("part", F.pmod(F.xxhash64("html"), F.lit(HOST_PARTS)).cast("int")).join(parts, ["host", "part"], "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[bytes, frozenset[int]] = {}  # of the hosts of a batch: their pages have the same lists
@@ -520,10 +509,7 @@ def extract(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFra
 
         for pdf in batches:
             known.clear()
-            text = [
-                _chosen(list(zip(x, y, z, strict=True)), dict(zip(b, m, strict=True)), of(t), None if c is None or c != c else int(c), of(f))
-                for x, y, z, b, m, t, c, f in zip(pdf["texts"], pdf["articles"], pdf["paths"], pdf["boxes"], pdf["masses"], pdf["tokens"], pdf["container"].astype("object"), pdf["firm"], strict=True)
-            ]
+            text = [main_text(h, of(t), None if c is None or c != c else int(c), of(f)) for h, t, c, f in zip(pdf["html"], pdf["tokens"], pdf["container"].astype("object"), pdf["firm"], strict=True)]
             yield pd.DataFrame({"page_id": pdf["page_id"].astype("Int64"), "url": pdf["url"], "text": text, "n_chars": np.array([len(t) for t in text], dtype=np.int64)})
 
-    return joined.select("page_id", "url", "texts", "articles", "paths", "boxes", "masses", "tokens", "container", "firm").mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "html", "tokens", "container", "firm").mapInPandas(run, "page_id long, url string, text string, n_chars long")

@@ -139,3 +139,31 @@ def without_bibliography(text: Column, headings: tuple[str, ...] = BIBLIOGRAPHY_
 def kana_ratio(text: Column) -> tuple[Column, Column]:
     """Sums over a table: characters from U+3041 to U+30FF, and all characters."""
     return F.sum(F.length(F.regexp_replace(text, r"[^\u3041-\u30ff]", ""))), F.sum(F.length(text))
+
+
+#: Elements of an array that running_sums() adds up at a time.
+SUM_BLOCK = 128
+
+
+def _sums_from(values: Column, start: Column) -> Column:
+    """Running sums by a fold, which copies its array at each step: for short arrays."""
+    fold = F.aggregate(values, F.struct(start.alias("at"), F.array().cast("array<int>").alias("out")), lambda acc, x: F.struct(
+        (acc["at"] + x).alias("at"), F.array_append(acc["out"], acc["at"] + x).alias("out")))
+    return fold["out"]
+
+
+def running_sums(values: Column) -> Column:
+    """array<int> of the sums of an int array up to each element; null of null.
+
+    Arrays longer than SUM_BLOCK are summed by blocks, then within each from where the block starts, so that the arrays which
+    a fold copies stay short and time grows in proportion.
+    """
+    zero = F.lit(0)
+
+    def by_blocks(v: Column) -> Column:
+        block = lambda i: F.slice(v, i * SUM_BLOCK + 1, SUM_BLOCK)
+        blocks = F.sequence(zero, F.floor((F.size(v) - 1) / SUM_BLOCK).cast("int"))
+        ends = _sums_from(F.transform(blocks, lambda i: F.aggregate(block(i), zero, lambda acc, x: acc + x)), zero)
+        return let(ends, lambda e: F.flatten(F.transform(blocks, lambda i: _sums_from(block(i), F.when(i == 0, zero).otherwise(F.get(e, i - 1))))))
+
+    return let(values, lambda v: F.when(F.size(v) <= SUM_BLOCK, _sums_from(v, zero)).otherwise(by_blocks(v)))

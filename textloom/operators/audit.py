@@ -30,14 +30,7 @@ def sentence_units(text: Column, lang: str) -> Column:
     else:
         raise ValueError(f"unsupported audit lang: {lang!r}")
     pieces = F.filter(F.split(text, cut), lambda p: F.length(p) > 0)
-    start = F.array().cast("array<struct<start:int,end:int,text:string>>")
-
-    def ends(p: Column) -> Column:
-        # Running ends: positions by summing lengths over a growing slice would be quadratic; a fold keeps them in one pass.
-        fold = F.aggregate(p, F.struct(F.lit(0).alias("at"), start.alias("out")), lambda acc, x: F.struct(
-            (acc["at"] + F.length(x)).alias("at"), F.array_append(acc["out"], F.struct(acc["at"].alias("start"), (acc["at"] + F.length(x)).alias("end"), x.alias("text"))).alias("out")))
-        return fold["out"]
-
+    ends = lambda p: F.zip_with(p, T.running_sums(F.transform(p, F.length)), lambda x, e: F.struct((e - F.length(x)).alias("start"), e.alias("end"), x.alias("text")))
     return F.filter(T.let(pieces, ends), lambda u: (F.length(T.strip(u["text"])) > 0) & ~T.strip(u["text"]).isin("。", "！", "？"))
 
 

@@ -170,3 +170,17 @@ def test_units_of_a_text_of_200_000_sentences(spark):
             at += len(f"Line {i} ends.")
         assert (got["n"], got["s"], got["e"]) == (n, starts, ends)
     assert times[1] < 3.5 * times[0] + 2
+
+
+def test_sections_over_parts(spark):
+    """Headings, sections and ranks don't depend on where documents are divided."""
+    rng = random.Random(5)
+    lines = ["# A", "## B c", "###### f", "```", "~~~", "We must do it. All are well.", "It never ends. They always go.", "plain", ""]
+    df = docs(spark, *("\n".join(rng.choice(lines) for _ in range(rng.randrange(0, 60))) for _ in range(15)), "", None)
+    rows = audit.candidates(df, "en")
+    plain = lambda x: sorted(tuple(r) for r in x.collect())
+    want = plain(risk.headings(df))
+    assert want and all(plain(risk.headings(df, n)) == want for n in (1, 3))
+    pick = lambda n: plain(risk.with_risk(df, rows, n).select("doc_id", "seq", "heading_depth", "section_rank", "risk_index"))
+    whole = pick(1 << 20)
+    assert max(r[3] for r in whole) > 3 and pick(40) == whole

@@ -474,6 +474,46 @@ def headings(spark, sf_dir):
     return risk.headings(rows).select("doc_id", F.col("offset").cast("long").alias("offset"), F.col("depth").cast("long").alias("depth"))
 
 
+# Documents with headings of all depths, lines of seven marks and fences, made from the whole texts: a line for each sentence.
+OUTLINE_SQL = """SELECT doc_id, array_to_string(list_transform(string_split(replace(text, '. ', '.' || chr(10)), chr(10)), lambda x, i: CASE WHEN (doc_id + i - 1) % 16 < 6 THEN repeat('#', CAST((doc_id + i - 1) % 16 + 1 AS BIGINT)) || ' ' || x
+  WHEN (doc_id + i - 1) % 16 = 6 THEN '```' || x WHEN (doc_id + i - 1) % 16 = 7 THEN '####### ' || x ELSE x END), chr(10)) AS text FROM documents"""
+
+
+def outlined(spark, sf_dir) -> DataFrame:
+    m = lambda i: (F.col("doc_id") + i) % 16
+    line = lambda x, i: F.when(m(i) < 6, F.concat(F.expr("repeat('#', 6)").substr(F.lit(1), (m(i) + 1).cast("int")), F.lit(" "), x)).when(m(i) == 6, F.concat(F.lit("```"), x)).when(m(i) == 7, F.concat(F.lit("####### "), x)).otherwise(x)
+    return docs(spark, sf_dir).select("doc_id", F.array_join(F.transform(F.split(F.replace("text", F.lit(". "), F.lit(".\n")), "\n"), line), "\n").alias("text"))
+
+
+SECTIONS_SQL = "WITH md AS MATERIALIZED (" + OUTLINE_SQL + "), " + HITS_SQL.replace("FROM documents)", "FROM md)").removeprefix("WITH ") + f""",
+l AS (SELECT doc_id, i, raw, {strip_sql('raw')} AS s FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM md)),
+o AS (SELECT *, starts_with(s, '```') OR starts_with(s, '~~~') AS fence, coalesce(sum(length(raw) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM l),
+p AS (SELECT *, coalesce(sum(CAST(fence AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 AS open FROM o),
+heads AS (SELECT doc_id, i, CAST(pos AS BIGINT) AS pos, length(regexp_extract(s, '^#+')) AS depth FROM p WHERE NOT fence AND open = 0 AND regexp_matches(s, '^#{{1,6}}([{WS_SQL}]|$)')),
+found AS (SELECT c2.*, coalesce(i, -1) AS section, CAST(coalesce(depth, 0) AS BIGINT) AS heading_depth FROM c2 ASOF LEFT JOIN heads ON c2.doc_id = heads.doc_id AND c2."start" > heads.pos),
+ranked AS (SELECT doc_id, seq, heading_depth, CAST(row_number() OVER (PARTITION BY doc_id, section ORDER BY seq) AS BIGINT) AS section_rank, CAST(len(string_split(patterns, '|')) AS BIGINT) AS pattern_count FROM found)
+SELECT *, CAST(({fixed.WEIGHTS["heading"]} * [{", ".join(map(str, fixed.BY_DEPTH))}][least(heading_depth + 1, {len(fixed.BY_DEPTH)})]
+  + {fixed.WEIGHTS["order"]} * CASE WHEN section_rank = 1 THEN {fixed.BY_RANK[0]} WHEN section_rank <= 3 THEN {fixed.BY_RANK[1]} ELSE {fixed.BY_RANK[2]} END
+  + {fixed.WEIGHTS["density"]} * [{", ".join(map(str, fixed.BY_PATTERNS))}][least(pattern_count, {len(fixed.BY_PATTERNS)})] + 5000) // 10000 AS BIGINT) AS risk_index FROM ranked"""
+
+
+@query(SECTIONS_SQL)
+def risk_sections(spark, sf_dir):
+    """Risk by heading depth and rank in the section, of documents with headings."""
+    d = outlined(spark, sf_dir)
+    rows = risk.with_risk(d, audit.candidates(d, "en"))
+    return rows.select("doc_id", *(F.col(c).cast("long").alias(c) for c in ("seq", "heading_depth", "section_rank", "pattern_count", "risk_index")))
+
+
+@query(f"""WITH m AS (SELECT doc_id AS item_id, doc_id + 1 AS matched_peer_id, right(bin(16 + doc_id % 16), 4) AS mask FROM documents)
+SELECT item_id, matched_peer_id, mask, coalesce(evaluation_signal, '{fixed.UNKNOWN_PAIR[0]}') AS evaluation_signal, coalesce(pattern_name, '{fixed.UNKNOWN_PAIR[1]}') AS pattern_name,
+  coalesce(reason, '{fixed.UNKNOWN_PAIR[2]}') AS reason FROM m LEFT JOIN {LUT_SQL} USING (mask)""")
+def pair_decisions(spark, sf_dir):
+    """Every mask of four bits through the decision table, the one that it doesn't have included: of a document and the next id."""
+    rows = docs(spark, sf_dir).select(F.col("doc_id").alias("item_id"), (F.col("doc_id") + 1).alias("matched_peer_id"), F.lpad(F.bin(F.col("doc_id") % 16), 4, "0").alias("mask"))
+    return pairs.decide(rows).select("item_id", "matched_peer_id", "mask", "evaluation_signal", "pattern_name", "reason")
+
+
 JAPANESE = ("すべての場合に成り立つ。次は違う！本当？どの値も必ず 正しい。\n明らかに全て。", "測定値は50％です。決して超えない。", "。。\n", "常に常に全て", "必ずしもそうではない。")
 JAPANESE_SQL = "(VALUES " + ", ".join(f"({i}, '{s}')" for i, s in enumerate(JAPANESE)).replace("\n", "' || chr(10) || '") + ") v(doc_id, text)"
 JA_SQL = f"""WITH d AS (SELECT doc_id + 1000 AS doc_id, text FROM documents UNION ALL SELECT * FROM {JAPANESE_SQL}),

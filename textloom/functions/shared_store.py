@@ -10,14 +10,22 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders of our own by application, where no setting names one: the setting can't be changed in a running session.
+OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's `spark.checkpoint.dir`; a temporary folder of our own only where it is unset (tests)."""
+    """The cluster's `spark.checkpoint.dir`; a temporary folder of our own only in local mode where it is unset (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        own = tempfile.mkdtemp(prefix="textloom-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        folder = "file://" + own
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        app = spark.sparkContext.applicationId
+        if app not in OWN:
+            own = tempfile.mkdtemp(prefix="textloom-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+            OWN[app] = "file://" + own
+        folder = OWN[app]
     return folder.rstrip("/")
 
 

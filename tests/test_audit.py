@@ -184,3 +184,22 @@ def test_sections_over_parts(spark):
     pick = lambda n: plain(risk.with_risk(df, rows, n).select("doc_id", "seq", "heading_depth", "section_rank", "risk_index"))
     whole = pick(1 << 20)
     assert max(r[3] for r in whole) > 3 and pick(40) == whole
+
+
+def test_candidates_are_found_once(spark):
+    """Tags, decisions and risks read a table of candidates: no plan splits the documents again."""
+    from textloom.plans import queries
+
+    for name in ("audit_tagged", "audit_unused_tags", "audit_backing_totals"):
+        files = queries.QUERIES[name](spark, "/root/testdata/sf0.001").inputFiles()
+        assert files and not any("documents.parquet" in f for f in files), name
+
+
+def test_whole_texts_are_tested_first(spark):
+    """The test of a whole text keeps each that has a sentence with a word, also where a word ends its sentence."""
+    texts = ["x no!y", "no!", "No", "a_no", "snow.", "x\nALL\ny", "now. every one", None, ""]
+    for vocab in (("no!", "all"), ("no", "every"), ("",), ()):
+        rows = docs(spark, *texts)
+        got = sorted((r.doc_id, r.start) for r in audit.candidates(rows, "en", vocab, ()).collect())
+        low = audit.sentence_rows(rows, "en").withColumn("low", T.ascii_lower(F.col("text")))
+        assert got == sorted((r.doc_id, r.start) for r in low.where(audit._any_word(F.col("low"), vocab, "en", ())).collect())

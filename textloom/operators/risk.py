@@ -20,17 +20,20 @@ def headings(docs: DataFrame, part: int = LINES_PART) -> DataFrame:
     A line's state, its offset and whether a fence is open, is that of its part of `part` lines and what is summed over the
     parts before. A null text has no headings.
     """
+    # A text without a line of marks has none: its lines aren't made.
+    docs = docs.where(F.col("text").rlike(rf"(?:^|\n)[{WS}]*#{{1,6}}(?:[{WS}]|\z)"))
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "raw")).withColumn("part", F.floor(F.col("line") / part))
     lines = lines.withColumn("s", T.strip(F.col("raw"))).withColumn("fence", (F.col("s").startswith("```") | F.col("s").startswith("~~~")).cast("int")).withColumn("n", F.length("raw") + 1)
+    mark = F.regexp_extract("s", rf"^(#{{1,6}})(?:[{WS}]|\z)", 1)
+    lines = lines.select("doc_id", "part", "line", "fence", "n", F.length(mark).alias("depth"))  # texts stay behind
     before = lambda x, w: F.coalesce(F.sum(x).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts, own = Window.partitionBy("doc_id").orderBy("part"), Window.partitionBy("doc_id", "part").orderBy("line")
     sums = lines.groupBy("doc_id", "part").agg(F.sum("n").alias("n"), F.sum("fence").alias("fence"))
     sums = sums.select("doc_id", "part", before("n", parts).alias("offset_before"), before("fence", parts).alias("fences_before"))
-    mark = F.regexp_extract("s", rf"^(#{{1,6}})(?:[{WS}]|\z)", 1)
-    found = lines.select("doc_id", "part", "line", "fence", mark.alias("mark"), before("n", own).alias("offset"), before("fence", own).alias("fences"))
-    found = found.where((F.col("fence") == 0) & (F.col("mark") != "")).join(sums, ["doc_id", "part"])
+    found = lines.select("doc_id", "part", "line", "fence", "depth", before("n", own).alias("offset"), before("fence", own).alias("fences"))
+    found = found.where((F.col("fence") == 0) & (F.col("depth") > 0)).join(sums, ["doc_id", "part"])
     found = found.where((F.col("fences") + F.col("fences_before")) % 2 == 0)
-    return found.select("doc_id", "line", (F.col("offset") + F.col("offset_before")).cast("int").alias("offset"), F.length("mark").alias("depth"))
+    return found.select("doc_id", "line", (F.col("offset") + F.col("offset_before")).cast("int").alias("offset"), "depth")
 
 
 def _pick(values: tuple[int, ...], index: Column) -> Column:
@@ -42,8 +45,10 @@ def with_risk(docs: DataFrame, rows: DataFrame, part: int = CHARS_PART) -> DataF
 
     A candidate's section is that of the last heading that starts strictly before it, as in an as-of join: headings and
     candidates are merged by position, by parts of `part` characters, and the last heading is carried forward within a part,
-    from the part before that has one. Ranks in a section are those in its part and the number in the parts before.
+    from the part before that has one. Ranks in a section are those in its part and the number in the parts before. `rows` are
+    read several times, so they should be a table and not a computation.
     """
+    docs = docs.join(rows.select("doc_id").distinct(), "doc_id", "left_semi")  # others' headings are of no use
     h = headings(docs).select("doc_id", F.col("offset").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("int").alias("seq"), F.struct(F.col("line").alias("section"), "depth").alias("h"))
     c = rows.select("doc_id", F.col("start").alias("at"), F.lit(0).alias("kind"), "seq", F.lit(None).cast("struct<section:int,depth:int>").alias("h"))
     merged = materialize(h.unionByName(c).withColumn("part", F.floor(F.col("at") / part)), "sections")

@@ -123,3 +123,15 @@ def test_file_bytes():
 
 def test_token_diff():
     assert unicode.token_diff(["a", "<", "b"], ["a", "c", "b", "d"]) == ("[EQUAL:a][REPLACE:&lt;][EQUAL:b]", "[EQUAL:a][REPLACE:c][EQUAL:b][UNIQUE:d]", 2, 1)
+
+
+def test_blocking_grams_without_slices(spark):
+    """Grams of any length equal plain ones, and no list is cut out and joined for each of them."""
+    rows = spark.createDataFrame([("a 1 b a 1 b c",), ("a b",), ("",), (" ",), (None,)], "text string")
+    for n in (1, 2, 3):
+        out = rows.select("text", T.blocking_grams(F.col("text"), T.tokens(F.col("text")), n).alias("grams"))
+        for text, grams in out.collect():
+            x = (text or "").split()
+            want = ["".join(x[i : i + n]) for i in range(len(x) - n + 1)] if len(x) >= n else x or [text]
+            assert grams == list(dict.fromkeys(want))
+        assert "slice(" not in out._jdf.queryExecution().optimizedPlan().toString()

@@ -156,3 +156,25 @@ def test_shards_tell_their_sizes_without_a_second_worker(spark):
     """A function over the shards would keep another Python worker a task, with its memory."""
     shards = topk_search._shards(spark.createDataFrame([(1, "a b"), (2, ""), (3, "b c d")], "doc_id long, text string").coalesce(1))
     assert [(r["n"], r["words"]) for r in shards.collect()] == [(3, 5)]
+
+
+def test_blocks_of_like_documents_are_skipped():
+    """Documents of two languages and all lengths: most blocks of a query are left out by their bounds, and nothing is lost."""
+    rng = random.Random(7)
+    texts = []
+    for i in range(1600):
+        vocab = [f"{'ab'[i % 2]}{j}" for j in range(300)]
+        texts.append(" ".join(rng.choices(vocab, weights=[1 + 3000 // (j + 1) for j in range(300)], k=rng.choice((3, 30, 300)))))
+    ids = np.array(rng.sample(range(9000), 1600))
+    plain = Index(ids, texts, 100.0)
+    index = Index.of(topk_search.packed(ids, texts, topk_search.TermIds(), True), 100.0)
+    assert sorted(index.ids.tolist()) == sorted(ids.tolist()) and index.ids.tolist() != sorted(ids.tolist())
+    queries = []
+    for i in range(0, 1600, 50):
+        terms = sorted({term_id(w.encode()): 6 / (1 + int(w[1:]) % 7) for w in texts[i].split()}.items())
+        queries.append((np.array([t for t, _ in terms]), np.array([w for _, w in terms]), int(ids[i]), 0.0))
+    want = list(plain.search_many(queries, 5))
+    skipped = index.skipped
+    got = list(index.search_many([(t, w, i, s[-1]) for (t, w, i, _), (s, _) in zip(queries, want, strict=True)], 5))
+    assert all(a[0].tolist() == b[0].tolist() and a[1].tolist() == b[1].tolist() for a, b in zip(got, want, strict=True))
+    assert index.skipped - skipped > 0.4 * len(queries) * index.table_top.shape[1]

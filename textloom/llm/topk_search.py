@@ -6,12 +6,14 @@ score is known for the term and for each block of documents (block-max WAND, Din
 the number of documents and their mean length are those of the whole corpus, so scores of all shards are comparable and
 the k best of the shards' k best are the k best of all.
 
-Queries are searched in blocks of a bounded size, each sent to all tasks that hold shards. WAND's pivot is taken for a
-whole shard at once: with a query's terms in rising order of their bounds, those before the pivot can't reach the k-th
-best score together, so a document with none of the others is skipped. What is left is skipped by the bounds of its
-block, and then scored whole. Scores of a shard's commonest terms are also kept as a table, so they are added up for many
-queries at a time by a matrix product. The k-th best score rises from shard to shard of a task, and every shard starts from that
-of a few pilot shards, which are searched first: so shards return few rows that aren't answers.
+Queries are searched in blocks of a bounded size, each sent to all tasks that hold shards, and within a task many at a
+time. WAND's pivot: with a query's terms in rising order of their bounds, those before the pivot can't reach a small share
+of the k-th best score together, so they are looked at only in documents that nearly reach it with the others. Rare terms are
+added up along their postings. With the bounds of the common terms in a block of documents their sums tell which blocks may hold
+an answer, and only there the common terms, kept as a table, are added up by a matrix product; the documents that then may
+be answers are scored whole. Documents of a shard stand by their commonest term and by length, and queries likewise, so that blocks
+differ. The k-th best score rises from shard to shard of a task, and every shard starts from that of a few pilot shards,
+which are searched first: so shards return few rows that aren't answers.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ from textloom.functions.shared_store import materialize
 K1, B = 1.2, 0.75
 #: Documents in a block.
 BLOCK = 64
+#: Blocks that are multiplied together, for the queries that may have answers in one of them.
+BLOCKS = 4
 CACHE_WORDS = 150_000
 #: Characters of text in a shard, about, and documents at most: bounds what is indexed at a time.
 SHARD_CHARS = 16 << 20
@@ -40,9 +44,11 @@ BLOCK_TERMS = 600_000
 #: Terms in at least one of so many of a shard's documents are in its table, as long as that has no more cells.
 COMMON, TABLE_CELLS = 32, 4_000_000
 #: Queries whose common terms are added up at a time.
-TOGETHER = 64
+TOGETHER = 128
+#: Postings of rare terms that are added up at a time.
+CHUNK = 1 << 17
 #: The share of the least score that terms before the pivot may reach together: a lower one leaves fewer documents.
-PIVOT = 0.25
+PIVOT = 0.02
 #: Sums in single precision are true to this share: all their terms are positive, and there are a few thousand at most.
 ROUNDING = 1e-3
 
@@ -96,13 +102,6 @@ class Index:
         self.own_terms, self.own_scores = term_of[by_doc], self.scores[by_doc]
         self.doc_first = np.searchsorted(self.docs[by_doc], np.arange(len(self.ids) + 1)).tolist()
         self.top = np.maximum.reduceat(self.scores, self.entry_first[:-1]) if n else tf
-        # A run is the postings of one term in one block.
-        block = self.docs // BLOCK
-        start = np.flatnonzero(np.r_[True, (term_of[1:] != term_of[:-1]) | (block[1:] != block[:-1])][:n])
-        self.run_block = block[start]
-        self.run_top = np.maximum.reduceat(self.scores, start) if n else tf
-        self.run_first = np.searchsorted(start, self.entry_first)
-        self.blocks = -(-len(self.ids) // BLOCK)
         self.weight = np.zeros(len(self.terms))
         sizes = np.diff(self.entry_first)
         common = np.flatnonzero(sizes * COMMON >= max(1, len(self.ids)))
@@ -112,6 +111,9 @@ class Index:
         self.table = np.zeros((len(common), len(self.ids)), dtype=np.float32)
         for r, a, b in zip(range(len(common)), self.entry_first[common].tolist(), self.entry_first[common + 1].tolist(), strict=True):
             self.table[r, self.docs[a:b]] = self.scores[a:b]
+        starts = np.arange(0, len(self.ids), BLOCK)
+        self.table_top = np.maximum.reduceat(self.table, starts, axis=1) if len(starts) else self.table
+        self.skipped = 0  # blocks of all queries whose bounds were too low
 
     def postings(self, term: int) -> tuple | None:
         """(documents, scores) of a term."""
@@ -133,77 +135,90 @@ class Index:
 
     def search_many(self, queries: list[tuple], k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """search_arrays() for each of some (term, weight, skip, least)."""
-        sums = np.zeros((len(queries), len(self.table)), dtype=np.float32)
-        plans = []
-        for q, (term, weight, _, least) in enumerate(queries):
-            plan = self._plan(term, weight, least * (1 - ROUNDING)) if k > 0 else None
-            if plan:
-                at, weight, order, _, pivot = plan
-                high = order[pivot:]
-                row = self.row[at[high]]
-                sums[q, row[row >= 0]] = weight[high[row >= 0]]
-            plans.append(plan)
-        part = sums @ self.table
-        for q, (_, _, skip, least) in enumerate(queries):
-            if not plans[q]:
-                yield np.zeros(0), np.zeros(0, dtype=np.int64)
-                continue
-            at, weight, *_ = plans[q]
-            found = self._candidates(plans[q], part[q], k, least * (1 - ROUNDING))
-            score = self._scored(found, at, weight)
-            keep = (score > 0) & (score >= least)
+        n, m = len(queries), len(self.ids)
+        if k <= 0 or not len(self.terms):
+            yield from ((np.zeros(0), np.zeros(0, dtype=np.int64)) for _ in queries)
+            return
+        least = np.array([x[3] for x in queries], dtype=np.float64) * (1 - ROUNDING)
+        at, weight, owner, low, rest = self._plan(queries, least)
+        need = least - rest
+        part = self._parts(at[~low], weight[~low], owner[~low], need)
+        query, doc = np.divmod(np.flatnonzero((part > 0) & (part >= need[:, None])), m)
+        first, own = (np.searchsorted(x, np.arange(n + 1)) for x in (query, owner))
+        for q, (_, _, skip, asked) in enumerate(queries):
+            x = slice(own[q], own[q + 1])
+            found = self._cut(doc[first[q] : first[q + 1]], part[q], at[x], weight[x], low[x], least[q], k)
+            score = self._scored(found, at[x], weight[x])
+            keep = (score > 0) & (score >= asked)
             if skip is not None:
                 keep &= self.ids[found] != skip
             score, ids = score[keep], self.ids[found[keep]]
             best = np.lexsort((ids, -score))[:k]
             yield score[best], ids[best]
 
-    def _plan(self, term: np.ndarray, weight: np.ndarray, least: float) -> tuple | None:
-        """(terms' places, weights, their order by bounds, the bounds' sums in that order, the pivot); None if no document can reach `least`."""
-        if not len(self.terms) or not len(term):
-            return None
+    def _plan(self, queries: list[tuple], least: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(terms' places, weights, queries, whether they are before the query's pivot), and the bound of the latter by query.
+
+        Of queries that can't reach `least` with all their terms nothing is left.
+        """
+        n = len(queries)
+        term, weight = (np.concatenate([x[c] for x in queries]) for c in (0, 1))
+        owner = np.repeat(np.arange(n), [len(x[0]) for x in queries])
         at = np.searchsorted(self.terms, term)
         at[at == len(self.terms)] = 0
         known = self.terms[at] == term
-        at, weight = at[known], weight[known]
+        at, weight, owner = at[known], weight[known], owner[known]
         bound = weight * self.top[at]
-        order = np.argsort(bound, kind="stable")
-        upto = np.cumsum(bound[order])
-        if not len(at) or upto[-1] < least:
-            return None  # not even all of them
-        return at, weight, order, upto, int(np.searchsorted(upto, least * PIVOT, side="left"))
-
-    def _sums(self, at: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """The scores of terms that aren't in the table, added up by document."""
-        sizes = self.entry_first[at + 1] - self.entry_first[at]
-        places = spread(self.entry_first[at], sizes)
-        return np.bincount(self.docs[places], weights=np.repeat(weight, sizes) * self.scores[places], minlength=len(self.ids))
-
-    def _candidates(self, plan: tuple, common: np.ndarray, k: int, least: float) -> np.ndarray:
-        """The documents that may be among the k + 1 best and score `least` or more, by bounds and rounded sums.
-
-        `common`: sums of the terms from the pivot on that are in the table.
+        some = (np.bincount(owner, bound, minlength=n) >= least)[owner]
+        at, weight, owner, bound = at[some], weight[some], owner[some], bound[some]
+        order = np.lexsort((bound, owner))
+        upto = np.r_[0, np.cumsum(bound[order])]
+        upto = upto[1:] - upto[np.searchsorted(owner, np.arange(n))][owner]
+        low = np.zeros(len(at), dtype=bool)
+        low[order] = upto < least[owner] * PIVOT
+        return at, weight, owner, low, np.bincount(owner[low], bound[low], minlength=n)
+
+    def _parts(self, at: np.ndarray, weight: np.ndarray, owner: np.ndarray, need: np.ndarray) -> np.ndarray:
+        """The terms' rounded sums by query and document, whole in the blocks where a document may reach `need`.
+
+        The rare terms are added up first. Their largest sum in a block and the block's bounds of the common terms tell
+        which blocks are multiplied.
         """
-        at, weight, order, upto, pivot = plan
-        low, high = order[:pivot], order[pivot:]
-        high = high[self.row[at[high]] < 0]
-        part = self._sums(at[high], weight[high]) + common
-        if not pivot:
-            found = np.flatnonzero((part > 0) & (part >= least))
-            return self._best(found, part[found], k)
-        found = np.flatnonzero((part > 0) & (part + upto[pivot - 1] >= least))
-        sizes = self.run_first[at[low] + 1] - self.run_first[at[low]]
-        if len(found) * len(low) > 4 * int(sizes.sum()):  # else the blocks' bounds cost more than they save
-            runs = spread(self.run_first[at[low]], sizes)
-            most = np.bincount(self.run_block[runs], weights=np.repeat(weight[low], sizes) * self.run_top[runs], minlength=self.blocks)
-            found = found[part[found] + most[found // BLOCK] >= least]
-        row = self.row[at[low]]
-        known, other = low[row >= 0], low[row < 0]
-        part = part[found] + weight[known] @ self.table[np.ix_(row[row >= 0], found)]
-        rest = float((weight[other] * self.top[at[other]]).sum())
-        keep = part + rest >= least
+        n, m = len(need), len(self.ids)
+        part = np.zeros((n, m))
+        rare = self.row[at] < 0
+        places, own, factor = at[rare], owner[rare], weight[rare]
+        sizes = self.entry_first[places + 1] - self.entry_first[places]
+        chunk = np.cumsum(sizes) // CHUNK
+        for x in np.split(np.arange(len(places)), np.flatnonzero(np.diff(chunk)) + 1) if len(places) else ():
+            lo, hi = own[x[0]], own[x[-1]] + 1
+            runs = spread(self.entry_first[places[x]], sizes[x])
+            cell = np.repeat((own[x] - lo) * m, sizes[x]) + self.docs[runs]
+            part[lo:hi] += np.bincount(cell, weights=np.repeat(factor[x], sizes[x]) * self.scores[runs], minlength=(hi - lo) * m).reshape(-1, m)
+        rows, column = np.unique(self.row[at[~rare]], return_inverse=True)
+        sums = np.zeros((n, len(rows)), dtype=np.float32)
+        sums[owner[~rare], column] = weight[~rare]
+        most = np.maximum.reduceat(part, np.arange(0, m, BLOCK), axis=1) + sums @ self.table_top[rows]
+        live = (most > 0) & (most >= need[:, None])
+        self.skipped += live.size - int(live.sum())
+        table = self.table[rows]
+        for b in range(0, live.shape[1], BLOCKS):
+            some, x = np.flatnonzero(live[:, b : b + BLOCKS].any(axis=1)), slice(b * BLOCK, (b + BLOCKS) * BLOCK)
+            if len(some):
+                part[some, x] += sums[some] @ table[:, x]
+        return part
+
+    def _cut(self, found: np.ndarray, part: np.ndarray, at: np.ndarray, weight: np.ndarray, low: np.ndarray, least: float, k: int) -> np.ndarray:
+        """Of `found`, the documents that may be among the k + 1 best and score `least` or more, with the terms before the pivot."""
+        part, row = part[found], self.row[at]
+        if len(found) <= k + 1:
+            return found
+        known, other = low & (row >= 0), low & (row < 0)
+        if known.any():
+            part = part + weight[known].astype(np.float32) @ self.table[np.ix_(row[known], found)]
+        keep = part + float((weight[other] * self.top[at[other]]).sum()) >= least
         found, part = found[keep], part[keep]
-        return found if len(other) else self._best(found, part, k)
+        return found if other.any() else self._best(found, part, k)
 
     def _best(self, found: np.ndarray, part: np.ndarray, k: int) -> np.ndarray:
         """Of documents with the rounded sums `part`, those that may be among the k + 1 best: one may be the query itself."""
@@ -223,8 +238,18 @@ SHARD = "n long, words long, ids binary, lengths binary, terms binary, first bin
 KINDS = {"ids": np.int64, "lengths": np.int32, "terms": np.int64, "first": np.int64, "docs": np.uint16, "tfs": np.int32}
 
 
-def packed(ids: np.ndarray, texts: list, known: TermIds) -> dict:
-    """A shard's documents and words, and its postings as arrays, by term and document."""
+def _alike(terms: list[np.ndarray], lengths: np.ndarray) -> np.ndarray:
+    """An order of documents by the commonest of their terms, which tells languages apart, and by length."""
+    top, sizes = np.full(len(terms), -1), np.array([len(t) for t in terms])
+    if sizes.any():
+        _, of, counts = np.unique(np.concatenate(terms), return_inverse=True, return_counts=True)
+        rank = np.argsort(np.argsort(counts, kind="stable"))
+        top[sizes > 0] = np.maximum.reduceat(rank[of], (np.cumsum(sizes) - sizes)[sizes > 0])
+    return np.lexsort((lengths, -top))
+
+
+def packed(ids: np.ndarray, texts: list, known: TermIds, alike: bool = False) -> dict:
+    """A shard's documents and words, and its postings as arrays, by term and document; with `alike`, like documents in a row."""
     terms, tfs, lengths = [], [], np.zeros(len(ids), dtype=np.int32)
     for i, text in enumerate(texts):
         found = words(text)
@@ -232,6 +257,9 @@ def packed(ids: np.ndarray, texts: list, known: TermIds) -> dict:
         terms.append(t)
         tfs.append(n.astype(np.int32))
         lengths[i] = len(found)
+    if alike:
+        order = _alike(terms, lengths)
+        ids, lengths, terms, tfs = ids[order], lengths[order], [terms[i] for i in order], [tfs[i] for i in order]
     docs = np.repeat(np.arange(len(ids), dtype=np.uint16), [len(t) for t in terms])
     term, tf = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (terms, tfs))
     by = np.argsort(term, kind="stable")
@@ -262,10 +290,10 @@ def _shards(docs: DataFrame) -> DataFrame:
                 texts.append(t)
                 size += len(t)
                 if size >= chars or len(ids) >= most:
-                    yield pd.DataFrame([packed(np.array(ids, dtype=np.int64), texts, known)])
+                    yield pd.DataFrame([packed(np.array(ids, dtype=np.int64), texts, known, True)])
                     ids, texts, size = [], [], 0
         if ids:
-            yield pd.DataFrame([packed(np.array(ids, dtype=np.int64), texts, known)])
+            yield pd.DataFrame([packed(np.array(ids, dtype=np.int64), texts, known, True)])
 
     return docs.select("doc_id", "text").mapInPandas(run, SHARD)
 
@@ -334,11 +362,14 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, query_terms: int |
             asked_ids, first, terms, idfs, least = sent.value
             best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, dtype=np.int64))] * len(asked_ids)
             least = least.copy()
+            # Queries that are searched together have the same commonest term, and so often the same language, and are about as long.
+            common = [terms[a + np.argmin(idfs[a:b])] for a, b in zip(first, first[1:])]
+            turn = np.lexsort((np.diff(first), common)).tolist()
             for pdf in batches:
                 for row in pdf.to_dict("records"):
                     index = Index.of(row, mean)
-                    for at in range(0, len(asked_ids), TOGETHER):
-                        some = range(at, min(at + TOGETHER, len(asked_ids)))
+                    for at in range(0, len(turn), TOGETHER):
+                        some = turn[at : at + TOGETHER]
                         parts = [slice(first[i], first[i + 1]) for i in some]
                         asked_now = [(terms[x], idfs[x], int(asked_ids[i]) if skip_self else None, least[i]) for i, x in zip(some, parts, strict=True)]
                         for i, (score, ids) in zip(some, index.search_many(asked_now, k), strict=True):

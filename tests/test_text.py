@@ -1,6 +1,9 @@
+import hashlib
 import random
+import tracemalloc
 import unicodedata
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,6 +116,24 @@ def test_winnowed(spark):
     assert one(spark, "short", unicode.winnowed(F.col("text")))[0] == []
 
 
+def test_fingerprints_of_a_batch_are_arrays(monkeypatch):
+    """Memory of a batch's fingerprints is bounded by their bytes; places and hashes are those of plain code, runs of windows cut anywhere."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ab é海") for _ in range(n)) for n in (0, 3, 7, 8, 11, 12, 40, 200)] + ["a" * 90, None]
+    for windows, k, w in ((1, 8, 5), (7, 3, 9), (65_536, 8, 5)):
+        monkeypatch.setattr(unicode, "WINDOWS", windows)
+        for t, got in zip(texts, unicode._fingerprints(pa.array(texts), k, w).to_pylist(), strict=True):
+            hashes = [hashlib.blake2b((t or "")[i : i + k].encode(), digest_size=8).digest() for i in range(len(t or "") - k + 1)]
+            picked = {min(range(i, min(i + w, len(hashes))), key=lambda j: (hashes[j], j)) for i in range(max(1, len(hashes) - w + 1))} if hashes else set()
+            assert [(x["pos"], x["hash"]) for x in got] == [(j, hashes[j]) for j in sorted(picked)]
+    batch = pa.array(["".join(rng.choice("abcdef ") for _ in range(400)) for _ in range(500)])
+    tracemalloc.start()
+    found = unicode._fingerprints(batch, 8, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found.flatten()) > 50_000 and peak < 60 * len(found.flatten())
+
+
 def test_file_bytes():
     assert unicode.read_text("テスト".encode("cp932")) == ("テスト", None)
     assert unicode.read_text(b"") == (None, "empty_input")
